@@ -6,22 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode
 from .common import table
+from .dac import encode_tokens
 from .ngram_join import ngram_jaccard_join
+from .unigram import token_counts
+from .winnow import fingerprints
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_byte_bpe": lambda s, d: encode(table(s, d, "documents")),
     "op2_ngram_join": lambda s, d: ngram_jaccard_join(table(s, d, "documents")),
+    "op3_fingerprints": lambda s, d: fingerprints(table(s, d, "documents")),
+    "op6_token_counts": lambda s, d: token_counts(table(s, d, "documents")),
+    "op9_token_codes": lambda s, d: encode_tokens(table(s, d, "documents")),
 }
 
-_WORDS = r"list_filter(string_split_regex(lower(text), '[^0-9a-z\x{80}-\x{10FFFF}]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex(lower(text), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '')"
 
 ORACLE: dict[str, str] = {
     "op2_ngram_join": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
+      ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT x AS doc_id_a, y AS doc_id_b, c::DOUBLE / (a.n + b.n - c) AS jaccard
