@@ -11,8 +11,8 @@ therefore covered another way, which is exact as well:
    n - ceil(t n) + k grams (prefix filter for k common elements). Only those prefixes are shuffled, by gram.
 3. The sets that share a prefix gram form a list; its least key is the list's pivot. Lists meet at their pivot,
    which counts the common prefix grams of each pair; pairs under min(k, a) in all are out.
-4. A set's home cell is the pivot with which it shares most; the partner of a pair with another home is
-   replicated there. Full sets travel only now, once a cell.
+4. A set's home cell is the pivot of its candidates, their least key; the partner of a pair with another home
+   is replicated there. Full sets travel only now, once a cell.
 5. ``metric_join`` joins each cell exactly: pivots, Voronoi subcells, windows by the triangle inequality,
    recursion, direct counting where a cell is small or no longer shrinks.
 
@@ -42,10 +42,17 @@ PAIRS = "doc_id_a long, doc_id_b long, jaccard double"
 
 
 def set_key(grams: np.ndarray) -> int:
-    """64-bit key of a sorted set, its size included; equal keys are taken as equal sets."""
+    """Key of a sorted set: 52 bits of hash over 12 bits of size class. Equal keys are taken as equal sets."""
     with np.errstate(over="ignore"):
         total = np.add.reduce(mix(grams ^ U64(0x5851F42D4C957F2D)))
-        return int(mix(np.array([total + U64(len(grams))], U64)).view(np.int64)[0])
+        h = int(mix(np.array([total + U64(len(grams))], U64))[0])
+    key = (h >> 12 << 12) | min(4095, int(math.log2(len(grams)) * 128 + 1e-9))
+    return key - (1 << 64) if key >> 63 else key
+
+
+def least_size(keys: np.ndarray) -> np.ndarray:
+    """The least number of grams that sets of these keys can have: within 0.6 % of the real one."""
+    return np.exp2((keys & 4095) / 128) - 1e-6
 
 
 def common_needed(n: int | np.ndarray) -> int | np.ndarray:
@@ -123,9 +130,37 @@ def _prefixer(n: int, t: float, buckets: int, shared):
 
 
 def _bucketed(held: list[tuple[int, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, blob): of each set its key, how many of its grams are in the bucket, and 48 bits of each.
+
+    Two grams that agree in those bits and the bucket only add a candidate.
+    """
+    length = [len(p) for _, p in held]
     grams = np.concatenate([p for _, p in held])
-    nodes = np.repeat(np.array([k for k, _ in held], np.int64), [len(p) for _, p in held])
-    return _blobs(grams % U64(buckets), nodes, grams.view(np.int64))
+    owner = np.repeat(np.arange(len(held)), length)
+    keys = np.array([k for k, _ in held], np.int64)
+    where = (grams % U64(buckets)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    where, owner, tail = where[order], owner[order], (grams[order] >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+    cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
+    rows = []
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = owner[a:z]
+        run = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
+        rows.append(np.uint32(len(run) - 1).tobytes() + keys[own[run[:-1]]].tobytes() + np.diff(run).astype(np.uint32).tobytes() + tail[a:z].tobytes())
+    return batch(bucket=pa.array(where[cuts[:-1]].astype(np.int32), pa.int32()), blob=pa.array(rows, pa.binary()))
+
+
+def _unbucketed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    nodes, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for blob in blobs:
+        m = int(np.frombuffer(blob, np.uint32, 1)[0])
+        times = np.frombuffer(blob, np.uint32, m, 4 + 8 * m)
+        nodes.append(np.repeat(np.frombuffer(blob, np.uint8, 8 * m, 4).view(np.int64), times))
+        tail = np.frombuffer(blob, np.uint8, -1, 4 + 12 * m).reshape(-1, 6)
+        wide = np.zeros((len(tail), 8), np.uint8)
+        wide[:, :6] = tail
+        grams.append(wide.reshape(-1).view(np.uint64))
+    return np.concatenate(nodes), np.concatenate(grams)
 
 
 def _blobs(where: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
@@ -144,8 +179,10 @@ def _unblob(t: pa.Table, columns: int) -> list[np.ndarray]:
 
 
 def _lists(buckets: int):
+    """The sets that share a gram, for every gram of at least two, sent to the pivot of the list: its least key."""
+
     def run(t: pa.Table) -> pa.Table:
-        node, gram = _unblob(t, 2)
+        node, gram = _unbucketed(t.column("blob").to_pylist())
         order = np.lexsort((node, gram))
         node, gram = node[order], gram[order]
         first = np.ones(len(gram), bool)
@@ -153,34 +190,82 @@ def _lists(buckets: int):
         node, gram = node[first], gram[first]
         cuts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True]) if len(gram) else np.zeros(1, np.int64)
         length = np.diff(cuts)
-        pivot = np.repeat(node[cuts[:-1]], length)
         keep = np.repeat(length > 1, length)
-        pivot, node, gram = pivot[keep], node[keep], gram[keep]
-        return pa.Table.from_batches([_blobs((mix(pivot.view(U64)) % U64(buckets)).astype(np.int64), pivot, node, gram)])
+        pivot, length, node = node[cuts[:-1]][length > 1], length[length > 1], node[keep]
+        where = (mix(pivot.view(U64)) % U64(buckets)).astype(np.int64)
+        names, rows = [], []
+        of_node = np.repeat(where, length)
+        for w in np.unique(where).tolist():
+            n = length[where == w].astype(np.uint32)
+            names.append(w)
+            rows.append(np.uint32(len(n)).tobytes() + n.tobytes() + node[of_node == w].tobytes())
+        return pa.table({"bucket": pa.array(names, pa.int32()), "blob": pa.array(rows, pa.binary())})
 
     return run
 
 
-def _pairs_at_pivots(t: pa.Table) -> pa.Table:
-    pivot, node, gram = _unblob(t, 3)
-    order = np.lexsort((node, gram, pivot))
-    pivot, node, gram = pivot[order], node[order], gram[order]
-    out: list[tuple[np.ndarray, ...]] = []
-    cuts = np.flatnonzero(np.r_[True, pivot[1:] != pivot[:-1], True]) if len(pivot) else np.zeros(1, np.int64)
-    small = []
-    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if z - a <= 4096:
-            small.append((a, z))
-            continue
-        names, row = np.unique(node[a:z], return_inverse=True)
-        _, col = np.unique(gram[a:z], return_inverse=True)
-        out.extend((names[i], names[j], c, np.full(len(c), pivot[a])) for i, j, c in _common(row, col, len(names)))
-    mask = np.zeros(len(pivot), bool)
-    for a, z in small:
-        mask[a:z] = True
-    out.append(_list_pairs(pivot[mask], node[mask], gram[mask]))
-    a, b, c, p = (np.concatenate([np.asarray(x[k], np.int64) for x in out]) for k in range(4))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "common": pa.array(c.astype(np.int32), pa.int32()), "pivot": pa.array(p, pa.int64())})
+def _unlisted(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of nodes as (node, number of the list)."""
+    nodes, lists, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for blob in blobs:
+        m = int(np.frombuffer(blob, np.uint32, 1)[0])
+        n = np.frombuffer(blob, np.uint32, m, 4)
+        nodes.append(np.frombuffer(blob, np.uint8, -1, 4 + 4 * m).view(np.int64))
+        lists.append(np.repeat(np.arange(seen, seen + m), n))
+        seen += m
+    return np.concatenate(nodes), np.concatenate(lists)
+
+
+def _pairs_at_pivots(t: float, buckets: int):
+    """How many lists of one pivot each pair of sets of comparable sizes shares."""
+
+    def run(tab: pa.Table) -> pa.Table:
+        node, gram = _unlisted(tab.column("blob").to_pylist())
+        start = np.r_[True, gram[1:] != gram[:-1]] if len(gram) else np.zeros(0, bool)
+        pivot = node[start][gram] if len(gram) else node
+        order = np.lexsort((node, gram, pivot))
+        pivot, node, gram = pivot[order], node[order], gram[order]
+        out: list[tuple[np.ndarray, ...]] = []
+        cuts = np.flatnonzero(np.r_[True, pivot[1:] != pivot[:-1], True]) if len(pivot) else np.zeros(1, np.int64)
+        small = np.ones(len(pivot), bool)
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if z - a <= 4096:
+                continue
+            small[a:z] = False
+            names, row = np.unique(node[a:z], return_inverse=True)
+            _, col = np.unique(gram[a:z], return_inverse=True)
+            out.extend(_comparable(names[i], names[j], c, t) for i, j, c in _common(row, col, len(names)))
+        out.append(_comparable(*_list_pairs(pivot[small], node[small], gram[small])[:3], t))
+        a, b, c = (np.concatenate([np.asarray(x[k], np.int64) for x in out]) for k in range(3))
+        where = (mix(a.view(U64) * U64(31) + b.view(U64)) % U64(buckets)).astype(np.int64)
+        return pa.Table.from_batches([_blobs(where, a, b, c)])
+
+    return run
+
+
+def _comparable(a: np.ndarray, b: np.ndarray, c: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    x, y = least_size(a), least_size(b)
+    ok = np.minimum(x, y) * 1.006 >= t * np.maximum(x, y)
+    return a[ok], b[ok], c[ok]
+
+
+def _sum_pairs(t: float):
+    """Adds up each pair's common prefix grams and leaves out what has too few."""
+
+    def run(tab: pa.Table) -> pa.Table:
+        a, b, c = _unblob(tab, 3)
+        order = np.lexsort((b, a))
+        a, b, c = a[order], b[order], c[order]
+        cuts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        if len(cuts):
+            a, b, c = a[cuts], b[cuts], np.add.reduceat(c, cuts)
+            x, y = least_size(a), least_size(b)
+            need = np.ceil(t / (1 + t) * (x + y) - 1e-6)
+            ok = c >= np.minimum(need, common_needed(np.minimum(x, y).astype(np.int64)))
+            a, b = a[ok], b[ok]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _list_pairs(pivot: np.ndarray, node: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -419,7 +504,7 @@ def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest:
     spark = docs.sparkSession
     sc = spark.sparkContext
     slim = id_text(docs)
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = shuffle_partitions(spark)
     profile = checkpoint(slim.mapInArrow(_profiler(n), "doc_id long, node long, n int, chunk int, counts binary"))
     nodes = profile.where("chunk is null").select("doc_id", "node", "n")
     sums = profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_counts, "chunk int, classes binary")
@@ -430,18 +515,12 @@ def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest:
 
     prefixes = slim.select("doc_id", "text").mapInArrow(_prefixer(n, t, buckets, shared), "bucket int, blob binary")
     lists = prefixes.groupBy("bucket").applyInArrow(_lists(buckets), "bucket int, blob binary")
-    met = lists.groupBy("bucket").applyInArrow(_pairs_at_pivots, "a long, b long, common int, pivot long")
-    size = nodes.select("node", "n").distinct()
-    pair = met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max_by("pivot", F.struct("common", "pivot")).alias("pivot"))
-    pair = pair.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-6)
-    k = (3 + F.floor(F.least("na", "nb") / 32)).cast("long")
-    pair = pair.where((F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9) & (F.col("common") >= F.least(need, k)))
-    pair = checkpoint(pair.select("a", "b", "common", "pivot"))
-
-    # home: the pivot of the strongest evidence; each pair is met at the lesser home of the two
-    ends = pair.select(F.col("a").alias("node"), "common", "pivot").unionByName(pair.select(F.col("b").alias("node"), "common", "pivot"))
-    home = ends.groupBy("node").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("home"))
+    met = lists.groupBy("bucket").applyInArrow(_pairs_at_pivots(t, buckets), "bucket int, blob binary")
+    pair = checkpoint(met.groupBy("bucket").applyInArrow(_sum_pairs(t), "a long, b long"))
+
+    # home: the least key among a set and its candidates; each pair is met at the lesser home of the two
+    ends = pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    home = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("home"))
     both = pair.join(home.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a").join(home.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b").select("a", "b", "ha", "hb", F.least("ha", "hb").alias("cell"))
     member = both.select("cell", F.col("a").alias("node"), F.col("ha").alias("home")).unionByName(both.select("cell", F.col("b").alias("node"), F.col("hb").alias("home"))).distinct()
     # a cell over cell_nodes members is cut into blocks that meet two by two
