@@ -60,3 +60,20 @@ def ids_of(column: pa.Array) -> np.ndarray:
 def split_rows(table_or_batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for a in range(0, table_or_batch.num_rows, rows):
         yield table_or_batch.slice(a, rows)
+
+
+def filter_rows(docs: DataFrame, text_col: str, decide: Any) -> DataFrame:
+    """The rows of ``docs`` for which ``decide`` yields accepted = True, with their own columns and types.
+
+    ``decide`` maps batches of one column ``text`` to batches with a column ``accepted``, in the same order.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pa.RecordBatch.from_arrays([b.column(at).cast(pa.string())], names=["text"])
+            keep = [r.column("accepted") for r in decide(iter([text]))]
+            if keep:
+                yield b.filter(pa.concat_arrays(keep))
+
+    return docs.mapInArrow(run, docs.schema)
