@@ -25,6 +25,7 @@ from .pretoken import code_points, starts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLICE = 4 << 20
 WIDEST = 256
+MEMO_ROWS = 1 << 20
 NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,6 +180,59 @@ def encode_spans(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.nda
     return flat, count
 
 
+class Memo:
+    """Ids of the pre-tokens that a worker has met, by hash; beyond MEMO_ROWS it takes no more, and encoding goes on without."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def spans(self, v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each distinct span's begin there, how many it has)."""
+        at = np.searchsorted(self.hashes, h)
+        known = np.zeros(len(h), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == h[inside]
+        where, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        where[known], count[known] = self.start[at[known]], self.count[at[known]]
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return self.ids, where, count
+        fresh, n = encode_spans(v, data, start[new], end[new])
+        ids = np.r_[self.ids, fresh]
+        where[new], count[new] = len(self.ids) + np.cumsum(n) - n, n
+        if len(self.hashes) + len(new) <= MEMO_ROWS:
+            order = np.argsort(h[new])
+            place, new = at[new][order], new[order]
+            self.hashes = np.insert(self.hashes, place, h[new])
+            self.start, self.count = np.insert(self.start, place, where[new]), np.insert(self.count, place, count[new])
+            self.ids = ids
+        return ids, where, count
+
+
+def memo_of(v: Vocabulary) -> Memo:
+    """The worker's own memo of this vocabulary; it isn't sent with it."""
+    if not hasattr(v, "_memo"):
+        v._memo = Memo()
+    return v._memo
+
+
+def count_texts(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many ids each row of a slice has."""
+    points, byte_at, rows = code_points(data, offsets)
+    first = starts(points, rows)
+    if not len(first):
+        return np.zeros(len(offsets) - 1, np.int64)
+    start = byte_at[first]
+    end = np.r_[start[1:], len(data)]
+    code, distinct = pd.factorize(span_hash(data, start, end))
+    where = np.empty(len(distinct), np.int64)
+    where[code[::-1]] = np.arange(len(code))[::-1]
+    n = memo_of(v).spans(v, data, start[where], end[where], distinct)[2][code]
+    return np.diff(np.r_[0, np.cumsum(n)][np.searchsorted(first, rows)])
+
+
 def encode_texts(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of every row of a slice, flat, and how many each row has."""
     points, byte_at, rows = code_points(data, offsets)

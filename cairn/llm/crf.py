@@ -204,19 +204,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, tr
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     some = some.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows)
     picked = {r["doc_id"]: r["quality"] for r in some.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(picked), np.int64))
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in sorted(picked)], "doc_id long"))  # sample_rows ids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(np.isin(ids, shared.value)))
             data, off = text_bytes(b.column("text"))
             start, end, first = lines(data, off)
             x = line_features(data, start, end).astype(np.float32)
             rows = [x[a:z].tobytes() if z - a <= train_lines else b"" for a, z in zip(first[:-1], first[1:], strict=True)]
             yield batch(doc_id=b.column("doc_id"), x=pa.array(rows, pa.binary()))
 
-    got = id_text(docs).where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, x binary").collect()
+    got = id_text(docs).where("text is not null").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, x binary").collect()
     sequences = []
     for r in sorted(got, key=lambda r: (r["doc_id"], r["x"])):
         x = np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(np.float64)

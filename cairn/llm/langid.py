@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, byte_slices, mix, text_bytes
-from .common import batch, id_text
+from .common import batch, filter_rows, id_text
 from .pretoken import LETTER, classes, code_points
 
 BITS = 15
@@ -20,7 +20,7 @@ ORDERS = (2, 3)
 SMOOTHING = 0.5
 SAMPLE_ROWS = 4000
 MAX_LANGUAGES = 64
-MIN_CONFIDENCE = 0.6
+MIN_CONFIDENCE = 0.5
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def train(docs: DataFrame, lang_col: str = "lang", sample_rows: int = SAMPLE_ROW
     nothing. Of labels, the ``max_languages`` most frequent in the sample are kept.
     """
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null and doc_id is not null")
-    labelled = named.select("lang").count()
+    labelled = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).count()
     share = min(1.0, sample_rows / labelled) if labelled else 1.0
     sample = named.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else named
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, docs long, counts binary").groupBy("lang").applyInArrow(_add, "lang string, docs long, counts binary")
@@ -164,6 +164,4 @@ def keep_identified(docs: DataFrame, model: Model | None = None, min_confidence:
     model = train(docs, lang_col) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     score = _scorer(shared, min_confidence, wanted)
-    from .common import filter_rows
-
     return filter_rows(docs, "text", score)

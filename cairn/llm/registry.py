@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode
 from .common import table
+from .crf import assess
 from .dac import encode_tokens
+from .langid import identify
+from .licenses import licenses
 from .ngram_join import ngram_jaccard_join
+from .packing import pack
+from .secrets import scan
 from .unigram import token_counts
 from .winnow import fingerprints
 
@@ -19,8 +24,13 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": lambda s, d: encode(table(s, d, "documents")),
     "op2_ngram_join": lambda s, d: ngram_jaccard_join(table(s, d, "documents")),
     "op3_fingerprints": lambda s, d: fingerprints(table(s, d, "documents")),
+    "op4_quality_rules": lambda s, d: assess(table(s, d, "documents"), table(s, d, "labels")),
+    "op5_language_id": lambda s, d: identify(table(s, d, "documents")),
     "op6_token_counts": lambda s, d: token_counts(table(s, d, "documents")),
+    "op7_license_scans": lambda s, d: licenses(table(s, d, "documents")),
+    "op8_packing": lambda s, d: pack(table(s, d, "documents")),
     "op9_token_codes": lambda s, d: encode_tokens(table(s, d, "documents")),
+    "op10_secret_scans": lambda s, d: scan(table(s, d, "documents")),
 }
 
 _WORDS = r"list_filter(string_split_regex(lower(text), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '')"
