@@ -3,7 +3,8 @@
 Words that occur once in the text and once in the notice are anchors; the longest increasing subsequence of them
 is kept, and the gaps between anchors are aligned the same way. A gap without anchors is aligned by its common
 prefix and suffix and then by the longest common subsequence. The share of the notice's words that are aligned
-close together in the text is its coverage.
+close together in the text is its coverage. A notice of under SHORT_WORDS words differs from another licence's by a
+word or two, so that it must be there whole and in one run.
 
 Before that, a text is compared with a notice only if it holds enough of the notice's words, counted with
 repetition, for the coverage asked: an exact bound, taken for all texts of a slice at once.
@@ -26,6 +27,7 @@ from .common import batch, id_text
 
 COVERAGE = 0.8
 SPREAD = 12
+SHORT_WORDS = 20
 
 NOTICES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -194,6 +196,10 @@ class Catalogue:
                 self.need[k, number[w]] += 1
         self.size = np.array([len(ws) for _, ws in self.notices])
 
+    def terms(self, k: int, coverage: float, spread: int) -> tuple[float, int]:
+        """The coverage and the spread that notice k must meet."""
+        return (1.0, 0) if self.size[k] < SHORT_WORDS else (coverage, spread)
+
     def possible(self, data: np.ndarray, offsets: np.ndarray, coverage: float) -> Iterator[tuple[int, int]]:
         """(row, notice) whose words can give the coverage."""
         start, end, first = words(data, offsets)
@@ -208,7 +214,7 @@ class Catalogue:
         for k in range(len(self.notices)):
             used = np.flatnonzero(self.need[k])
             got = np.minimum(have[:, used], self.need[k][used][None, :]).sum(axis=1)
-            for r in np.flatnonzero(got >= coverage * self.size[k] - 1e-9).tolist():
+            for r in np.flatnonzero(got >= self.terms(k, coverage, 0)[0] * self.size[k] - 1e-9).tolist():
                 yield r, k
 
 
@@ -237,8 +243,9 @@ def licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None,
                         text = part[rel[r] : rel[r + 1]].tobytes().decode()
                         spans[r] = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
                     name, notice = book.notices[k]
-                    c, a, z = cover([w for w, _, _ in spans[r]], notice, spread)
-                    if c >= coverage - 1e-9 and c > best.get((r, name), (0.0, 0, 0))[0]:
+                    least, reach = book.terms(k, coverage, spread)
+                    c, a, z = cover([w for w, _, _ in spans[r]], notice, reach)
+                    if c >= least - 1e-9 and c > best.get((r, name), (0.0, 0, 0))[0]:
                         best[r, name] = (c, spans[r][a][1], spans[r][z - 1][2])
                 keys = list(best)
                 yield batch(
