@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from cairn.functions import paths, text
+from cairn.functions.dialect import DUCK, Cols, add, nest
+from cairn.operators import classify, policy
+from cairn.session import table
+from cairn.sources import virtual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,5 +20,66 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Lists as text joined by '|': the same on both sides of a comparison."""
+    return df.select(*(F.array_join(f.name, "|").alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name) for f in df.schema.fields))
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual.artifacts(table(spark, sf_dir, "documents"))
+
+
+def project(name: str, steps: Sequence[Cols], columns: str, where: str | None = None, source: Callable[[SparkSession, str], DataFrame] = artifacts, sql: str = virtual.SQL) -> None:
+    """Registers columns of a projection and their SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = add(source(spark, sf_dir), *steps)
+        return flat((df.where(where) if where else df).select(*columns.split()))
+
+    QUERIES[name] = run
+    ORACLE[name] = f"SELECT {', '.join(columns.split())} FROM ({nest(sql, *steps)}) q" + (f" WHERE {where}" if where else "")
+
+
+def register(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE[name] = sql
+
+
+P = classify.PARTS
+HEADER = [text.split_header, text.header_convention]
+
+project("content_hash", [text.content_hash], "doc_id content_hash")
+project("token_estimate", [text.token_estimate], "doc_id token_estimate")
+project("path_parts", P, "doc_id path base ext parent depth")
+project("snake_stem", [*P, paths.stem], "doc_id base snake_stem")
+project("title", [*P, paths.title], "doc_id title")
+project("normalize_filename", [*P, paths.filename, lambda d: {"changed": "normalized_name <> base"}], "doc_id normalized_name changed")
+project("path_validity", [lambda d: {"path": "CASE WHEN doc_id % 9 = 0 THEN '/' || path WHEN doc_id % 9 = 1 THEN replace(path, '/', '//') WHEN doc_id % 9 = 2 THEN '../' || path WHEN doc_id % 9 = 3 THEN path || '/' ELSE path END"}, paths.validity], "doc_id path path_issue")
+project("sharing_scope", [*P, paths.scope()], "doc_id sharing_scope")
+project("namespace_resolve", [*P, classify.ctext, paths.stem, paths.folder, paths.scope(), paths.namespace("main", (("skills/**", "craft"), ("docs/*", "manual"))), lambda d: {"artifact_type": "'source'"}, paths.header_id], "doc_id namespace sharing_scope primitive_folder header_id")
+project("artifact_id", [lambda d: {"artifact_id": f"'inv-' || substring({d.sha('path')}, 1, 16)"}], "doc_id artifact_id")
+project("classify", [*P, *classify.TYPE_STEPS], "doc_id artifact_type confidence family signals")
+project("family", [*P, classify.ctext, classify.family], "doc_id family")
+project("signals", [*P, classify.ctext, classify.signals], "doc_id signals")
+project("semantic_class", [*P, classify.semantic], "doc_id semantic_class semantic_confidence semantic_signal")
+project("inventory_type", [*P, classify.inventory, classify.unknowns, classify.mime], "doc_id inventory_type inventory_confidence evidence unknowns mime_type")
+project("injection_strategy", [*P, classify.strategy], "doc_id strategy line_prefix block_open block_close")
+project("header_convention", HEADER, "doc_id header_convention fence_end")
+project("strip_frontmatter", [text.split_header, text.stripped, lambda d: {"body_hash": d.sha("clean_body")}], "doc_id body_hash")
+project("scan_profile", [*P, *HEADER, text.body_structure, lambda d: {"has_header": "fence_end > 0"}], "doc_id path size_bytes header_convention body_structure has_header")
+project("extract_fields", [*HEADER, text.extract_fields], "doc_id role objective output_format model_target constraints validation_gates stop_conditions phase_model input_variables")
+project("omit_filter", [paths.parts, policy.omit(("vendor/", "*.zzz", "!vendor/pkg/x*"))], "doc_id path omitted")
+project("extension_filter", P, "doc_id path", where="lext = '.md'")
+project("skill_entrypoints", [lambda d: {"path": "CASE WHEN doc_id % 10 = 0 THEN 'skills/a' || doc_id || '/SKILL.md' ELSE path END"}, paths.parts, paths.more_parts], "doc_id path", where="lbase = 'skill.md'")
+project("discovery_ledger", [*P, classify.strategy, policy.omit(("vendor/",)), policy.disposition(), policy.reasons], "doc_id path disposition reason size_bytes")
+project("eligible_files", [*P, classify.strategy, policy.omit(("vendor/",)), policy.disposition()], "doc_id path", where="disposition = 'eligible'")
+ALLOW = ("skills/**", "docs/**/*.md", "notes/**")
+project("carrier_decision", [*P, *classify.TYPE_STEPS, classify.strategy, policy.carrier(ALLOW)], "doc_id path carrier carrier_reason carrier_rule")
+project("placement_plan", [*P, classify.semantic, policy.placement("out/./x")], "doc_id semantic_class layer target_directory target_path quarantined placement_namespace")
+project("taxonomy_map", [*P, *classify.TYPE_STEPS, classify.taxonomy, classify.semantic, classify.inventory, classify.coarse], "doc_id artifact_type mcp_primitive callable injectable semantic_coarse inventory_coarse")
+project("authority_candidates", [*P, policy.authority_candidate], "doc_id path suspicious_name", where="authority_candidate")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["pipeline_report"](spark, sf_dir)
+    return QUERIES["pipeline_report" if "pipeline_report" in QUERIES else "classify"](spark, sf_dir)
