@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 
 class Dialect:
-    """DuckDB's spelling; ``Spark`` overrides what differs. ``flat`` gives lists as text joined by '|'."""
+    """DuckDB's spelling; ``Spark`` overrides what differs."""
 
-    flat = True
+    duck = True
 
     def q(self, s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -71,12 +71,16 @@ class Dialect:
     def keep(self, x: str, var: str, cond: str) -> str:
         return f"list_filter({x}, lambda {var}: {cond})"
 
+    def struct(self, fields: dict[str, str]) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def let(self, var: str, fields: dict[str, str], body: str) -> str:
+        """The body with ``var``.field bound: each is worked out once, even where the optimizer copies the expression."""
+        return f"list_transform([{self.struct(fields)}], lambda {var}: {body})[1]"
+
     def matches(self, x: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract_all({x}, {self.q(pattern)}, {group})"
 
-    def out(self, x: str) -> str:
-        return self.join(x) if self.flat else x
-
     def sha(self, x: str) -> str:
         return f"sha256({x})"
 
@@ -98,7 +102,7 @@ class Dialect:
 
 
 class Spark(Dialect):
-    flat = False
+    duck = False
 
     def q(self, s: str) -> str:
         if "'" in s:
@@ -141,6 +145,12 @@ class Spark(Dialect):
     def keep(self, x: str, var: str, cond: str) -> str:
         return f"filter({x}, {var} -> {cond})"
 
+    def struct(self, fields: dict[str, str]) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    def let(self, var: str, fields: dict[str, str], body: str) -> str:
+        return f"transform(array({self.struct(fields)}), {var} -> {body})[0]"
+
     def sha(self, x: str) -> str:
         return f"sha2({x}, 256)"
 
@@ -172,11 +182,11 @@ def add(df: DataFrame, *steps: Cols) -> DataFrame:
 
 
 def nest(query: str, *steps: Cols, d: Dialect = DUCK) -> str:
-    """The SQL query with each step's columns; a step of ``path`` alone replaces it."""
+    """The SQL query with each step's columns; a step of ``path`` or ``body`` alone replaces it."""
     for step in steps:
         cols = step(d)
         new = ", ".join(f"{e} AS {n}" for n, e in cols.items())
-        query = f"SELECT * REPLACE ({new}) FROM ({query}) t" if set(cols) == {"path"} else f"SELECT *, {new} FROM ({query}) t"
+        query = f"SELECT * REPLACE ({new}) FROM ({query}) t" if set(cols) in ({"path"}, {"body"}) else f"SELECT *, {new} FROM ({query}) t"
     return query
 
 

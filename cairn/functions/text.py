@@ -20,7 +20,7 @@ def token_estimate(d: Dialect) -> dict[str, str]:
 def shingle_list(d: Dialect, x: str = "body") -> str:
     """All runs of SHINGLE lower-case words, repeats kept; fewer words make one, none make none."""
     w = d.words(f"lower({x})")
-    if d.flat:
+    if d.duck:
         return f"list_transform([{w}], lambda w: CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END)[1]"
     runs = " || ' ' || ".join(["x", *(f"w[i + {k}]" for k in range(1, SHINGLE))])
     return f"transform(array({w}), w -> CASE WHEN size(w) = 0 THEN array() WHEN size(w) < {SHINGLE} THEN array(array_join(w, ' ')) ELSE transform(slice(w, 1, size(w) - {SHINGLE - 1}), (x, i) -> {runs}) END)[0]"
@@ -62,7 +62,7 @@ def _bullets(d: Dialect, heading: str) -> str:
     section = d.ex(d.rep("rest", rf"(?m)^##\s+(?:{heading})[ \t]*$", mark), rf"(?s){mark}([^{mark}]*)", 1)
     section = d.ex(d.rep(section, r"\n## ", mark), rf"(?s)\A([^{mark}]*)", 1)
     found = d.each(d.matches(section, r"(?m)^[-*][ \t]+(.+)$", 1), "b", "trim(b)")
-    return f"CASE WHEN {d.size(found)} > 0 THEN {d.out(found)} END"
+    return f"CASE WHEN {d.size(found)} > 0 THEN {found} END"
 
 
 def extract_fields(d: Dialect) -> dict[str, str]:
@@ -88,18 +88,20 @@ def good_value(x: str, d: Dialect) -> str:
 
 def yaml_scalar(x: str, d: Dialect) -> str:
     """Bare where that is safe, else in double quotes with escapes; line breaks become \\n."""
+    value, x = x, "y.x"
     quoted = f"replace(replace(replace({x}, {d.char(92)}, {d.char(92)} || {d.char(92)}), {d.char(34)}, {d.char(92)} || {d.char(34)}), {d.char(10)}, {d.char(92)} || 'n')"
     risky = any_of([d.m(x, r"[:#{}\[\],&*?|<>=!%@`\n\x22\x27\\]"), f"trim({x}) <> {x}", d.isin(x, ("", "true", "false", "null"))])
-    return f"CASE WHEN {risky} THEN {d.char(34)} || {quoted} || {d.char(34)} ELSE {x} END"
+    return d.let("y", {"x": value}, f"CASE WHEN {risky} THEN {d.char(34)} || {quoted} || {d.char(34)} ELSE {x} END")
 
 
-def header_text(fields: list[str]) -> Cols:
-    """yaml_header: these columns between fences, in this order, Unknown where null."""
+def header_lines(scalars: list[str], lists: list[str]) -> Cols:
+    """yaml_inner: a line for each column that isn't null, in this order; lists have a line for each item."""
 
     def cols(d: Dialect) -> dict[str, str]:
-        nl = d.char(10)
-        lines = f" || {nl} || ".join(f"'{f}: ' || " + yaml_scalar(f"coalesce({d.text(f)}, 'Unknown')", d) for f in fields)
-        return {"yaml_inner": lines}
+        one = lambda f: f"'{f}: ' || {yaml_scalar(d.text(f), d)}"
+        item = d.each("{f}", "i", f"'  - ' || {yaml_scalar('i', d)}")
+        many = lambda f: f"CASE WHEN {f} IS NULL THEN NULL WHEN {d.size(f)} = 0 THEN '{f}: Unknown' ELSE '{f}:' || {d.char(10)} || {d.join(item.replace('{f}', f), chr(10))} END"
+        return {"yaml_inner": f"concat_ws({d.char(10)}, {', '.join([*map(one, scalars), *map(many, lists)])})"}
 
     return cols
 
@@ -109,11 +111,26 @@ def fenced(d: Dialect) -> dict[str, str]:
     return {"yaml_header": f"'---' || {nl} || yaml_inner || {nl} || '---'"}
 
 
+def clean(frontmatter: tuple[str, ...], line_prefixes: tuple[str, ...], blocks: tuple[tuple[str, str], ...]) -> Cols:
+    """clean_body: the file without a header that an earlier run put there, or without its fenced header."""
+    esc = lambda x: "".join("\\" + c if c in "*/.<>!-" and c in "*." else c for c in x)
+
+    def cols(d: Dialect) -> dict[str, str]:
+        pairs = [(d.isin("lext", frontmatter), stripped(d)["clean_body"])]
+        for p in line_prefixes:
+            pairs.append((f"line_prefix = '{p}' AND {d.has('body', f'{p} >>> {MARK} >>>')}", d.rep("body", f"(?s){esc(p)} >>> {MARK} >>>.*?{esc(p)} <<< {MARK} <<<\\r?\\n?")))
+        for o, c in blocks:
+            pairs.append((f"block_open = '{o}' AND {d.has('body', f'{o} {MARK}:start')}", d.rep("body", f"(?s){esc(o)} {MARK}:start.*?{MARK}:end {esc(c)}\\r?\\n?")))
+        return {"clean_body": case(pairs, "body")}
+
+    return cols
+
+
 def comment_block(d: Dialect) -> dict[str, str]:
     """block: the header in the comment style of the strategy; null where that has no comments."""
     nl = d.char(10)
     # an inner line gets the prefix and a blank, an empty one the prefix alone
-    prefixed = d.join(d.each(d.split("yaml_inner", r"\n"), "l", "CASE WHEN l = '' THEN line_prefix ELSE line_prefix || ' ' || l END"), "\n") if not d.flat else d.join(d.each("string_split(yaml_inner, chr(10))", "l", "CASE WHEN l = '' THEN line_prefix ELSE line_prefix || ' ' || l END"), "\n")
+    prefixed = d.join(d.each(d.split("yaml_inner", r"\n"), "l", "CASE WHEN l = '' THEN line_prefix ELSE line_prefix || ' ' || l END"), "\n")
     return {
         "block": case(
             [

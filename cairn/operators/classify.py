@@ -24,25 +24,23 @@ def family(d: Dialect) -> dict[str, str]:
 def signals(d: Dialect) -> dict[str, str]:
     """The first six family words found, in table order."""
     words = dict.fromkeys(w for ws in rules.FAMILIES.values() for w in ws.split())
-    return {"signals": d.out(d.head(d.list(f"CASE WHEN {hit(d, w)} THEN '{w}' END" for w in words), 6))}
+    return {"signals": d.head(d.list(f"CASE WHEN {hit(d, w)} THEN '{w}' END" for w in words), 6)}
 
 
-def _scores(d: Dialect) -> dict[str, str]:
-    return {f"s_{t}": " + ".join(f"CASE WHEN {hit(d, w)} THEN 1 ELSE 0 END" for w in words.split()) or "0" for t, (words, _) in rules.TYPES.items()}
+def word(d: Dialect) -> dict[str, str]:
+    """The type that words give and its score; none gives context.
 
-
-def _best(d: Dialect) -> dict[str, str]:
+    A test or script by words alone needs three of them, or two with a strong one; else the best other type wins.
+    """
     every, weak = list(rules.TYPES), [t for t in rules.TYPES if t not in rules.STRONG]
-    top = lambda ts: f"greatest({', '.join(f's_{t}' for t in ts)})"
-    first = lambda ts: case([(f"{top(ts)} = 0", "'context'"), *((f"s_{t} = {top(ts)}", f"'{t}'") for t in ts)])
-    return {"best": first(every), "top": top(every), "best_weak": first(weak), "top_weak": top(weak)}
-
-
-def _settled(d: Dialect) -> dict[str, str]:
-    """A test or script by words alone needs three of them, or two with a strong one; else the best other type wins."""
-    strong = " OR ".join(f"(best = '{t}' AND {any_of(hit(d, w) for w in words)})" for t, words in rules.STRONG.items())
-    demoted = f"best IN ('test', 'script') AND NOT (top >= 3 OR (top = 2 AND ({strong})))"
-    return {"word_type": f"CASE WHEN {demoted} THEN best_weak ELSE best END", "word_score": f"CASE WHEN {demoted} THEN top_weak ELSE top END"}
+    scores = {t: " + ".join(f"CASE WHEN {hit(d, w, 'c.x')} THEN 1 ELSE 0 END" for w in words.split()) or "0" for t, (words, _) in rules.TYPES.items()}
+    scores |= {f"strong_{t}": any_of(hit(d, w, "c.x") for w in words) for t, words in rules.STRONG.items()}
+    top = lambda ts: f"greatest({', '.join(f's.{t}' for t in ts)})"
+    first = lambda ts: case([(f"{top(ts)} = 0", "'context'"), *((f"s.{t} = {top(ts)}", f"'{t}'") for t in ts)])
+    best = {"t": first(every), "n": top(every), "t2": first(weak), "n2": top(weak), "strong": case([(f"{first(every)} = '{t}'", f"s.strong_{t}") for t in rules.STRONG], "true")}
+    demoted = "b.t IN ('test', 'script') AND NOT (b.n >= 3 OR (b.n = 2 AND b.strong))"
+    chosen = f"CASE WHEN {demoted} THEN {d.struct({'t': 'b.t2', 'n': 'b.n2'})} ELSE {d.struct({'t': 'b.t', 'n': 'b.n'})} END"
+    return {"word": d.let("c", {"x": "ctext"}, d.let("s", scores, d.let("b", best, chosen)))}
 
 
 def _type(d: Dialect) -> dict[str, str]:
@@ -51,12 +49,12 @@ def _type(d: Dialect) -> dict[str, str]:
     sure = [(f"{dot} <> ''", None), (d.starts("lbase", "prompt-"), "prompt")]
     prose = d.isin("lext", rules.PROSE)
     return {
-        "artifact_type": case([(c, dot if t is None else f"'{t}'") for c, t in sure] + [(f"NOT {prose}", "'source'")] + [(c, f"'{t}'") for c, t in by_path], "word_type"),
-        "confidence": case([(c, "'high'") for c, _ in sure] + [(f"NOT {prose}", "'low'")] + [(c, "'high'") for c, _ in by_path] + [("word_score >= 2", "'medium'")], "'low'"),
+        "artifact_type": case([(c, dot if t is None else f"'{t}'") for c, t in sure] + [(f"NOT {prose}", "'source'")] + [(c, f"'{t}'") for c, t in by_path], "word.t"),
+        "confidence": case([(c, "'high'") for c, _ in sure] + [(f"NOT {prose}", "'low'")] + [(c, "'high'") for c, _ in by_path] + [("word.n >= 2", "'medium'")], "'low'"),
     }
 
 
-TYPE_STEPS: list[Cols] = [ctext, _scores, _best, _settled, _type, family, signals]
+TYPE_STEPS: list[Cols] = [ctext, word, _type, family, signals]
 
 
 def semantic(d: Dialect) -> dict[str, str]:
@@ -152,8 +150,9 @@ def strategy(d: Dialect) -> dict[str, str]:
 
 def taxonomy(d: Dialect) -> dict[str, str]:
     """What a coarse type implies, and the coarse types that the two other vocabularies map to."""
-    by = lambda i: case([(f"artifact_type = '{t}'", f"'{v[i]}'" if i == 0 else str(v[i]).lower()) for t, v in rules.TAXONOMY.items()])
-    return {"mcp_primitive": by(0), "callable": by(1), "injectable": by(2)}
+    at = lambda ok: d.isin("artifact_type", sorted(t for t, v in rules.TAXONOMY.items() if ok(v)))
+    kinds = [(at(lambda v, k=k: v[0] == k), f"'{k}'") for k in sorted({v[0] for v in rules.TAXONOMY.values()}) if k != "none"]
+    return {"mcp_primitive": case(kinds, "'none'"), "callable": at(lambda v: v[1]), "injectable": at(lambda v: v[2])}
 
 
 def coarse(d: Dialect) -> dict[str, str]:
@@ -181,7 +180,7 @@ PARTS: list[Cols] = [paths.parts, paths.more_parts]
 def classify(artifacts: DataFrame) -> DataFrame:
     """artifact_type, confidence, family and signals of (path, body) rows."""
     out = add(artifacts, *PARTS, *TYPE_STEPS)
-    return out.drop("ctext", "best", "top", "best_weak", "top_weak", "word_type", "word_score", *(f"s_{t}" for t in rules.TYPES))
+    return out.drop("ctext", "word")
 
 
 def semantic_classes(artifacts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType
 
 from cairn.functions import paths, text
 from cairn.functions.dialect import DUCK, Cols, add, nest
-from cairn.operators import classify, policy
+from cairn.operators import classify, meta, policy
 from cairn.session import table
 from cairn.sources import virtual
 
@@ -30,14 +30,16 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project(name: str, steps: Sequence[Cols], columns: str, where: str | None = None, source: Callable[[SparkSession, str], DataFrame] = artifacts, sql: str = virtual.SQL) -> None:
-    """Registers columns of a projection and their SQL."""
+    """Registers columns of a projection and their SQL; a column that ends in [] is a list."""
+    names = [c.removesuffix("[]") for c in columns.split()]
+    sql_columns = ", ".join(f"array_to_string({c[:-2]}, '|') AS {c[:-2]}" if c.endswith("[]") else c for c in columns.split())
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = add(source(spark, sf_dir), *steps)
-        return flat((df.where(where) if where else df).select(*columns.split()))
+        return flat((df.where(where) if where else df).select(*names))
 
     QUERIES[name] = run
-    ORACLE[name] = f"SELECT {', '.join(columns.split())} FROM ({nest(sql, *steps)}) q" + (f" WHERE {where}" if where else "")
+    ORACLE[name] = f"SELECT {sql_columns} FROM ({nest(sql, *steps)}) q" + (f" WHERE {where}" if where else "")
 
 
 def register(name: str, query: Query, sql: str | None = None) -> None:
@@ -59,16 +61,16 @@ project("path_validity", [lambda d: {"path": "CASE WHEN doc_id % 9 = 0 THEN '/'
 project("sharing_scope", [*P, paths.scope()], "doc_id sharing_scope")
 project("namespace_resolve", [*P, classify.ctext, paths.stem, paths.folder, paths.scope(), paths.namespace("main", (("skills/**", "craft"), ("docs/*", "manual"))), lambda d: {"artifact_type": "'source'"}, paths.header_id], "doc_id namespace sharing_scope primitive_folder header_id")
 project("artifact_id", [lambda d: {"artifact_id": f"'inv-' || substring({d.sha('path')}, 1, 16)"}], "doc_id artifact_id")
-project("classify", [*P, *classify.TYPE_STEPS], "doc_id artifact_type confidence family signals")
+project("classify", [*P, *classify.TYPE_STEPS], "doc_id artifact_type confidence family signals[]")
 project("family", [*P, classify.ctext, classify.family], "doc_id family")
-project("signals", [*P, classify.ctext, classify.signals], "doc_id signals")
+project("signals", [*P, classify.ctext, classify.signals], "doc_id signals[]")
 project("semantic_class", [*P, classify.semantic], "doc_id semantic_class semantic_confidence semantic_signal")
 project("inventory_type", [*P, classify.inventory, classify.unknowns, classify.mime], "doc_id inventory_type inventory_confidence evidence unknowns mime_type")
 project("injection_strategy", [*P, classify.strategy], "doc_id strategy line_prefix block_open block_close")
 project("header_convention", HEADER, "doc_id header_convention fence_end")
 project("strip_frontmatter", [text.split_header, text.stripped, lambda d: {"body_hash": d.sha("clean_body")}], "doc_id body_hash")
 project("scan_profile", [*P, *HEADER, text.body_structure, lambda d: {"has_header": "fence_end > 0"}], "doc_id path size_bytes header_convention body_structure has_header")
-project("extract_fields", [*HEADER, text.extract_fields], "doc_id role objective output_format model_target constraints validation_gates stop_conditions phase_model input_variables")
+project("extract_fields", [*HEADER, text.extract_fields], "doc_id role objective output_format model_target constraints[] validation_gates[] stop_conditions[] phase_model[] input_variables[]")
 project("omit_filter", [paths.parts, policy.omit(("vendor/", "*.zzz", "!vendor/pkg/x*"))], "doc_id path omitted")
 project("extension_filter", P, "doc_id path", where="lext = '.md'")
 project("skill_entrypoints", [lambda d: {"path": "CASE WHEN doc_id % 10 = 0 THEN 'skills/a' || doc_id || '/SKILL.md' ELSE path END"}, paths.parts, paths.more_parts], "doc_id path", where="lbase = 'skill.md'")
@@ -80,6 +82,22 @@ project("placement_plan", [*P, classify.semantic, policy.placement("out/./x")],
 project("taxonomy_map", [*P, *classify.TYPE_STEPS, classify.taxonomy, classify.semantic, classify.inventory, classify.coarse], "doc_id artifact_type mcp_primitive callable injectable semantic_coarse inventory_coarse")
 project("authority_candidates", [*P, policy.authority_candidate], "doc_id path suspicious_name", where="authority_candidate")
 
+project("build_meta", meta.META_STEPS, "doc_id id title artifact_type mcp_primitive callable retrievable injectable namespace sharing_scope source_path content_hash token_cost_estimate authority created_or_detected_at h_family description activation_signals[] input_contract output_contract h_validation_gates[] h_stop_conditions[] h_role h_objective h_input_variables[] h_output_format h_model_target h_constraints[] h_phase_model[] governs decision_drivers applies_to_domains owner")
+project("meta_v3", [*meta.META_STEPS, classify.semantic, policy.placement(), meta.flat_planes], "doc_id semantic_class semantic_confidence " + " ".join(f"{p}_{f}" for p, fields in meta.planes(DUCK).items() for f in fields))
+project("v3_completeness", [*meta.META_STEPS, classify.semantic, policy.placement(), meta.complete], "doc_id complete")
+project("prompt_library", meta.META_STEPS, "doc_id id h_role h_objective", where="artifact_type = 'prompt'")
+project("primitive_library", meta.META_STEPS, "doc_id id artifact_type h_family", where="artifact_type <> 'prompt' AND injectable")
+project("coverage_skips", [*meta.META_STEPS, lambda d: {"skip_reason": "CASE WHEN strategy = 'skip-binary' THEN 'binary' ELSE 'taxonomy_non_injectable' END"}], "doc_id path skip_reason artifact_type confidence", where="strategy = 'skip-binary' OR NOT injectable")
+project("yaml_header", [*meta.META_STEPS, meta.yaml_inner, text.fenced], "doc_id yaml_header")
+project("comment_block", [*meta.META_STEPS, meta.yaml_inner, text.fenced, text.comment_block], "doc_id strategy block", where="strategy IN ('line-comment', 'block-comment')")
+project("verify", [*meta.META_STEPS, *meta.HEADER_STEPS, meta.issues], "doc_id header_valid body_preserved taxonomy_valid scope_valid prompt_complete issues[]", where="strategy <> 'skip-binary' AND injectable")
+project("injection_plan", [*meta.META_STEPS, *meta.HEADER_STEPS, meta.injection], "doc_id target strategy expected_hash actual_hash would_change", where="strategy <> 'skip-binary' AND injectable")
+project("inventory_records", meta.RECORD_STEPS, "doc_id " + " ".join(meta.RECORD_COLUMNS))
+project("inventory_header", [*meta.RECORD_STEPS, meta.inventory_header], "doc_id id title artifact_type mcp_primitive callable retrievable injectable namespace sharing_scope source_path header_hash token_cost_estimate authority inventory_type inventory_confidence evidence_text")
+FIELDS = (meta.Field("id", "artifact_id", required=True), meta.Field("kind", "inventory_type", "unknown"), meta.Field("folder", "parent", "root"), meta.Field("mime", "mime_type", required=True), meta.Field("owner", None, "nobody"), meta.Field("reviewed"))
+project("schema_projection", [*meta.RECORD_STEPS, meta.schema_projection(FIELDS)], "doc_id m_id m_kind m_folder m_mime m_owner m_reviewed missing_required[]")
+project("csv_rows", [*meta.RECORD_STEPS, lambda d: {"excerpt": f"'see {chr(34)}' || base || '{chr(34)}, or not'"}, meta.csv_row(("path", "base", "extension", "inventory_type", "size_bytes", "content_hash", "depth", "excerpt", "notes"))], "doc_id csv")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["pipeline_report" if "pipeline_report" in QUERIES else "classify"](spark, sf_dir)
