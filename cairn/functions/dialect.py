@@ -181,6 +181,15 @@ def add(df: DataFrame, *steps: Cols) -> DataFrame:
     return df
 
 
+def settle(df: DataFrame, condition: str) -> DataFrame:
+    """Rows for which the condition holds, its columns worked out first and once.
+
+    Catalyst pushes a filter below the projections that make its columns and so copies their expressions into it;
+    for cascades that build on each other the copies multiply. A row number that the filter also reads keeps it above.
+    """
+    return df.withColumn("row_", F.monotonically_increasing_id()).where(f"({condition}) AND row_ >= 0").drop("row_")
+
+
 def nest(query: str, *steps: Cols, d: Dialect = DUCK) -> str:
     """The SQL query with each step's columns; a step of ``path`` or ``body`` alone replaces it."""
     for step in steps:

@@ -130,48 +130,45 @@ def comment_block(d: Dialect) -> dict[str, str]:
     """block: the header in the comment style of the strategy; null where that has no comments."""
     nl = d.char(10)
     # an inner line gets the prefix and a blank, an empty one the prefix alone
-    prefixed = d.join(d.each(d.split("yaml_inner", r"\n"), "l", "CASE WHEN l = '' THEN line_prefix ELSE line_prefix || ' ' || l END"), "\n")
-    return {
-        "block": case(
-            [
-                ("strategy = 'line-comment'", f"line_prefix || ' >>> {MARK} >>>' || {nl} || {prefixed} || {nl} || line_prefix || ' <<< {MARK} <<<'"),
-                ("strategy = 'block-comment'", f"block_open || ' {MARK}:start' || {nl} || yaml_inner || {nl} || '{MARK}:end ' || block_close"),
-            ]
-        )
-    }
+    prefixed = d.join(d.each(d.split("k.y", r"\n"), "l", "CASE WHEN l = '' THEN k.p ELSE k.p || ' ' || l END"), "\n")
+    body = case(
+        [
+            ("k.s = 'line-comment'", f"k.p || ' >>> {MARK} >>>' || {nl} || {prefixed} || {nl} || k.p || ' <<< {MARK} <<<'"),
+            ("k.s = 'block-comment'", f"k.o || ' {MARK}:start' || {nl} || k.y || {nl} || '{MARK}:end ' || k.c"),
+        ]
+    )
+    return {"block": d.let("k", {"y": "yaml_inner", "s": "strategy", "p": "line_prefix", "o": "block_open", "c": "block_close"}, body)}
 
 
 def injected(d: Dialect) -> dict[str, str]:
     """injected: the file with its header; a first line that starts with #! stays first; sidecars leave the body as it is."""
     nl = d.char(10)
-    at = f"instr(clean_body, {nl})"
-    return {
-        "injected": case(
-            [
-                ("strategy = 'yaml-frontmatter'", f"yaml_header || {nl} || {nl} || clean_body"),
-                ("block IS NULL", "body"),
-                (f"{d.starts('clean_body', '#!')} AND {at} = 0", f"clean_body || {nl} || block || {nl}"),
-                (d.starts("clean_body", "#!"), f"substring(clean_body, 1, {at}) || block || {nl} || substring(clean_body, {at} + 1)"),
-            ],
-            f"block || {nl} || clean_body",
-        )
-    }
+    at = f"instr(k.c, {nl})"
+    body = case(
+        [
+            ("k.s = 'yaml-frontmatter'", f"k.h || {nl} || {nl} || k.c"),
+            ("k.b IS NULL", "k.t"),
+            (f"{d.starts('k.c', '#!')} AND {at} = 0", f"k.c || {nl} || k.b || {nl}"),
+            (d.starts("k.c", "#!"), f"substring(k.c, 1, {at}) || k.b || {nl} || substring(k.c, {at} + 1)"),
+        ],
+        f"k.b || {nl} || k.c",
+    )
+    return {"injected": d.let("k", {"s": "strategy", "h": "yaml_header", "b": "block", "c": "clean_body", "t": "body"}, body)}
 
 
 def recovered(d: Dialect) -> dict[str, str]:
     """recovered: the body that ``injected`` holds, got back from its text alone."""
     nl = d.char(10)
-    fence = f"instr(substring(injected, 5), {nl} || '---')"
-    line_end, block_end = f"line_prefix || ' <<< {MARK} <<<' || {nl}", f"'{MARK}:end ' || block_close || {nl}"
-    first = lambda end: f"(instr(injected, {end}) + length({end}))"
-    shebang = f"CASE WHEN {d.starts('injected', '#!')} THEN substring(injected, 1, instr(injected, {nl})) ELSE '' END"
-    return {
-        "recovered": case(
-            [
-                ("strategy = 'yaml-frontmatter'", d.rep(f"substring(injected, {fence} + 8)", chr(92) + "A" + chr(92) + "n+")),
-                ("strategy = 'line-comment'", f"{shebang} || substring(injected, {first(line_end)})"),
-                ("strategy = 'block-comment'", f"{shebang} || substring(injected, {first(block_end)})"),
-            ],
-            "injected",
-        )
-    }
+    fence = f"instr(substring(k.j, 5), {nl} || '---')"
+    line_end, block_end = f"k.p || ' <<< {MARK} <<<' || {nl}", f"'{MARK}:end ' || k.c || {nl}"
+    first = lambda end: f"(instr(k.j, {end}) + length({end}))"
+    shebang = f"CASE WHEN {d.starts('k.j', '#!')} THEN substring(k.j, 1, instr(k.j, {nl})) ELSE '' END"
+    body = case(
+        [
+            ("k.s = 'yaml-frontmatter'", d.rep(f"substring(k.j, {fence} + 8)", chr(92) + "A" + chr(92) + "n+")),
+            ("k.s = 'line-comment'", f"{shebang} || substring(k.j, {first(line_end)})"),
+            ("k.s = 'block-comment'", f"{shebang} || substring(k.j, {first(block_end)})"),
+        ],
+        "k.j",
+    )
+    return {"recovered": d.let("k", {"j": "injected", "s": "strategy", "p": "line_prefix", "c": "block_close"}, body)}

@@ -184,24 +184,30 @@ def normalized(d: Dialect) -> dict[str, str]:
     return {"number": f"CASE WHEN {d.m('trim(value)', '^-?[0-9]+$')} THEN CAST(trim(value) AS BIGINT) END", "truth": case([("value = 'true'", "true"), ("value = 'false'", "false")])}
 
 
-def issues(d: Dialect) -> dict[str, str]:
-    """Checks of a planned header: issues lists what is wrong, in this order."""
-    wants = ("h_role", "h_objective", "h_output_format", "h_model_target")
-    valid = {
+WANTED = ("h_role", "h_objective", "h_output_format", "h_model_target")
+
+
+def checks(d: Dialect) -> dict[str, str]:
+    """Checks of a planned header."""
+    return {
         "header_valid": case([("strategy = 'yaml-frontmatter'", d.starts("injected", "---" + chr(10))), ("strategy IN ('line-comment', 'block-comment')", d.has("injected", text.MARK)), ("strategy = 'sidecar'", "length(yaml_header) > 0")], "false"),
         "body_preserved": f"{d.sha('recovered')} = content_hash",
         "taxonomy_valid": "NOT (callable AND mcp_primitive = 'none')",
         "scope_valid": "NOT (sharing_scope = 'shared' AND namespace NOT IN ('shared', 'core'))",
-        "prompt_complete": "artifact_type <> 'prompt' OR (" + " AND ".join(f"{w} <> 'Unknown'" for w in wants) + f" AND {d.size('h_input_variables')} > 0)",
+        "prompt_complete": "artifact_type <> 'prompt' OR (" + " AND ".join(f"{w} <> 'Unknown'" for w in WANTED) + f" AND {d.size('h_input_variables')} > 0)",
     }
-    found = [f"CASE WHEN NOT ({e}) THEN '{n}' END" for n, e in valid.items() if n != "prompt_complete"]
-    found += [f"CASE WHEN artifact_type = 'prompt' AND {w} = 'Unknown' THEN 'prompt:{w[2:]}' END" for w in wants]
+
+
+def issues(d: Dialect) -> dict[str, str]:
+    """issues: what is wrong, in this order."""
+    found = [f"CASE WHEN NOT {n} THEN '{n}' END" for n in ("header_valid", "body_preserved", "taxonomy_valid", "scope_valid")]
+    found += [f"CASE WHEN artifact_type = 'prompt' AND {w} = 'Unknown' THEN 'prompt:{w[2:]}' END" for w in WANTED]
     found.append(f"CASE WHEN artifact_type = 'prompt' AND {d.size('h_input_variables')} = 0 THEN 'prompt:input_variables' END")
-    return {**valid, "issues": d.list(found)}
+    return {"issues": d.list(found)}
 
 
 def verify(artifacts: DataFrame) -> DataFrame:
-    return add(artifacts, *META_STEPS, *HEADER_STEPS, issues)
+    return add(artifacts, *META_STEPS, *HEADER_STEPS, checks, issues)
 
 
 def injection(d: Dialect) -> dict[str, str]:

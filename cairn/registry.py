@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from cairn.functions import paths, text
-from cairn.functions.dialect import DUCK, Cols, add, nest
-from cairn.operators import classify, meta, policy
+from cairn.functions import paths, rules, text
+from cairn.functions.dialect import DUCK, Cols, Dialect, add, nest, settle
+from cairn.functions.dialect import SPARK as _SPARK
+from cairn.operators import classify, dedup, ledger, meta, policy, reconcile
 from cairn.session import table
 from cairn.sources import virtual
 
@@ -36,7 +37,7 @@ def project(name: str, steps: Sequence[Cols], columns: str, where: str | None =
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = add(source(spark, sf_dir), *steps)
-        return flat((df.where(where) if where else df).select(*names))
+        return flat((settle(df, where) if where else df).select(*names))
 
     QUERIES[name] = run
     ORACLE[name] = f"SELECT {sql_columns} FROM ({nest(sql, *steps)}) q" + (f" WHERE {where}" if where else "")
@@ -90,7 +91,7 @@ project("primitive_library", meta.META_STEPS, "doc_id id artifact_type h_family"
 project("coverage_skips", [*meta.META_STEPS, lambda d: {"skip_reason": "CASE WHEN strategy = 'skip-binary' THEN 'binary' ELSE 'taxonomy_non_injectable' END"}], "doc_id path skip_reason artifact_type confidence", where="strategy = 'skip-binary' OR NOT injectable")
 project("yaml_header", [*meta.META_STEPS, meta.yaml_inner, text.fenced], "doc_id yaml_header")
 project("comment_block", [*meta.META_STEPS, meta.yaml_inner, text.fenced, text.comment_block], "doc_id strategy block", where="strategy IN ('line-comment', 'block-comment')")
-project("verify", [*meta.META_STEPS, *meta.HEADER_STEPS, meta.issues], "doc_id header_valid body_preserved taxonomy_valid scope_valid prompt_complete issues[]", where="strategy <> 'skip-binary' AND injectable")
+project("verify", [*meta.META_STEPS, *meta.HEADER_STEPS, meta.checks, meta.issues], "doc_id header_valid body_preserved taxonomy_valid scope_valid prompt_complete issues[]", where="strategy <> 'skip-binary' AND injectable")
 project("injection_plan", [*meta.META_STEPS, *meta.HEADER_STEPS, meta.injection], "doc_id target strategy expected_hash actual_hash would_change", where="strategy <> 'skip-binary' AND injectable")
 project("inventory_records", meta.RECORD_STEPS, "doc_id " + " ".join(meta.RECORD_COLUMNS))
 project("inventory_header", [*meta.RECORD_STEPS, meta.inventory_header], "doc_id id title artifact_type mcp_primitive callable retrievable injectable namespace sharing_scope source_path header_hash token_cost_estimate authority inventory_type inventory_confidence evidence_text")
@@ -99,5 +100,213 @@ project("schema_projection", [*meta.RECORD_STEPS, meta.schema_projection(FIELDS)
 project("csv_rows", [*meta.RECORD_STEPS, lambda d: {"excerpt": f"'see {chr(34)}' || base || '{chr(34)}, or not'"}, meta.csv_row(("path", "base", "extension", "inventory_type", "size_bytes", "content_hash", "depth", "excerpt", "notes"))], "doc_id csv")
 
 
+# --- relations: each in Spark by DataFrames, in SQL written apart ---
+
+
+def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' own texts under their virtual paths, with hashes and sizes."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    return add(docs.select("doc_id", "text"), virtual.artifact).select("doc_id", "path", F.coalesce("text", F.lit("")).alias("body")).select("*", F.sha2("body", 256).alias("content_hash"), F.expr("octet_length(body)").alias("size_bytes"), F.lit(False).alias("is_dir"))
+
+
+ORIGINALS = f"SELECT doc_id, path, coalesce(text, '') AS body, sha256(coalesce(text, '')) AS content_hash, strlen(coalesce(text, '')) AS size_bytes FROM ({nest('SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL', virtual.artifact)})"
+CLUSTERS = f"SELECT content_hash, count(*) AS n, (count(*) - 1) * min(size_bytes) AS wasted_bytes, (list(path ORDER BY length(path), path))[1] AS keeper, string_agg(path, '|' ORDER BY path) AS paths FROM ({ORIGINALS}) GROUP BY content_hash HAVING count(*) > 1"
+NEAR_T = 0.5
+
+
+def _near_sql(t: float) -> str:
+    return f"""
+WITH d AS (SELECT content_hash AS h, any_value(body) AS body FROM ({ORIGINALS}) GROUP BY content_hash),
+s AS (SELECT DISTINCT h, unnest({text.shingle_list(DUCK)}) AS g FROM d),
+n AS (SELECT h, count(*) AS n FROM s GROUP BY h),
+p AS (SELECT a.h AS ha, b.h AS hb, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.h < b.h GROUP BY ALL),
+j AS (SELECT ha, hb, c / (x.n + y.n - c) AS sim FROM p JOIN n x ON x.h = ha JOIN n y ON y.h = hb WHERE c / (x.n + y.n - c) >= {t})
+SELECT least(a.path, b.path) AS path_a, greatest(a.path, b.path) AS path_b, floor(sim * 1000 + 0.5) / 1000 AS similarity
+FROM j JOIN ({ORIGINALS}) a ON a.content_hash = ha JOIN ({ORIGINALS}) b ON b.content_hash = hb"""
+
+
+register("duplicate_clusters", lambda s, d: flat(dedup.duplicate_clusters(originals(s, d))), CLUSTERS)
+register("top_clusters", lambda s, d: flat(dedup.top_clusters(dedup.duplicate_clusters(originals(s, d)))), f"{CLUSTERS} ORDER BY wasted_bytes DESC, n DESC, content_hash LIMIT 100")
+register("exact_twins", lambda s, d: flat(dedup.exact_twins(originals(s, d))), f"SELECT content_hash, count(*) AS n, string_agg(path, '|' ORDER BY path) AS paths FROM ({ORIGINALS}) GROUP BY content_hash HAVING count(*) > 1")
+register("near_duplicates", lambda s, d: dedup.near_duplicates(originals(s, d), NEAR_T), _near_sql(NEAR_T))
+register(
+    "dedup_summary", lambda s, d: dedup.summary(originals(s, d), dedup.THRESHOLD),
+    f"SELECT sum(n)::BIGINT AS total, count(*) AS unique_count, count(*) FILTER (n > 1) AS twin_groups, (SELECT count(*) FROM ({_near_sql(dedup.THRESHOLD)})) AS near_pairs FROM (SELECT count(*) AS n FROM ({ORIGINALS}) GROUP BY content_hash)",
+)
+register("shingle_counts", lambda s, d: originals(s, d).select("doc_id", F.size(F.array_distinct(F.expr(text.shingle_list(_SPARK)))).alias("n")), f"SELECT doc_id, len(list_distinct({text.shingle_list(DUCK)})) AS n FROM ({ORIGINALS})")
+
+
+def _jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against the next one by id."""
+    x = originals(spark, sf_dir).select("doc_id", F.array_distinct(F.expr(text.shingle_list(_SPARK))).alias("s"))
+    y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
+    return x.join(y, "doc_id").select("doc_id", dedup.rounded(dedup.jaccard("s", "t")).alias("similarity"))
+
+
+register("jaccard_pairs", _jaccard_pairs, f"""
+WITH x AS (SELECT doc_id, list_distinct({text.shingle_list(DUCK)}) AS s FROM ({ORIGINALS})),
+p AS (SELECT a.doc_id, len(a.s) AS n, len(b.s) AS m, len(list_intersect(a.s, b.s)) AS c FROM x a JOIN x b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, CASE WHEN n = 0 OR m = 0 THEN 0.0 ELSE floor(c / (n + m - c) * 1000 + 0.5) / 1000 END AS similarity FROM p""")
+
+GATE = [lambda d: {"output_path": f"hint_dir || '/' || {d.ex('path', '[.][^./]*$')} || {d.text('doc_id % 400')}"}]
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.gate(add(originals(spark, sf_dir), classify.domain, *GATE), "doc_id").select("doc_id", "output_path", "dedup_status")
+
+
+_GATED = f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) > 1 THEN 'duplicate' WHEN row_number() OVER (PARTITION BY output_path ORDER BY doc_id) > 1 THEN 'collision' ELSE 'unique' END AS dedup_status FROM ({nest(ORIGINALS, classify.domain, *GATE)})"
+register("dedup_gate", _gate, f"SELECT doc_id, output_path, dedup_status FROM ({_GATED})")
+TEXT_EXT = tuple("." + x for x in "cfg ini json md py toml txt yaml yml".split())
+MOVE = [*P, classify.domain, lambda d: {"dest": f"CASE WHEN hint_confidence < 0.6 THEN '{rules.LOW_CONFIDENCE}' ELSE hint_dir END || '/' || base", "is_text": d.isin("lext", TEXT_EXT), "stamped": d.has("substring(body, 1, 500)", "status: active")}]
+register(
+    "move_map",
+    lambda s, d: add(originals(s, d), *MOVE).withColumn("dedup_status", F.expr("CASE WHEN row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'unique' END")).select("path", "content_hash", "hint_type", "hint_domain", F.lit("unknown").alias("node_name"), "dest", "base", F.format_number("hint_confidence", 2).alias("confidence"), "dedup_status"),
+    f"SELECT path, content_hash, hint_type, hint_domain, 'unknown' AS node_name, dest, base, printf('%.2f', hint_confidence) AS confidence, CASE WHEN row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'unique' END AS dedup_status FROM ({nest(ORIGINALS, *MOVE)})",
+)
+register(
+    "stamp_plan",
+    lambda s, d: dedup.gate(add(artifacts(s, d).withColumn("content_hash", F.sha2("body", 256)), *MOVE).withColumn("output_path", F.col("dest")), "doc_id").select("doc_id", F.expr("CASE WHEN NOT is_text THEN 'not text' WHEN dedup_status = 'duplicate' THEN 'duplicate' WHEN stamped THEN 'stamped' ELSE 'stamp' END").alias("plan")),
+    f"SELECT doc_id, CASE WHEN NOT is_text THEN 'not text' WHEN row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) > 1 THEN 'duplicate' WHEN stamped THEN 'stamped' ELSE 'stamp' END AS plan FROM (SELECT *, sha256(body) AS content_hash FROM ({nest(virtual.SQL, *MOVE)}))",
+)
+BROKEN = [lambda d: {"source_path": "CASE WHEN doc_id % 19 = 0 THEN NULL ELSE path END", "output_path": "CASE WHEN doc_id % 23 = 0 THEN '' ELSE path END"}]
+register(
+    "manifest_gate",
+    lambda s, d: flat(ledger.manifest_gate(add(originals(s, d), *BROKEN), ("source_path", "content_hash", "output_path")).select("doc_id", "lacks")),
+    f"SELECT doc_id, concat_ws('|', CASE WHEN coalesce(source_path, '') = '' THEN 'source_path' END, CASE WHEN coalesce(output_path, '') = '' THEN 'output_path' END) AS lacks FROM ({nest(ORIGINALS, *BROKEN)}) WHERE coalesce(source_path, '') = '' OR coalesce(output_path, '') = ''",
+)
+
+# distributions and summaries
+register("type_distribution", lambda s, d: add(artifacts(s, d), *P, classify.inventory).groupBy("inventory_type").agg(F.count("*").alias("n")), f"SELECT inventory_type, count(*) AS n FROM ({nest(virtual.SQL, *P, classify.inventory)}) GROUP BY 1")
+register("strategy_distribution", lambda s, d: add(artifacts(s, d), *P, *classify.TYPE_STEPS, classify.strategy).groupBy("strategy", "artifact_type").agg(F.count("*").alias("n")), f"SELECT strategy, artifact_type, count(*) AS n FROM ({nest(virtual.SQL, *P, *classify.TYPE_STEPS, classify.strategy)}) GROUP BY 1, 2")
+LEDGER = [*P, classify.strategy, policy.omit(("vendor/",)), policy.disposition()]
+register(
+    "discovery_summary", lambda s, d: policy.discovery_summary(add(artifacts(s, d), *LEDGER)),
+    f"SELECT e.disposition, e.disposition IN ({', '.join(DUCK.q(x) for x in rules.BLOCKING)}) AS blocking, count(l.doc_id) AS n FROM (SELECT unnest([{', '.join(DUCK.q(x) for x in rules.DISPOSITIONS)}]) AS disposition) e LEFT JOIN ({nest(virtual.SQL, *LEDGER)}) l USING (disposition) GROUP BY 1",
+)
+CHECKED = [*meta.META_STEPS, *meta.HEADER_STEPS, meta.checks, meta.issues, lambda d: {"is_binary": "strategy = 'skip-binary'", "n_issues": d.size("issues")}]
+register(
+    "verification_summary", lambda s, d: add(artifacts(s, d), *CHECKED).select("is_binary", "injectable", "n_issues").agg(F.expr("count_if(NOT is_binary AND injectable)").alias("total"), F.expr("count_if(NOT is_binary AND injectable AND n_issues = 0)").alias("clean"), F.expr("count_if(NOT is_binary AND injectable AND n_issues > 0)").alias("with_issues"), F.expr("coalesce(bool_and(is_binary OR NOT injectable OR n_issues = 0), true)").alias("passed")),
+    f"SELECT count(*) AS total, count(*) FILTER (n_issues = 0) AS clean, count(*) FILTER (n_issues > 0) AS with_issues, coalesce(bool_and(n_issues = 0), true) AS passed FROM ({nest(virtual.SQL, *CHECKED)}) WHERE NOT is_binary AND injectable",
+)
+COVER = [*meta.META_STEPS, lambda d: {"fate": "CASE WHEN strategy = 'skip-binary' THEN 'binary' WHEN injectable THEN 'injected' ELSE 'non_injectable' END"}]
+register(
+    "coverage_summary", lambda s, d: add(artifacts(s, d), *COVER).select("fate").agg(F.count("*").alias("scanned"), *(F.expr(f"count_if(fate = '{x}')").alias(x) for x in ("injected", "binary", "non_injectable"))),
+    f"SELECT count(*) AS scanned, count(*) FILTER (fate = 'injected') AS injected, count(*) FILTER (fate = 'binary') AS binary, count(*) FILTER (fate = 'non_injectable') AS non_injectable FROM ({nest(virtual.SQL, *COVER)})",
+)
+register(
+    "metrics_counters", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.expr("count_if(value IS NULL OR isnan(value) OR value < 0)").alias("failures"), F.countDistinct("user_id").alias("users")),
+    "SELECT event_type, count(*) AS calls, count(*) FILTER (value IS NULL OR isnan(value) OR value < 0) AS failures, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
+)
+register(
+    "latency_percentiles", lambda s, d: table(s, d, "events").groupBy("event_type").agg(*(F.expr(f"percentile_disc(0.{p}) WITHIN GROUP (ORDER BY value)").alias(f"p{p}") for p in ("50", "95"))),
+    "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1",
+)
+
+# the index and what is held against it
+SUBJECTS = [*meta.META_STEPS, policy.carrier(ALLOW)]
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add(artifacts(spark, sf_dir), *SUBJECTS)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _planned(spark, sf_dir)
+    subjects = df.select("path", "artifact_type", "content_hash", "id", "title", "namespace", "sharing_scope", "token_cost_estimate", "carrier")
+    return ledger.index_rows(subjects)
+
+
+_SUBJECTS_SQL = nest(virtual.SQL, *SUBJECTS)
+_RECORDS_SQL = f"SELECT '{ledger.SCHEMA}' AS schema, path, artifact_type, content_hash, id, title, namespace, sharing_scope, token_cost_estimate, carrier FROM ({_SUBJECTS_SQL}) WHERE carrier <> 'hard_skip'"
+_METADATA = ("id", "title", "namespace", "sharing_scope", "token_cost_estimate")
+_LINES_SQL = f"SELECT path, to_json({{'artifact_type': artifact_type, 'carrier': carrier, 'content_hash': content_hash, 'metadata': {{{', '.join(f'{DUCK.q(c)}: {c}' for c in sorted(_METADATA))}}}, 'path': path, 'schema': schema}})::VARCHAR AS line FROM ({_RECORDS_SQL})"
+register("index_records", _records, _RECORDS_SQL)
+register("canonical_index", lambda s, d: ledger.canonical_lines(_records(s, d), _METADATA), _LINES_SQL)
+register(
+    "index_digest", lambda s, d: ledger.digest(ledger.canonical_lines(_records(s, d), _METADATA)),
+    f"""WITH l AS (SELECT path, sha256(line) AS h, ('0x' || substring(sha256(path), 1, 4))::INT % 256 AS b FROM ({_LINES_SQL})),
+e AS (SELECT b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY path)) AS d FROM l GROUP BY b)
+SELECT coalesce(sum(n), 0)::BIGINT AS records, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM e""",
+)
+_STATE = "CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN md5(path) ELSE content_hash END"
+register(
+    "drift",
+    lambda s, d: ledger.drift(originals(s, d).selectExpr("path", "content_hash AS hash"), originals(s, d).selectExpr("path", f"{_STATE} AS hash").where("hash IS NOT NULL")),
+    f"SELECT path, CASE WHEN a IS NULL THEN 'missing' ELSE 'stale' END AS kind, content_hash AS expected_hash, a AS actual_hash FROM (SELECT *, {_STATE} AS a FROM ({ORIGINALS})) WHERE a IS NULL OR a <> content_hash",
+)
+register(
+    "snapshot_diff",
+    lambda s, d: ledger.snapshot_diff(originals(s, d).where("doc_id % 13 <> 1"), originals(s, d).where("doc_id % 13 <> 0").withColumn("content_hash", F.expr(_STATE)), ("content_hash", "size_bytes")),
+    f"SELECT path, CASE WHEN doc_id % 13 = 1 THEN 'added' WHEN doc_id % 13 = 0 THEN 'removed' ELSE 'changed' END AS change FROM ({ORIGINALS}) WHERE doc_id % 13 IN (0, 1) OR doc_id % 17 = 0",
+)
+register("tree_snapshot", lambda s, d: originals(s, d).select("path", F.lit("file").alias("kind"), "size_bytes", "content_hash"), f"SELECT path, 'file' AS kind, size_bytes, content_hash FROM ({ORIGINALS})")
+register(
+    "coverage_mismatch",
+    lambda s, d: ledger.coverage_mismatch(artifacts(s, d), add(table(s, d, "labels").where("doc_id IS NOT NULL").withColumn("text", F.lit("")), virtual.artifact)),
+    f"SELECT path, 'missing' AS problem FROM ({virtual.SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) UNION ALL SELECT path, 'extra' FROM ({nest(chr(83) + 'ELECT doc_id, ' + chr(39) * 2 + ' AS text FROM labels WHERE doc_id IS NOT NULL', virtual.artifact)}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)",
+)
+register("duplicate_paths", lambda s, d: ledger.repeated(originals(s, d).withColumn("base", F.expr("lower(regexp_extract(path, '[^/]*$', 0))")).withColumn("base", F.regexp_replace("base", "[0-9]", "")), "base"), f"SELECT base, count(*) AS n FROM (SELECT regexp_replace(lower(regexp_extract(path, '[^/]*$')), '[0-9]', '', 'g') AS base FROM ({ORIGINALS})) GROUP BY 1 HAVING count(*) > 1")
+INLINE = [*meta.META_STEPS, policy.carrier(ALLOW), *meta.HEADER_STEPS, meta.injection]
+project("inline_plans", INLINE, "doc_id target expected_hash actual_hash would_change", where="carrier = 'inline_managed' AND strategy = 'yaml-frontmatter'")
+project("operation_plan", INLINE, "doc_id path carrier carrier_rule artifact_type strategy content_hash would_change", where="carrier <> 'hard_skip'")
+register(
+    "mutation_intents", lambda s, d: ledger.intents(add(artifacts(s, d), *INLINE)),
+    f"SELECT path, actual_hash IS NOT NULL AS expected_exists, actual_hash AS expected_state, expected_hash AS new_hash FROM ({nest(virtual.SQL, *INLINE)}) WHERE carrier = 'inline_managed' AND would_change",
+)
+
+
+# metadata values
+def _field_rows(d: Dialect) -> dict[str, str]:
+    """Existing and incoming values of some fields, made from the id and the text."""
+    rows = {
+        "description": (f"CASE WHEN doc_id % 3 = 0 THEN 'short' ELSE substring(body, 1, 60 + CAST(doc_id % 50 AS INT)) END", "substring(body, 1, 100)"),
+        "activation_signals": ("CASE WHEN doc_id % 2 = 0 THEN 'alpha, beta' ELSE 'Unknown' END", "CASE WHEN doc_id % 4 = 0 THEN 'beta' ELSE 'beta, gamma, beta' END"),
+        "content_hash": ("'stale'", d.sha("body")),
+        "owner": ("NULL", "'nobody'"),
+    }
+    items = [d.struct({"field": f"'{f}'", "old": f"CAST({o} AS {'VARCHAR' if d.duck else 'STRING'})", "new": n}) for f, (o, n) in rows.items()]
+    return {"rows": f"[{', '.join(items)}]" if d.duck else f"array({', '.join(items)})", "mark": "CASE WHEN doc_id % 11 = 0 THEN 'true' END", "superseded_by": "CASE WHEN doc_id % 31 = 0 THEN 'doc' END", "status": "CASE WHEN doc_id % 29 = 0 THEN 'Retired' ELSE 'active' END"}
+
+
+FIELD_STEPS = [_field_rows, reconcile.deprecation]
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = add(originals(spark, sf_dir), *FIELD_STEPS)
+    return df.select("doc_id", "path", "deprecated", F.explode("rows").alias("r")).select("doc_id", "path", "deprecated", "r.*").withColumn("has_old", F.col("old").isNotNull())
+
+
+_FIELDS_SQL = f"SELECT doc_id, path, deprecated, r.field AS field, r.old AS old, r.new AS new, r.old IS NOT NULL AS has_old FROM (SELECT *, unnest(rows) AS r FROM ({nest(ORIGINALS, *FIELD_STEPS)}))"
+_RECONCILED = nest(_FIELDS_SQL, reconcile.action, reconcile.explained)
+register("reconcile", lambda s, d: reconcile.reconcile(_fields(s, d)).select("doc_id", "field", "action", "merged", "reason"), f"SELECT doc_id, field, action, merged, reason FROM ({_RECONCILED})")
+register("reconcile_llm", lambda s, d: reconcile.reconcile_with(_fields(s, d)).select("doc_id", "field", "action", "merged", "path"), f"SELECT doc_id, field, action, merged, 'heuristic' AS path FROM ({_RECONCILED})")
+register(
+    "diff_log", lambda s, d: reconcile.diff_log(reconcile.reconcile(_fields(s, d))),
+    f"SELECT path, string_agg('- field: ' || field || chr(10) || '  action: ' || action || chr(10) || '  old: ' || coalesce(old, 'null') || chr(10) || '  new: ' || coalesce(new, 'null'), chr(10) ORDER BY field) AS log FROM ({_RECONCILED}) GROUP BY path",
+)
+DESCRIBED = [lambda d: {"description": "CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'Does a thing' WHEN doc_id % 4 = 2 THEN substring(body, 1, 80) ELSE 'Use when a plan needs a second reader: ' || substring(body, 1, 60) END", "proposal": "'Use when needed: ' || substring(body, 1, 90)"}]
+project("good_value", [*DESCRIBED, lambda d: {"good": text.good_value("description", d)}], "doc_id good")
+project("use_when", [*DESCRIBED, lambda d: {"signal": f"coalesce({reconcile.use_when('description', d)}, false)"}], "doc_id signal")
+project("skills_plan", [*DESCRIBED, reconcile.skills], "doc_id state revise")
+project("list_union", [lambda d: {"a": "CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'x, y,' || doc_id % 5 END", "b": "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'y , z,, ' || doc_id % 7 END"}, lambda d: {"joined": reconcile.union("a", "b", d)}], "doc_id joined")
+project("signal_list", [lambda d: {"raw": d.rep("substring(body, 1, 200)", "[.!?]", ";")}, reconcile.signal_list], "doc_id parsed[]")
+project("normalize_record", [lambda d: {"value": f"CASE WHEN doc_id % 3 = 0 THEN ' ' || {d.text('doc_id - 50')} WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false ' END"}, meta.normalized], "doc_id value number truth")
+project("materiality_reply", [lambda d: {"field": "'description'", "old": "substring(body, 1, 20)", "new": "substring(body, 1, 40)", "reply": "CASE WHEN doc_id % 3 = 0 THEN ' Yes, it does' WHEN doc_id % 3 = 1 THEN 'no' END"}, reconcile.materiality], "doc_id question verdict")
+project("assist_prompt", [reconcile.assist_prompt], "doc_id prompt")
+SURFACE = [*P, lambda d: {"body": "CASE WHEN doc_id % 3 = 0 THEN 'run: cairn check' || " + d.char(10) + " || substring(body, 1, 300) WHEN doc_id % 3 = 1 THEN substring(body, 1, 200) || " + d.char(10) + " || 'node ./tools/verify-meta.js > out/meta.json # x-meta' ELSE body END"}, lambda d: {"suspicious_name": "doc_id % 2 = 0"}]
+register("authority_evidence", lambda s, d: reconcile.authority_evidence(add(artifacts(s, d), *SURFACE)), rf"""
+WITH f AS ({nest(virtual.SQL, *SURFACE)}),
+k AS (SELECT * FROM (VALUES
+ ('canonical_invocation', 'canonical-invocation', '(?im)(^|[\s`"])cairn([\s`"/:]|$)'),
+ ('writer_invocation', 'writer-invocation', '(?im)(^|[\s`"])((python3?|node|bash|sh)\s+)?(\./)?[^\s`"]*(inject|verify)[-_]?meta[^\s`"]*'),
+ ('writer_script', 'writer-name-with-write', '(?i)(writeFile(Sync)?|write_(text|bytes)\s*\(|fs\.write|yaml\.safe_dump|json\.dump|>\s*[^\n]*meta)'),
+ ('legacy_marker', 'marker-x-meta', 'x-meta')) v(kind, rule, pattern)),
+h AS (SELECT f.*, k.*, instr(body, regexp_extract(body, pattern)) AS at FROM f, k WHERE regexp_matches(body, pattern)
+ AND (kind <> 'writer_script' OR suspicious_name) AND (kind <> 'legacy_marker' OR regexp_matches(body, '(?i)(writeFile(Sync)?|write_(text|bytes)\s*\(|fs\.write|yaml\.safe_dump|json\.dump|>\s*[^\n]*meta)')))
+SELECT path, kind, rule, len(string_split(substring(body, 1, at - 1), chr(10))) AS line,
+ substring(trim(string_split(substring(body, 1, at - 1), chr(10))[-1] || string_split(substring(body, at), chr(10))[1]), 1, 240) AS excerpt FROM h""")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["pipeline_report" if "pipeline_report" in QUERIES else "classify"](spark, sf_dir)
