@@ -291,7 +291,7 @@ project("use_when", [*DESCRIBED, lambda d: {"signal": f"coalesce({reconcile.use_
 project("skills_plan", [*DESCRIBED, reconcile.skills], "doc_id state revise")
 project("list_union", [lambda d: {"a": "CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'x, y,' || doc_id % 5 END", "b": "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'y , z,, ' || doc_id % 7 END"}, lambda d: {"joined": reconcile.union("a", "b", d)}], "doc_id joined")
 project("signal_list", [lambda d: {"raw": d.rep("substring(body, 1, 200)", "[.!?]", ";")}, reconcile.signal_list], "doc_id parsed[]")
-project("normalize_record", [lambda d: {"value": f"CASE WHEN doc_id % 3 = 0 THEN ' ' || {d.text('doc_id - 50')} WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false ' END"}, meta.normalized], "doc_id value number truth")
+project("normalize_record", [lambda d: {"value": f"CASE WHEN doc_id % 3 = 0 THEN ' ' || {d.text('doc_id - 50')} WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false ' END"}, meta.normalized, lambda d: {"truth_text": d.text("truth")}], "doc_id value number truth_text")
 project("materiality_reply", [lambda d: {"field": "'description'", "old": "substring(body, 1, 20)", "new": "substring(body, 1, 40)", "reply": "CASE WHEN doc_id % 3 = 0 THEN ' Yes, it does' WHEN doc_id % 3 = 1 THEN 'no' END"}, reconcile.materiality], "doc_id question verdict")
 project("assist_prompt", [reconcile.assist_prompt], "doc_id prompt")
 SURFACE = [*P, lambda d: {"body": "CASE WHEN doc_id % 3 = 0 THEN 'run: cairn check' || " + d.char(10) + " || substring(body, 1, 300) WHEN doc_id % 3 = 1 THEN substring(body, 1, 200) || " + d.char(10) + " || 'node ./tools/verify-meta.js > out/meta.json # x-meta' ELSE body END"}, lambda d: {"suspicious_name": "doc_id % 2 = 0"}]
@@ -302,10 +302,10 @@ k AS (SELECT * FROM (VALUES
  ('writer_invocation', 'writer-invocation', '(?im)(^|[\s`"])((python3?|node|bash|sh)\s+)?(\./)?[^\s`"]*(inject|verify)[-_]?meta[^\s`"]*'),
  ('writer_script', 'writer-name-with-write', '(?i)(writeFile(Sync)?|write_(text|bytes)\s*\(|fs\.write|yaml\.safe_dump|json\.dump|>\s*[^\n]*meta)'),
  ('legacy_marker', 'marker-x-meta', 'x-meta')) v(kind, rule, pattern)),
-h AS (SELECT f.*, k.*, instr(body, regexp_extract(body, pattern)) AS at FROM f, k WHERE regexp_matches(body, pattern)
+h AS (SELECT f.*, k.*, instr(body, regexp_extract(body, pattern)) AS pos FROM f, k WHERE regexp_matches(body, pattern)
  AND (kind <> 'writer_script' OR suspicious_name) AND (kind <> 'legacy_marker' OR regexp_matches(body, '(?i)(writeFile(Sync)?|write_(text|bytes)\s*\(|fs\.write|yaml\.safe_dump|json\.dump|>\s*[^\n]*meta)')))
-SELECT path, kind, rule, len(string_split(substring(body, 1, at - 1), chr(10))) AS line,
- substring(trim(string_split(substring(body, 1, at - 1), chr(10))[-1] || string_split(substring(body, at), chr(10))[1]), 1, 240) AS excerpt FROM h""")
+SELECT path, kind, rule, len(string_split(substring(body, 1, pos - 1), chr(10))) AS line,
+ substring(trim(string_split(substring(body, 1, pos - 1), chr(10))[-1] || string_split(substring(body, pos), chr(10))[1]), 1, 240) AS excerpt FROM h""")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
