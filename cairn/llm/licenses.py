@@ -222,7 +222,7 @@ def licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None,
     """doc_id, license, coverage, start, length: the licences whose notices a text holds, in code points of the text.
 
     Of a licence's notices the best covered counts, the first of equals. A text that holds several licences has a row
-    for each. Texts without one, null and empty texts have no row; a null doc_id is kept; repeated rows give
+    for each; where their stretches overlap, only the best covered and its equals. Texts without one, null and empty texts have no row; a null doc_id is kept; repeated rows give
     repeated findings; extra columns are ignored. Case and punctuation don't matter.
     """
     if not 0 < coverage <= 1:
@@ -247,7 +247,7 @@ def licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None,
                     c, a, z = cover([w for w, _, _ in spans[r]], notice, reach)
                     if c >= least - 1e-9 and c > best.get((r, name), (0.0, 0, 0))[0]:
                         best[r, name] = (c, spans[r][a][1], spans[r][z - 1][2])
-                keys = list(best)
+                keys = [k for k in best if not any(j[0] == k[0] and best[j][0] > best[k][0] and best[j][1] < best[k][2] and best[k][1] < best[j][2] for j in best)]
                 yield batch(
                     doc_id=ids.take(pa.array([lo + r for r, _ in keys], pa.int64())),
                     license=pa.array([name for _, name in keys], pa.string()),

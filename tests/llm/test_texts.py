@@ -1,0 +1,392 @@
+"""N-gram join, winnowing, language, quality, licences, secrets and the pipeline against plain versions."""
+
+from __future__ import annotations
+
+import itertools
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import cairn.llm
+from cairn.llm import crf, forest, langid, licenses, ngram_join, secrets, winnow
+from cairn.llm.components import connected
+
+from .fixtures import AWKWARD, WORDS, clashing, prose, table
+
+
+# --- n-gram join ---
+
+
+def grams(text, n=3):
+    w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def brute_pairs(pairs, t):
+    by_id: dict[int, list[set]] = {}
+    for i, text in pairs:
+        if i is not None and grams(text):
+            by_id.setdefault(i, []).append(grams(text))
+    out = {}
+    for a, b in itertools.combinations(sorted(by_id), 2):
+        best = max(len(x & y) / len(x | y) for x in by_id[a] for y in by_id[b])
+        if best >= t:
+            out[a, b] = round(best, 9)
+    return out
+
+
+def copies(seed=5):
+    r = random.Random(seed)
+    out = []
+    for base in range(14):
+        words = prose(base, r.choice([6, 30, 80, 200])).split()
+        for _ in range(r.choice([1, 2, 6])):
+            w = [x if r.random() > 0.04 else r.choice(WORDS) for x in words]
+            out.append((len(out) + 100, " ".join(w)))
+    for _ in range(30):
+        out.append((len(out) + 100, prose(1000)))
+    return out
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.8, 1.0])
+def test_join_finds_exactly_the_similar_pairs(spark, t):
+    pairs = AWKWARD + copies()
+    got = {(r["doc_id_a"], r["doc_id_b"]): round(r["jaccard"], 9) for r in ngram_join.ngram_jaccard_join(clashing(spark, pairs), t).collect()}
+    assert got == brute_pairs(pairs, t)
+
+
+def test_join_of_nothing_and_bad_threshold(spark):
+    assert ngram_join.ngram_jaccard_join(table(spark, [])).collect() == []
+    assert ngram_join.ngram_jaccard_join(table(spark, [(1, None), (2, "")])).collect() == []
+    with pytest.raises(ValueError):
+        ngram_join.ngram_jaccard_join(table(spark, []), 0)
+
+
+def test_metric_join_recurses_exactly():
+    r = np.random.default_rng(2)
+    centres = [np.unique(r.integers(0, 10**6, 60)) for _ in range(40)]
+    sets = []
+    for c in centres:
+        for _ in range(12):
+            keep = c[r.random(len(c)) > 0.1]
+            sets.append(np.unique(np.r_[keep, r.integers(0, 10**6, 4)]))
+    i, j, c = ngram_join.metric_join(sets, 0.5, leaf=8)
+    got = dict(zip(zip(i.tolist(), j.tolist(), strict=True), c.tolist(), strict=True))
+    want = {}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        n = len(np.intersect1d(sets[a], sets[b]))
+        if n / (len(sets[a]) + len(sets[b]) - n) >= 0.5:
+            want[a, b] = n
+    assert got == want
+
+
+def test_large_cells_are_cut_into_blocks(spark):
+    pairs = copies()
+    nodes, found = ngram_join.similar_nodes(table(spark, pairs), 0.5, cell_nodes=2)
+    whole = ngram_join.similar_nodes(table(spark, pairs), 0.5)[1]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_one_of_each_group_stays(spark):
+    pairs = AWKWARD + copies()
+    edges = brute_pairs(pairs, 0.5)
+    head = {i: i for i, _ in pairs if i is not None}
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        head[max(a, b)] = min(a, b)
+    want = Counter((i, t) for i, t in pairs if i is None or find(i) == i)
+    out = ngram_join.drop_similar(clashing(spark, pairs))
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want and out.columns == clashing(spark, []).columns
+
+
+def test_components(spark):
+    edges = [(a, a + 1) for a in range(0, 60)] + [(100, 99), (98, 99), (7, 7), (200, 201), (201, 200)]
+    got = {r["doc_id"]: r["group_id"] for r in connected(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 98: 98, 99: 98, 100: 98, 200: 200, 201: 200}
+    assert connected(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+# --- winnowing ---
+
+
+def brute_winnow(hashes, w):
+    picked = []
+    for a in range(max(1, len(hashes) - w + 1)) if hashes else []:
+        window = hashes[a : a + w]
+        least = min(window)
+        at = a + max(i for i, h in enumerate(window) if h == least)
+        if not picked or picked[-1] != at:
+            picked.append(at)
+    return picked
+
+
+@pytest.mark.parametrize(("k", "w"), [(1, 1), (3, 4), (5, 7), (40, 61)])
+def test_winnowing_matches_each_window(k, w):
+    r = np.random.default_rng(k)
+    rows = [r.integers(97, 100, n) for n in (0, 1, k, k + 1, k + w, 300, 17)]
+    points = np.concatenate(rows).astype(np.uint32)
+    off = np.r_[0, np.cumsum([len(x) for x in rows])]
+    h, at, n = winnow.fingerprints_of(points, off, k, w)
+    every, _, _ = winnow.fingerprints_of(points, off, k, 1)
+    start = done = 0
+    for row, count in zip(rows, n.tolist(), strict=True):
+        size = max(0, len(row) - k + 1)
+        own = [int(winnow.fingerprints_of(row[i : i + k].astype(np.uint32), np.array([0, k]), k, 1)[0][0]) for i in range(size)]
+        signed = np.array(own, np.int64).view(np.uint64).tolist() if own else []
+        assert at[done : done + count].tolist() == brute_winnow(signed, w)
+        assert h[done : done + count].tolist() == [own[i] for i in at[done : done + count].tolist()]
+        done += count
+        start += size
+    assert done == len(h)
+
+
+def test_shared_passages_share_a_fingerprint_and_positions_fit(spark):
+    passage = prose(77, 40)
+    pairs = [(1, prose(1, 50) + " " + passage + " " + prose(2, 50)), (2, "x " + passage.upper()), (3, prose(3, 120))] + AWKWARD
+    got = winnow.fingerprints(clashing(spark, pairs), 20, 30).collect()
+    by = {r["doc_id"]: r for r in got if r["doc_id"] in (1, 2, 3) and r["hashes"]}
+    common = set(by[1]["hashes"]) & set(by[2]["hashes"])
+    assert common
+    for h in common:
+        a, b = (by[i]["positions"][by[i]["hashes"].index(h)] for i in (1, 2))
+        x, y = (re.sub(r"\W", "", dict(pairs[:3])[i][p:].lower())[:20] for i, p in ((1, a), (2, b)))
+        assert x == y
+    assert len(got) == len(pairs) and winnow.fingerprints(table(spark, [])).collect() == []
+    nulls = [r for r in got if r["doc_id"] == 1 and r["hashes"] is None]
+    assert len(nulls) == 1 and nulls[0]["n_fingerprints"] is None
+
+
+# --- language ---
+
+
+def talk(seed, words, n=40):
+    r = random.Random(seed)
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+TONGUES = {"en": WORDS, "de": "der die und über straße nicht fluß wälder schön haus größe zwischen früh".split(), "fr": "le la rivière été où garçon maison tôt forêt être façade même hôpital".split()}
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    rows = [(i, talk(i, ws, 5 + i % 40), lang, "s", 0) for i, (lang, ws) in enumerate(list(TONGUES.items()) * 60)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_language_of_held_out_texts(spark, spoken):
+    model = langid.train(spoken)
+    held = spark.createDataFrame([(i, talk(9000 + i, ws, 12), lang) for i, (lang, ws) in enumerate(list(TONGUES.items()) * 20)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(held, model).collect()}
+    assert all(got[r["doc_id"]]["language"] == r["lang"] and got[r["doc_id"]]["accepted"] for r in held.collect())
+
+
+def test_language_scores_are_those_of_naive_bayes(spoken):
+    model = langid.train(spoken)
+    text = "der fluß und die wälder".encode()
+    data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    codes, _, _ = langid.features(data, off)
+    want = model.prior + sum(model.log_p[c].astype(np.float64) for grams in codes for c in grams.tolist())
+    got, count = model.scores(data, off)
+    assert np.allclose(got[0], want, atol=1e-3) and count[0] == sum((g != 1 << langid.BITS).sum() for g in codes)
+
+
+def test_language_edges(spark, spoken):
+    model = langid.train(spoken)
+    got = langid.identify(clashing(spark), model).collect()
+    assert len(got) == len(AWKWARD)
+    bare = {r["doc_id"]: r for r in got if r["doc_id"] in (1, 2, 3, -3)}
+    assert all(r["language"] is None and r["confidence"] == 0 and not r["accepted"] for r in bare.values())
+    kept = langid.keep_identified(clashing(spark), model)
+    assert kept.columns == clashing(spark, []).columns and kept.count() == sum(r["accepted"] for r in got)
+    assert langid.identify(table(spark, [])).collect() == []
+    assert not any(r["accepted"] for r in langid.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect())
+
+
+# --- quality ---
+
+
+def test_viterbi_is_the_best_of_all_labellings():
+    r = np.random.default_rng(4)
+    model = crf.Model(r.normal(size=(len(crf.FEATURES), 2)), r.normal(size=(2, 2)))
+    lengths = [0, 1, 6, 3, 0, 9]
+    first = np.r_[0, np.cumsum(lengths)]
+    x = r.normal(size=(first[-1], len(crf.FEATURES)))
+    got = model.decode(x, first)
+    for a, z in itertools.pairwise(first.tolist()):
+        score = lambda y: sum(float(x[a + i] @ model.emit[:, v]) for i, v in enumerate(y)) + sum(model.change[p, q] for p, q in itertools.pairwise(y))  # noqa: B023, E731
+        if z > a:
+            assert score(got[a:z].tolist()) == pytest.approx(max(score(y) for y in itertools.product((0, 1), repeat=z - a)))
+
+
+def test_likelihood_gradient():
+    r = np.random.default_rng(5)
+    k = len(crf.FEATURES)
+    emit, change = r.normal(size=(k, 2)), r.normal(size=(2, 2))
+    x, y, real = r.normal(size=(3, 5, k)), r.integers(0, 2, (3, 5)), np.arange(5)[None, :] < np.array([5, 2, 4])[:, None]
+    x[~real] = 0
+    _, ge, gc = crf.likelihood(emit, change, x, y, real)
+    step = 1e-5
+    for index in ((0, 0), (3, 1), (k - 1, 0)):
+        up, down = emit.copy(), emit.copy()
+        up[index] += step
+        down[index] -= step
+        assert (crf.likelihood(up, change, x, y, real)[0] - crf.likelihood(down, change, x, y, real)[0]) / (2 * step) == pytest.approx(ge[index], abs=1e-3)
+    up, down = change.copy(), change.copy()
+    up[0, 1] += step
+    down[0, 1] -= step
+    assert (crf.likelihood(emit, up, x, y, real)[0] - crf.likelihood(emit, down, x, y, real)[0]) / (2 * step) == pytest.approx(gc[0, 1], abs=1e-3)
+
+
+def page(seed, good):
+    r = random.Random(seed)
+    if good:
+        return "\n".join(prose(seed * 10 + k, 12).capitalize() for k in range(r.randint(1, 6)))
+    return "\n".join(" | ".join(r.choice(WORDS).title() for _ in range(9)) + " |" for _ in range(r.randint(1, 6)))
+
+
+def test_quality_of_held_out_pages(spark):
+    docs = spark.createDataFrame([(i, page(i, i % 2)) for i in range(160)] + [(900, None), (901, ""), (902, " \n\n "), (None, page(1, 1))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)] + [(None, 1, 0), (3, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in crf.assess(docs, labels).collect()}
+    assert all(got[i]["accepted"] == bool(i % 2) for i in range(100, 160))
+    assert all(not got[i]["accepted"] and got[i]["content_share"] == 0 and got[i]["n_lines"] == 0 for i in (900, 901, 902)) and got[None]["accepted"]
+    kept = crf.keep_content(docs.withColumn("accepted", F.lit(1)), labels)
+    assert kept.count() == sum(r["accepted"] for r in got.values()) and kept.columns == ["doc_id", "text", "accepted"]
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert all(r["accepted"] == (r["n_lines"] > 0) for r in crf.assess(docs, none).collect())
+    assert crf.assess(docs.limit(0), labels).collect() == []
+
+
+# --- licences ---
+
+
+def lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignment_is_common_and_increasing():
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = [r.choice("abcdefgh") for _ in range(r.randint(0, 30))], [r.choice("abcdefgh") for _ in range(r.randint(0, 30))]
+        got = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(got))
+        assert len(got) <= lcs(a, b)
+        assert len(licenses._lcs(a, b)) == lcs(a, b)
+    for _ in range(50):
+        v = [r.randint(0, 20) for _ in range(r.randint(0, 12))]
+        got = [v[i] for i in licenses.increasing(v)]
+        want = max((len(s) for n in range(len(v) + 1) for s in itertools.combinations(v, n) if all(p < q for p, q in itertools.pairwise(s))), default=0)
+        assert len(got) == want and all(p < q for p, q in itertools.pairwise(got))
+
+
+def test_licences_are_found_with_their_place(spark):
+    apache, gpl = licenses.NOTICES["Apache-2.0"][1], licenses.NOTICES["GPL-3.0"][1]
+    worn = " ".join(w for k, w in enumerate(gpl.split()) if k % 9)
+    pairs = [(20, prose(1) + "\n# " + apache.upper() + "\n" + prose(2)), (21, prose(3) + " " + worn + " " + prose(4)), (22, "Licensed under the Apache"), (23, "Released under the MIT License. " + "Licensed under CC BY-NC 4.0."), (24, prose(9, 5000) + " " + apache)] + AWKWARD
+    got = {(r["doc_id"], r["license"]): r for r in licenses.licenses(clashing(spark, pairs)).collect()}
+    assert set(got) == {(20, "Apache-2.0"), (21, "GPL-3.0"), (23, "MIT"), (23, "CC-BY-NC-4.0"), (24, "Apache-2.0")}
+    text, r = dict(pairs[:5])[20], got[20, "Apache-2.0"]
+    assert text[r["start"] : r["start"] + r["length"]].lower().startswith("licensed under the apache license") and r["coverage"] == 1.0 and got[21, "GPL-3.0"]["coverage"] < 1
+    assert licenses.licenses(table(spark, [])).collect() == [] and licenses.licenses(table(spark), notices={"own": ("Some other notice",)}).collect() == []
+    with pytest.raises(ValueError):
+        licenses.licenses(table(spark), coverage=0)
+
+
+# --- secrets ---
+
+
+def test_forest_learns_and_flat_prediction_is_that_of_the_trees():
+    r = np.random.default_rng(7)
+    x = r.random((400, 5))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    f = forest.fit(x, y, trees=20, depth=6)
+
+    def walk(t, row):
+        n = 0
+        while f.feature[t, n] >= 0:
+            n = f.left[t, n] if row[f.feature[t, n]] <= f.cut[t, n] else f.right[t, n]
+        return f.value[t, n]
+
+    p = f.predict(x)
+    assert ((p > 0.5) == y).mean() > 0.9
+    assert p[3] == pytest.approx(np.mean([walk(t, x[3]) for t in range(20)]))
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return secrets.train()
+
+
+def test_held_out_findings(scanner):
+    held = secrets.labelled_findings(2000, seed=99)
+    x = np.array([secrets.describe(a[-secrets.CONTEXT :], v, b[: secrets.CONTEXT]) for a, v, b, _ in held])
+    y = np.array([s for *_, s in held])
+    p = scanner.predict(x) >= secrets.THRESHOLD
+    assert (p == y).mean() > 0.96
+
+
+def test_secrets_are_found_in_place_and_masked(spark, scanner):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    pairs = [(30, f'é {prose(1)}\napi_key = "{key}"\n{prose(2)}'), (31, f"see https://example.org/a/b/index{12345678}.html and commit {key}"), (32, prose(3, 4000) + f" token = '{key}'"), (33, f"token: {key} and again token: {key}")] + AWKWARD
+    docs = clashing(spark, pairs)
+    got = [r for r in secrets.scan(docs, scanner).collect()]
+    texts = dict(pairs[:4])
+    assert Counter(r["doc_id"] for r in got) == {30: 1, 32: 1, 33: 2}
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == key for r in got)
+    out = secrets.redact(docs, scanner)
+    after = {r["doc_id"]: r for r in out.collect() if r["doc_id"] in texts}
+    assert out.columns == docs.columns and out.count() == len(pairs)
+    for i, t in texts.items():
+        want = t.replace(key, secrets.MASK) if i != 31 else t
+        assert after[i]["text"] == want and after[i]["n_chars"] == len(want)
+    assert secrets.scan(table(spark, []), scanner).collect() == []
+
+
+# --- pipeline ---
+
+
+def test_the_pipeline_is_its_stages_one_after_the_other(spark, tmp_path):
+    import corpus_pipeline
+
+    key = "2fd4e1c67a2d28fced849ee1bb76e7391b93eb12"
+    docs = [(i, page(i, i % 5 > 0)) for i in range(60)] + [(70, page(7, 1)), (71, page(8, 1) + f'\ntoken = "{key}"'), (None, page(400, 1)), (72, None), (73, "")]
+    frame = spark.createDataFrame([(i, t, "en" if k % 2 else "de", "s", len(t or "")) for k, (i, t) in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    step, sizes = frame, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, step, str(tmp_path)).write.parquet(str(tmp_path / f"s{k}"))
+        step = spark.read.parquet(str(tmp_path / f"s{k}"))
+        sizes.append(step.count())
+        if k < 4:
+            assert step.columns == frame.columns
+    ids = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "s2")).select("doc_id").collect()}
+    assert 70 not in ids and 72 not in ids and 73 not in ids and 0 not in ids and {7, None} <= ids
+    masked = {r["doc_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "s3")).collect()}
+    assert all(key not in (t or "") for t in masked.values()) and len(masked) == len(ids)
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    cols = ["doc_id", "piece", "start", "n_tokens", "tier"]
+    assert Counter(map(tuple, whole.select(*cols).collect())) == Counter(map(tuple, step.select(*cols).collect()))
+
+
+def test_nothing_else_imports_the_subpackage():
+    from pathlib import Path
+
+    root = Path(cairn.llm.__file__).resolve().parent.parent
+    for f in root.rglob("*.py"):
+        if f.parent != root / "llm":
+            assert "cairn.llm" not in f.read_text() and "from .llm" not in f.read_text(), f
