@@ -11,9 +11,10 @@ from pyspark.sql.types import ArrayType
 from cairn.functions import paths, rules, text
 from cairn.functions.dialect import DUCK, Cols, Dialect, add, nest, settle
 from cairn.functions.dialect import SPARK as _SPARK
-from cairn.operators import classify, dedup, ledger, meta, policy, reconcile
+from cairn.operators import classify, dedup, frontmatter, ledger, meta, policy, reconcile
+from cairn.plans import pipeline
 from cairn.session import table
-from cairn.sources import virtual
+from cairn.sources import archives, tree, virtual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -291,7 +292,7 @@ project("use_when", [*DESCRIBED, lambda d: {"signal": f"coalesce({reconcile.use_
 project("skills_plan", [*DESCRIBED, reconcile.skills], "doc_id state revise")
 project("list_union", [lambda d: {"a": "CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'x, y,' || doc_id % 5 END", "b": "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'y , z,, ' || doc_id % 7 END"}, lambda d: {"joined": reconcile.union("a", "b", d)}], "doc_id joined")
 project("signal_list", [lambda d: {"raw": d.rep("substring(body, 1, 200)", "[.!?]", ";")}, reconcile.signal_list], "doc_id parsed[]")
-project("normalize_record", [lambda d: {"value": f"CASE WHEN doc_id % 3 = 0 THEN ' ' || {d.text('doc_id - 50')} WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false ' END"}, meta.normalized, lambda d: {"truth_text": d.text("truth")}], "doc_id value number truth_text")
+project("normalize_record", [lambda d: {"value": f"CASE WHEN doc_id % 3 = 0 THEN ' ' || {d.text('doc_id - 50')} WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false ' END"}, meta.normalized, lambda d: {"number_text": d.text("number"), "truth_text": d.text("truth")}], "doc_id value number_text truth_text")
 project("materiality_reply", [lambda d: {"field": "'description'", "old": "substring(body, 1, 20)", "new": "substring(body, 1, 40)", "reply": "CASE WHEN doc_id % 3 = 0 THEN ' Yes, it does' WHEN doc_id % 3 = 1 THEN 'no' END"}, reconcile.materiality], "doc_id question verdict")
 project("assist_prompt", [reconcile.assist_prompt], "doc_id prompt")
 SURFACE = [*P, lambda d: {"body": "CASE WHEN doc_id % 3 = 0 THEN 'run: cairn check' || " + d.char(10) + " || substring(body, 1, 300) WHEN doc_id % 3 = 1 THEN substring(body, 1, 200) || " + d.char(10) + " || 'node ./tools/verify-meta.js > out/meta.json # x-meta' ELSE body END"}, lambda d: {"suspicious_name": "doc_id % 2 = 0"}]
@@ -308,5 +309,49 @@ SELECT path, kind, rule, len(string_split(substring(body, 1, pos - 1), chr(10)))
  substring(trim(string_split(substring(body, 1, pos - 1), chr(10))[-1] || string_split(substring(body, pos), chr(10))[1]), 1, 240) AS excerpt FROM h""")
 
 
+PLAN = [*pipeline.steps(ALLOW, ("vendor/",)), pipeline.fate]
+project("pipeline_report", PLAN, "doc_id " + " ".join(pipeline.REPORT))
+
+# Python text surgery and bytes: no SQL beside them
+register("frontmatter_inspect", lambda s, d: frontmatter.inspect_headers(artifacts(s, d), key="doc_id").drop("header"))
+register("parse_header", lambda s, d: frontmatter.inspect_headers(artifacts(s, d), key="doc_id").select("doc_id", F.explode("header").alias("key", "value")))
+register("text_probe", lambda s, d: tree.text_probe(artifacts(s, d).select("doc_id", F.encode("body", "UTF-8").alias("content"))).select("doc_id", "probe"), f"SELECT doc_id, CASE WHEN contains(body, chr(0)) THEN 'binary' ELSE 'text' END AS probe FROM ({virtual.SQL})")
+
+
+def _zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zip of each document's text, by its source."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for i, t in zip(b["doc_id"], b["text"], strict=True):
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    z.writestr(zipfile.ZipInfo(f"text/{i}.md"), t or "")
+                rows.append((f"{i}.zip", data.getvalue()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "path string, content binary")
+
+
+register("archive_members", lambda s, d: archives.expand(_zips(s, d)).select("archive", "member", "depth", "size_bytes", "problem"), "SELECT doc_id || '.zip' AS archive, 'text/' || doc_id || '.md' AS member, 1 AS depth, strlen(coalesce(text, '')) AS size_bytes, NULL::VARCHAR AS problem FROM documents WHERE doc_id IS NOT NULL")
+
+
+def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each index line read and written again."""
+    inner = ", ".join(f"{c}: {'bigint' if c == 'token_cost_estimate' else 'string'}" for c in sorted(_METADATA))
+    schema = f"struct<artifact_type: string, carrier: string, content_hash: string, metadata: struct<{inner}>, path: string, schema: string>"
+    lines = ledger.canonical_lines(_records(spark, sf_dir), _METADATA)
+    return lines.select("path", (F.to_json(F.from_json("line", schema), {"ignoreNullFields": "false"}) == F.col("line")).alias("canonical"))
+
+
+register("index_roundtrip", _roundtrip, f"SELECT path, true AS canonical FROM ({_RECORDS_SQL})")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["pipeline_report" if "pipeline_report" in QUERIES else "classify"](spark, sf_dir)
+    return QUERIES["pipeline_report"](spark, sf_dir)
