@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.dialect import Cols, add
+from cairn.functions.dialect import Cols, add, settle
 from cairn.operators import classify, dedup, ledger, meta, policy
 from cairn.sinks import files
 from cairn.sources import tree
@@ -50,7 +50,7 @@ def apply(spark: SparkSession, root: str, inline_allow: tuple[str, ...] = ()) ->
     """Puts headers into the allowed files as one transaction, then writes the index."""
     files.recover(root)
     df = add(_eligible(spark, root), *meta.META_STEPS, policy.carrier(inline_allow), *meta.HEADER_STEPS, meta.injection)
-    rows = df.where("carrier = 'inline_managed' AND strategy = 'yaml-frontmatter' AND would_change").select("path", "injected", "actual_hash")
+    rows = settle(df, "carrier = 'inline_managed' AND strategy = 'yaml-frontmatter' AND would_change").select("path", "injected", "actual_hash")
     intents = [files.Intent(r["path"], r["injected"].encode(), r["actual_hash"]) for r in rows.toLocalIterator()]
     done = files.commit(root, intents)
     return {"files": len(intents), "transaction": done, **files.write_index(index_lines(_eligible(spark, root), inline_allow), root)}
@@ -58,4 +58,4 @@ def apply(spark: SparkSession, root: str, inline_allow: tuple[str, ...] = ()) ->
 
 def _eligible(spark: SparkSession, root: str) -> DataFrame:
     found = policy.ledger(tree.artifacts(tree.read_tree(spark, root)).where("NOT is_dir"))
-    return found.where("disposition = 'eligible'").select("path", "body", "size_bytes", "is_dir")
+    return settle(found, "disposition = 'eligible'").select("path", "body", "size_bytes", "is_dir")

@@ -97,7 +97,8 @@ def text_probe(entries: DataFrame, content: str = "content") -> DataFrame:
     head = F.substring(F.col(content), 1, 8192)
     full = F.octet_length(content) > 8192
     whole = F.expr(f"is_valid_utf8(substring(`{content}`, 1, 8192))")
-    cut = F.expr(f"is_valid_utf8(substring(`{content}`, 1, 8191)) OR is_valid_utf8(substring(`{content}`, 1, 8190)) OR is_valid_utf8(substring(`{content}`, 1, 8189))")
+    tails = (("C[2-9A-F]|D.|E.|F[0-4]", ""), ("E.|F[0-4]", "[89AB]."), ("F[0-4]", "[89AB].[89AB]."))  # the beginning of a longer character
+    cut = F.expr(" OR ".join(f"(is_valid_utf8(substring(`{content}`, 1, {8191 - k})) AND rlike(hex(substring(`{content}`, {8192 - k}, {k + 1})), '^({lead}){rest}$'))" for k, (lead, rest) in enumerate(tails)))
     nul = F.locate("00", F.regexp_replace(F.hex(head), "(..)", "$1 ")) > 0
     return entries.withColumn("probe", F.when(F.col(content).isNull(), "unreadable").when(nul, "binary").when(whole | (full & cut), "text").otherwise("unsupported_encoding"))
 
