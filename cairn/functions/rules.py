@@ -105,11 +105,11 @@ LINE_COMMENTS = {
 LINE_BASENAMES = (".bashrc", ".dockerignore", ".editorconfig", ".env", ".gitattributes", ".gitignore", ".npmignore", ".profile", ".zshrc", "brewfile", "codeowners", "dockerfile", "gemfile", "gnumakefile", "makefile", "procfile", "rakefile", "vagrantfile")
 BLOCK_COMMENTS = {("<!--", "-->"): dotted("htm html svg vue xhtml xml xsl xslt"), ("/*", "*/"): dotted("css less sass scss")}
 
-# carriers: prefixes are tried in this order, tier by tier
+# carriers: tier by tier; of one tier at most one prefix can hold
 CONTROL = ".meta"
 SKIP_PREFIXES = (".git/", CONTROL + "/", "node_modules/", "__pycache__/")
-INVENTORY_PREFIXES = tuple(p + "/" for p in "dist build coverage vendor third_party third-party .venv venv".split())
-CENTRAL_PREFIXES = tuple(p + "/" for p in ".github .devcontainer .husky .githooks src lib app packages tests test __tests__ scripts bin tools infra infrastructure terraform pulumi k8s kubernetes helm".split())
+INVENTORY_PREFIXES = tuple(p + "/" for p in ".venv build coverage dist third-party third_party vendor venv".split())
+CENTRAL_PREFIXES = tuple(p + "/" for p in ".devcontainer .githooks .github .husky __tests__ app bin helm infra infrastructure k8s kubernetes lib packages pulumi scripts src terraform test tests tools".split())
 GENERATED = (".meta.yaml", ".inject.log")
 LOCKS = tuple("bun.lock bun.lockb cargo.lock composer.lock go.sum npm-shrinkwrap.json package-lock.json pdm.lock pipfile.lock pnpm-lock.yaml poetry.lock yarn.lock".split())
 CENTRAL_BASENAMES = tuple(".dockerignore .editorconfig .gitattributes .gitignore .npmignore codeowners compose.yaml compose.yml deno.json deno.jsonc docker-compose.yaml docker-compose.yml dockerfile gnumakefile jsconfig.json makefile package.json pyproject.toml requirements.txt setup.cfg setup.py tsconfig.json".split())
@@ -123,15 +123,9 @@ BLOCKING = ("symlink", "unreadable", "unsupported_entry")
 UNION_FIELDS = ("activation_signals", "anti_triggers", "constraints", "entity_types", "input_variables", "phase_model", "stop_conditions", "triggers", "validation_gates")
 
 #: first key in path or text wins: (type, domain, directory, confidence)
-DOMAIN_HINTS = {
-    "constellation": ("architecture", "constellation", "01_ARCHITECTURE/constellation", 0.85),
-    "packet": ("architecture", "packet-envelope", "01_ARCHITECTURE/packet-envelope", 0.85),
-    "chassis": ("architecture", "chassis", "01_ARCHITECTURE/chassis", 0.85),
-    "control-plane": ("architecture", "control-plane", "01_ARCHITECTURE/control-plane", 0.85),
-    "registration": ("contract", "node-contracts", "02_NODE_CONTRACTS/registration", 0.82),
-    "node_contract": ("contract", "node-contracts", "02_NODE_CONTRACTS", 0.80),
-    "infrastructure": ("infra", "infrastructure", "04_INFRASTRUCTURE", 0.80),
-    "template": ("template", "generic", "05_TEMPLATES_AND_SKILLS/templates", 0.78),
-    "skill": ("skill", "generic", "05_TEMPLATES_AND_SKILLS/skills", 0.78),
-}
+_DESIGN = {"constellation": "", "packet": "-envelope", "chassis": "", "control-plane": ""}
+DOMAIN_HINTS = {k: ("architecture", k + tail, f"01_ARCHITECTURE/{k}{tail}", 0.85) for k, tail in _DESIGN.items()}
+DOMAIN_HINTS |= {k: ("contract", "node-contracts", "02_NODE_CONTRACTS" + sub, c) for k, sub, c in (("registration", "/registration", 0.82), ("node_contract", "", 0.8))}
+DOMAIN_HINTS["infrastructure"] = ("infra", "infrastructure", "04_INFRASTRUCTURE", 0.8)
+DOMAIN_HINTS |= {k: (k, "generic", f"05_TEMPLATES_AND_SKILLS/{k}s", 0.78) for k in ("template", "skill")}
 LOW_CONFIDENCE = "99_CONFLICTS_AND_UNKNOWN/low-confidence"
