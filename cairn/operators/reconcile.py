@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from cairn.functions import rules, text
 from cairn.functions.dialect import Dialect, add, case
 
 DEPRECATED = ("deprecated", "retired", "superseded")
+MARKERS = ("ARTIFACT_META", "x-meta", "CAIRN_META")
 
 
 def parts_of(x: str, d: Dialect) -> str:
@@ -122,18 +124,19 @@ def assist_prompt(d: Dialect) -> dict[str, str]:
     return {"prompt": f"'Say in one sentence of at most 20 words what this does:' || {nl} || {cut} || {nl} || 'Description:'"}
 
 
-def authority_evidence(files: DataFrame, writer: str = "inject|verify", tool: str = "cairn", max_bytes: int = 1 << 20) -> DataFrame:
+def authority_evidence(files: DataFrame, writer: str = "inject|verify", tool: str = "cairn", max_bytes: int = 1 << 20, markers: tuple[str, ...] = MARKERS) -> DataFrame:
     """path, kind, rule, line, excerpt: traces of metadata writers in (path, body, base, suspicious_name) control files.
 
-    Of each kind and rule a path has one row, for the first match. Files over ``max_bytes`` or with NUL or
+    Of each kind and rule a path has one row, for the first match; each of the ``markers``, taken literally, is a rule
+    of its own and counts in files that hold a write signal. Files over ``max_bytes`` or with NUL or
     replacement characters give a row of kind gap.
     """
-    write = r"(?i)(writeFile(Sync)?|write_(text|bytes)\s*\(|fs\.write|yaml\.safe_dump|json\.dump|>\s*[^\n]*meta)"
+    write = r"(?i)(writeFile(Sync)?|write_(text|bytes)\s*\(|fs\.write|yaml\.safe_dump|json\.dump|open\s*\([^)]*[\"']w|>\s*[^\n]*meta)"
     kinds = [
         ("canonical_invocation", "canonical-invocation", rf"(?im)(^|[\s`\"]){tool}([\s`\"/:]|$)", None),
         ("writer_invocation", "writer-invocation", rf"(?im)(^|[\s`\"])((python3?|node|bash|sh)\s+)?(\./)?[^\s`\"]*({writer})[-_]?meta[^\s`\"]*", None),
         ("writer_script", "writer-name-with-write", write, "suspicious_name"),
-        ("legacy_marker", "marker-x-meta", r"x-meta", f"rlike(body, {_spark().q(write)})"),
+        *(("legacy_marker", "marker-" + m.lower().replace("_", "-"), re.escape(m), f"rlike(body, {_spark().q(write)})") for m in markers),
     ]
     bad = F.expr(f"octet_length(body) > {max_bytes} OR instr(body, char(0)) > 0 OR instr(body, char(65533)) > 0")
     found = []

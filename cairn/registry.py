@@ -295,7 +295,7 @@ project("signal_list", [lambda d: {"raw": d.rep("substring(body, 1, 200)", "[.!?
 project("normalize_record", [lambda d: {"value": f"CASE WHEN doc_id % 3 = 0 THEN ' ' || {d.text('doc_id - 50')} WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false ' END"}, meta.normalized, lambda d: {"number_text": d.text("number"), "truth_text": d.text("truth")}], "doc_id value number_text truth_text")
 project("materiality_reply", [lambda d: {"field": "'description'", "old": "substring(body, 1, 20)", "new": "substring(body, 1, 40)", "reply": "CASE WHEN doc_id % 3 = 0 THEN ' Yes, it does' WHEN doc_id % 3 = 1 THEN 'no' END"}, reconcile.materiality], "doc_id question verdict")
 project("assist_prompt", [reconcile.assist_prompt], "doc_id prompt")
-SURFACE = [*P, lambda d: {"body": "CASE WHEN doc_id % 3 = 0 THEN 'run: cairn check' || " + d.char(10) + " || substring(body, 1, 300) WHEN doc_id % 3 = 1 THEN substring(body, 1, 200) || " + d.char(10) + " || 'node ./tools/verify-meta.js > out/meta.json # x-meta' ELSE body END"}, lambda d: {"suspicious_name": "doc_id % 2 = 0"}]
+SURFACE = [*P, lambda d: {"body": "CASE WHEN doc_id % 3 = 0 THEN 'run: cairn check' || " + d.char(10) + " || body WHEN doc_id % 3 = 1 THEN body || " + d.char(10) + " || 'node ./tools/verify-meta.js > out/meta.json # x-meta' ELSE body END"}, lambda d: {"suspicious_name": "doc_id % 2 = 0"}]
 register("authority_evidence", lambda s, d: reconcile.authority_evidence(add(artifacts(s, d), *SURFACE)), rf"""
 WITH f AS ({nest(virtual.SQL, *SURFACE)}),
 k AS (SELECT * FROM (VALUES

@@ -238,6 +238,24 @@ def test_authority(spark):
     assert reconcile.conflicts(got).count() == 3
 
 
+def test_authority_has_all_markers_and_open_for_write(spark):
+    rows = [("bin/a", "ARTIFACT_META\nCAIRN_META x-meta\nwith open(out, 'w') as f:", "a", True), ("bin/b", 'ARTIFACT_META\nopen(p, "r")', "b", True), ("bin/c", 'open(p, "wb")', "c", True), ("bin/d", "a.b\naxb > meta", "d", False)]
+    df = frame(spark, rows, "path string, body string, base string, suspicious_name boolean")
+    got = {(r["path"], r["rule"]): r["line"] for r in reconcile.authority_evidence(df).collect()}
+    assert got == {("bin/a", "writer-name-with-write"): 3, ("bin/a", "marker-artifact-meta"): 1, ("bin/a", "marker-x-meta"): 2, ("bin/a", "marker-cairn-meta"): 2, ("bin/c", "writer-name-with-write"): 1}
+    assert {(r["path"], r["rule"], r["line"]) for r in reconcile.authority_evidence(df, markers=("a.b",)).collect() if r["kind"] == "legacy_marker"} == {("bin/d", "marker-a.b", 1)}
+
+
+def test_authority_query_reads_whole_bodies(spark, tmp_path):
+    from cairn import registry
+
+    docs = [(i, "some prose. " * 100 + "\nyaml.safe_dump(x)", "en", "s", 0) for i in (30, 34)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["rule"], r["line"], r["excerpt"]) for r in registry.QUERIES["authority_evidence"](spark, str(tmp_path)).collect()}
+    assert ("writer-name-with-write", 3, "yaml.safe_dump(x)") in got
+    assert any(rule == "marker-x-meta" and line == 4 for rule, line, _ in got)
+
+
 def test_schema_projection(spark):
     fields = [meta.Field("a", "x", "d"), meta.Field("b", "x", required=True), meta.Field("c", None, "e"), meta.Field("z")]
     df = add(frame(spark, [("v",), ("",), (None,)], "x string"), meta.schema_projection(fields))
