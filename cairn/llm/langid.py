@@ -19,7 +19,7 @@ BITS = 15
 ORDERS = (2, 3)
 SMOOTHING = 0.5
 SAMPLE_ROWS = 4000
-MAX_LANGUAGES = 64
+LANGUAGES_AT_ONCE = 64
 MIN_CONFIDENCE = 0.5
 
 
@@ -73,51 +73,65 @@ class Model:
         grams, at, n = features(data, offsets)
         total, count = np.tile(self.prior, (n, 1)), np.zeros(n, np.int64)
         for code in grams:  # every row has two places at least: no empty sum
-            total += np.add.reduceat(self.log_p[code], at[:-1], axis=0, dtype=np.float64) if n else 0
+            for a in range(0, len(self.prior) if n else 0, LANGUAGES_AT_ONCE):
+                part = slice(a, a + LANGUAGES_AT_ONCE)
+                total[:, part] += np.add.reduceat(self.log_p[:, part][code], at[:-1], axis=0, dtype=np.float64)
             count += np.add.reduceat(code != 1 << BITS, at[:-1], dtype=np.int64) if n else 0
         return total, count
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    rows: dict[str, int] = {}
+
+    def counted() -> pa.RecordBatch:
+        out = batch(lang=pa.array(list(total), pa.string()), counts=pa.array([t.tobytes() for t in total.values()], pa.binary()))
+        total.clear()
+        return out
+
     for b in batches:
         data, off = text_bytes(pc.utf8_lower(b.column("text").cast(pa.large_string())))
         lang = b.column("lang").to_pylist()
         for lo, hi in byte_slices(off):
             grams, at, _ = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             for i in range(hi - lo):
-                name = lang[lo + i]
-                t = total.setdefault(name, np.zeros((1 << BITS) + 1, np.int64))
-                rows[name] = rows.get(name, 0) + 1
+                if lang[lo + i] not in total and len(total) == LANGUAGES_AT_ONCE:
+                    yield counted()
+                t = total.setdefault(lang[lo + i], np.zeros((1 << BITS) + 1, np.int64))
                 for code in grams:
                     t += np.bincount(code[at[i] : at[i + 1]], minlength=(1 << BITS) + 1)
-    yield batch(lang=pa.array(list(total), pa.string()), docs=pa.array([rows[k] for k in total], pa.int64()), counts=pa.array([t.tobytes() for t in total.values()], pa.binary()))
+    yield counted()
 
 
 def _add(t: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(c, np.int64) for c in t.column("counts").to_pylist()], axis=0)
-    return pa.table({"lang": t.column("lang").slice(0, 1), "docs": pa.array([pc.sum(t.column("docs")).as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros((1 << BITS) + 1, np.int64)
+    for c in t.column("counts"):
+        total += np.frombuffer(c.as_py(), np.int64)
+    return pa.table({"lang": t.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits the model on about ``sample_rows`` labelled documents, whole texts, chosen by a hash of their id.
+def train(docs: DataFrame, lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits the model on about ``sample_rows`` labelled documents of each language, whole texts, chosen by a hash of their id.
 
-    The bound is this parameter; the counts are made by the executors. Rows without a label, a text or an id teach
-    nothing. Of labels, the ``max_languages`` most frequent in the sample are kept.
+    The bound is this parameter; a language of fewer documents teaches all of them, and every label of the table has a
+    model. A language's prior is its share of all labelled documents. The counts are made by the executors. Rows
+    without a label, a text or an id teach nothing.
     """
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null and doc_id is not null")
-    labelled = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).count()
-    share = min(1.0, sample_rows / labelled) if labelled else 1.0
-    sample = named.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else named
-    counted = sample.select("lang", "text").mapInArrow(_count, "lang string, docs long, counts binary").groupBy("lang").applyInArrow(_add, "lang string, docs long, counts binary")
-    got = sorted(counted.orderBy(F.desc("docs"), "lang").limit(max_languages).collect(), key=lambda r: r["lang"])
-    counts = np.stack([np.frombuffer(r["counts"], np.int64)[:-1] for r in got]) if got else np.zeros((0, 1 << BITS), np.int64)
-    p = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * (1 << BITS))
-    n = np.array([r["docs"] for r in got], np.float64)
-    log_p = np.zeros(((1 << BITS) + 1, len(got)), np.float32)
-    log_p[:-1] = np.log(p).T
-    return Model([r["lang"] for r in got], log_p, np.log(n / n.sum()) if len(got) else np.zeros(0))
+    drawn = named.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)))
+    rows = {r["lang"]: r for r in drawn.groupBy("lang").agg(F.count("*").alias("docs"), F.min("draw").alias("least")).collect()}
+    if not rows:
+        return Model([], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros(0))
+    # the least draw is always in: repeated ids can't leave a language without a row
+    below = [(k, max(int(min(1.0, sample_rows / r["docs"]) * (1 << 30)), r["least"] + 1)) for k, r in rows.items()]
+    sample = drawn.join(F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below long")), "lang").where("draw < below")
+    got = {r["lang"]: r["counts"] for r in sample.select("lang", "text").mapInArrow(_count, "lang string, counts binary").groupBy("lang").applyInArrow(_add, "lang string, counts binary").toLocalIterator()}
+    names = sorted(got)
+    log_p = np.zeros(((1 << BITS) + 1, len(names)), np.float32)
+    for i, k in enumerate(names):
+        counts = np.frombuffer(got[k], np.int64)[:-1]
+        log_p[:-1, i] = np.log((counts + SMOOTHING) / (counts.sum() + SMOOTHING * (1 << BITS)))
+    n = np.array([rows[k]["docs"] for k in names], np.float64)
+    return Model(names, log_p, np.log(n / n.sum()))
 
 
 def _scorer(shared, min_confidence: float, wanted: tuple[str, ...] | None):

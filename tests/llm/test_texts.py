@@ -212,6 +212,22 @@ def test_language_edges(spark, spoken):
     assert not any(r["accepted"] for r in langid.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect())
 
 
+def test_every_label_has_a_model_however_rare(spark):
+    many = [(1000 + i, talk(i, [f"w{i:02d}".translate(str.maketrans("0123456789", "abcdefghij")) * 2], 8), f"t{i:02d}") for i in range(70)]
+    rows = [(i, talk(i, TONGUES["en"], 12), "en") for i in range(600)] + [(700 + i, talk(i, TONGUES["de"], 12), "de") for i in range(3)] + many
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=20)
+    assert model.languages == sorted({r[2] for r in rows})
+    assert np.isclose(np.exp(model.prior[model.languages.index("en")]), 600 / len(rows))
+    held = spark.createDataFrame([(i, talk(5000 + i, TONGUES["de"], 12)) for i in range(5)], "doc_id long, text string")
+    assert all(r["language"] == "de" and r["accepted"] for r in langid.identify(held, model).collect())
+    text = b"der flu"
+    data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    want = model.prior + sum(model.log_p[c].astype(np.float64) for grams in langid.features(data, off)[0] for c in grams.tolist())
+    assert np.allclose(model.scores(data, off)[0][0], want, atol=1e-3)
+    same = [(7, talk(i, TONGUES["en"], 12), "en") for i in range(600)] + [(8, talk(i, TONGUES["de"], 12), "de") for i in range(600)]
+    assert langid.train(spark.createDataFrame(same, "doc_id long, text string, lang string"), sample_rows=1).languages == ["de", "en"]
+
+
 # --- quality ---
 
 
