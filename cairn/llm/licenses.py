@@ -4,7 +4,8 @@ Words that occur once in the text and once in the notice are anchors; the longes
 is kept, and the gaps between anchors are aligned the same way. A gap without anchors is aligned by its common
 prefix and suffix and then by the longest common subsequence. The share of the notice's words that are aligned
 close together in the text is its coverage. A notice of under SHORT_WORDS words differs from another licence's by a
-word or two, so that it must be there whole and in one run.
+word or two, so that the words in its brackets, which name the licence, must be there in one run; the others are aligned
+outward from there. A short notice without brackets must be there whole and in one run.
 
 Before that, a text is compared with a notice only if it holds enough of the notice's words, counted with
 repetition, for the coverage asked: an exact bound, taken for all texts of a slice at once.
@@ -31,29 +32,30 @@ SHORT_WORDS = 20
 
 NOTICES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the [Apache License, Version 2].0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     ),
     "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
+        "Released under the [MIT License].",
+        "Licensed under the [MIT License].",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     ),
     "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
+        "This work is licensed under the [GNU General Public License, version 3].",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under [CC BY-NC 4].0.", "This work is licensed under a [Creative Commons Attribution-NonCommercial 4].0 International License."),
+    "CC-BY-4.0": ("Licensed under [CC BY 4].0.", "This work is licensed under a [Creative Commons Attribution 4].0 International License."),
+    "CC-BY-SA-4.0": ("Licensed under [CC BY-SA 4].0.", "This work is licensed under a [Creative Commons Attribution-ShareAlike 4].0 International License."),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-        "Licensed under the BSD 3-Clause License.",
+        "Licensed under the [BSD 3-Clause License].",
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "All-Rights-Reserved": ("[All rights reserved].",),
 }
 
 _WORD = regex.compile(r"[0-9a-z\x80-\U0010FFFF]+")
@@ -178,11 +180,41 @@ def cover(text: list, notice: list, spread: int = SPREAD) -> tuple[float, int, i
     return len(best) / len(notice), best[0][0], best[-1][0] + 1
 
 
+def outward(near: list, notice: list, spread: int) -> list[tuple[int, int]]:
+    """Places (in both, from 1) of the most words of the notice that follow in the text, at most ``spread`` others between
+    two; of equally many the nearest."""
+    chains: list[list[tuple[int, int]]] = [[(0, 0)]]
+    for i, w in enumerate(near[: len(notice) * (spread + 1)], 1):
+        new = []
+        for j, v in enumerate(notice, 1):
+            if v == w:
+                before = [c for c in chains if c[-1][1] < j and i - c[-1][0] <= spread + 1]
+                if before:
+                    new.append(max(before, key=len) + [(i, j)])
+        chains += new
+    return max(chains, key=len)[1:]
+
+
+def named(text: list, notice: list, core: tuple[int, int], spread: int = SPREAD) -> Iterator[tuple[float, int, int, int, int]]:
+    """(coverage, first word, last word + 1, first word and last word + 1 of the core) for each place of a notice's core."""
+    p, q = core
+    want = notice[p:q]
+    for a, w in enumerate(text):
+        if w == want[0] and text[a : a + q - p] == want:
+            z = a + q - p
+            reach = len(notice) * (spread + 1)
+            left = outward(text[max(0, a - reach) : a][::-1], notice[:p][::-1], spread)
+            right = outward(text[z : z + reach], notice[q:], spread)
+            yield (q - p + len(left) + len(right)) / len(notice), a - (left[-1][0] if left else 0), z + (right[-1][0] if right else 0), a, z
+
+
 class Catalogue:
     """Notices with their words' hashes, for the bound."""
 
     def __init__(self, notices: dict[str, tuple[str, ...]]):
-        self.notices = [(name, split(t)) for name, texts in notices.items() for t in texts if split(t)]
+        every = [(name, t) for name, texts in notices.items() for t in texts if split(t)]
+        self.notices = [(name, split(t)) for name, t in every]
+        self.cores = [self.core(t) for _, t in every]
         vocabulary = sorted({w for _, ws in self.notices for w in ws})
         raw = [w.encode() for w in vocabulary]
         at = np.r_[0, np.cumsum([len(w) for w in raw])]
@@ -194,11 +226,21 @@ class Catalogue:
         for k, (_, ws) in enumerate(self.notices):
             for w in ws:
                 self.need[k, number[w]] += 1
+        self.must = np.zeros_like(self.need)
+        for k, core in enumerate(self.cores):
+            for w in self.notices[k][1][slice(*core)] if core else ():
+                self.must[k, number[w]] += 1
         self.size = np.array([len(ws) for _, ws in self.notices])
 
-    def terms(self, k: int, coverage: float, spread: int) -> tuple[float, int]:
-        """The coverage and the spread that notice k must meet."""
-        return (1.0, 0) if self.size[k] < SHORT_WORDS else (coverage, spread)
+    @staticmethod
+    def core(notice: str) -> tuple[int, int] | None:
+        """The words of a short notice that must stand in one run: those in brackets, else all; None for a long one."""
+        n = len(split(notice))
+        if n >= SHORT_WORDS:
+            return None
+        before, _, rest = notice.partition("[")
+        inside = split(rest.partition("]")[0])
+        return (len(split(before)), len(split(before)) + len(inside)) if inside else (0, n)
 
     def possible(self, data: np.ndarray, offsets: np.ndarray, coverage: float) -> Iterator[tuple[int, int]]:
         """(row, notice) whose words can give the coverage."""
@@ -214,7 +256,8 @@ class Catalogue:
         for k in range(len(self.notices)):
             used = np.flatnonzero(self.need[k])
             got = np.minimum(have[:, used], self.need[k][used][None, :]).sum(axis=1)
-            for r in np.flatnonzero(got >= self.terms(k, coverage, 0)[0] * self.size[k] - 1e-9).tolist():
+            named = (have[:, used] >= self.must[k][used][None, :]).all(axis=1)
+            for r in np.flatnonzero((got >= coverage * self.size[k] - 1e-9) & named).tolist():
                 yield r, k
 
 
@@ -222,7 +265,8 @@ def licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None,
     """doc_id, license, coverage, start, length: the licences whose notices a text holds, in code points of the text.
 
     Of a licence's notices the best covered counts, the first of equals. A text that holds several licences has a row
-    for each; where their stretches overlap, only the best covered and its equals. Texts without one, null and empty texts have no row; a null doc_id is kept; repeated rows give
+    for each; where their stretches (of short notices, the words that name the licence) overlap, only the best covered
+    and its equals. ``notices`` bounds what is found: a licence outside it has no row. Texts without one, null and empty texts have no row; a null doc_id is kept; repeated rows give
     repeated findings; extra columns are ignored. Case and punctuation don't matter.
     """
     if not 0 < coverage <= 1:
@@ -236,18 +280,23 @@ def licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None,
             ids = b.column("doc_id")
             for lo, hi in byte_slices(off):
                 part, rel = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                best: dict[tuple[int, str], tuple[float, int, int]] = {}
+                best: dict[tuple[int, str], tuple[float, int, int, int, int]] = {}
                 spans: dict[int, list[tuple[str, int, int]]] = {}
                 for r, k in book.possible(part, rel, coverage):
                     if r not in spans:
                         text = part[rel[r] : rel[r + 1]].tobytes().decode()
                         spans[r] = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
                     name, notice = book.notices[k]
-                    least, reach = book.terms(k, coverage, spread)
-                    c, a, z = cover([w for w, _, _ in spans[r]], notice, reach)
-                    if c >= least - 1e-9 and c > best.get((r, name), (0.0, 0, 0))[0]:
-                        best[r, name] = (c, spans[r][a][1], spans[r][z - 1][2])
-                keys = [k for k in best if not any(j[0] == k[0] and best[j][0] > best[k][0] and best[j][1] < best[k][2] and best[k][1] < best[j][2] for j in best)]
+                    ws = [w for w, _, _ in spans[r]]
+                    if book.cores[k]:
+                        found = list(named(ws, notice, book.cores[k], spread))
+                    else:
+                        c, x, y = cover(ws, notice, spread)
+                        found = [(c, x, y, x, y)]
+                    for c, x, y, p, q in found:
+                        if c >= coverage - 1e-9 and c > best.get((r, name), (0.0,))[0]:
+                            best[r, name] = (c, spans[r][x][1], spans[r][y - 1][2], spans[r][p][1], spans[r][q - 1][2])
+                keys = [k for k in best if not any(j[0] == k[0] and best[j][0] > best[k][0] and best[j][3] < best[k][4] and best[k][3] < best[j][4] for j in best)]
                 yield batch(
                     doc_id=ids.take(pa.array([lo + r for r, _ in keys], pa.int64())),
                     license=pa.array([name for _, name in keys], pa.string()),

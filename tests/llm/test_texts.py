@@ -322,6 +322,22 @@ def test_licences_are_found_with_their_place(spark):
         licenses.licenses(table(spark), coverage=0)
 
 
+def test_short_notices_may_be_altered_but_not_renamed(spark):
+    found = {
+        1: ("licensed under the terms of the MIT license", {"MIT"}), 2: ("Licensed under the Apache License, Version 2", {"Apache-2.0"}),
+        3: ("This work is licensed under the terms of the GNU General Public License, version 3.", {"GPL-3.0"}), 4: ("x. All rights reserved.", {"All-Rights-Reserved"}),
+        5: ("This work is licensed under the GNU General Public License, version 2.", set()), 6: ("This work is licensed under the GNU Lesser General Public License, version 3.", set()),
+        7: ("Licensed under CC BY-ND 4.0.", set()), 8: ("Licensed under the CC BY-NC 4.0.", {"CC-BY-NC-4.0"}), 9: ("Licensed under the Apache License, Version 2 or the MIT License", {"Apache-2.0", "MIT"}),
+        10: (prose(1, 4000) + " licensed under the terms of the MIT license " + prose(2, 4000), {"MIT"}), 11: ("Licensed under the MIT. A license", set()), 12: ("rights all reserved; the mit license", set()),
+    }
+    got = licenses.licenses(table(spark, [(i, t) for i, (t, _) in found.items()])).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == {(i, n) for i, (_, names) in found.items() for n in names}
+    at = {r["doc_id"]: found[r["doc_id"]][0][r["start"] : r["start"] + r["length"]] for r in got}
+    assert at[1] == found[1][0] and at[10] == "licensed under the terms of the MIT license" and at[4] == "All rights reserved"
+    own = licenses.licenses(table(spark, [(1, "Some other notice"), (2, "Some notice")]), notices={"own": ("Some other notice",)}).collect()
+    assert [r["doc_id"] for r in own] == [1]
+
+
 # --- secrets ---
 
 
