@@ -261,7 +261,7 @@ register(
 def _field_rows(d: Dialect) -> dict[str, str]:
     """Existing and incoming values of some fields, made from the id and the text."""
     rows = {
-        "description": (f"CASE WHEN doc_id % 3 = 0 THEN 'short' ELSE substring(body, 1, 60 + CAST(doc_id % 50 AS INT)) END", "substring(body, 1, 100)"),
+        "description": ("CASE WHEN doc_id % 3 = 0 THEN 'short' ELSE body END", "CASE WHEN doc_id % 2 = 0 THEN body || ' ' || body ELSE body END"),
         "activation_signals": ("CASE WHEN doc_id % 2 = 0 THEN 'alpha, beta' ELSE 'Unknown' END", "CASE WHEN doc_id % 4 = 0 THEN 'beta' ELSE 'beta, gamma, beta' END"),
         "content_hash": ("'stale'", d.sha("body")),
         "owner": ("NULL", "'nobody'"),
@@ -286,14 +286,14 @@ register(
     "diff_log", lambda s, d: reconcile.diff_log(reconcile.reconcile(_fields(s, d))),
     f"SELECT path, string_agg('- field: ' || field || chr(10) || '  action: ' || action || chr(10) || '  old: ' || coalesce(old, 'null') || chr(10) || '  new: ' || coalesce(new, 'null'), chr(10) ORDER BY field) AS log FROM ({_RECONCILED}) GROUP BY path",
 )
-DESCRIBED = [lambda d: {"description": "CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'Does a thing' WHEN doc_id % 4 = 2 THEN substring(body, 1, 80) ELSE 'Use when a plan needs a second reader: ' || substring(body, 1, 60) END", "proposal": "'Use when needed: ' || substring(body, 1, 90)"}]
+DESCRIBED = [lambda d: {"description": "CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'Does a thing' WHEN doc_id % 4 = 2 THEN body ELSE 'Use when a plan needs a second reader: ' || body END", "proposal": "'Use when needed: ' || body"}]
 project("good_value", [*DESCRIBED, lambda d: {"good": text.good_value("description", d)}], "doc_id good")
 project("use_when", [*DESCRIBED, lambda d: {"signal": f"coalesce({reconcile.use_when('description', d)}, false)"}], "doc_id signal")
 project("skills_plan", [*DESCRIBED, reconcile.skills], "doc_id state revise")
 project("list_union", [lambda d: {"a": "CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'x, y,' || doc_id % 5 END", "b": "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'y , z,, ' || doc_id % 7 END"}, lambda d: {"joined": reconcile.union("a", "b", d)}], "doc_id joined")
-project("signal_list", [lambda d: {"raw": d.rep("substring(body, 1, 200)", "[.!?]", ";")}, reconcile.signal_list], "doc_id parsed[]")
+project("signal_list", [lambda d: {"raw": d.rep("body", "[.!?]", ";")}, reconcile.signal_list], "doc_id parsed[]")
 project("normalize_record", [lambda d: {"value": f"CASE WHEN doc_id % 3 = 0 THEN ' ' || {d.text('doc_id - 50')} WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false ' END"}, meta.normalized, lambda d: {"number_text": d.text("number"), "truth_text": d.text("truth")}], "doc_id value number_text truth_text")
-project("materiality_reply", [lambda d: {"field": "'description'", "old": "substring(body, 1, 20)", "new": "substring(body, 1, 40)", "reply": "CASE WHEN doc_id % 3 = 0 THEN ' Yes, it does' WHEN doc_id % 3 = 1 THEN 'no' END"}, reconcile.materiality], "doc_id question verdict")
+project("materiality_reply", [lambda d: {"field": "'description'", "old": "body", "new": "'Use when needed: ' || body", "reply": "CASE WHEN doc_id % 3 = 0 THEN ' Yes, it does' WHEN doc_id % 3 = 1 THEN 'no' END"}, reconcile.materiality], "doc_id question verdict")
 project("assist_prompt", [reconcile.assist_prompt], "doc_id prompt")
 SURFACE = [*P, lambda d: {"body": "CASE WHEN doc_id % 3 = 0 THEN 'run: cairn check' || " + d.char(10) + " || body WHEN doc_id % 3 = 1 THEN body || " + d.char(10) + " || 'node ./tools/verify-meta.js > out/meta.json # x-meta' ELSE body END"}, lambda d: {"suspicious_name": "doc_id % 2 = 0"}]
 register("authority_evidence", lambda s, d: reconcile.authority_evidence(add(artifacts(s, d), *SURFACE)), rf"""

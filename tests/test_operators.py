@@ -256,6 +256,19 @@ def test_authority_query_reads_whole_bodies(spark, tmp_path):
     assert any(rule == "marker-x-meta" and line == 4 for rule, line, _ in got)
 
 
+def test_queries_of_values_meet_whole_texts(spark, tmp_path):
+    from cairn import registry
+
+    docs = [(i, "some prose here. " * 40 + "the last word", "en", "s", 0) for i in (1, 2, 3, 4, 6, 8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda q: registry.QUERIES[q](spark, str(tmp_path)).collect()
+    assert all(r["parsed"].endswith("|the last word") for r in run("signal_list"))
+    assert all(r["question"].count("the last word") == 2 for r in run("materiality_reply"))
+    described = [r for q in ("reconcile", "reconcile_llm") for r in run(q) if r["field"] == "description"]
+    assert all(r["merged"].endswith("the last word") for r in described if r["merged"] != "short") and {"keep", "revise"} <= {r["action"] for r in described}
+    assert all("the last word" in r["log"] for r in run("diff_log"))
+
+
 def test_schema_projection(spark):
     fields = [meta.Field("a", "x", "d"), meta.Field("b", "x", required=True), meta.Field("c", None, "e"), meta.Field("z")]
     df = add(frame(spark, [("v",), ("",), (None,)], "x string"), meta.schema_projection(fields))
