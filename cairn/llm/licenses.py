@@ -141,43 +141,42 @@ def align(text: list, notice: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def closest(pairs: list[tuple[int, int]], spread: int) -> list[tuple[int, int]]:
-    """The longest stretch of aligned words with at most ``spread`` other words between two of them; the first of equals."""
-    best, a = (0, 0), 0
-    for k in range(1, len(pairs) + 1):
-        if k == len(pairs) or pairs[k][0] - pairs[k - 1][0] > spread + 1:
-            if k - a > best[1] - best[0]:
-                best = (a, k)
-            a = k
-    return pairs[best[0] : best[1]]
-
-
-def cover(text: list, notice: list, spread: int = SPREAD) -> tuple[float, int, int]:
-    """(coverage, first word, last word + 1) of the best aligned stretch.
-
-    The whole text is aligned, and also, as words of a notice may occur elsewhere and pull the alignment apart,
-    the text around each place where a rare word of the notice stands.
+def stretches(pairs: list[tuple[int, int]], spread: int) -> list[list[tuple[int, int]]]:
+    """The aligned words, cut wherever more than ``spread`` other words stand between two."""
+    cuts = [0, *(k for k in range(1, len(pairs)) if pairs[k][0] - pairs[k - 1][0] > spread + 1), len(pairs)]
+    return [pairs[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True) if a < z]
+
+
+def covers(text: list, notice: list, coverage: float = COVERAGE, spread: int = SPREAD) -> list[tuple[float, int, int]]:
+    """(coverage, first word, last word + 1) of the aligned stretches that meet the coverage, by place.
+
+    The whole text is aligned, and also, as words of a notice may occur elsewhere and pull the alignment apart, the
+    text around each place of a rare word. One word more is taken than may be missing, so that each stretch that meets
+    the coverage holds one of them.
     """
-    best = closest(align(text, notice), spread)
-    where: dict = {}
+    n = len(notice)
+    least = coverage * n - 1e-9
+    found = {(s[0][0], s[-1][0] + 1): len(s) for s in stretches(align(text, notice), spread) if len(s) >= least}
+    where: dict = {w: [] for w in notice}
     for i, w in enumerate(text):
-        where.setdefault(w, []).append(i)
-    rare = min((w for w in set(notice) if w in where), key=lambda w: (len(where[w]), -len(str(w)), str(w)), default=None)
-    if rare is not None and len(best) < len(notice):
-        reach = 2 * len(notice) + spread
-        done = -1
-        for i in where[rare]:
-            if i < done:
-                continue
-            a, z = max(0, i - reach), min(len(text), i + reach)
-            near = closest(align(text[a:z], notice), spread)
-            if len(near) > len(best):
-                best = [(a + x, j) for x, j in near]
-            if near:
-                done = a + near[-1][0]
-    if not best:
-        return 0.0, 0, 0
-    return len(best) / len(notice), best[0][0], best[-1][0] + 1
+        if w in where:
+            where[w].append(i)
+    rare = sorted(where, key=lambda w: (len(where[w]), -len(str(w)), str(w)))[: int(n - least) + 1]
+    reach = 2 * n + spread
+    done = 0
+    for i in sorted(i for w in rare for i in where[w]):
+        a, z = max(done, i - reach), min(len(text), i + reach)
+        while a <= i < z and z - a >= least:
+            near = max(stretches(align(text[a:z], notice), spread), key=len, default=[])
+            if len(near) < least:
+                break
+            first, last = a + near[0][0], a + near[-1][0] + 1
+            found[first, last] = len(near)
+            if first > i:
+                z = first
+            else:
+                a = done = last
+    return [(c / n, x, y) for (x, y), c in sorted(found.items())]
 
 
 def outward(near: list, notice: list, spread: int) -> list[tuple[int, int]]:
@@ -264,8 +263,8 @@ class Catalogue:
 def licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None, coverage: float = COVERAGE, spread: int = SPREAD) -> DataFrame:
     """doc_id, license, coverage, start, length: the licences whose notices a text holds, in code points of the text.
 
-    Of a licence's notices the best covered counts, the first of equals. A text that holds several licences has a row
-    for each; where their stretches (of short notices, the words that name the licence) overlap, only the best covered
+    Of a licence's places the best covered that stays counts, the first of equals. A text that holds several licences has
+    a row for each; where their stretches (of short notices, the words that name the licence) overlap, only the best covered
     and its equals. ``notices`` bounds what is found: a licence outside it has no row. Texts without one, null and empty texts have no row; a null doc_id is kept; repeated rows give
     repeated findings; extra columns are ignored. Case and punctuation don't matter.
     """
@@ -280,7 +279,7 @@ def licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None,
             ids = b.column("doc_id")
             for lo, hi in byte_slices(off):
                 part, rel = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                best: dict[tuple[int, str], tuple[float, int, int, int, int]] = {}
+                found: dict[int, list[tuple[float, int, str, int, int, int]]] = {}
                 spans: dict[int, list[tuple[str, int, int]]] = {}
                 for r, k in book.possible(part, rel, coverage):
                     if r not in spans:
@@ -289,14 +288,18 @@ def licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None,
                     name, notice = book.notices[k]
                     ws = [w for w, _, _ in spans[r]]
                     if book.cores[k]:
-                        found = list(named(ws, notice, book.cores[k], spread))
+                        places = list(named(ws, notice, book.cores[k], spread))
                     else:
-                        c, x, y = cover(ws, notice, spread)
-                        found = [(c, x, y, x, y)]
-                    for c, x, y, p, q in found:
-                        if c >= coverage - 1e-9 and c > best.get((r, name), (0.0,))[0]:
-                            best[r, name] = (c, spans[r][x][1], spans[r][y - 1][2], spans[r][p][1], spans[r][q - 1][2])
-                keys = [k for k in best if not any(j[0] == k[0] and best[j][0] > best[k][0] and best[j][3] < best[k][4] and best[k][3] < best[j][4] for j in best)]
+                        places = [(c, x, y, x, y) for c, x, y in covers(ws, notice, coverage, spread)]
+                    found.setdefault(r, []).extend((c, spans[r][x][1], name, spans[r][y - 1][2], spans[r][p][1], spans[r][q - 1][2]) for c, x, y, p, q in places if c >= coverage - 1e-9)
+                best: dict[tuple[int, str], tuple[float, int, int]] = {}
+                for r, every in found.items():
+                    kept: list[tuple[float, str, int, int]] = []
+                    for c, x, name, y, p, q in sorted(every, key=lambda f: (-f[0], f[1])):
+                        if not any(d > c and other != name and p < v and u < q for d, other, u, v in kept):
+                            kept.append((c, name, p, q))
+                            best.setdefault((r, name), (c, x, y))
+                keys = list(best)
                 yield batch(
                     doc_id=ids.take(pa.array([lo + r for r, _ in keys], pa.int64())),
                     license=pa.array([name for _, name in keys], pa.string()),

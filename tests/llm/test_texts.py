@@ -338,6 +338,19 @@ def test_short_notices_may_be_altered_but_not_renamed(spark):
     assert [r["doc_id"] for r in own] == [1]
 
 
+def test_a_licence_that_loses_one_place_keeps_its_other(spark):
+    gpl3, gpl2 = licenses.NOTICES["GPL-3.0"][1], licenses.NOTICES["GPL-2.0"][0]
+    altered = gpl2.replace("program", "thing").replace("published", "printed")
+    text = gpl3 + " " + prose(1, 60) + " " + altered
+    got = {r["license"]: (r["start"], r["coverage"]) for r in licenses.licenses(table(spark, [(1, text)])).collect()}
+    assert set(got) == {"GPL-3.0", "GPL-2.0"} and got["GPL-3.0"] == (0, 1.0) and got["GPL-2.0"][0] == len(text) - len(altered)
+    notice, rest = [f"n{i}" for i in range(40)], [f"n{i}" for i in range(39, 0, -1)]
+    worn = [w for w in notice if w != "n0"]  # the rarest word stands elsewhere only
+    text = rest * 3 + ["x"] * 60 + worn + ["x"] * 60 + rest * 3 + ["x"] * 60 + ["n0"]
+    assert [(a, z) for c, a, z in licenses.covers(text, notice)] == [(177, 216)]
+    assert [(a, z) for c, a, z in licenses.covers(notice + ["x"] * 20 + notice + notice, notice)] == [(0, 40), (60, 100), (100, 140)]
+
+
 # --- secrets ---
 
 
