@@ -36,8 +36,8 @@ _DIGITS = np.zeros(256, bool)
 _DIGITS[48:58] = True
 
 _HINT = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|apikey|access[_\-]?key|auth(?:orization)?|bearer|credentials?|private[_\-]?key|client[_\-]?secret"
-ASSIGNED = regex.compile(rf"(?i)(?:{_HINT})[\"']?\s{{0,8}}(?:=>|:=|=|:)\s{{0,8}}[\"']?([^\s\"'<>|,;]{{8,256}})")
-BLOCK = regex.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
+ASSIGNED = regex.compile(rf"(?i)(?:{_HINT})[\"']?\s{{0,8}}(?:=>|:=|=|:)\s{{0,8}}[\"']?([^\s\"'<>|,;]{{8,}})")
+BLOCK = regex.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?s:(?:(?!-----BEGIN ).)*?)(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|(?=-----BEGIN )|\Z)")
 HINT = regex.compile(rf"(?i)\b(?:[a-z0-9]+[_\-])*(?:{_HINT})\b")
 HARMLESS = regex.compile(r"(?i)\b(?:sha(?:1|256|512)?|md5|checksum|digest|hash|commit|revision|rev|uuid|guid|etag|integrity|build|version|serial|card|account|phone|isbn|doi|order|example|sample|dummy|placeholder|fixture|id)\b")
 KNOWN = regex.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_](?:live|test|proj|ant)?[-_]?[A-Za-z0-9_-]{16,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|glpat-[A-Za-z0-9_-]{16,}")
