@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cairn.session import table
 
-__all__ = ["batch", "checkpoint", "ensure_checkpoint_dir", "filter_rows", "id_text", "ids_of", "list_array", "shuffle_partitions", "split_rows", "table"]
+__all__ = ["batch", "checkpoint", "ensure_checkpoint_dir", "filter_rows", "id_text", "ids_of", "list_array", "released", "shuffle_partitions", "split_rows", "table"]
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,10 +27,12 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder that the cluster names; one of our own only where none is set, as in tests."""
+    """The folder that the cluster names; one of our own only in local mode, where one machine does all."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
 
 
@@ -37,6 +41,50 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@functools.cache
+def _libc() -> Any:
+    """The C library where it can be told how to keep freed memory, else None.
+
+    A large array gets pages of its own, which go back when it is freed, rather than a place in a heap that only grows.
+    """
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD: once set it no longer follows what is freed
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
+def released(run: Callable) -> Callable:
+    """``run`` of a worker, with freed memory given back to the machine before its first and after its last batch.
+
+    Workers live on through many stages; what one stage has touched isn't there for the next one else.
+    """
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        if (libc := _libc()) is not None:
+            libc.malloc_trim(0)
+
+    def over_batches(x: Any) -> Any:
+        trim()
+        if isinstance(x, pa.Table):
+            try:
+                return run(x)
+            finally:
+                trim()
+        return stream(x)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return over_batches
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -1,4 +1,4 @@
-"""Connected components by alternating star contraction, on edges of ids."""
+"""Connected components by alternating star contraction, on edges of ids of any ordered type."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from .common import checkpoint
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(doc_id, group_id) for every id of ``edges`` (src, dst): the least id of its component, itself included.
+    """(id, root) for every id of ``edges`` (src, dst) that has another one: the least id of its component, itself included.
 
     Each round links every id's larger neighbours, then its smaller ones, to the least neighbour known (large-star
-    and small-star), which needs O(log^2 n) rounds. The edges are checkpointed each round and get fewer.
+    and small-star), which needs O(log^2 n) rounds. The edges are checkpointed each round and get fewer. Nothing is
+    dropped after ``rounds`` rounds: edges that haven't settled by then raise an error.
     """
     e = checkpoint(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     before = None
@@ -29,5 +30,5 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError("components did not settle")
-    member = e.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id"))
-    return member.unionByName(member.select(F.col("group_id").alias("doc_id"), "group_id").distinct())
+    member = e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return member.unionByName(member.select(F.col("root").alias("id"), "root").distinct())

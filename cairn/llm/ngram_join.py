@@ -1,100 +1,113 @@
 """Exact similarity join of documents under the Jaccard distance of their word n-gram sets.
 
-1 - Jaccard is a metric, so pivots split the documents into Voronoi cells and the triangle inequality bounds
-which documents outside a cell can have a partner in it. In such a high-dimensional space nearly all distances
-are 1 and a bound taken from a few global pivots would send every document to every cell. The first level is
-therefore covered another way, which is exact as well:
-
-1. ``profile``: every set's key, and a fixed-size count sketch of all grams of the corpus, in one pass.
-2. Grams of a set are ordered rarest first by the sketch. Two sets of n_a and n_b grams with similarity >= t
-   share at least a = ceil(t / (1 + t) (n_a + n_b)) grams, hence at least min(k, a) within their first
-   n - ceil(t n) + k grams (prefix filter for k common elements). Only those prefixes are shuffled, by gram.
-3. The sets that share a prefix gram form a list; its least key is the list's pivot. Lists meet at their pivot,
-   which counts the common prefix grams of each pair; pairs under min(k, a) in all are out.
-4. A set's home cell is the pivot of its candidates, their least key; the partner of a pair with another home
-   is replicated there. Full sets travel only now, once a cell.
-5. ``metric_join`` joins each cell exactly: pivots, Voronoi subcells, windows by the triangle inequality,
-   recursion, direct counting where a cell is small or no longer shrinks.
-
-Equal sets are one node throughout and are expanded at the end, so copies cost no comparison.
+1 - Jaccard is a metric: pivots split the documents into Voronoi regions, and the triangle inequality bounds which
+documents outside a region can have a partner in it. Between unrelated texts nearly all distances are 1, where no
+bound tells anything, so that pivots must be near what they attract. The steps:
+
+1. ``profile``: every set's key and size, and a fixed-size count sketch of all grams of the corpus, in one pass.
+2. Pivots. Grams of a set are ordered rarest first by the sketch. Two sets with similarity >= t have at least
+   g common grams within their first n - ceil(t n) + k grams (prefix filter), with g from either's size. The sets
+   that share such a gram attract each other: the least key among them is their pivot.
+3. Regions. A set belongs to the regions of its pivots, with a weight: how many of its rare grams lead there. Its
+   nearest pivot is its home, the others make it a boundary document of their regions. Regions whose weights sum up
+   to (g - 1) // 2 or less are left, the weakest first: two sets that both do so still meet in one. A set whose
+   weights sum up to less than g has no partner. All this is linear in the number of memberships; no pair is made.
+4. Full sets travel to their regions. A region over CELL_GRAMS grams or CELL_SETS sets is cut into blocks that meet two by two.
+5. ``metric_join`` joins a region exactly and recursively: pivots far apart, Voronoi cells of what is near them,
+   windows by the triangle inequality for what must be looked at from outside, the remote rest with new pivots.
+   A pair that meets in several regions counts in the least they have in common.
+
+Equal sets are one node throughout, so copies cost no comparison. Grams are 64-bit hashes, keys of sets 128-bit.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import U64, byte_slices, mix, ngram_sets, text_bytes
-from .common import batch, checkpoint, id_text, ids_of, shuffle_partitions
+from .common import batch, checkpoint, id_text, released, shuffle_partitions
+from .components import connected
 
 NGRAM, THRESHOLD = 3, 0.5
 SKETCH_BITS, CHUNK_BITS = 22, 16
 LEAF = 64
-CELL_NODES = 20_000
+PIVOTS = 16
+CELL_GRAMS, CELL_SETS = 1 << 20, 4096
+HOT_LIST = 1 << 17
+MARK_BITS = (16, 27)
 
-PAIRS = "doc_id_a long, doc_id_b long, jaccard double"
 
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit keys of sorted non-empty sets, as an (m, 2) array."""
+    size = np.array([len(s) for s in sets], np.int64)
+    if not len(size):
+        return np.zeros((0, 2), U64)
+    flat, at = np.concatenate(sets), np.cumsum(size) - size
+    one, two = (np.add.reduceat(mix(flat ^ U64(c)), at) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+    n = size.astype(U64)
+    return np.stack([mix(one + n), mix(two ^ (n * U64(0x9E3779B97F4A7C15)))], axis=1)
 
-def set_key(grams: np.ndarray) -> int:
-    """Key of a sorted set: 52 bits of hash over 12 bits of size class. Equal keys are taken as equal sets."""
-    with np.errstate(over="ignore"):
-        total = np.add.reduce(mix(grams ^ U64(0x5851F42D4C957F2D)))
-        h = int(mix(np.array([total + U64(len(grams))], U64))[0])
-    key = (h >> 12 << 12) | min(4095, int(math.log2(len(grams)) * 128 + 1e-9))
-    return key - (1 << 64) if key >> 63 else key
 
+def key_bytes(keys: np.ndarray) -> pa.Array:
+    """Keys as 16 bytes each, in the order of their numbers."""
+    raw = keys.astype(">u8").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(0, 16 * len(keys) + 1, 16, dtype=np.int32)), pa.py_buffer(raw)])
 
-def least_size(keys: np.ndarray) -> np.ndarray:
-    """The least number of grams that sets of these keys can have: within 0.6 % of the real one."""
-    return np.exp2((keys & 4095) / 128) - 1e-6
 
+def prefix_common(n: np.ndarray | int) -> np.ndarray | int:
+    """k of the prefix filter, by set size: larger sets must show more common rare grams."""
+    return 3 + n // 16
 
-def common_needed(n: int | np.ndarray) -> int | np.ndarray:
-    """k of the prefix filter, by set size: longer sets must show more common grams before they are compared."""
-    return 3 + n // 32
 
+def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
+    return np.minimum(n, n - np.ceil(t * n - 1e-9).astype(np.int64) + prefix_common(n))
 
-def prefix_length(n: int, t: float) -> int:
-    return min(n, n - math.ceil(t * n - 1e-9) + int(common_needed(n)))
 
+def needed(n: np.ndarray, t: float) -> np.ndarray:
+    """g: common prefix grams that a set of n grams has at least with each set of similarity >= t."""
+    least = np.ceil(t * n - 1e-9).astype(np.int64)  # of a partner's grams, and of common ones
+    return np.minimum(prefix_common(least), least)
 
-def _slices(b: pa.RecordBatch, n: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+
+def _slices(b: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, gram sets of the rows from there) of bounded slices."""
     data, off = text_bytes(pc.utf8_lower(b.column("text").cast(pa.large_string())))
-    ids = b.column("doc_id")
     for lo, hi in byte_slices(off):
-        yield ids.slice(lo, hi - lo), ngram_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
+        yield lo, ngram_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
 
 
 def _profiler(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            for ids, sets in _slices(b, n):
-                every = np.concatenate(sets) if sets else np.zeros(0, U64)
-                slots, times = np.unique((every >> U64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+            for lo, sets in _slices(b, n):
+                some = np.flatnonzero([len(s) for s in sets])
+                sets = [sets[i] for i in some.tolist()]
+                if not sets:
+                    continue
+                slots, times = np.unique((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
                 counts[slots] += times.astype(np.uint32)
-                keep = np.array([len(s) > 0 for s in sets], bool)
-                some = [s for s in sets if len(s)]
-                m = len(some)
-                yield batch(doc_id=ids.filter(pa.array(keep)), node=pa.array([set_key(s) for s in some], pa.int64()), n=pa.array([len(s) for s in some], pa.int32()), chunk=pa.nulls(m, pa.int32()), counts=pa.nulls(m, pa.binary()))
+                at = pa.array(lo + some)
+                yield batch(doc_id=b.column("doc_id").take(at), version=b.column("version").take(at), node=key_bytes(set_keys(sets)), n=pa.array([len(s) for s in sets], pa.int32()), chunk=pa.nulls(len(sets), pa.int32()), counts=pa.nulls(len(sets), pa.binary()))
         for c in range(1 << (SKETCH_BITS - CHUNK_BITS)):
             part = counts[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
             if part.any():
                 at = np.flatnonzero(part).astype(np.uint16)
-                yield batch(doc_id=pa.nulls(1, pa.int64()), node=pa.nulls(1, pa.int64()), n=pa.nulls(1, pa.int32()), chunk=pa.array([c], pa.int32()), counts=pa.array([np.uint32(len(at)).tobytes() + at.tobytes() + part[at].astype(np.uint32).tobytes()], pa.binary()))
+                yield batch(doc_id=pa.nulls(1, pa.int64()), version=pa.nulls(1, pa.int64()), node=pa.nulls(1, pa.binary()), n=pa.nulls(1, pa.int32()), chunk=pa.array([c], pa.int32()), counts=pa.array([np.uint32(len(at)).tobytes() + at.tobytes() + part[at].astype(np.uint32).tobytes()], pa.binary()))
 
-    return run
+    return released(run)
 
 
 def _add_counts(t: pa.Table) -> pa.Table:
     total = np.zeros(1 << CHUNK_BITS, np.uint64)
-    for blob in t.column("counts").to_pylist():
+    for blob in t.column("counts"):
+        blob = blob.as_py()
         m = int(np.frombuffer(blob, np.uint32, 1)[0])
         at = np.frombuffer(blob, np.uint16, m, 4)
         total[at] += np.frombuffer(blob[4 + 2 * m :], np.uint32, m)
@@ -102,209 +115,87 @@ def _add_counts(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": t.column("chunk").slice(0, 1), "classes": pa.array([classes.tobytes()], pa.binary())})
 
 
-def _rarest(s: np.ndarray, classes: np.ndarray, length: int) -> np.ndarray:
-    if length >= len(s):
-        return s
-    return s[np.argsort(classes[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:length]]
+def _prefixer(n: int, t: float, buckets: int, shared, hot: int):
+    """The rarest grams of every set, gathered by bucket; a set that comes again in the task is left out.
 
+    Rows (bucket, salt, keys, n, times, grams): of each set its key, its size, how many of its grams are here, and
+    those. A gram whose sketch count is over ``hot`` has its list dealt to several tasks: its rows carry a salt.
+    """
+
+    def flush(keys: list[np.ndarray], size: list[int], prefix: list[np.ndarray], classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, n_all = np.concatenate(keys), np.array(size, np.int32)
+        grams, owner = np.concatenate(prefix), np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
+        where = (mix(grams) % U64(buckets)).astype(np.int64)
+        often = np.exp2(classes[(grams >> U64(64 - SKETCH_BITS)).astype(np.int64)] / 4.0)
+        parts = np.maximum(np.ceil(often / hot), 1).astype(np.int64)
+        salt = np.where(parts > 1, 1 + (key[owner, 1] % parts.astype(U64)).astype(np.int64), 0)
+        order = np.lexsort((owner, salt, where))
+        where, salt, owner, grams = where[order], salt[order], owner[order], grams[order]
+        cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (salt[1:] != salt[:-1]), True])
+        cols: list[list[bytes]] = [[], [], [], []]
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = owner[a:z]
+            run = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
+            who = own[run[:-1]]
+            for col, v in zip(cols, (key[who], n_all[who], np.diff(run).astype(np.uint32), grams[a:z]), strict=True):
+                col.append(v.tobytes())
+        yield batch(bucket=pa.array(where[cuts[:-1]], pa.int32()), salt=pa.array(salt[cuts[:-1]], pa.int64()), **{k: pa.array(c, pa.binary()) for k, c in zip(("keys", "n", "times", "grams"), cols, strict=True)})
 
-def _prefixer(n: int, t: float, buckets: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(shared.value, np.uint8)
-        held: list[tuple[int, np.ndarray]] = []
-        size = 0
+        seen: set[bytes] = set()
+        held: tuple[list, list, list] = ([], [], [])
+        total = 0
         for b in batches:
             for _, sets in _slices(b, n):
-                for s in sets:
-                    if len(s):
-                        p = _rarest(s, classes, prefix_length(len(s), t))
-                        held.append((set_key(s), p))
-                        size += len(p)
-                if size > 1 << 20:
-                    yield _bucketed(held, buckets)
-                    held, size = [], 0
-        if held:
-            yield _bucketed(held, buckets)
-
-    return run
-
-
-def _bucketed(held: list[tuple[int, np.ndarray]], buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, blob): of each set its key, how many of its grams are in the bucket, and 48 bits of each.
-
-    Two grams that agree in those bits and the bucket only add a candidate.
-    """
-    length = [len(p) for _, p in held]
-    grams = np.concatenate([p for _, p in held])
-    owner = np.repeat(np.arange(len(held)), length)
-    keys = np.array([k for k, _ in held], np.int64)
-    where = (grams % U64(buckets)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    where, owner, tail = where[order], owner[order], (grams[order] >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-    cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
-    rows = []
-    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        own = owner[a:z]
-        run = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
-        rows.append(np.uint32(len(run) - 1).tobytes() + keys[own[run[:-1]]].tobytes() + np.diff(run).astype(np.uint32).tobytes() + tail[a:z].tobytes())
-    return batch(bucket=pa.array(where[cuts[:-1]].astype(np.int32), pa.int32()), blob=pa.array(rows, pa.binary()))
-
-
-def _unbucketed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    nodes, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for blob in blobs:
-        m = int(np.frombuffer(blob, np.uint32, 1)[0])
-        times = np.frombuffer(blob, np.uint32, m, 4 + 8 * m)
-        nodes.append(np.repeat(np.frombuffer(blob, np.uint8, 8 * m, 4).view(np.int64), times))
-        tail = np.frombuffer(blob, np.uint8, -1, 4 + 12 * m).reshape(-1, 6)
-        wide = np.zeros((len(tail), 8), np.uint8)
-        wide[:, :6] = tail
-        grams.append(wide.reshape(-1).view(np.uint64))
-    return np.concatenate(nodes), np.concatenate(grams)
-
-
-def _blobs(where: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row a bucket, of the columns' values one after the other: millions of entries cross as some hundred rows."""
-    order = np.argsort(where, kind="stable")
-    where = where[order]
-    cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True]) if len(where) else np.zeros(1, np.int64)
-    cols = [np.ascontiguousarray(c[order], np.int64) for c in columns]
-    rows = [b"".join(c[a:z].tobytes() for c in cols) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-    return batch(bucket=pa.array(where[cuts[:-1]].astype(np.int32), pa.int32()), blob=pa.array(rows, pa.binary()))
-
-
-def _unblob(t: pa.Table, columns: int) -> list[np.ndarray]:
-    parts = [np.frombuffer(b, np.int64).reshape(columns, -1) for b in t.column("blob").to_pylist()]
-    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.int64)] * columns
-
-
-def _lists(buckets: int):
-    """The sets that share a gram, for every gram of at least two, sent to the pivot of the list: its least key."""
-
-    def run(t: pa.Table) -> pa.Table:
-        node, gram = _unbucketed(t.column("blob").to_pylist())
-        order = np.lexsort((node, gram))
-        node, gram = node[order], gram[order]
-        first = np.ones(len(gram), bool)
-        first[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
-        node, gram = node[first], gram[first]
-        cuts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True]) if len(gram) else np.zeros(1, np.int64)
-        length = np.diff(cuts)
-        keep = np.repeat(length > 1, length)
-        pivot, length, node = node[cuts[:-1]][length > 1], length[length > 1], node[keep]
-        where = (mix(pivot.view(U64)) % U64(buckets)).astype(np.int64)
-        names, rows = [], []
-        of_node = np.repeat(where, length)
-        for w in np.unique(where).tolist():
-            n = length[where == w].astype(np.uint32)
-            names.append(w)
-            rows.append(np.uint32(len(n)).tobytes() + n.tobytes() + node[of_node == w].tobytes())
-        return pa.table({"bucket": pa.array(names, pa.int32()), "blob": pa.array(rows, pa.binary())})
-
-    return run
-
-
-def _unlisted(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of nodes as (node, number of the list)."""
-    nodes, lists, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for blob in blobs:
-        m = int(np.frombuffer(blob, np.uint32, 1)[0])
-        n = np.frombuffer(blob, np.uint32, m, 4)
-        nodes.append(np.frombuffer(blob, np.uint8, -1, 4 + 4 * m).view(np.int64))
-        lists.append(np.repeat(np.arange(seen, seen + m), n))
-        seen += m
-    return np.concatenate(nodes), np.concatenate(lists)
-
-
-def _pairs_at_pivots(t: float, buckets: int):
-    """How many lists of one pivot each pair of sets of comparable sizes shares."""
-
-    def run(tab: pa.Table) -> pa.Table:
-        node, gram = _unlisted(tab.column("blob").to_pylist())
-        start = np.r_[True, gram[1:] != gram[:-1]] if len(gram) else np.zeros(0, bool)
-        pivot = node[start][gram] if len(gram) else node
-        order = np.lexsort((node, gram, pivot))
-        pivot, node, gram = pivot[order], node[order], gram[order]
-        out: list[tuple[np.ndarray, ...]] = []
-        cuts = np.flatnonzero(np.r_[True, pivot[1:] != pivot[:-1], True]) if len(pivot) else np.zeros(1, np.int64)
-        small = np.ones(len(pivot), bool)
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if z - a <= 4096:
-                continue
-            small[a:z] = False
-            names, row = np.unique(node[a:z], return_inverse=True)
-            _, col = np.unique(gram[a:z], return_inverse=True)
-            out.extend(_comparable(names[i], names[j], c, t) for i, j, c in _common(row, col, len(names)))
-        out.append(_comparable(*_list_pairs(pivot[small], node[small], gram[small])[:3], t))
-        a, b, c = (np.concatenate([np.asarray(x[k], np.int64) for x in out]) for k in range(3))
-        where = (mix(a.view(U64) * U64(31) + b.view(U64)) % U64(buckets)).astype(np.int64)
-        return pa.Table.from_batches([_blobs(where, a, b, c)])
-
-    return run
-
-
-def _comparable(a: np.ndarray, b: np.ndarray, c: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
-    x, y = least_size(a), least_size(b)
-    ok = np.minimum(x, y) * 1.006 >= t * np.maximum(x, y)
-    return a[ok], b[ok], c[ok]
-
-
-def _sum_pairs(t: float):
-    """Adds up each pair's common prefix grams and leaves out what has too few."""
-
-    def run(tab: pa.Table) -> pa.Table:
-        a, b, c = _unblob(tab, 3)
-        order = np.lexsort((b, a))
-        a, b, c = a[order], b[order], c[order]
-        cuts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        if len(cuts):
-            a, b, c = a[cuts], b[cuts], np.add.reduceat(c, cuts)
-            x, y = least_size(a), least_size(b)
-            need = np.ceil(t / (1 + t) * (x + y) - 1e-6)
-            ok = c >= np.minimum(need, common_needed(np.minimum(x, y).astype(np.int64)))
-            a, b = a[ok], b[ok]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def _list_pairs(pivot: np.ndarray, node: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All pairs of each list by rank offset, counted by (pivot, a, b); the lists are sorted by node."""
-    ia, ib = [], []
-    step, n = 1, len(node)
-    while True:
-        at = np.flatnonzero((gram[step:] == gram[:-step]) & (pivot[step:] == pivot[:-step])) if step < n else np.zeros(0, np.int64)
-        if not len(at):
-            break
-        ia.append(at)
-        ib.append(at + step)
-        step += 1
-    if not ia:
-        return (np.zeros(0, np.int64),) * 4
-    i, j = np.concatenate(ia), np.concatenate(ib)
-    a, b, p = node[i], node[j], pivot[i]
-    order = np.lexsort((b, a, p))
-    a, b, p = a[order], b[order], p[order]
-    cuts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1]), True])
-    return a[cuts[:-1]], b[cuts[:-1]], np.diff(cuts), p[cuts[:-1]]
-
-
-def _common(row: np.ndarray, col: np.ndarray, m: int, rows: int = 1024, cols: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Common columns of each two rows i < j of a sparse 0/1 matrix, by blocked dense products."""
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    width = int(col[-1]) + 1 if len(col) else 0
-    for r0 in range(0, m, rows):
-        total = np.zeros((min(rows, m - r0), m), np.float32)
-        for c0 in range(0, width, cols):
-            x, y = np.searchsorted(col, [c0, c0 + cols])
-            dense = np.zeros((m, min(cols, width - c0)), np.float32)
-            dense[row[x:y], col[x:y] - c0] = 1
-            total += dense[r0 : r0 + rows] @ dense.T
-        i, j = np.nonzero(total)
-        c = total[i, j].astype(np.int64)
-        i = i + r0
-        yield i[i < j], j[i < j], c[i < j]
+                sets = [s for s in sets if len(s)]
+                keys = set_keys(sets)
+                for i, s in enumerate(sets):
+                    name = keys[i].tobytes()
+                    if name in seen:
+                        continue
+                    seen.add(name)
+                    length = int(prefix_length(np.int64(len(s)), t))
+                    p = s if length >= len(s) else s[np.argsort(classes[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:length]]
+                    for lst, v in zip(held, (keys[i : i + 1], len(s), p), strict=True):
+                        lst.append(v)
+                    total += len(p)
+                if total > 1 << 20:
+                    yield from flush(*held, classes)
+                    held, total = ([], [], []), 0
+        if total:
+            yield from flush(*held, classes)
+
+    return released(run)
+
+
+def _lists(tab: pa.Table) -> pa.Table:
+    """Memberships (head, node, n, weight) of the sets that share a gram; of a salted gram its part's, under the gram's name."""
+    flat = {k: [np.frombuffer(x.as_py(), d) for x in tab.column(k)] for k, d in (("keys", U64), ("n", np.int32), ("times", np.uint32), ("grams", U64))}
+    salts = np.repeat(tab.column("salt").to_numpy(), [len(g) for g in flat["grams"]])
+    keys, n, times, grams = (np.concatenate(flat[k]) for k in ("keys", "n", "times", "grams"))
+    keys = keys.reshape(-1, 2)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    first = np.r_[True, (keys[order][1:] != keys[order][:-1]).any(axis=1)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(first) - 1
+    keys, n = keys[order][first], n[order][first]  # numbers follow the order of keys
+    node = np.repeat(number, times)
+    order = np.lexsort((node, grams, salts))
+    node, gram, salt = node[order], grams[order], salts[order]
+    fresh = np.r_[True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]) | (salt[1:] != salt[:-1])]
+    node, gram, salt = node[fresh], gram[fresh], salt[fresh]
+    cuts = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]), True])
+    length = np.diff(cuts)
+    head = np.repeat(node[cuts[:-1]], length)
+    keep = (np.repeat(length, length) > 1) | (salt > 0)
+    head, node, gram, salt = head[keep], node[keep], gram[keep], salt[keep]
+    name = np.where(salt > 0, gram.view(np.int64), 0)
+    order = np.lexsort((node, head, name, salt > 0))
+    head, node, name, part = head[order], node[order], name[order], (salt > 0)[order]
+    cuts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (node[1:] != node[:-1]) | (name[1:] != name[:-1]) | (part[1:] != part[:-1]), True]) if len(head) else np.zeros(1, np.int64)
+    at = cuts[:-1]
+    return pa.table({"head": key_bytes(keys[head[at]]), "node": key_bytes(keys[node[at]]), "n": pa.array(n[node[at]], pa.int32()), "weight": pa.array(np.diff(cuts), pa.int64()), "gram": pa.array(name[at], pa.int64(), mask=~part[at])})
 
 
 class Cell:
@@ -320,273 +211,295 @@ class Cell:
         row, col = row[keep], col[keep]
         self.start = np.searchsorted(row, np.arange(len(sets) + 1))
         self.col = col
-        width = len(often)
         order = np.argsort(col, kind="stable")
         self.by_col = row[order]
-        self.col_start = np.searchsorted(col[order], np.arange(width + 1))
-        self.rank = np.empty(len(order), np.int64)
-        self.rank[order] = np.arange(len(order))
-
-    def common(self, i: int, after: bool = False) -> np.ndarray:
-        """Common grams of set i with every set; with ``after``, only sets j > i count."""
-        a, z = self.start[i], self.start[i + 1]
-        cols = self.col[a:z]
-        lo = self.rank[a:z] + 1 if after else self.col_start[cols]
-        hi = self.col_start[cols + 1]
-        n = hi - lo
+        self.col_start = np.searchsorted(col[order], np.arange(len(often) + 1))
+
+    def common(self, i: int) -> np.ndarray:
+        """Common grams of set i with every set; its own size with itself."""
+        cols = self.col[self.start[i] : self.start[i + 1]]
+        lo, n = self.col_start[cols], self.col_start[cols + 1] - self.col_start[cols]
         total = int(n.sum())
-        if not total:
-            return np.zeros(len(self.size), np.int64)
-        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)
-        return np.bincount(self.by_col[at], minlength=len(self.size))
+        c = np.bincount(self.by_col[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)], minlength=len(self.size)) if total else np.zeros(len(self.size), np.int64)
+        c[i] = self.size[i]
+        return c
 
     def distances(self, i: int) -> np.ndarray:
         c = self.common(i)
-        c[i] = self.size[i]
         return 1 - c / (self.size + self.size[i] - c)
 
 
-def metric_join(sets: list[np.ndarray], tau: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All i < j of these non-empty sorted sets with Jaccard distance <= tau, and their common counts; exact.
+def metric_join(sets: list[np.ndarray], tau: float, leaf: int = LEAF, side: np.ndarray | None = None, trace: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, partners, common grams) over all pairs of these non-empty sorted sets with Jaccard distance <= tau, each pair once.
 
-    A cell over ``leaf`` sets picks pivots far from each other. A set's home is its nearest pivot. For a pair
-    within tau, x at home in cell i, the triangle inequality puts y in cell i when d(y, p_i) <= d(y, home) + 2 tau
-    and d(y, p_i) <= radius_i + tau: those bounds replicate y. Subcells recurse while they shrink.
+    An item of work is some members, of which those at home need their partners. Over ``leaf`` members it gets
+    pivots, each the home member farthest from those before. Home members within ``inner`` of their nearest pivot make
+    its cell; from outside a cell only y with d(y, pivot) <= radius + tau can have a partner in it, by the triangle
+    inequality, and only such y are looked at. ``inner`` is under 1 - tau, so that a window never takes in what shares
+    nothing with the pivot. The remote rest is an item of its own, with new pivots; a cell is one again. Where windows
+    spare less than a fifth of the comparisons the item is counted directly. With ``side``, pairs of one side are left out.
+    ``trace`` gets the members and the cells of every item that was split.
     """
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    work = [np.arange(len(sets))]
+    work = [(np.arange(len(sets)), np.ones(len(sets), bool))]
     while work:
-        members = work.pop()
+        members, home = work.pop()
+        if not home.any() or len(members) < 2:
+            continue
         cell = Cell([sets[i] for i in members])
-        m = len(members)
-        parts = _subcells(cell, tau, leaf) if m > leaf else None
-        if parts is None:
-            for i in range(m - 1):
-                c = cell.common(i, after=True)
-                j = np.flatnonzero(c)
-                union = cell.size[i] + cell.size[j] - c[j]
-                ok = c[j] >= (1 - tau) * union - 1e-9
-                if ok.any():
-                    j = j[ok]
-                    out.append((np.full(len(j), members[i]), members[j], c[j]))
-        else:
-            work.extend(members[p] for p in parts)
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    a, b, c = (np.concatenate([x[k] for x in out]) for k in range(3))
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    _, first = np.unique(lo * len(sets) + hi, return_index=True)
-    return lo[first], hi[first], c[first]
-
-
-def _subcells(cell: Cell, tau: float, leaf: int, most: int = 16) -> list[np.ndarray] | None:
-    m = len(cell.size)
-    pivots, d = [int(np.argmax(cell.size))], []
+        parts = _voronoi(cell, home, tau, leaf) if len(members) > leaf else None
+        if parts is not None:
+            if trace is not None:
+                trace.append((len(members), len(parts)))
+            work.extend((members[p], h) for p, h in parts)
+            continue
+        rank = np.cumsum(home) - 1  # of two home members the later one is met by the earlier
+        for i in np.flatnonzero(home).tolist():
+            c = cell.common(i)
+            ok = (c > 0) & (~home | (rank > rank[i])) & (c >= (1 - tau) * (cell.size + cell.size[i] - c) - 1e-9)
+            if side is not None:
+                ok &= side[members] != side[members[i]]
+            j = np.flatnonzero(ok)
+            if len(j):
+                yield int(members[i]), members[j], c[j]
+
+
+def _voronoi(cell: Cell, home: np.ndarray, tau: float, leaf: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """(members, which of them are at home) of each cell and of the remote rest; None where that spares too little."""
+    m, inner = len(cell.size), 0.9 * (1 - tau)
+    pivot, dist = int(np.flatnonzero(home)[0]), []
     nearest = np.full(m, np.inf)
-    for _ in range(min(most, max(2, m // leaf))):
-        d.append(cell.distances(pivots[-1]))
-        nearest = np.minimum(nearest, d[-1])
-        far = int(np.argmax(nearest))
-        if nearest[far] <= 0:
+    for _ in range(min(PIVOTS, max(2, m // leaf))):
+        dist.append(cell.distances(pivot))
+        nearest = np.minimum(nearest, dist[-1])
+        pivot = int(np.argmax(np.where(home, nearest, -1)))
+        if nearest[pivot] <= inner:
             break
-        pivots.append(far)
-    dist = np.stack(d)
-    home = np.argmin(dist, axis=0)
-    parts = []
-    for i in range(len(dist)):
-        own = home == i
-        if not own.any():
-            continue
-        radius = dist[i][own].max()
-        inside = own | ((dist[i] <= nearest + 2 * tau + 1e-9) & (dist[i] <= radius + tau + 1e-9))
-        parts.append(np.flatnonzero(inside))
-    if sum(len(p) for p in parts) > 1.5 * m or max(len(p) for p in parts) > 0.9 * m:
-        return None
-    return parts
-
-
-def _carrier(n: int, wanted):
-    """Full sets of the nodes that may have a partner: a bitmap lets nearly all others stop in the worker."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
-        mask = U64(len(bits) * 8 - 1)
-        for b in batches:
-            for _, sets in _slices(b, n):
-                keys, blobs = [], []
-                for s in sets:
-                    if len(s):
-                        k = set_key(s)
-                        at = int(mix(np.array([k], np.int64).view(U64))[0] & mask)
-                        if bits[at >> 3] >> (at & 7) & 1:
-                            keys.append(k)
-                            blobs.append(s.tobytes())
-                yield batch(node=pa.array(keys, pa.int64()), grams=pa.array(blobs, pa.binary()))
-
-    return run
-
-
-def _bitmap(bits: int):
+    d = np.stack(dist)
+    of = np.where(home & (nearest <= inner), np.argmin(d, axis=0), len(d))
+    parts, cost = [], 0
+    for i in range(len(d)):
+        own = of == i
+        if own.any():
+            # members of earlier cells have met this one as visitors already
+            inside = own | ((d[i] <= d[i][own].max() + tau + 1e-9) & ((of > i) | ~home))
+            parts.append((np.flatnonzero(inside), own[inside]))
+            cost += int(own.sum()) * int(inside.sum())
+    rest = home & (of == len(d))
+    if rest.any():
+        far = d[:, rest].min(axis=1, keepdims=True) - d > tau + 1e-9  # visitors too near to a pivot for any of the rest
+        inside = rest | (~home & ~far.any(axis=0))
+        parts.append((np.flatnonzero(inside), rest[inside]))
+        cost += int(rest.sum()) * int(inside.sum())
+    return parts if cost <= 0.8 * int(home.sum()) * m else None
+
+
+def _marker(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, bool)
         for b in batches:
-            k = b.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+            k = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
             seen[(mix(k) & U64((1 << bits) - 1)).astype(np.int64)] = True
-        yield batch(bits=pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary()))
+        yield batch(one=pa.array([0], pa.int32()), bits=pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary()))
 
     return run
 
 
-def _join_cells(t: float, forest: bool):
-    def run(tab: pa.Table) -> pa.Table:
-        cells = tab.column("cell").to_numpy(), tab.column("block").to_numpy()
-        order = np.lexsort(cells[::-1])
-        c, blk = cells[0][order], cells[1][order]
-        nodes, homes, sub = (tab.column(k).to_numpy()[order] for k in ("node", "home", "sub"))
-        blobs = tab.column("grams").take(pa.array(order)).to_pylist()
-        cuts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (blk[1:] != blk[:-1]), True]) if len(c) else np.zeros(1, np.int64)
-        res: list[tuple[np.ndarray, ...]] = []
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if z - a < 2:
-                continue
-            sets = [np.frombuffer(x, np.int64) for x in blobs[a:z]]
-            i, j, common = metric_join(sets, 1 - t)
-            if not len(i):
-                continue
-            h, s = homes[a:z], sub[a:z]
-            # a pair met in both homes, or in several blocks, is given once
-            ok = np.minimum(h[i], h[j]) == c[a]
-            lo, hi = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
-            ok &= (lo * 65536 + hi == blk[a]) | ((lo == hi) & (blk[a] == _own_block(lo, blk[a])))
-            i, j, common = i[ok], j[ok], common[ok]
-            size = np.array([len(x) for x in sets])
-            if forest:
-                keep = _forest(i, j, z - a)
-                i, j, common = i[keep], j[keep], common[keep]
-            res.append((nodes[a:z][i], nodes[a:z][j], common / (size[i] + size[j] - common)))
-        a, b, jac = (np.concatenate([x[k] for x in res]) if res else np.zeros(0) for k in range(3))
-        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "jaccard": pa.array(jac.astype(np.float64))})
-
-    return run
-
+def _either(tab: pa.Table) -> pa.Table:
+    total = np.frombuffer(tab.column("bits")[0].as_py(), np.uint8).copy()
+    for blob in tab.column("bits"):
+        total |= np.frombuffer(blob.as_py(), np.uint8)
+    return pa.table({"bits": pa.array([total.tobytes()], pa.binary())})
 
-def _own_block(s: np.ndarray, block: int) -> np.ndarray:
-    """The block where a pair of one sub-block is given: (s, s)."""
-    return s * 65536 + s
 
+def _carrier(n: int, wanted):
+    """Full sets of the documents that stand for the nodes of regions; a bitmap spares nearly all others the work."""
 
-def _forest(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
-    """Marks the pairs of a spanning forest."""
-    root = list(range(m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted.value, np.uint8)
+        mask = U64(len(bits) * 8 - 1)
+        for b in batches:
+            at = (mix(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) & mask).astype(np.int64)
+            b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for _, sets in _slices(b, n):
+                sets = [s for s in sets if len(s)]
+                if sets:
+                    yield batch(node=key_bytes(set_keys(sets)), grams=pa.array([s.tobytes() for s in sets], pa.binary()))
 
-    keep = np.zeros(len(i), bool)
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep[k] = True
-    return keep
+    return released(run)
 
 
-def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest: bool = False, cell_nodes: int = CELL_NODES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every document with words, and (a, b, jaccard) of every two nodes with similarity >= t.
+def _region_pairs(tab: pa.Table, t: float, forest: bool) -> Iterator[pa.Table]:
+    """Joins the regions and blocks of one bucket.
 
-    With ``forest`` the pairs are those of a spanning forest of each cell: enough for groups, and linear in size.
+    Gives (a, b, jaccard) of every pair, or with ``forest`` (a = node, b = the least node it is joined with, links = how
+    many pairs it is in). A pair of several regions counts in the least of those that both belong to; a pair of one
+    sub-block in that sub-block's own block.
+    """
+    tab = tab.sort_by([("head", "ascending"), ("block", "ascending"), ("node", "ascending")])
+    block = tab.column("block").to_numpy()
+    heads = tab.column("head").to_pylist()
+    cuts = [0, *(k for k in range(1, len(heads)) if heads[k] != heads[k - 1] or block[k] != block[k - 1]), len(heads)]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        if z - a < 2:
+            continue
+        part = tab.slice(a, z - a)
+        sets = [np.frombuffer(x.as_py(), U64) for x in part.column("grams")]
+        size = np.array([len(s) for s in sets])
+        sub = part.column("sub").to_numpy()
+        # regions before this one to which a set belongs as well, as small numbers
+        low = [frozenset(h for h in hs if h < heads[a]) for hs in part.column("heads").to_pylist()]
+        kinds = list(dict.fromkeys(low))
+        number = {k: i for i, k in enumerate(kinds)}
+        kind = np.array([number[x] for x in low])
+        apart: dict[int, np.ndarray] = {}
+        cross = bool(block[a] >> 31 != block[a] & ((1 << 31) - 1))
+        label, links = np.arange(z - a), np.zeros(z - a, np.int64)
+        ia, ib, jac = [], [], []
+        for i, j, c in metric_join(sets, 1 - t, side=sub if cross else None):
+            if forest:
+                ends = np.unique(label[np.r_[i, j]])
+                if len(ends) > 1:
+                    label[np.isin(label, ends)] = ends[0]
+            if (k := int(kind[i])) not in apart:
+                apart[k] = np.array([kinds[k].isdisjoint(y) for y in kinds])
+            ok = apart[k][kind[j]]
+            j, c = j[ok], c[ok]
+            links[i] += len(j)
+            links[j] += 1
+            if not forest:
+                ia.append(np.full(len(j), i))
+                ib.append(j)
+                jac.append(c / (size[i] + size[j] - c))
+        node = part.column("node").combine_chunks()
+        if forest:
+            some = np.flatnonzero((links > 0) | (label != np.arange(z - a)))
+            yield pa.table({"a": node.take(pa.array(some)), "b": node.take(pa.array(label[some])), "links": pa.array(links[some], pa.int64())})
+        elif ia:
+            i, j = np.concatenate(ia), np.concatenate(ib)
+            lo, hi = np.minimum(i, j), np.maximum(i, j)
+            yield pa.table({"a": node.take(pa.array(lo)), "b": node.take(pa.array(hi)), "jaccard": pa.array(np.concatenate(jac), pa.float64())})
+
+
+def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest: bool = False, cell_sets: int = CELL_SETS, cell_grams: int = CELL_GRAMS, hot: int = HOT_LIST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, node) of every row with an id and words, and (a, b, jaccard) of every two nodes with similarity >= t.
+
+    ``version`` is a hash of the text. With ``forest`` the second is (a, b, links): the pairs of a spanning forest of
+    each region, and for a the number of its pairs, to be added up over all rows of a: linear in the memberships.
     """
     if not 0 < t <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
     spark = docs.sparkSession
     sc = spark.sparkContext
-    slim = id_text(docs)
+    slim = id_text(docs).where("doc_id is not null and text is not null")
     buckets = shuffle_partitions(spark)
-    profile = checkpoint(slim.mapInArrow(_profiler(n), "doc_id long, node long, n int, chunk int, counts binary"))
-    nodes = profile.where("chunk is null").select("doc_id", "node", "n")
+    schema = "doc_id long, version long, node binary, n int, chunk int, counts binary"
+    profile = checkpoint(slim.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(_profiler(n), schema))
+    nodes = profile.where("chunk is null").select("doc_id", "version", "node")
     sums = profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_counts, "chunk int, classes binary")
     classes = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in sums.toLocalIterator():  # 64 rows of 64 KB, whatever the input
         classes[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(r["classes"], np.uint8)
     shared = sc.broadcast(classes.tobytes())
 
-    prefixes = slim.select("doc_id", "text").mapInArrow(_prefixer(n, t, buckets, shared), "bucket int, blob binary")
-    lists = prefixes.groupBy("bucket").applyInArrow(_lists(buckets), "bucket int, blob binary")
-    met = lists.groupBy("bucket").applyInArrow(_pairs_at_pivots(t, buckets), "bucket int, blob binary")
-    pair = checkpoint(met.groupBy("bucket").applyInArrow(_sum_pairs(t), "a long, b long"))
-
-    # home: the least key among a set and its candidates; each pair is met at the lesser home of the two
-    ends = pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    home = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("home"))
-    both = pair.join(home.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a").join(home.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b").select("a", "b", "ha", "hb", F.least("ha", "hb").alias("cell"))
-    member = both.select("cell", F.col("a").alias("node"), F.col("ha").alias("home")).unionByName(both.select("cell", F.col("b").alias("node"), F.col("hb").alias("home"))).distinct()
-    # a cell over cell_nodes members is cut into blocks that meet two by two
-    count = member.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(cell_nodes)).cast("long").alias("blocks"))
-    member = member.join(count, "cell").withColumn("sub", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.lit(0)).cast("long"))
-    member = member.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least("sub", j) * 65536 + F.greatest("sub", j))))
-    member = checkpoint(member.select("cell", "block", "node", "home", "sub"))
-
-    bits = 23  # 1 MB: a fixed size; beyond some million nodes it lets more through, and the join below decides anyway
+    prefixes = slim.mapInArrow(_prefixer(n, t, buckets, shared, hot), "bucket int, salt long, keys binary, n binary, times binary, grams binary")
+    listed = checkpoint(prefixes.groupBy("bucket", "salt").applyInArrow(_lists, "head binary, node binary, n int, weight long, gram long"))
+    # a gram whose list was dealt to several tasks has the least of their heads
+    whole, dealt = listed.where("gram is null").drop("gram"), listed.where("gram is not null")
+    named = dealt.groupBy("gram").agg(F.min("head").alias("least"))
+    dealt = dealt.drop("head").join(named, "gram").select(F.col("least").alias("head"), "node", "n", "weight")
+    weighed = whole.unionByName(dealt).groupBy("head", "node").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
+    least = F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9))
+    need = F.least(F.lit(3) + F.floor(least / 16), least)
+    own = Window.partitionBy("node")
+    ranked = weighed.withColumn("need", need).withColumn("all", F.sum("weight").over(own)).withColumn("below", F.sum("weight").over(own.orderBy("weight", F.desc("head")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kept = ranked.where((F.col("all") >= F.col("need")) & (F.col("below") > F.floor((F.col("need") - 1) / 2)))
+    region = kept.groupBy("head").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).where("sets > 1")
+    region = region.select("head", F.ceil(F.greatest(F.col("sets") / F.lit(cell_sets), F.col("grams") / F.lit(cell_grams))).cast("long").alias("blocks"))
+    member = kept.join(region, "head").select("head", "node", "blocks", F.sort_array(F.collect_list("head").over(own)).alias("heads"))
+    member = member.withColumn("sub", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.lit(0)).cast("long"))
+    member = checkpoint(member.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("sub", j).alias("x"), F.greatest("sub", j).alias("y"))))).drop("blocks"))
+
+    reps = checkpoint(nodes.join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    bits = min(max(MARK_BITS[0], (16 * reps.count()).bit_length()), MARK_BITS[1])
     marks = np.zeros((1 << bits) // 8, np.uint8)
-    for r in _or_bits(member, bits):
-        marks |= r
+    for r in reps.select("doc_id").repartition(4).mapInArrow(_marker(bits), "one int, bits binary").groupBy("one").applyInArrow(_either, "bits binary").toLocalIterator():
+        marks |= np.frombuffer(r["bits"], np.uint8)  # one row, 16 MB at most
     wanted = sc.broadcast(marks.tobytes())
-    full = slim.mapInArrow(_carrier(n, wanted), "node long, grams binary").join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
-    cells = member.join(full, "node").withColumn("bucket", F.pmod(F.xxhash64("cell", "block"), F.lit(buckets)))
-    pairs = cells.groupBy("bucket").applyInArrow(lambda tab: _join_cells(t, forest)(tab), "a long, b long, jaccard double")
-    return nodes, pairs
-
-
-def _or_bits(member: DataFrame, bits: int) -> Iterator[np.ndarray]:
-    """Bitmaps of the nodes, merged by reducers before the driver sees them."""
+    full = slim.mapInArrow(_carrier(n, wanted), "node binary, grams binary").join(reps.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    cells = member.join(full, "node").withColumn("bucket", F.pmod(F.xxhash64("head", "block"), F.lit(buckets)))
+    kind = "a binary, b binary, links long" if forest else "a binary, b binary, jaccard double"
+    empty = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), **({"links": pa.array([], pa.int64())} if forest else {"jaccard": pa.array([], pa.float64())})})
 
-    def merge(tab: pa.Table) -> pa.Table:
-        total = np.zeros((1 << bits) // 8, np.uint8)
-        for blob in tab.column("bits").to_pylist():
-            total |= np.frombuffer(blob, np.uint8)
-        return pa.table({"bits": pa.array([total.tobytes()], pa.binary())})
+    def join(tab: pa.Table) -> pa.Table:
+        x = tab.column("block").combine_chunks()
+        both = pa.array(x.field("x").to_numpy() * (1 << 31) + x.field("y").to_numpy())
+        return pa.concat_tables([empty, *_region_pairs(tab.set_column(tab.column_names.index("block"), "block", both), t, forest)])
 
-    spread = member.select("node").repartition(4).mapInArrow(_bitmap(bits), "bits binary")
-    for r in spread.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(merge, "bits binary").toLocalIterator():
-        yield np.frombuffer(r["bits"], np.uint8)
+    pairs = cells.select("bucket", "head", "block", "sub", "node", "heads", "grams").groupBy("bucket").applyInArrow(released(join), kind)
+    return nodes, pairs
 
 
 def ngram_jaccard_join(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """Every two documents whose sets of lower-case word n-grams have Jaccard similarity >= t, exactly.
+    """Every two different texts whose sets of lower-case word n-grams have Jaccard similarity >= t, exactly.
 
-    Result: doc_id_a < doc_id_b, jaccard. Words are runs of ASCII letters and digits and of any non-ASCII
+    Result: doc_id_a < doc_id_b, jaccard, where a document stands for all of an equal n-gram set: the one of least
+    doc_id (``similar_classes`` says for which). Words are runs of ASCII letters and digits and of any non-ASCII
     characters. A document of fewer than n words has one gram, all its words; one without words (null, empty,
-    punctuation only) has none and no partner. A null doc_id joins with none. Repeated doc_ids pair only with
-    other ids; each pair of ids is given once. Extra columns are ignored. An empty table gives an empty result.
+    punctuation only) has none and no partner. A null doc_id joins with none. The texts of a repeated doc_id are
+    compared each by itself, never with one another; of several pairs of the same two ids the most similar is given.
+    Texts of any length are taken whole. Extra columns are ignored, whatever their names. An empty table gives an
+    empty result.
     """
     nodes, pairs = similar_nodes(docs, t, n)
-    ids = nodes.where("doc_id is not null").select("doc_id", "node").distinct()
-    far = pairs.join(ids.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y", "jaccard")
-    same = ids.select("node", F.col("doc_id").alias("x")).join(ids.select("node", F.col("doc_id").alias("y")), "node").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    out = far.unionByName(same).where("x <> y")
+    rep = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    out = pairs.join(rep.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), "a").join(rep.select(F.col("node").alias("b"), F.col("doc_id").alias("y")), "b").where("x <> y")
     return out.groupBy(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
-def groups(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """(doc_id, group_id): the least doc_id that a document reaches over similar pairs; only documents in groups of two or more."""
-    from .components import connected
+def _classes(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, node) of rows, and (node, class, links): a node's component and how many nodes are similar to it."""
+    nodes, found = similar_nodes(docs, t, n, forest=True)
+    found = checkpoint(found)
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    comp = connected(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return nodes, links.join(comp.select(F.col("id").alias("node"), F.col("root").alias("class")), "node", "full")
+
 
-    nodes, pairs = similar_nodes(docs, t, n, forest=True)
-    ids = checkpoint(nodes.where("doc_id is not null").select("doc_id", "node").distinct())
-    head = ids.groupBy("node").agg(F.min("doc_id").alias("head"))
-    star = ids.join(head, "node").select(F.col("head").alias("src"), F.col("doc_id").alias("dst")).where("src <> dst")
-    links = pairs.join(head.select(F.col("node").alias("a"), F.col("head").alias("src")), "a").join(head.select(F.col("node").alias("b"), F.col("head").alias("dst")), "b").select("src", "dst").where("src <> dst")
-    return connected(star.unionByName(links))
+def similar_classes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+    """doc_id, class_id, n_links for every row of ``docs``.
+
+    n_links counts the other texts (distinct n-gram sets) of similarity >= t to the row's own, whoever has them; copies
+    of one set aren't told apart. class_id is the least doc_id of all documents that equal sets and links connect
+    with the row, its own where there are none. Rows without words have themselves as class and no links; a null
+    doc_id has a null class and is in no one else's. Repeated rows give repeated results; the texts of a repeated
+    doc_id are in classes of their own. Words, short and long texts, extra columns and empty tables: as in
+    ``ngram_jaccard_join``.
+    """
+    nodes, found = _classes(docs, t, n)
+    rep = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    placed = rep.join(found, "node", "left").select("node", "rep", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    head = placed.groupBy("class").agg(F.min("rep").alias("class_id"))
+    placed = placed.join(head, "class").select("node", "class_id", "links")
+    named = nodes.join(placed, "node").select("doc_id", "class_id", F.col("links").alias("n_links"))
+    spoken = nodes.select("doc_id", "version").distinct()
+    slim = id_text(docs).select("doc_id", F.xxhash64("text").alias("version"))
+    silent = slim.join(spoken, ["doc_id", "version"], "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return named.unionByName(silent)
 
 
 def drop_similar(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """The documents without the later members of each group of similar ones: the least doc_id of a group stays.
+    """The rows without the later members of each group of similar ones: the row of least doc_id of a group stays.
 
-    Of rows with an equal doc_id and equal text all stay (they are one document here); rows with a null doc_id
-    and documents without words stay. All columns are kept.
+    Groups are the classes of ``similar_classes``. It is rows that go, not ids: where an id is repeated, only the row
+    whose own text is in the group goes. Of rows of equal doc_id and equal text all stay or go together. Rows with a
+    null doc_id and rows without words stay. All columns are kept, whatever their names; an empty table stays empty.
     """
-    gone = groups(docs, t, n).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    nodes, found = _classes(docs, t, n)
+    placed = nodes.join(found.select("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    stays = placed.groupBy("class").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = placed.join(stays, "class").where(F.struct("doc_id", "version") != F.col("first")).select("doc_id", "version").distinct()
+    mark, taken = "gone", {c.lower() for c in docs.columns}
+    while mark in taken or f"{mark}_id" in taken:
+        mark += "_"
+    gone = gone.select(F.col("doc_id").alias(f"{mark}_id"), F.col("version").alias(mark))
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(f"{mark}_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark)), "left_anti")

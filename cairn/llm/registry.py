@@ -12,7 +12,7 @@ from .crf import assess
 from .dac import encode_tokens
 from .langid import identify
 from .licenses import licenses
-from .ngram_join import ngram_jaccard_join
+from .ngram_join import similar_classes
 from .packing import pack
 from .secrets import scan
 from .unigram import token_counts
@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": lambda s, d: encode(table(s, d, "documents")),
-    "op2_ngram_join": lambda s, d: ngram_jaccard_join(table(s, d, "documents")),
+    "op2_ngram_join": lambda s, d: similar_classes(table(s, d, "documents")),
     "op3_fingerprints": lambda s, d: fingerprints(table(s, d, "documents")),
     "op4_quality_rules": lambda s, d: assess(table(s, d, "documents"), table(s, d, "labels")),
     "op5_language_id": lambda s, d: identify(table(s, d, "documents")),
@@ -37,11 +37,17 @@ _WORDS = r"list_filter(string_split_regex(lower(text), '[^0-9a-z\x{80}-\x{10FFFF
 
 ORACLE: dict[str, str] = {
     "op2_ngram_join": f"""
-WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
       ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT x AS doc_id_a, y AS doc_id_b, c::DOUBLE / (a.n + b.n - c) AS jaccard
-FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c::DOUBLE / (a.n + b.n - c) >= 0.5""",
+s AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS s FROM g GROUP BY doc_id),
+r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY s) AS rep FROM s),
+h AS (SELECT g.doc_id, g.g, r.n FROM g JOIN r ON r.doc_id = g.doc_id WHERE r.rep = r.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM h a JOIN h b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+      HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5),
+c(x, root) AS (SELECT DISTINCT rep, rep FROM r UNION SELECT p.y, c.root FROM c JOIN p ON p.x = c.x),
+k AS (SELECT x, min(root) AS class_id FROM c GROUP BY x),
+l AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN k ON k.x = r.rep LEFT JOIN l ON l.x = r.rep""",
 }

@@ -26,19 +26,58 @@ def grams(text, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
+def brute_nodes(pairs):
+    """(id, gram set) of rows with both, and for each set the least id that has it."""
+    rows = [(i, frozenset(grams(text))) for i, text in pairs if i is not None and grams(text)]
+    rep: dict[frozenset, int] = {}
+    for i, g in rows:
+        rep[g] = min(i, rep.get(g, i))
+    return rows, rep
+
+
+def brute_links(rep, t):
+    return {(a, b): len(a & b) / len(a | b) for a, b in itertools.combinations(rep, 2) if len(a & b) / len(a | b) >= t}
+
+
 def brute_pairs(pairs, t):
-    by_id: dict[int, list[set]] = {}
-    for i, text in pairs:
-        if i is not None and grams(text):
-            by_id.setdefault(i, []).append(grams(text))
-    out = {}
-    for a, b in itertools.combinations(sorted(by_id), 2):
-        best = max(len(x & y) / len(x | y) for x in by_id[a] for y in by_id[b])
-        if best >= t:
-            out[a, b] = round(best, 9)
+    _, rep = brute_nodes(pairs)
+    out: dict[tuple[int, int], float] = {}
+    for (a, b), jac in brute_links(rep, t).items():
+        x, y = sorted((rep[a], rep[b]))
+        if x != y:
+            out[x, y] = max(round(jac, 9), out.get((x, y), 0))
     return out
 
 
+def brute_classes(pairs, t):
+    """A list of (id, class, links) for every row, and the rows that stay when one of each class does."""
+    rows, rep = brute_nodes(pairs)
+    head = {g: g for g in rep}
+
+    def find(g):
+        while head[g] != g:
+            g = head[g]
+        return g
+
+    links: Counter = Counter()
+    for a, b in brute_links(rep, t):
+        links[a] += 1
+        links[b] += 1
+        head[find(a)] = find(b)
+    least: dict[frozenset, int] = {}
+    for g, i in rep.items():
+        least[find(g)] = min(i, least.get(find(g), i))
+    out, members = [], {}
+    for i, text in pairs:
+        g = frozenset(grams(text))
+        if i is None or not g:
+            out.append((i, i, 0))
+        else:
+            out.append((i, least[find(g)], links[g]))
+            members.setdefault(find(g), set()).add((i, text))
+    return out, members
+
+
 def copies(seed=5):
     r = random.Random(seed)
     out = []
@@ -52,6 +91,23 @@ def copies(seed=5):
     return out
 
 
+def families(count, size, words=60, change=0.02, seed=3):
+    """Families of drifting texts that also share a passage with a text of the next family."""
+    r = random.Random(seed)
+    every = [f"{a}{b}" for a in WORDS for b in WORDS]
+    out = []
+    for _ in range(count):
+        base = [r.choice(every) for _ in range(words)]
+        for _ in range(size):
+            base = [x if r.random() > change / 4 else r.choice(every) for x in base]
+            out.append((len(out) + 1, " ".join(x if r.random() > change else r.choice(every) for x in base)))
+    first = [t for _, t in out[::size]]
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        half = words // 2
+        out.append((len(out) + 1, " ".join(a.split()[:half] + b.split()[half:])))
+    return out
+
+
 @pytest.mark.parametrize("t", [0.3, 0.5, 0.8, 1.0])
 def test_join_finds_exactly_the_similar_pairs(spark, t):
     pairs = AWKWARD + copies()
@@ -59,59 +115,106 @@ def test_join_finds_exactly_the_similar_pairs(spark, t):
     assert got == brute_pairs(pairs, t)
 
 
+@pytest.mark.parametrize("t", [0.4, 0.5, 0.9])
+def test_classes_and_links_of_every_row(spark, t):
+    pairs = AWKWARD + copies(8) + [(i + 1000, x) for i, x in copies(8)[:20]]
+    got = Counter(map(tuple, ngram_join.similar_classes(clashing(spark, pairs), t).select("doc_id", "class_id", "n_links").collect()))
+    assert got == Counter(brute_classes(pairs, t)[0])
+
+
 def test_join_of_nothing_and_bad_threshold(spark):
-    assert ngram_join.ngram_jaccard_join(table(spark, [])).collect() == []
-    assert ngram_join.ngram_jaccard_join(table(spark, [(1, None), (2, "")])).collect() == []
+    nothing, silent = table(spark, []), table(spark, [(1, None), (2, ""), (None, "a b c")])
+    assert ngram_join.ngram_jaccard_join(nothing).collect() == ngram_join.similar_classes(nothing).collect() == ngram_join.drop_similar(nothing).collect() == []
+    assert ngram_join.ngram_jaccard_join(silent).collect() == []
+    assert sorted(map(tuple, ngram_join.similar_classes(silent).collect()), key=str) == [(1, 1, 0), (2, 2, 0), (None, None, 0)]
+    assert ngram_join.drop_similar(silent).count() == 3
     with pytest.raises(ValueError):
-        ngram_join.ngram_jaccard_join(table(spark, []), 0)
+        ngram_join.ngram_jaccard_join(nothing, 0)
 
 
-def test_metric_join_recurses_exactly():
-    r = np.random.default_rng(2)
-    centres = [np.unique(r.integers(0, 10**6, 60)) for _ in range(40)]
+@pytest.mark.parametrize("tau", [0.3, 0.5, 0.7])
+def test_metric_join_splits_and_recurses_exactly_with_its_own_parameters(tau):
+    """Many families in one region, more than there are pivots: with the parameters of production they part, level after level."""
     sets = []
-    for c in centres:
-        for _ in range(12):
-            keep = c[r.random(len(c)) > 0.1]
-            sets.append(np.unique(np.r_[keep, r.integers(0, 10**6, 4)]))
-    i, j, c = ngram_join.metric_join(sets, 0.5, leaf=8)
-    got = dict(zip(zip(i.tolist(), j.tolist(), strict=True), c.tolist(), strict=True))
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        c = np.unique(r.integers(0, 10**6, 60))
+        for k in range(12):
+            sets.append(np.unique(np.r_[c[r.random(len(c)) > 0.02 + 0.02 * k], r.integers(0, 10**6, 4)]))
+    sets += [np.unique(np.r_[sets[k][:30], sets[k + 12][:30]]) for k in range(0, 240, 12)]
+    order = r.permutation(len(sets))
+    sets = [sets[k].astype(np.uint64) for k in order]
+    trace = []
+    got = {}
+    for i, js, cs in ngram_join.metric_join(sets, tau, trace=trace):
+        for j, c in zip(js.tolist(), cs.tolist(), strict=True):
+            assert (min(i, j), max(i, j)) not in got  # each pair once
+            got[min(i, j), max(i, j)] = c
     want = {}
     for a, b in itertools.combinations(range(len(sets)), 2):
         n = len(np.intersect1d(sets[a], sets[b]))
-        if n / (len(sets[a]) + len(sets[b]) - n) >= 0.5:
+        if n / (len(sets[a]) + len(sets[b]) - n) >= 1 - tau - 1e-9:
             want[a, b] = n
     assert got == want
+    if tau <= 0.5:
+        assert len(trace) >= 2 and sum(cells for _, cells in trace) > ngram_join.PIVOTS  # more than one level of pivots
+
 
+def test_large_regions_and_hot_lists_are_cut(spark):
+    pairs = copies() + families(3, 30, change=0.005)
+    whole = sorted(map(tuple, ngram_join.similar_nodes(table(spark, pairs), 0.5)[1].collect()))
+    for cut in ({"cell_sets": 2}, {"cell_sets": 7}, {"cell_grams": 300}, {"hot": 1}, {"hot": 3, "cell_sets": 5}):
+        found = ngram_join.similar_nodes(table(spark, pairs), 0.5, **cut)[1]
+        assert sorted(map(tuple, found.collect())) == whole
+        links = ngram_join.similar_nodes(table(spark, pairs), 0.5, forest=True, **cut)[1].groupBy("a").agg(F.sum("links")).collect()
+        want = Counter(x for a, b, _ in whole for x in (bytes(a), bytes(b)))
+        assert {bytes(a): n for a, n in links if n} == dict(want)
 
-def test_large_cells_are_cut_into_blocks(spark):
-    pairs = copies()
-    nodes, found = ngram_join.similar_nodes(table(spark, pairs), 0.5, cell_nodes=2)
-    whole = ngram_join.similar_nodes(table(spark, pairs), 0.5)[1]
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+
+def test_regions_over_a_leaf_agree_with_the_sql(spark, tmp_path):
+    """Families of 150 make regions of over LEAF sets; DuckDB runs the registered SQL on the same table."""
+    import duckdb
+
+    from cairn.llm.registry import ORACLE
+
+    pairs = families(6, 150, change=0.01) + [(i + 5000, t) for i, t in copies()]
+    con = duckdb.connect()
+    table(spark, pairs).toPandas().to_parquet(f := str(tmp_path / "d.parquet"))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{f}')")
+    want = Counter(con.execute("SELECT doc_id, class_id, n_links FROM (" + ORACLE["op2_ngram_join"] + ")").fetchall())
+    got = ngram_join.similar_classes(table(spark, pairs)).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
+    assert max(r["n_links"] for r in got) > ngram_join.LEAF
+
+
+def test_keys_are_long_and_ordered():
+    keys = ngram_join.set_keys([np.arange(n, dtype=np.uint64) for n in range(1, 2000)])
+    raw = [x.as_py() for x in ngram_join.key_bytes(keys)]
+    assert len(set(raw)) == len(raw) and all(len(x) == 16 for x in raw)
+    assert sorted(range(len(raw)), key=raw.__getitem__) == np.lexsort((keys[:, 1], keys[:, 0])).tolist()
 
 
 def test_one_of_each_group_stays(spark):
-    pairs = AWKWARD + copies()
-    edges = brute_pairs(pairs, 0.5)
-    head = {i: i for i, _ in pairs if i is not None}
+    pairs = AWKWARD + copies() + [(5, "quite another text under a number that is there twice already"), (100, prose(100))]
+    _, members = brute_classes(pairs, 0.5)
+    gone = set()
+    for rows in members.values():
+        first = min(i for i, _ in rows)
+        gone |= {row for row in rows if row[0] != first}
+    want = Counter((i, t) for i, t in pairs if (i, t) not in gone)
+    frame = clashing(spark, pairs).selectExpr("*", "1 AS gone", "1 AS GONE_id", "1 AS __gone")
+    out = ngram_join.drop_similar(frame)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want and out.columns == frame.columns
 
-    def find(x):
-        while head[x] != x:
-            x = head[x]
-        return x
 
-    for a, b in edges:
-        a, b = find(a), find(b)
-        head[max(a, b)] = min(a, b)
-    want = Counter((i, t) for i, t in pairs if i is None or find(i) == i)
-    out = ngram_join.drop_similar(clashing(spark, pairs))
-    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want and out.columns == clashing(spark, []).columns
+def test_a_repeated_id_loses_only_the_row_that_is_a_copy(spark):
+    pairs = [(1, prose(1)), (5, prose(1)), (5, prose(50)), (7, prose(70))]
+    assert sorted(r["doc_id"] for r in ngram_join.drop_similar(table(spark, pairs)).collect()) == [1, 5, 7]
 
 
 def test_components(spark):
     edges = [(a, a + 1) for a in range(0, 60)] + [(100, 99), (98, 99), (7, 7), (200, 201), (201, 200)]
-    got = {r["doc_id"]: r["group_id"] for r in connected(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r["id"]: r["root"] for r in connected(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 98: 98, 99: 98, 100: 98, 200: 200, 201: 200}
     assert connected(spark.createDataFrame([], "src long, dst long")).collect() == []
 
