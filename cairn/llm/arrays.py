@@ -43,11 +43,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and the n + 1 offsets of a string column; a null counts as an empty text."""
+def sound(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The column as large strings of valid UTF-8: what isn't part of a character becomes U+FFFD; nulls stay."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        raw = column.cast(pa.large_binary())
+        column = pa.array([None if not x.is_valid else x.as_py().decode("utf-8", "replace") for x in raw], pa.large_string())
+    return column
+
+
+def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and the n + 1 offsets of a string column, made ``sound``; a null counts as an empty text."""
+    column = sound(column)
     if column.null_count:
         column = column.fill_null("")
     _, offsets, data = column.buffers()

@@ -4,16 +4,18 @@
 documents outside a region can have a partner in it. Between unrelated texts nearly all distances are 1, where no
 bound tells anything, so that pivots must be near what they attract. The steps:
 
-1. ``profile``: every set's key and size, and a fixed-size count sketch of all grams of the corpus, in one pass.
-2. Pivots. Grams of a set are ordered rarest first by the sketch. Two sets with similarity >= t have at least
-   g common grams within their first n - ceil(t n) + k grams (prefix filter), with g from either's size. The sets
-   that share such a gram attract each other: the least key among them is their pivot.
-3. Regions. A set belongs to the regions of its pivots, with a weight: how many of its rare grams lead there. Its
+1. ``profile``: every set's key and size in one pass, and the grams that a good share of all documents hold.
+2. Grams meet by hash and learn how many sets hold them (``_counted``), and go back to their documents (``_fronts``).
+   A document's grams are ordered rarest first. Two sets with similarity >= t have at least g common grams within
+   their first n - ceil(t n) + k grams (prefix filter), with g from either's size. Grams of one document alone come
+   first and are never sent again: most documents have nothing else in front and are done.
+3. Pivots. The sets that share a gram in front attract each other: the least key among them is their pivot (``_lists``).
+4. Regions. A set belongs to the regions of its pivots, with a weight: how many of its front grams lead there. Its
    nearest pivot is its home, the others make it a boundary document of their regions. Regions whose weights sum up
-   to (g - 1) // 2 or less are left, the weakest first: two sets that both do so still meet in one. A set whose
+   to less than half of g are left, the weakest first: two sets that both do so still meet in one. A set whose
    weights sum up to less than g has no partner. All this is linear in the number of memberships; no pair is made.
-4. Full sets travel to their regions. A region over CELL_GRAMS grams or CELL_SETS sets is cut into blocks that meet two by two.
-5. ``metric_join`` joins a region exactly and recursively: pivots far apart, Voronoi cells of what is near them,
+5. Full sets travel to their regions. A region over CELL_GRAMS grams or CELL_SETS sets is cut into blocks that meet two by two.
+6. ``metric_join`` joins a region exactly and recursively: pivots far apart, Voronoi cells of what is near them,
    windows by the triangle inequality for what must be looked at from outside, the remote rest with new pivots.
    A pair that meets in several regions counts in the least they have in common.
 
@@ -27,20 +29,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import U64, byte_slices, mix, ngram_sets, text_bytes
+from .arrays import U64, byte_slices, mix, ngram_sets, sound, text_bytes
 from .common import batch, checkpoint, id_text, released, shuffle_partitions
 from .components import connected
 
 NGRAM, THRESHOLD = 3, 0.5
-SKETCH_BITS, CHUNK_BITS = 22, 16
 LEAF = 64
 PIVOTS = 16
 CELL_GRAMS, CELL_SETS = 1 << 20, 4096
-HOT_LIST = 1 << 17
+HOT_LIST, HOT_SHARE = 1 << 14, 0.005
+FLUSH_GRAMS = 1 << 20
 MARK_BITS = (16, 27)
+WIDE = 5  # bytes of a gram on its way to be counted; with its bucket they name it
 
 
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -70,132 +74,231 @@ def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
 
 
 def needed(n: np.ndarray, t: float) -> np.ndarray:
-    """g: common prefix grams that a set of n grams has at least with each set of similarity >= t."""
+    """g: common front grams that a set of n grams has at least with each set of similarity >= t.
+
+    One less than the prefix filter gives: two grams of a document may have one name on their way.
+    """
     least = np.ceil(t * n - 1e-9).astype(np.int64)  # of a partner's grams, and of common ones
-    return np.minimum(prefix_common(least), least)
+    return np.maximum(np.minimum(prefix_common(least), least) - 1, 1)
 
 
 def _slices(b: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, gram sets of the rows from there) of bounded slices."""
-    data, off = text_bytes(pc.utf8_lower(b.column("text").cast(pa.large_string())))
+    data, off = text_bytes(pc.utf8_lower(sound(b.column("text"))))
     for lo, hi in byte_slices(off):
         yield lo, ngram_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
 
 
-def _profiler(n: int):
+def _profiler(n: int, share: float = HOT_SHARE):
+    """Rows (doc_id, version, node, n) of documents, and (gram, times, docs) of the task's frequent grams (lossy counting)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        grams, times, docs = np.zeros(0, U64), np.zeros(0, np.int64), 0
         for b in batches:
             for lo, sets in _slices(b, n):
                 some = np.flatnonzero([len(s) for s in sets])
                 sets = [sets[i] for i in some.tolist()]
                 if not sets:
                     continue
-                slots, times = np.unique((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
-                counts[slots] += times.astype(np.uint32)
+                docs += len(sets)
+                g, c = np.unique(np.concatenate(sets), return_counts=True)
+                often = c > max(1, share / 2 * len(sets))
+                grams, at = np.unique(np.r_[grams, g[often]], return_inverse=True)
+                times = np.bincount(at, weights=np.r_[times, c[often]], minlength=len(grams)).astype(np.int64)
+                keep = times >= share / 2 * docs
+                grams, times = grams[keep], times[keep]
                 at = pa.array(lo + some)
-                yield batch(doc_id=b.column("doc_id").take(at), version=b.column("version").take(at), node=key_bytes(set_keys(sets)), n=pa.array([len(s) for s in sets], pa.int32()), chunk=pa.nulls(len(sets), pa.int32()), counts=pa.nulls(len(sets), pa.binary()))
-        for c in range(1 << (SKETCH_BITS - CHUNK_BITS)):
-            part = counts[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
-            if part.any():
-                at = np.flatnonzero(part).astype(np.uint16)
-                yield batch(doc_id=pa.nulls(1, pa.int64()), version=pa.nulls(1, pa.int64()), node=pa.nulls(1, pa.binary()), n=pa.nulls(1, pa.int32()), chunk=pa.array([c], pa.int32()), counts=pa.array([np.uint32(len(at)).tobytes() + at.tobytes() + part[at].astype(np.uint32).tobytes()], pa.binary()))
+                m = len(sets)
+                yield batch(doc_id=b.column("doc_id").take(at), version=b.column("version").take(at), node=key_bytes(set_keys(sets)), n=pa.array([len(s) for s in sets], pa.int32()), gram=pa.nulls(m, pa.int64()), times=pa.nulls(m, pa.int64()))
+        if m := len(grams):
+            yield batch(doc_id=pa.nulls(m, pa.int64()), version=pa.nulls(m, pa.int64()), node=pa.nulls(m, pa.binary()), n=pa.nulls(m, pa.int32()), gram=pa.array(grams.view(np.int64)), times=pa.array(times))
 
     return released(run)
 
 
-def _add_counts(t: pa.Table) -> pa.Table:
-    total = np.zeros(1 << CHUNK_BITS, np.uint64)
-    for blob in t.column("counts"):
-        blob = blob.as_py()
-        m = int(np.frombuffer(blob, np.uint32, 1)[0])
-        at = np.frombuffer(blob, np.uint16, m, 4)
-        total[at] += np.frombuffer(blob[4 + 2 * m :], np.uint32, m)
-    classes = np.rint(4 * np.log2(total + 1.0)).astype(np.uint8)
-    return pa.table({"chunk": t.column("chunk").slice(0, 1), "classes": pa.array([classes.tobytes()], pa.binary())})
+SPREAD = "bucket int, flush long, source int, ords binary, grams binary, classes binary, keys binary, sizes binary"
+
+
+def _spread_row(**columns) -> pa.RecordBatch:
+    m = len(columns["bucket"])
+    kinds = {"bucket": pa.int32(), "flush": pa.int64(), "source": pa.int32()}
+    return batch(**{k: columns.get(k, pa.nulls(m, kinds.get(k, pa.binary()))) for k in (c.split()[0] for c in SPREAD.split(", "))})
 
 
-def _prefixer(n: int, t: float, buckets: int, shared, hot: int):
-    """The rarest grams of every set, gathered by bucket; a set that comes again in the task is left out.
+def _spreader(n: int, buckets: int, hot_grams: np.ndarray, hot_times: np.ndarray):
+    """All grams of all sets by bucket, with their document's number in its flush; a set that comes again in the task is left out.
 
-    Rows (bucket, salt, keys, n, times, grams): of each set its key, its size, how many of its grams are here, and
-    those. A gram whose sketch count is over ``hot`` has its list dealt to several tasks: its rows carry a salt.
+    The table of a flush (the documents' keys and sizes) and its hot grams, whose counts are known, travel with it.
     """
 
-    def flush(keys: list[np.ndarray], size: list[int], prefix: list[np.ndarray], classes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, n_all = np.concatenate(keys), np.array(size, np.int32)
-        grams, owner = np.concatenate(prefix), np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
-        where = (mix(grams) % U64(buckets)).astype(np.int64)
-        often = np.exp2(classes[(grams >> U64(64 - SKETCH_BITS)).astype(np.int64)] / 4.0)
-        parts = np.maximum(np.ceil(often / hot), 1).astype(np.int64)
-        salt = np.where(parts > 1, 1 + (key[owner, 1] % parts.astype(U64)).astype(np.int64), 0)
-        order = np.lexsort((owner, salt, where))
-        where, salt, owner, grams = where[order], salt[order], owner[order], grams[order]
-        cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (salt[1:] != salt[:-1]), True])
-        cols: list[list[bytes]] = [[], [], [], []]
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = owner[a:z]
-            run = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
-            who = own[run[:-1]]
-            for col, v in zip(cols, (key[who], n_all[who], np.diff(run).astype(np.uint32), grams[a:z]), strict=True):
-                col.append(v.tobytes())
-        yield batch(bucket=pa.array(where[cuts[:-1]], pa.int32()), salt=pa.array(salt[cuts[:-1]], pa.int64()), **{k: pa.array(c, pa.binary()) for k, c in zip(("keys", "n", "times", "grams"), cols, strict=True)})
+    def flush(name: int, keys: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
+        owner = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+        home = int(mix(np.array([name], U64))[0] % U64(buckets))
+        ids = gram_ids(grams, buckets)
+        hot_at = np.minimum(np.searchsorted(hot_grams, grams), max(0, len(hot_grams) - 1))
+        hot = hot_grams[hot_at] == grams if len(hot_grams) else np.zeros(len(grams), bool)
+        yield _spread_row(bucket=pa.array([home], pa.int32()), flush=pa.array([name], pa.int64()), keys=pa.array([keys.tobytes()], pa.binary()), sizes=pa.array([sizes.astype(np.int32).tobytes()], pa.binary()))
+        if hot.any():
+            yield _spread_row(
+                bucket=pa.array([home], pa.int32()), flush=pa.array([name], pa.int64()), source=pa.array([-1], pa.int32()), ords=pa.array([owner[hot].tobytes()], pa.binary()),
+                grams=pa.array([ids[hot].tobytes()], pa.binary()), classes=pa.array([class_of(hot_times[hot_at[hot]]).tobytes()], pa.binary()),
+            )
+            owner, ids = owner[~hot], ids[~hot]
+        where = ids % buckets
+        order = np.argsort(where.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
+        where, owner, short = where[order], owner[order], (ids[order] // buckets).view(np.uint8).reshape(-1, 8)[:, :WIDE]
+        cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True]) if len(where) else np.zeros(1, np.int64)
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        target = pa.array(where[cuts[:-1]].astype(np.int32), pa.int32())
+        yield _spread_row(bucket=target, flush=pa.array([name] * len(spans), pa.int64()), source=target, ords=pa.array([owner[a:z].tobytes() for a, z in spans], pa.binary()), grams=pa.array([short[a:z].tobytes() for a, z in spans], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = np.frombuffer(shared.value, np.uint8)
         seen: set[bytes] = set()
-        held: tuple[list, list, list] = ([], [], [])
-        total = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        total = done = 0
+        task = TaskContext.get().partitionId() << 32
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield from flush(task + done, np.stack([k for k, _ in held]), np.array([len(s) for _, s in held], np.int64), np.concatenate([s for _, s in held]))
+
         for b in batches:
             for _, sets in _slices(b, n):
                 sets = [s for s in sets if len(s)]
-                keys = set_keys(sets)
-                for i, s in enumerate(sets):
-                    name = keys[i].tobytes()
-                    if name in seen:
-                        continue
-                    seen.add(name)
-                    length = int(prefix_length(np.int64(len(s)), t))
-                    p = s if length >= len(s) else s[np.argsort(classes[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:length]]
-                    for lst, v in zip(held, (keys[i : i + 1], len(s), p), strict=True):
-                        lst.append(v)
-                    total += len(p)
-                if total > 1 << 20:
-                    yield from flush(*held, classes)
-                    held, total = ([], [], []), 0
-        if total:
-            yield from flush(*held, classes)
+                for key, s in zip(set_keys(sets), sets, strict=True):
+                    if (name := key.tobytes()) not in seen:
+                        seen.add(name)
+                        held.append((key, s))
+                        total += len(s)
+                    if total > FLUSH_GRAMS or len(held) == 1 << 16:
+                        yield from out()
+                        held, total, done = [], 0, done + 1
+        if held:
+            yield from out()
 
     return released(run)
 
 
+def gram_ids(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """A gram's name: WIDE bytes of it and its bucket."""
+    where = grams % U64(buckets)
+    return ((grams // U64(buckets) & U64((1 << 8 * WIDE) - 1)) * U64(buckets) + where).astype(np.int64)
+
+
+def class_of(times: np.ndarray) -> np.ndarray:
+    """Steps of a quarter power of two: what the order of grams goes by."""
+    return np.minimum(np.rint(4 * np.log2(np.maximum(times, 1))), 255).astype(np.uint8)
+
+
+def _joined(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of blobs, and how many each blob has."""
+    blobs = [x.as_buffer() for x in column.combine_chunks()]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(blobs), kind), np.array([len(x) // size for x in blobs], np.int64)
+
+
+def _counted(tab: pa.Table) -> pa.Table:
+    """Of one bucket's grams those that two documents or more hold, with the class of their number; what is no gram goes on."""
+    rest = tab.filter(pc.or_kleene(pc.is_null(tab.column("source")), pc.equal(tab.column("source"), -1)))
+    tab = tab.filter(pc.greater_equal(tab.column("source"), 0))
+    if not tab.num_rows:
+        return rest
+    ords, n = _joined(tab.column("ords"), np.uint16)
+    raw = np.frombuffer(b"".join(x.as_buffer() for x in tab.column("grams").combine_chunks()), np.uint8).reshape(-1, WIDE)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :WIDE] = raw
+    gram = wide.reshape(-1).view(np.int64)
+    order = np.argsort(gram, kind="stable")
+    same = gram[order][1:] == gram[order][:-1]
+    start = np.flatnonzero(np.r_[True, ~same])
+    times = np.diff(np.r_[start, len(gram)])
+    classes = np.empty(len(gram), np.uint8)
+    classes[order] = np.repeat(class_of(times), times)
+    keep = np.zeros(len(gram), bool)
+    keep[order] = np.repeat(times > 1, times)
+    row = np.repeat(np.arange(len(n)), n)[keep]
+    ords, raw, classes = ords[keep], raw[keep], classes[keep]
+    cuts = np.searchsorted(row, np.arange(len(n) + 1)).tolist()
+    out = {
+        "bucket": tab.column("bucket"), "flush": tab.column("flush"), "source": tab.column("source"), "ords": pa.array([ords[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+        "grams": pa.array([raw[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "classes": pa.array([classes[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+    }
+    out |= {k: pa.nulls(tab.num_rows, pa.binary()) for k in ("keys", "sizes")}
+    return pa.concat_tables([rest, pa.table(out).filter(pa.array(np.diff(cuts) > 0))])
+
+
+def _fronts(tab: pa.Table, t: float, buckets: int, hot: int) -> pa.Table:
+    """Of the documents of one flush the front grams that others hold too, by the gram's bucket.
+
+    Rows (bucket, salt, keys, sizes, grams). The list of a gram of over ``hot`` documents is dealt to several tasks: its
+    rows carry a salt from 1.
+    """
+    head = tab.filter(pc.is_valid(tab.column("keys")))
+    keys = np.frombuffer(head.column("keys")[0].as_py(), U64).reshape(-1, 2)
+    sizes = np.frombuffer(head.column("sizes")[0].as_py(), np.int32).astype(np.int64)
+    tab = tab.filter(pc.is_valid(tab.column("ords")))
+    names = ("bucket", "salt", "keys", "sizes", "grams")
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    empty = pa.table({k: pa.array([], d) for k, d in zip(names, kinds, strict=True)})
+    if not tab.num_rows:
+        return empty
+    owner, _ = _joined(tab.column("ords"), np.uint16)
+    classes, n = _joined(tab.column("classes"), np.uint8)
+    source = tab.column("source").to_numpy()
+    parts = []
+    for blob, s in zip(tab.column("grams").combine_chunks(), source.tolist(), strict=True):
+        if s < 0:
+            parts.append(np.frombuffer(blob.as_buffer(), np.int64))
+        else:
+            raw = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, WIDE)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :WIDE] = raw
+            parts.append(wide.reshape(-1).view(np.int64) * buckets + s)
+    gram = np.concatenate(parts)
+    order = np.lexsort((gram, classes, owner))
+    owner, gram, classes = owner[order].astype(np.int64), gram[order], classes[order]
+    shared = np.bincount(owner, minlength=len(sizes))
+    # the grams of one document alone come first: what they leave of the front is for the others
+    room = prefix_length(sizes, t) - (sizes - shared)
+    place = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
+    keep = (place < room[owner]) & (np.minimum(room, shared) >= needed(sizes, t))[owner]
+    owner, gram, classes = owner[keep], gram[keep], classes[keep]
+    if not len(owner):
+        return empty
+    dealt = np.maximum(np.ceil(np.exp2(classes / 4.0) / hot), 1).astype(np.int64)
+    salt = np.where(dealt > 1, 1 + (keys[owner, 1] % dealt.astype(U64)).astype(np.int64), 0)
+    where = gram % buckets
+    order = np.lexsort((salt, where))
+    owner, gram, where, salt = owner[order], gram[order], where[order], salt[order]
+    cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (salt[1:] != salt[:-1]), True])
+    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    cols = (where[cuts[:-1]], salt[cuts[:-1]], *([x[a:z].tobytes() for a, z in spans] for x in (keys[owner], sizes[owner].astype(np.int32), gram)))
+    return pa.table({k: pa.array(c, d) for k, c, d in zip(names, cols, kinds, strict=True)})
+
+
 def _lists(tab: pa.Table) -> pa.Table:
     """Memberships (head, node, n, weight) of the sets that share a gram; of a salted gram its part's, under the gram's name."""
-    flat = {k: [np.frombuffer(x.as_py(), d) for x in tab.column(k)] for k, d in (("keys", U64), ("n", np.int32), ("times", np.uint32), ("grams", U64))}
-    salts = np.repeat(tab.column("salt").to_numpy(), [len(g) for g in flat["grams"]])
-    keys, n, times, grams = (np.concatenate(flat[k]) for k in ("keys", "n", "times", "grams"))
+    keys, n, gram = (_joined(tab.column(k), d)[0] for k, d in (("keys", U64), ("sizes", np.int32), ("grams", np.int64)))
     keys = keys.reshape(-1, 2)
+    dealt = tab.column("salt")[0].as_py() > 0  # one salt a group
     order = np.lexsort((keys[:, 1], keys[:, 0]))
     first = np.r_[True, (keys[order][1:] != keys[order][:-1]).any(axis=1)]
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(first) - 1
+    node = np.empty(len(keys), np.int64)
+    node[order] = np.cumsum(first) - 1
     keys, n = keys[order][first], n[order][first]  # numbers follow the order of keys
-    node = np.repeat(number, times)
-    order = np.lexsort((node, grams, salts))
-    node, gram, salt = node[order], grams[order], salts[order]
-    fresh = np.r_[True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]) | (salt[1:] != salt[:-1])]
-    node, gram, salt = node[fresh], gram[fresh], salt[fresh]
-    cuts = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]), True])
+    order = np.lexsort((node, gram))
+    node, gram = node[order], gram[order]
+    fresh = np.r_[True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])]
+    node, gram = node[fresh], gram[fresh]
+    cuts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True])
     length = np.diff(cuts)
     head = np.repeat(node[cuts[:-1]], length)
-    keep = (np.repeat(length, length) > 1) | (salt > 0)
-    head, node, gram, salt = head[keep], node[keep], gram[keep], salt[keep]
-    name = np.where(salt > 0, gram.view(np.int64), 0)
-    order = np.lexsort((node, head, name, salt > 0))
-    head, node, name, part = head[order], node[order], name[order], (salt > 0)[order]
-    cuts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (node[1:] != node[:-1]) | (name[1:] != name[:-1]) | (part[1:] != part[:-1]), True]) if len(head) else np.zeros(1, np.int64)
+    keep = (np.repeat(length, length) > 1) | dealt
+    head, node, name = head[keep], node[keep], gram[keep] if dealt else np.zeros(int(keep.sum()), np.int64)
+    order = np.lexsort((node, head, name))
+    head, node, name = head[order], node[order], name[order]
+    cuts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (node[1:] != node[:-1]) | (name[1:] != name[:-1]), True]) if len(head) else np.zeros(1, np.int64)
     at = cuts[:-1]
-    return pa.table({"head": key_bytes(keys[head[at]]), "node": key_bytes(keys[node[at]]), "n": pa.array(n[node[at]], pa.int32()), "weight": pa.array(np.diff(cuts), pa.int64()), "gram": pa.array(name[at], pa.int64(), mask=~part[at])})
+    return pa.table({"head": key_bytes(keys[head[at]]), "node": key_bytes(keys[node[at]]), "n": pa.array(n[node[at]], pa.int32()), "weight": pa.array(np.diff(cuts), pa.int64()), "gram": pa.array(name[at], pa.int64()) if dealt else pa.nulls(len(at), pa.int64())})
 
 
 class Cell:
@@ -392,24 +495,25 @@ def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest:
     sc = spark.sparkContext
     slim = id_text(docs).where("doc_id is not null and text is not null")
     buckets = shuffle_partitions(spark)
-    schema = "doc_id long, version long, node binary, n int, chunk int, counts binary"
-    profile = checkpoint(slim.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(_profiler(n), schema))
-    nodes = profile.where("chunk is null").select("doc_id", "version", "node")
-    sums = profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_counts, "chunk int, classes binary")
-    classes = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in sums.toLocalIterator():  # 64 rows of 64 KB, whatever the input
-        classes[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(r["classes"], np.uint8)
-    shared = sc.broadcast(classes.tobytes())
-
-    prefixes = slim.mapInArrow(_prefixer(n, t, buckets, shared, hot), "bucket int, salt long, keys binary, n binary, times binary, grams binary")
-    listed = checkpoint(prefixes.groupBy("bucket", "salt").applyInArrow(_lists, "head binary, node binary, n int, weight long, gram long"))
+    profile = checkpoint(slim.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(_profiler(n), "doc_id long, version long, node binary, n int, gram long, times long"))
+    nodes = profile.where("gram is null").select("doc_id", "version", "node")
+    # grams in at least this share of all documents: at most the mean size of a set over the share
+    bound = max(hot, HOT_SHARE * nodes.count())
+    often = {r["gram"]: r["times"] for r in profile.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= bound).toLocalIterator()}
+    hot_grams = np.sort(np.array(list(often), np.int64).view(U64))
+    hot_times = np.array([often[g] for g in hot_grams.view(np.int64).tolist()], np.int64)
+
+    spread = slim.mapInArrow(_spreader(n, buckets, hot_grams, hot_times), SPREAD)
+    counted = spread.groupBy("bucket").applyInArrow(released(_counted), SPREAD)
+    fronts = counted.groupBy("flush").applyInArrow(released(lambda tab: _fronts(tab, t, buckets, hot)), "bucket int, salt long, keys binary, sizes binary, grams binary")
+    listed = checkpoint(fronts.groupBy("bucket", "salt").applyInArrow(released(_lists), "head binary, node binary, n int, weight long, gram long"))
     # a gram whose list was dealt to several tasks has the least of their heads
     whole, dealt = listed.where("gram is null").drop("gram"), listed.where("gram is not null")
     named = dealt.groupBy("gram").agg(F.min("head").alias("least"))
     dealt = dealt.drop("head").join(named, "gram").select(F.col("least").alias("head"), "node", "n", "weight")
     weighed = whole.unionByName(dealt).groupBy("head", "node").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
     least = F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9))
-    need = F.least(F.lit(3) + F.floor(least / 16), least)
+    need = F.greatest(F.least(F.lit(3) + F.floor(least / 16), least) - 1, F.lit(1))
     own = Window.partitionBy("node")
     ranked = weighed.withColumn("need", need).withColumn("all", F.sum("weight").over(own)).withColumn("below", F.sum("weight").over(own.orderBy("weight", F.desc("head")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     kept = ranked.where((F.col("all") >= F.col("need")) & (F.col("below") > F.floor((F.col("need") - 1) / 2)))
