@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .arrays import byte_slices, span_hash, text_bytes
-from .common import batch, id_text, list_array
+from .common import batch, id_text, list_array, released
 from .pretoken import code_points, starts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -284,7 +284,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 gone = part.column("text").is_null()
                 yield batch(doc_id=part.column("doc_id"), n_tokens=_unless(gone, pa.array(count.astype(np.int32))), tokens=_unless(gone, list_array(ids, count, pa.int32())), decoded=_unless(gone, pa.array(same)))
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens int, tokens array<int>, decoded boolean")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, n_tokens int, tokens array<int>, decoded boolean")
 
 
 def _unless(gone: pa.Array, values: pa.Array) -> pa.Array:
@@ -311,4 +311,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     texts.append(None)
             yield batch(doc_id=b.column("doc_id"), text=pa.array(texts, pa.string()))
 
-    return encoded.select("doc_id", "tokens").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "tokens").mapInArrow(released(run), "doc_id long, text string")

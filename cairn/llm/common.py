@@ -124,4 +124,4 @@ def filter_rows(docs: DataFrame, text_col: str, decide: Any) -> DataFrame:
             if keep:
                 yield b.filter(pa.concat_arrays(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import VOCABULARY, load_vocabulary, token_batches
-from .common import batch, id_text
+from .common import batch, id_text, released
 
 MAGIC = b"DAC1"
 WIDTHS = (8, 4, 4, 16)
@@ -183,7 +183,7 @@ def encode_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, widths: tuple[i
                     codes=pa.array(rows, pa.binary()),
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens int, n_bytes int, codes binary")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, n_tokens int, n_bytes int, codes binary")
 
 
 def decode_tokens(encoded: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def decode_tokens(encoded: DataFrame) -> DataFrame:
             rows = [None if c is None else Codes(c).decode().astype(np.int32) for c in b.column("codes").to_pylist()]
             yield batch(doc_id=b.column("doc_id"), tokens=pa.array(rows, pa.list_(pa.int32())))
 
-    return encoded.select("doc_id", "codes").mapInArrow(run, "doc_id long, tokens array<int>")
+    return encoded.select("doc_id", "codes").mapInArrow(released(run), "doc_id long, tokens array<int>")
 
 
 def tokens_at(encoded: DataFrame, positions: DataFrame) -> DataFrame:
@@ -213,4 +213,4 @@ def tokens_at(encoded: DataFrame, positions: DataFrame) -> DataFrame:
                 found += [next(got) if ok else None for ok in inside]
             yield batch(doc_id=pa.array(ids, pa.int64()), position=pa.array(at, pa.int64()), token=pa.array(found, pa.int64()))
 
-    return encoded.select("doc_id", "codes").join(asked, "doc_id").mapInArrow(run, "doc_id long, position long, token long")
+    return encoded.select("doc_id", "codes").join(asked, "doc_id").mapInArrow(released(run), "doc_id long, position long, token long")

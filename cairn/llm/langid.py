@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, byte_slices, mix, text_bytes
-from .common import batch, filter_rows, id_text
+from .arrays import U64, byte_slices, mix, sound, text_bytes
+from .common import batch, filter_rows, id_text, released
 from .pretoken import LETTER, classes, code_points
 
 BITS = 15
@@ -89,7 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for b in batches:
-        data, off = text_bytes(pc.utf8_lower(b.column("text").cast(pa.large_string())))
+        data, off = text_bytes(pc.utf8_lower(sound(b.column("text"))))
         lang = b.column("lang").to_pylist()
         for lo, hi in byte_slices(off):
             grams, at, _ = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
@@ -124,7 +124,7 @@ def train(docs: DataFrame, lang_col: str = "lang", sample_rows: int = SAMPLE_ROW
     # the least draw is always in: repeated ids can't leave a language without a row
     below = [(k, max(int(min(1.0, sample_rows / r["docs"]) * (1 << 30)), r["least"] + 1)) for k, r in rows.items()]
     sample = drawn.join(F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below long")), "lang").where("draw < below")
-    got = {r["lang"]: r["counts"] for r in sample.select("lang", "text").mapInArrow(_count, "lang string, counts binary").groupBy("lang").applyInArrow(_add, "lang string, counts binary").toLocalIterator()}
+    got = {r["lang"]: r["counts"] for r in sample.select("lang", "text").mapInArrow(released(_count), "lang string, counts binary").groupBy("lang").applyInArrow(_add, "lang string, counts binary").toLocalIterator()}
     names = sorted(got)
     log_p = np.zeros(((1 << BITS) + 1, len(names)), np.float32)
     for i, k in enumerate(names):
@@ -140,7 +140,7 @@ def _scorer(shared, min_confidence: float, wanted: tuple[str, ...] | None):
         names = np.array(model.languages, object)
         ok = np.array([wanted is None or x in wanted for x in model.languages], bool)
         for b in batches:
-            data, off = text_bytes(pc.utf8_lower(b.column("text").cast(pa.large_string())))
+            data, off = text_bytes(pc.utf8_lower(sound(b.column("text"))))
             for lo, hi in byte_slices(off):
                 n = hi - lo
                 if len(names):
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model | None = None, min_confidence: float
     """
     model = train(docs, lang_col) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return id_text(docs).mapInArrow(_scorer(shared, min_confidence, wanted), "doc_id long, language string, confidence double, n_grams long, accepted boolean")
+    return id_text(docs).mapInArrow(released(_scorer(shared, min_confidence, wanted)), "doc_id long, language string, confidence double, n_grams long, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, min_confidence: float = MIN_CONFIDENCE, wanted: tuple[str, ...] | None = None, lang_col: str = "lang") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import byte_slices, text_bytes
 from .bpe import VOCABULARY, count_texts, load_vocabulary
-from .common import batch, checkpoint, id_text
+from .common import batch, checkpoint, id_text, released
 
 TIERS = (1024, 4096, 16384)
 STEP_TOKENS = 131072
@@ -153,14 +153,14 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = 1) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = text_bytes(b.column("text"))
-            for lo, hi in byte_slices(off, 4 << 20):
+            for lo, hi in byte_slices(off):
                 n = count_texts(shared.value, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 some = pa.array(n > 0)
                 part = b.slice(lo, hi - lo).filter(some)
                 yield batch(doc_id=part.column("doc_id"), n_tokens=pa.array(n[n > 0] + separator), salt=part.column("salt"))
 
     slim = id_text(docs).where("text is not null").select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))).alias("salt"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, salt long")
+    return slim.mapInArrow(released(run), "doc_id long, n_tokens long, salt long")
 
 
 def pack_lengths(lengths: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -175,7 +175,7 @@ def pack_lengths(lengths: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens
         kinds = {"int": pa.int32(), "long": pa.int64()}
         return pa.table({name: pa.array(rows[name], kinds[kind]) for name, kind in map(str.split, PLACED.split(", "))})
 
-    return kept.select("doc_id", "n_tokens", F.pmod("salt", F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(run, PLACED)
+    return kept.select("doc_id", "n_tokens", F.pmod("salt", F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(released(run), PLACED)
 
 
 def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, bucket_rows: int = BUCKET_ROWS, vocabulary: str = VOCABULARY, separator: int = 1) -> DataFrame:

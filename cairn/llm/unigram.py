@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import BASE, U64, byte_slices, mix, runs, span_hash, text_bytes
-from .common import batch, id_text
+from .common import batch, id_text, released
 from .pretoken import SPACE, classes, code_points
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -204,4 +204,4 @@ def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 gone = part.column("text").is_null().to_numpy(zero_copy_only=False)
                 yield batch(doc_id=part.column("doc_id"), n_words=pa.array(n.astype(np.int32), mask=gone), n_tokens=pa.array(t.astype(np.int32), mask=gone))
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_words int, n_tokens int")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, n_words int, n_tokens int")

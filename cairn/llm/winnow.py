@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .arrays import BASE, BASE_INV, U64, byte_slices, mix, powers, text_bytes
-from .common import batch, id_text, list_array
+from .arrays import BASE, BASE_INV, U64, byte_slices, mix, powers, sound, text_bytes
+from .common import batch, id_text, list_array, released
 from .pretoken import LETTER, NUMBER, classes, code_points
 
 KGRAM, WINDOW = 40, 61
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, k: int = KGRAM, w: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = text_bytes(pc.utf8_lower(b.column("text").cast(pa.large_string())))
+            data, off = text_bytes(pc.utf8_lower(sound(b.column("text"))))
             for lo, hi in byte_slices(off):
                 points, _, rows = code_points(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 kept, place, rel = normalized(points, rows)
@@ -96,4 +96,4 @@ def fingerprints(docs: DataFrame, k: int = KGRAM, w: int = WINDOW) -> DataFrame:
                     number, hashes, positions = (pc.if_else(keep, x, pa.nulls(hi - lo, x.type)) for x in (number, hashes, positions))
                 yield batch(doc_id=b.column("doc_id").slice(lo, hi - lo), n_fingerprints=number, hashes=hashes, positions=positions)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_fingerprints int, hashes array<long>, positions array<int>")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, n_fingerprints int, hashes array<long>, positions array<int>")
