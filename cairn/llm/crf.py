@@ -6,6 +6,7 @@ Viterbi decoding gives the best labels. The share of characters in content lines
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import WORD_BYTE, byte_slices, runs, span_hash, text_bytes
-from .common import batch, filter_rows, id_text
+from .common import batch, filter_rows, id_text, released
 
 CONTENT, BOILERPLATE = 1, 0
 MIN_SHARE = 0.5
 SAMPLE_ROWS = 4000
-TRAIN_LINES = 2000
+WINDOW_LINES, WINDOWS = 64, 8
+MIXED = 0.5
 FEATURES = ("bias", "letters", "upper", "digits", "symbols", "bars", "words", "long_words", "word_size", "repeated", "marked_words", "stops", "short", "mostly_upper", "mostly_marked", "mostly_bars", "mostly_repeated", "few_letters")
 
 
@@ -154,30 +156,34 @@ def likelihood(emit: np.ndarray, change: np.ndarray, x: np.ndarray, y: np.ndarra
     return ll, g_emit, g_change
 
 
-def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 250, ridge: float = 1e-5, rate: float = 0.3) -> Model:
+def fit(pure: list[tuple[np.ndarray, np.ndarray]], both: list[tuple[np.ndarray, np.ndarray]] | None = None, mixed_share: float = MIXED, part_of: list[int] | None = None, rounds: int = 120, ridge: float = 1e-5, rate: float = 0.3) -> Model:
     """Maximum likelihood by Adam on whole batches of padded sequences.
 
-    A sequence weighs the inverse of its length, and the sequences that begin as content as much in all as the
-    others: long documents and the commoner kind don't drown the rest.
+    Of the sequences of one label each weighs the inverse of its length, those of one document (in so many parts, by
+    ``part_of``) weigh as much as one, and those of content weigh as much in all as the others: long documents and
+    the commoner kind don't drown the rest. Sequences of ``both`` labels have ``mixed_share`` of all the weight.
     """
     k = len(FEATURES)
-    sequences = [(x, y) for x, y in sequences if len(x)]
+    parts = [n for n, (x, _) in zip(part_of or [1] * len(pure), pure, strict=True) if len(x)]
+    pure, both = [(x, y) for x, y in pure if len(x)], [(x, y) for x, y in both or [] if len(x)]
     emit, change = np.zeros((k, 2)), np.zeros((2, 2))
-    if not sequences or len({int(v) for _, y in sequences for v in np.unique(y)}) < 2:
+    if len({int(v) for _, y in pure + both for v in np.unique(y)}) < 2:
         emit[0, CONTENT] = 1.0  # nothing to tell apart: all is content
         return Model(emit, change)
+    kinds = np.bincount([int(y[0]) for _, y in pure], weights=[1 / n for n in parts], minlength=2)
+    share = mixed_share if both else 0.0
+    sequences = [(x, y, (1 - share) / len(x) / n / kinds[y[0]]) for (x, y), n in zip(pure, parts, strict=True)] + [(x, y, 2 * share / len(x) / len(both)) for x, y in both]
     sequences.sort(key=lambda s: len(s[0]))
-    kinds = np.bincount([int(y[0]) for _, y in sequences], minlength=2)
     groups, a = [], 0
     while a < len(sequences):
         z = a + 1
         while z < len(sequences) and len(sequences[z][0]) <= 1.3 * len(sequences[a][0]) + 2:
             z += 1
         part = sequences[a:z]
-        t = max(len(x) for x, _ in part)
+        t = max(len(x) for x, *_ in part)
         x, y, real = np.zeros((len(part), t, k)), np.zeros((len(part), t), np.int64), np.zeros((len(part), t), bool)
-        weight = np.array([1 / len(f) / max(1, kinds[lab[0]]) for f, lab in part])
-        for i, (f, lab) in enumerate(part):
+        weight = np.array([w for *_, w in part])
+        for i, (f, lab, _) in enumerate(part):
             x[i, : len(f)], y[i, : len(f)], real[i, : len(f)] = f, lab, True
         groups.append((x, y, real, weight))
         a = z
@@ -195,11 +201,45 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 250, ridge
     return Model(*theta)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, train_lines: int = TRAIN_LINES) -> Model:
+def windows_of(lines: int, window_lines: int, windows: int) -> list[tuple[int, int]]:
+    """Runs of lines that teach: all of them in runs of ``window_lines``, or ``windows`` such runs spread over the whole text."""
+    starts = list(range(0, lines, window_lines))
+    if len(starts) > windows:
+        starts = [starts[round(k * (len(starts) - 1) / max(1, windows - 1))] for k in range(windows)]
+    return [(a, min(lines, a + window_lines)) for a in starts]
+
+
+def mixed(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of lines of two documents, one of each kind, in which the kind changes twice.
+
+    Content between boilerplate above and below it, and boilerplate amid content, by turns. Each line keeps the label
+    of the document that it comes from, so that these sequences teach how labels follow each other. The shorter list
+    is gone through again until the longer one is used up.
+    """
+    if not good or not bad:
+        return []
+    r = np.random.default_rng(seed)
+    out = []
+    for k in range(max(len(good), len(bad))):
+        inner, outer = good[k % len(good)], bad[k % len(bad)]
+        label = CONTENT
+        if k % 2:
+            inner, outer, label = outer, inner, BOILERPLATE
+        cut = int(r.integers(0, len(outer) + 1))
+        y = np.full(len(inner) + len(outer), CONTENT + BOILERPLATE - label)
+        y[cut : cut + len(inner)] = label
+        out.append((np.concatenate([outer[:cut], inner, outer[cut:]]), y))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, window_lines: int = WINDOW_LINES, windows: int = WINDOWS, mixed_share: float = MIXED) -> Model:
     """Fits the model on at most ``sample_rows`` labelled documents, chosen by a hash of their id.
 
-    A labelled document's lines all carry its quality label. Documents over ``train_lines`` lines don't teach
-    (they would outweigh the others), nor do rows without id, text or label; both bounds are these parameters.
+    Documents of any length teach: by all their lines in runs of ``window_lines``, or, where those are more than
+    ``windows``, by that many runs spread over the whole text. These bounds are the parameters. The labels say what a
+    document is, not a line: a document's lines carry its label, and ``mixed`` joins lines of documents of both kinds,
+    with ``mixed_share`` of the weight, which teaches the changes that no document by itself can. Rows without id,
+    text or label teach nothing; of several labels of an id the lower one holds.
     """
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     some = some.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows)
@@ -210,17 +250,27 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = text_bytes(b.column("text"))
-            start, end, first = lines(data, off)
-            x = line_features(data, start, end).astype(np.float32)
-            rows = [x[a:z].tobytes() if z - a <= train_lines else b"" for a, z in zip(first[:-1], first[1:], strict=True)]
-            yield batch(doc_id=b.column("doc_id"), x=pa.array(rows, pa.binary()))
-
-    got = id_text(docs).where("text is not null").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, x binary").collect()
-    sequences = []
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["x"])):
+            for lo, hi in byte_slices(off):
+                part = data[off[lo] : off[hi]]
+                start, end, first = lines(part, off[lo : hi + 1] - off[lo])
+                features = line_features(part, start, end).astype(np.float32)
+                for r, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), lo):
+                    spans = windows_of(z - a, window_lines, windows)
+                    rows = [features[a + x : a + y].tobytes() for x, y in spans]
+                    if rows:
+                        yield batch(doc_id=pa.array([b.column("doc_id")[r].as_py()] * len(rows), pa.int64()), at=pa.array([x for x, _ in spans], pa.int64()), x=pa.array(rows, pa.binary()))
+
+    got = id_text(docs).where("text is not null").join(wanted, "doc_id", "left_semi").mapInArrow(released(run), "doc_id long, at long, x binary").collect()
+    kinds: dict[int, list[np.ndarray]] = {CONTENT: [], BOILERPLATE: []}
+    pure, owner = [], []
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["at"], r["x"])):
         x = np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(np.float64)
-        sequences.append((x, np.full(len(x), CONTENT if picked[r["doc_id"]] else BOILERPLATE)))
-    return fit(sequences)
+        kind = CONTENT if picked[r["doc_id"]] else BOILERPLATE
+        kinds[kind].append(x)
+        pure.append((x, np.full(len(x), kind)))
+        owner.append(r["doc_id"])
+    times = Counter(owner)
+    return fit(pure, mixed(kinds[CONTENT], kinds[BOILERPLATE]), mixed_share, [times[i] for i in owner])
 
 
 def _labeller(shared, min_share: float):
@@ -258,7 +308,7 @@ def assess(docs: DataFrame, labels: DataFrame, model: Model | None = None, min_s
     """
     model = train(docs, labels) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return id_text(docs).mapInArrow(_labeller(shared, min_share), "doc_id long, n_lines int, content_lines int, content_share double, accepted boolean")
+    return id_text(docs).mapInArrow(released(_labeller(shared, min_share)), "doc_id long, n_lines int, content_lines int, content_share double, accepted boolean")
 
 
 def keep_content(docs: DataFrame, labels: DataFrame, model: Model | None = None, min_share: float = MIN_SHARE) -> DataFrame:
