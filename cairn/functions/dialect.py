@@ -49,6 +49,23 @@ class Dialect:
         """The items that aren't null, in order."""
         return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 
+    def array(self, items: Iterable[str]) -> str:
+        return f"[{', '.join(items)}]"
+
+    def holds(self, x: str, item: str) -> str:
+        return f"list_contains({x}, {item})"
+
+    def both(self, x: str, y: str) -> str:
+        """The items of x that y has too, each once; in no order that counts."""
+        return f"list_intersect({x}, {y})"
+
+    def range(self, n: int) -> str:
+        """The list 0 .. n."""
+        return f"range(0, {n + 1})"
+
+    def most(self, x: str) -> str:
+        return f"list_max({x})"
+
     def head(self, x: str, n: int) -> str:
         return f"({x})[1:{n}]"
 
@@ -124,6 +141,21 @@ class Spark(Dialect):
     def list(self, items: Iterable[str]) -> str:
         return f"array_compact(array({', '.join(items)}))"
 
+    def array(self, items: Iterable[str]) -> str:
+        return f"array({', '.join(items)})"
+
+    def holds(self, x: str, item: str) -> str:
+        return f"array_contains({x}, {item})"
+
+    def both(self, x: str, y: str) -> str:
+        return f"array_intersect({x}, {y})"
+
+    def range(self, n: int) -> str:
+        return f"sequence(0, {n})"
+
+    def most(self, x: str) -> str:
+        return f"array_max({x})"
+
     def head(self, x: str, n: int) -> str:
         return f"slice({x}, 1, {n})"
 

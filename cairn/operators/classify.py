@@ -8,13 +8,26 @@ from cairn.functions import paths, rules
 from cairn.functions.dialect import Cols, Dialect, add, any_of, case
 
 
-def hit(d: Dialect, word: str, x: str = "ctext") -> str:
-    return d.m(x, f"(^|[^a-z0-9_]){word}([^a-z0-9_]|$)")
+FAMILY_WORDS = list(dict.fromkeys(w for ws in rules.FAMILIES.values() for w in ws.split()))
+KEYWORDS = sorted({*FAMILY_WORDS, *(w for ws, _ in rules.TYPES.values() for w in ws.split())})
+WINDOW = 800
 
 
-def ctext(d: Dialect) -> dict[str, str]:
-    """What keywords are looked for in: the basename and the first 800 characters of the body."""
-    return {"ctext": "lower(base || ' ' || substring(body, 1, 800))"}
+def hit(d: Dialect, word: str, x: str = "found") -> str:
+    return d.holds(x, d.q(word))
+
+
+def window(d: Dialect, n: int = WINDOW) -> str:
+    """The first n UTF-16 units of the body; a character of two units that would be cut is left out."""
+    head = f"substring(body, 1, {n})"
+    fits = d.keep(d.range(n), "k", f"{d.units(f'substring(body, 1, k)')} <= {n}")
+    return f"CASE WHEN {d.units(head)} <= {n} THEN {head} ELSE substring(body, 1, {d.most(fits)}) END"
+
+
+def found(d: Dialect) -> dict[str, str]:
+    """The keywords among the words of the basename and of the body's window: cut up once, looked up by all rules."""
+    words = d.split(f"lower(base || ' ' || {window(d)})", "[^a-z0-9_]+")
+    return {"found": d.both(words, d.array(map(d.q, KEYWORDS)))}
 
 
 def family(d: Dialect) -> dict[str, str]:
@@ -23,8 +36,7 @@ def family(d: Dialect) -> dict[str, str]:
 
 def signals(d: Dialect) -> dict[str, str]:
     """The first six family words found, in table order."""
-    words = dict.fromkeys(w for ws in rules.FAMILIES.values() for w in ws.split())
-    return {"signals": d.head(d.list(f"CASE WHEN {hit(d, w)} THEN '{w}' END" for w in words), 6)}
+    return {"signals": d.head(d.keep(d.array(map(d.q, FAMILY_WORDS)), "w", d.holds("found", "w")), 6)}
 
 
 def word(d: Dialect) -> dict[str, str]:
@@ -40,7 +52,7 @@ def word(d: Dialect) -> dict[str, str]:
     best = {"t": first(every), "n": top(every), "t2": first(weak), "n2": top(weak), "strong": case([(f"{first(every)} = '{t}'", f"s.strong_{t}") for t in rules.STRONG], "true")}
     demoted = "b.t IN ('test', 'script') AND NOT (b.n >= 3 OR (b.n = 2 AND b.strong))"
     chosen = f"CASE WHEN {demoted} THEN {d.struct({'t': 'b.t2', 'n': 'b.n2'})} ELSE {d.struct({'t': 'b.t', 'n': 'b.n'})} END"
-    return {"word": d.let("c", {"x": "ctext"}, d.let("s", scores, d.let("b", best, chosen)))}
+    return {"word": d.let("c", {"x": "found"}, d.let("s", scores, d.let("b", best, chosen)))}
 
 
 def _type(d: Dialect) -> dict[str, str]:
@@ -54,7 +66,11 @@ def _type(d: Dialect) -> dict[str, str]:
     }
 
 
-TYPE_STEPS: list[Cols] = [ctext, word, _type, family, signals]
+def confidence_number(d: Dialect) -> dict[str, str]:
+    return {"confidence_number": f"CAST({case([(f'confidence = {d.q(k)}', x) for k, x in (('high', '0.9'), ('medium', '0.6'))], '0.3')} AS DOUBLE)"}
+
+
+TYPE_STEPS: list[Cols] = [found, word, _type, family, signals]
 
 
 def semantic(d: Dialect) -> dict[str, str]:
@@ -180,7 +196,7 @@ PARTS: list[Cols] = [paths.parts, paths.more_parts]
 def classify(artifacts: DataFrame) -> DataFrame:
     """artifact_type, confidence, family and signals of (path, body) rows."""
     out = add(artifacts, *PARTS, *TYPE_STEPS)
-    return out.drop("ctext", "word")
+    return out.drop("found", "word")
 
 
 def semantic_classes(artifacts: DataFrame) -> DataFrame:

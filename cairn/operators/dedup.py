@@ -15,12 +15,24 @@ def duplicate_clusters(records: DataFrame) -> DataFrame:
     """Files of (path, content_hash, size_bytes, is_dir) that share a hash: bytes to win, and the path to keep.
 
     The keeper is the shortest path, the first in byte order of equals. Folders and rows without a hash take no part.
+    One row a hash, whatever the number of its paths: ``members`` gives those, a row each.
     """
     live = records.where("content_hash IS NOT NULL AND NOT is_dir")
     grouped = live.groupBy("content_hash").agg(
-        F.count("*").alias("n"), F.min("size_bytes").alias("size"), F.min_by("path", F.struct(F.length("path"), "path")).alias("keeper"), F.array_sort(F.collect_list("path")).alias("paths")
+        F.count("*").alias("n"), F.min("size_bytes").alias("size"), F.min_by("path", F.struct(F.length("path"), "path")).alias("keeper")
     )
-    return grouped.where("n >= 2").select("content_hash", "n", ((F.col("n") - 1) * F.col("size")).alias("wasted_bytes"), "keeper", "paths")
+    return grouped.where("n >= 2").select("content_hash", "n", ((F.col("n") - 1) * F.col("size")).alias("wasted_bytes"), "keeper")
+
+
+def members(records: DataFrame, clusters: DataFrame) -> DataFrame:
+    """content_hash, path, keeps of every file of a cluster; a hash that many files have is split by the join's skew handling."""
+    live = records.where("content_hash IS NOT NULL AND NOT is_dir").select("content_hash", "path")
+    return live.join(clusters.select("content_hash", "keeper"), "content_hash").select("content_hash", "path", (F.col("path") == F.col("keeper")).alias("keeps"))
+
+
+def recoverable(clusters: DataFrame) -> DataFrame:
+    """One row: clusters, and the bytes that keeping one file of each would win."""
+    return clusters.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("wasted_bytes"), F.lit(0)).alias("wasted_bytes"))
 
 
 def top_clusters(clusters: DataFrame, k: int = 100) -> DataFrame:
@@ -29,8 +41,9 @@ def top_clusters(clusters: DataFrame, k: int = 100) -> DataFrame:
 
 
 def exact_twins(records: DataFrame) -> DataFrame:
-    """Hashes that two paths or more have."""
-    return records.groupBy("content_hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths")).where("n > 1")
+    """content_hash, n, path: every path whose hash another path has too, a row each."""
+    shared = records.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return records.select("content_hash", "path").join(shared, "content_hash").select("content_hash", "n", "path")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:

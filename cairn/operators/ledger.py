@@ -32,11 +32,27 @@ def canonical_lines(records: DataFrame, metadata: Sequence[str]) -> DataFrame:
     return records.select("path", F.to_json(body, {"ignoreNullFields": "false"}).alias("line"))
 
 
-def digest(lines: DataFrame, buckets: int = 256) -> DataFrame:
-    """One row: records, and a digest that doesn't depend on partitions: of buckets' digests of lines in path order."""
-    b = lines.select(F.expr(f"conv(substring(sha2(path, 256), 1, 4), 16, 10) % {buckets}").cast("int").alias("b"), "path", F.sha2("line", 256).alias("h"))
-    each = b.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: x["h"]), "\n"), 256).alias("d"))
-    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+def digest(lines: DataFrame, levels: int = 3) -> DataFrame:
+    """One row: records, and a digest that doesn't depend on partitions: a tree over the paths by their hash.
+
+    A leaf is the digest of the lines, in path order, whose paths' hashes begin alike (``levels`` bytes); a node that of
+    its 256 children at most. Sixteen million leaves hold some thousand lines each at ten thousand million lines.
+    """
+    joined = lambda key, x: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, x))), lambda s: s[x]), "\n"), 256)
+    each = lines.select("path", F.sha2("line", 256).alias("h"), F.substring(F.sha2("path", 256), 1, 2 * levels).alias("b")).groupBy("b").agg(F.count("*").alias("n"), joined("path", "h").alias("d"))
+    for k in range(levels - 1, 0, -1):
+        each = each.select("b", "n", "d", F.substring("b", 1, 2 * k).alias("up")).groupBy("up").agg(F.sum("n").alias("n"), joined("b", "d").alias("d")).withColumnRenamed("up", "b")
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), joined("b", "d").alias("digest"))
+
+
+def parity(records: DataFrame, decisions: DataFrame) -> DataFrame:
+    """path, in_index, decided: paths for which an index and the decisions don't agree on the carrier, either way.
+
+    Paths that are skipped outright aren't in an index. An empty result is agreement.
+    """
+    a = records.select("path", F.col("carrier").alias("in_index"))
+    b = settle(decisions.select("path", "carrier"), "carrier <> 'hard_skip'").select("path", F.col("carrier").alias("decided"))
+    return a.join(b, "path", "full").where("NOT (in_index <=> decided)")
 
 
 def drift(expected: DataFrame, actual: DataFrame) -> DataFrame:

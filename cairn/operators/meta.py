@@ -108,16 +108,18 @@ def meta_v3(artifacts: DataFrame) -> DataFrame:
     return df.select("source_path", "semantic_class", "semantic_confidence", *(F.struct(*(F.expr(e).alias(f) for f, e in fields.items())).alias(p) for p, fields in planes(SPARK).items()))
 
 
-def record(source_system: str = "local", hash_max_bytes: int = HASH_MAX_BYTES, created_at: str = "Unknown") -> Cols:
+def record(source_system: str = "local", hash_max_bytes: int = HASH_MAX_BYTES, created_at: str = "Unknown", bytes_hash: str | None = None, modified_at: str | None = None) -> Cols:
+    """``bytes_hash`` and ``modified_at`` name the columns that have these; without the first, the body is hashed as text."""
+
     def cols(d: Dialect) -> dict[str, str]:
         skipped = f"NOT is_dir AND size_bytes > {hash_max_bytes}"
         return {
             "artifact_id": f"'inv-' || substring({d.sha('path')}, 1, 16)",
             "source_system": d.q(source_system),
             "extension": "CASE WHEN is_dir THEN NULL ELSE nullif(ext, '') END",
-            "content_hash": f"CASE WHEN is_dir OR {skipped} THEN NULL ELSE {d.sha('body')} END",
+            "content_hash": f"CASE WHEN is_dir OR {skipped} THEN NULL ELSE {bytes_hash or d.sha('body')} END",
             "notes": f"CASE WHEN {skipped} THEN concat_ws(';', nullif(unknowns, ''), 'content_hash_skipped:file_too_large') ELSE unknowns END",
-            "created_at": d.q(created_at),
+            "created_at": modified_at or d.q(created_at),
         }
 
     return cols
@@ -128,8 +130,13 @@ RECORD_COLUMNS = ("artifact_id", "source_system", "path", "base", "extension", "
 
 
 def inventory_records(entries: DataFrame, *, source_system: str = "local", hash_max_bytes: int = HASH_MAX_BYTES) -> DataFrame:
-    """The inventory row of each file and folder of (path, body, size_bytes, is_dir)."""
-    return add(entries, *PARTS, inventory, unknowns, mime, record(source_system, hash_max_bytes)).select(*RECORD_COLUMNS)
+    """The inventory row of each file and folder of (path, body, size_bytes, is_dir).
+
+    With a column bytes_hash, files are told apart by their bytes: those that aren't text have no body to hash. A
+    column modified_at is the row's date.
+    """
+    own = {c: c for c in ("bytes_hash", "modified_at") if c in entries.columns}
+    return add(entries, *PARTS, inventory, unknowns, mime, record(source_system, hash_max_bytes, **own)).select(*RECORD_COLUMNS)
 
 
 def inventory_header(d: Dialect) -> dict[str, str]:
@@ -210,6 +217,23 @@ def verify(artifacts: DataFrame) -> DataFrame:
     return add(artifacts, *META_STEPS, *HEADER_STEPS, checks, issues)
 
 
+def verify_on_disk(planned: DataFrame, entries: DataFrame) -> DataFrame:
+    """path, header_present, body_preserved, issues: what a plan wanted against the tree as it is now.
+
+    ``planned`` has path, strategy, content_hash (of the body without header); ``entries`` are the tree's rows, read again.
+    A header is looked for where its strategy puts it; the body is got back from the file's own bytes and hashed. A file
+    that is gone or isn't text has neither.
+    """
+    files = entries.where("kind = 'file'").select("path", F.expr("try_validate_utf8(CAST(content AS STRING))").alias("body"))
+    there = add(files.where("body IS NOT NULL"), *PARTS, begin, text.split_header, strategy, CLEAN).select("path", "body", "fence_end", F.sha2("clean_body", 256).alias("found_hash"))
+    side = files.where(F.col("path").endswith(f".{text.MARK}.yaml") & (F.length(F.trim("body")) > 0)).select(F.expr(f"substring(path, 1, length(path) - {len(text.MARK) + 6})").alias("path"), F.lit(True).alias("side"))
+    both = planned.select("path", F.col("strategy").alias("how"), "content_hash").join(there, "path", "left").join(side, "path", "left")
+    inside = F.col("body").contains(f">>> {text.MARK} >>>") | F.col("body").contains(f"{text.MARK}:start")
+    present = F.coalesce(F.when(F.col("how") == "yaml-frontmatter", F.col("fence_end") > 0).when(F.col("how").isin("line-comment", "block-comment"), inside).otherwise(F.coalesce("side", F.lit(False))), F.lit(False))
+    kept = F.coalesce(F.col("found_hash") == F.col("content_hash"), F.lit(False))
+    return both.select("path", present.alias("header_present"), kept.alias("body_preserved"), F.array_compact(F.array(F.when(~present, "no header on disk"), F.when(~kept, "body on disk differs"))).alias("issues"))
+
+
 def injection(d: Dialect) -> dict[str, str]:
     """What an injection would write: its target, the hashes expected and found, whether it changes anything."""
     side = "strategy IN ('sidecar', 'skip-binary')"

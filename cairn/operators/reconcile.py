@@ -16,8 +16,8 @@ MARKERS = ("ARTIFACT_META", "x-meta", "CAIRN_META")
 
 
 def parts_of(x: str, d: Dialect) -> str:
-    """The trimmed parts of a comma-separated text, without empty ones."""
-    return d.keep(d.each(d.split(f"coalesce({x}, '')", ","), "p", "trim(p)"), "p", "p <> '' AND p <> 'Unknown'")
+    """The trimmed parts of a comma-separated text, without empty ones; none where the whole text is Unknown."""
+    return d.keep(d.each(d.split(f"coalesce(nullif({x}, 'Unknown'), '')", ","), "p", "trim(p)"), "p", "p <> ''")
 
 
 def union(a: str, b: str, d: Dialect) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType
 from cairn.functions import paths, rules, text
 from cairn.functions.dialect import DUCK, Cols, Dialect, add, nest, settle
 from cairn.functions.dialect import SPARK as _SPARK
-from cairn.operators import classify, dedup, frontmatter, ledger, meta, policy, reconcile
+from cairn.operators import classify, dedup, discovery, frontmatter, ledger, meta, policy, reconcile, skills
 from cairn.plans import pipeline
 from cairn.session import table
 from cairn.sources import archives, tree, virtual
@@ -61,11 +61,11 @@ project("title", [*P, paths.title], "doc_id title")
 project("normalize_filename", [*P, paths.filename, lambda d: {"changed": "normalized_name <> base"}], "doc_id normalized_name changed")
 project("path_validity", [lambda d: {"path": "CASE WHEN doc_id % 9 = 0 THEN '/' || path WHEN doc_id % 9 = 1 THEN replace(path, '/', '//') WHEN doc_id % 9 = 2 THEN '../' || path WHEN doc_id % 9 = 3 THEN path || '/' ELSE path END"}, paths.validity], "doc_id path path_issue")
 project("sharing_scope", [*P, paths.scope()], "doc_id sharing_scope")
-project("namespace_resolve", [*P, classify.ctext, paths.stem, paths.folder, paths.scope(), paths.namespace("main", (("skills/**", "craft"), ("docs/*", "manual"))), lambda d: {"artifact_type": "'source'"}, paths.header_id], "doc_id namespace sharing_scope primitive_folder header_id")
+project("namespace_resolve", [*P, classify.found, paths.stem, paths.folder, paths.scope(), paths.namespace("main", (("skills/**", "craft"), ("docs/*", "manual"))), lambda d: {"artifact_type": "'source'"}, paths.header_id], "doc_id namespace sharing_scope primitive_folder header_id")
 project("artifact_id", [lambda d: {"artifact_id": f"'inv-' || substring({d.sha('path')}, 1, 16)"}], "doc_id artifact_id")
 project("classify", [*P, *classify.TYPE_STEPS], "doc_id artifact_type confidence family signals[]")
-project("family", [*P, classify.ctext, classify.family], "doc_id family")
-project("signals", [*P, classify.ctext, classify.signals], "doc_id signals[]")
+project("family", [*P, classify.found, classify.family], "doc_id family")
+project("signals", [*P, classify.found, classify.signals], "doc_id signals[]")
 project("semantic_class", [*P, classify.semantic], "doc_id semantic_class semantic_confidence semantic_signal")
 project("inventory_type", [*P, classify.inventory, classify.unknowns, classify.mime], "doc_id inventory_type inventory_confidence evidence unknowns mime_type")
 project("injection_strategy", [*P, classify.strategy], "doc_id strategy line_prefix block_open block_close")
@@ -111,7 +111,7 @@ def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORIGINALS = f"SELECT doc_id, path, coalesce(text, '') AS body, sha256(coalesce(text, '')) AS content_hash, strlen(coalesce(text, '')) AS size_bytes FROM ({nest('SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL', virtual.artifact)})"
-CLUSTERS = f"SELECT content_hash, count(*) AS n, (count(*) - 1) * min(size_bytes) AS wasted_bytes, (list(path ORDER BY length(path), path))[1] AS keeper, string_agg(path, '|' ORDER BY path) AS paths FROM ({ORIGINALS}) GROUP BY content_hash HAVING count(*) > 1"
+CLUSTERS = f"SELECT content_hash, count(*) AS n, (count(*) - 1) * min(size_bytes) AS wasted_bytes, (list(path ORDER BY length(path), path))[1] AS keeper FROM ({ORIGINALS}) GROUP BY content_hash HAVING count(*) > 1"
 NEAR_T = 0.5
 
 
@@ -126,9 +126,11 @@ SELECT least(a.path, b.path) AS path_a, greatest(a.path, b.path) AS path_b, floo
 FROM j JOIN ({ORIGINALS}) a ON a.content_hash = ha JOIN ({ORIGINALS}) b ON b.content_hash = hb"""
 
 
-register("duplicate_clusters", lambda s, d: flat(dedup.duplicate_clusters(originals(s, d))), CLUSTERS)
-register("top_clusters", lambda s, d: flat(dedup.top_clusters(dedup.duplicate_clusters(originals(s, d)))), f"{CLUSTERS} ORDER BY wasted_bytes DESC, n DESC, content_hash LIMIT 100")
-register("exact_twins", lambda s, d: flat(dedup.exact_twins(originals(s, d))), f"SELECT content_hash, count(*) AS n, string_agg(path, '|' ORDER BY path) AS paths FROM ({ORIGINALS}) GROUP BY content_hash HAVING count(*) > 1")
+register("duplicate_clusters", lambda s, d: dedup.duplicate_clusters(originals(s, d)), CLUSTERS)
+register("top_clusters", lambda s, d: dedup.top_clusters(dedup.duplicate_clusters(originals(s, d))), f"{CLUSTERS} ORDER BY wasted_bytes DESC, n DESC, content_hash LIMIT 100")
+register("cluster_members", lambda s, d: dedup.members(originals(s, d), dedup.duplicate_clusters(originals(s, d))), f"SELECT o.content_hash, path, path = keeper AS keeps FROM ({ORIGINALS}) o JOIN ({CLUSTERS}) c ON c.content_hash = o.content_hash")
+register("recoverable_bytes", lambda s, d: dedup.recoverable(dedup.duplicate_clusters(originals(s, d))), f"SELECT count(*) AS clusters, coalesce(sum(wasted_bytes), 0)::BIGINT AS wasted_bytes FROM ({CLUSTERS})")
+register("exact_twins", lambda s, d: dedup.exact_twins(originals(s, d)), f"SELECT content_hash, n, path FROM (SELECT content_hash, path, count(*) OVER (PARTITION BY content_hash) AS n FROM ({ORIGINALS})) WHERE n > 1")
 register("near_duplicates", lambda s, d: dedup.near_duplicates(originals(s, d), NEAR_T), _near_sql(NEAR_T))
 register(
     "dedup_summary", lambda s, d: dedup.summary(originals(s, d), dedup.THRESHOLD),
@@ -226,9 +228,11 @@ register("index_records", _records, _RECORDS_SQL)
 register("canonical_index", lambda s, d: ledger.canonical_lines(_records(s, d), _METADATA), _LINES_SQL)
 register(
     "index_digest", lambda s, d: ledger.digest(ledger.canonical_lines(_records(s, d), _METADATA)),
-    f"""WITH l AS (SELECT path, sha256(line) AS h, ('0x' || substring(sha256(path), 1, 4))::INT % 256 AS b FROM ({_LINES_SQL})),
-e AS (SELECT b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY path)) AS d FROM l GROUP BY b)
-SELECT coalesce(sum(n), 0)::BIGINT AS records, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM e""",
+    f"""WITH l AS (SELECT path, sha256(line) AS h, substring(sha256(path), 1, 6) AS b FROM ({_LINES_SQL})),
+e AS (SELECT b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY path)) AS d FROM l GROUP BY b),
+f AS (SELECT substring(b, 1, 4) AS b, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY e.b)) AS d FROM e GROUP BY substring(b, 1, 4)),
+g AS (SELECT substring(b, 1, 2) AS b, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY f.b)) AS d FROM f GROUP BY substring(b, 1, 2))
+SELECT coalesce(sum(n), 0)::BIGINT AS records, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM g""",
 )
 _STATE = "CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN md5(path) ELSE content_hash END"
 register(
@@ -290,7 +294,7 @@ DESCRIBED = [lambda d: {"description": "CASE WHEN doc_id % 4 = 0 THEN NULL WHEN
 project("good_value", [*DESCRIBED, lambda d: {"good": text.good_value("description", d)}], "doc_id good")
 project("use_when", [*DESCRIBED, lambda d: {"signal": f"coalesce({reconcile.use_when('description', d)}, false)"}], "doc_id signal")
 project("skills_plan", [*DESCRIBED, reconcile.skills], "doc_id state revise")
-project("list_union", [lambda d: {"a": "CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE 'x, y,' || doc_id % 5 END", "b": "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'y , z,, ' || doc_id % 7 END"}, lambda d: {"joined": reconcile.union("a", "b", d)}], "doc_id joined")
+project("list_union", [lambda d: {"a": "CASE WHEN doc_id % 3 = 0 THEN 'Unknown' WHEN doc_id % 7 = 0 THEN 'x, Unknown, y' ELSE 'x, y,' || doc_id % 5 END", "b": "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'y , z,, ' || doc_id % 7 END"}, lambda d: {"joined": reconcile.union("a", "b", d)}], "doc_id joined")
 project("signal_list", [lambda d: {"raw": d.rep("body", "[.!?]", ";")}, reconcile.signal_list], "doc_id parsed[]")
 project("normalize_record", [lambda d: {"value": f"CASE WHEN doc_id % 3 = 0 THEN ' ' || {d.text('doc_id - 50')} WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false ' END"}, meta.normalized, lambda d: {"number_text": d.text("number"), "truth_text": d.text("truth")}], "doc_id value number_text truth_text")
 project("materiality_reply", [lambda d: {"field": "'description'", "old": "body", "new": "'Use when needed: ' || body", "reply": "CASE WHEN doc_id % 3 = 0 THEN ' Yes, it does' WHEN doc_id % 3 = 1 THEN 'no' END"}, reconcile.materiality], "doc_id question verdict")
@@ -312,6 +316,44 @@ SELECT path, kind, rule, len(string_split(substring(body, 1, pos - 1), chr(10)))
 PLAN = [*pipeline.steps(ALLOW, ("vendor/",)), pipeline.fate]
 project("pipeline_report", PLAN, "doc_id " + " ".join(pipeline.REPORT))
 
+# a tree with all kinds of entries; the SQL is written by itself, from the rules' own words
+_ENTRIES = f"""SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '.hidden/' || path WHEN doc_id % 17 = 0 THEN 'a/node_modules/' || path WHEN doc_id % 7 = 1 THEN path || '.dat9' ELSE path END AS path,
+ CASE WHEN doc_id % 23 = 0 THEN 'symlink' WHEN doc_id % 29 = 0 THEN 'other' WHEN doc_id % 19 = 0 THEN 'directory' ELSE 'file' END AS kind, doc_id % 31 = 0 AS lost, body FROM ({virtual.SQL})"""
+register("tree_dispositions", lambda s, d: discovery.tree_ledger(virtual.entries(table(s, d, "documents")), ("vendor/", "*.zzz")).select("path", "kind", "disposition"), f"""
+WITH e AS (SELECT *, regexp_extract(path, '[^/]*$') AS base, lower(regexp_extract(path, '[.][^./]*$')) AS ext FROM ({_ENTRIES})),
+w AS (SELECT * FROM e WHERE NOT starts_with(path, '.hidden/') AND NOT starts_with(path, '.github/') AND NOT starts_with(path, 'a/node_modules/') AND NOT starts_with(path, 'vendor/'))
+SELECT path, kind, CASE WHEN kind = 'symlink' THEN 'symlink' WHEN lost AND kind IN ('directory', 'other') THEN 'unreadable'
+ WHEN kind = 'directory' AND ext = '.zzz' THEN 'omitted' WHEN kind = 'directory' THEN 'traversed_directory' WHEN kind = 'other' THEN 'unsupported_entry'
+ WHEN ext = '.zzz' THEN 'omitted' WHEN ext = '.png' THEN 'known_binary' WHEN ext IN ('.md', '.py', '.ts', '.yaml', '.html') THEN 'eligible'
+ WHEN lost THEN 'unreadable' WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 AND strlen(body) < 8192 THEN 'binary_detected'
+ WHEN doc_id % 3 = 0 THEN 'unsupported_encoding' ELSE 'eligible' END AS disposition FROM w""")
+register(
+    "content_hash_bytes", lambda s, d: meta.inventory_records(virtual.entries(table(s, d, "documents")).where("kind = 'file'").select("path", F.lit("").alias("body"), "size_bytes", F.lit(False).alias("is_dir"), F.sha2("content", 256).alias("bytes_hash"))).select("path", "content_hash"),
+    f"SELECT path, CASE WHEN NOT lost THEN sha256(CASE WHEN doc_id % 3 = 0 THEN unhex('FF') || encode(body) WHEN doc_id % 5 = 0 THEN encode(body) || unhex('00') ELSE encode(body) END) END AS content_hash FROM ({_ENTRIES}) WHERE kind = 'file'",
+)
+register(
+    "index_parity", lambda s, d: ledger.parity(settle(_records(s, d), "token_cost_estimate % 7 <> 0"), _planned(s, d).withColumn("carrier", F.expr("CASE WHEN token_estimate % 5 = 0 THEN 'inventory_only' ELSE carrier END")).select("path", "carrier")),
+    f"SELECT path, in_index, decided FROM (SELECT path, CASE WHEN carrier <> 'hard_skip' AND token_cost_estimate % 7 <> 0 THEN carrier END AS in_index, CASE WHEN token_cost_estimate % 5 = 0 THEN 'inventory_only' WHEN carrier <> 'hard_skip' THEN carrier END AS decided FROM ({_SUBJECTS_SQL})) WHERE in_index IS DISTINCT FROM decided",
+)
+_SKILL = "'---' || chr(10) || 'name: s' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'description: short one' || chr(10) ELSE 'description: Use when a plan needs a second reader and nobody else has time' || chr(10) END || '---' || chr(10) || text"
+
+
+def _skill_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skill entry points of the documents' texts, with a stand-in for a model that knows one answer."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("'skills/a' || doc_id || '/SKILL.md' AS path", f"{_SKILL.replace('chr(', 'char(')} AS body")
+
+    def ask(questions):
+        return questions.map(lambda q: "plan, review" if q and q.endswith("Signals:") else "Reads a plan line by line. Use when a plan needs a reader." if q else None)
+
+    return skills.plan(docs, ask).select("path", "changed", "description_action", "description", F.array_join("signals", "|").alias("signals"))
+
+
+register("skills_run", _skill_run, """
+SELECT 'skills/a' || doc_id || '/SKILL.md' AS path, true AS changed, CASE doc_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'revise' END AS description_action,
+ CASE WHEN doc_id % 3 < 2 THEN 'Reads a plan line by line. Use when a plan needs a reader.' END AS description, 'plan|review' AS signals
+FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND doc_id >= 0""")
+project("confidence_number", [*P, *classify.TYPE_STEPS, classify.confidence_number], "doc_id confidence confidence_number")
+
 # Python text surgery and bytes: no SQL beside them
 register("frontmatter_inspect", lambda s, d: frontmatter.inspect_headers(artifacts(s, d), key="doc_id").drop("header"))
 register("parse_header", lambda s, d: frontmatter.inspect_headers(artifacts(s, d), key="doc_id").select("doc_id", F.explode("header").alias("key", "value")))

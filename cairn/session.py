@@ -28,5 +28,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The rows written to the folder that the cluster names and read from there; a folder of one's own in local mode only."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")

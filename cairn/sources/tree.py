@@ -23,7 +23,8 @@ class Part(InputPartition):
 
 
 class ArtifactTree(DataSource):
-    """Options: root; prune (names of directories that aren't entered, comma-separated); max_bytes of content."""
+    """Options: root; prune (names of directories that are left out, comma-separated); closed (names of directories that
+    have a row and aren't entered); max_bytes of content."""
 
     @classmethod
     def name(cls) -> str:
@@ -40,6 +41,7 @@ class TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = os.path.realpath(options["root"])
         self.prune = {x for x in options.get("prune", ".git,node_modules").split(",") if x}
+        self.closed = {x for x in options.get("closed", "").split(",") if x}
         self.max_bytes = int(options.get("max_bytes", 50 << 20))
         if os.path.islink(options["root"]) or not os.path.isdir(self.root):
             raise ValueError(f"the root must be a directory and no link: {options['root']}")
@@ -66,7 +68,7 @@ class TreeReader(DataSourceReader):
             if os.path.basename(rel) in self.prune:
                 return
             try:
-                names, error = sorted(os.listdir(full)), None
+                names, error = sorted(os.listdir(full)) if os.path.basename(rel) not in self.closed else [], None
             except OSError as e:
                 names, error = [], str(e)
             yield (rel, "directory", None, st.st_mode & 0o777, when, None, error)
@@ -104,7 +106,12 @@ def text_probe(entries: DataFrame, content: str = "content") -> DataFrame:
 
 
 def artifacts(entries: DataFrame) -> DataFrame:
-    """(path, body, size_bytes, is_dir) of a tree's files and folders, for the operators."""
+    """(path, body, size_bytes, is_dir, bytes_hash, modified_at) of a tree's files and folders, for the operators.
+
+    The body is the text, empty where the content isn't UTF-8; bytes_hash is the hash of the content as it is, whatever
+    it is, and null for a folder and a file that wasn't read.
+    """
     from pyspark.sql import functions as F
 
-    return entries.where("kind IN ('file', 'directory')").select("path", F.coalesce(F.expr("try_validate_utf8(CAST(content AS STRING))"), F.lit("")).alias("body"), "size_bytes", (F.col("kind") == "directory").alias("is_dir"))
+    text = F.coalesce(F.expr("try_validate_utf8(CAST(content AS STRING))"), F.lit(""))
+    return entries.where("kind IN ('file', 'directory')").select("path", text.alias("body"), "size_bytes", (F.col("kind") == "directory").alias("is_dir"), F.sha2("content", 256).alias("bytes_hash"), "modified_at")

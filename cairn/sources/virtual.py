@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cairn.functions.dialect import Dialect, add, case, nest
 
@@ -32,4 +33,14 @@ def artifacts(documents: DataFrame) -> DataFrame:
     return add(documents.select("doc_id", "text").where("doc_id IS NOT NULL"), artifact, extent).drop("text")
 
 
+def entries(documents: DataFrame) -> DataFrame:
+    """A tree of the artifacts: links, folders and devices among the files, some unreadable, some with odd bytes."""
+    df = artifacts(documents)
+    kind = F.expr("CASE WHEN doc_id % 23 = 0 THEN 'symlink' WHEN doc_id % 29 = 0 THEN 'other' WHEN doc_id % 19 = 0 THEN 'directory' ELSE 'file' END")
+    path = F.expr("CASE WHEN doc_id % 13 = 0 THEN '.hidden/' || path WHEN doc_id % 17 = 0 THEN 'a/node_modules/' || path WHEN doc_id % 7 = 1 THEN path || '.dat9' ELSE path END")
+    lost = F.expr("doc_id % 31 = 0")
+    odd = F.expr("CASE WHEN doc_id % 3 = 0 THEN concat(X'FF', encode(body, 'UTF-8')) WHEN doc_id % 5 = 0 THEN concat(encode(body, 'UTF-8'), X'00') ELSE encode(body, 'UTF-8') END")
+    return df.select("doc_id", path.alias("path"), kind.alias("kind"), "size_bytes", F.when((kind == "file") & ~lost, odd).alias("content"), F.when(lost, "no access").alias("error"))
+
+
 SQL = f"SELECT * EXCLUDE (text) FROM ({nest('SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL', artifact, extent)})"

@@ -7,12 +7,16 @@ import json
 import os
 import zipfile
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cairn import cli
+from cairn.functions.dialect import add
+from cairn.operators import dedup, discovery, meta, skills
 from cairn.plans import pipeline
-from cairn.sinks import files
-from cairn.sources import archives, tree
+from cairn.sinks import files, reports
+from cairn.sources import archives, control, tree
 from cairn.streaming import incremental
 
 
@@ -94,16 +98,184 @@ def test_inventory_check_and_apply(spark, repo, tmp_path):
     out.mkdir()
     n = pipeline.inventory(spark, str(repo), str(out)).count()
     assert n == 13 and "twin.txt" in (out / "inventory.md").read_text()
-    before = {p: p.read_bytes() for p in repo.rglob("*") if p.is_file() and not p.is_symlink()}
-    assert pipeline.check(spark, str(repo), ("docs/**",))["changed"]
-    assert all(p.read_bytes() == b for p, b in before.items())
+    (repo / "link").unlink()  # a link blocks an apply
+    (repo / "docs/latin.md").write_bytes("caf\xe9\n".encode("latin-1"))
+    before = {p: p.read_bytes() if p.is_file() else None for p in repo.rglob("*")}
+    got = pipeline.check(spark, str(repo), ("docs/**",))
+    assert got["changed"] and [(r["path"], r["kind"]) for r in got["shown"]] == [(files.INDEX, "missing"), ("docs/a.md", "stale")]
+    assert {p: p.read_bytes() if p.is_file() else None for p in repo.rglob("*")} == before
     assert pipeline.apply(spark, str(repo), ("docs/**",))["files"] == 1
+    assert (repo / "docs/latin.md").read_bytes() == "caf\xe9\n".encode("latin-1")
     header, body = (repo / "docs/a.md").read_text().split("\n---\n\n")
     assert header.startswith("---\nid: main.context.a\n") and body == "# A\nbody\n"
     records = files.parse_index((repo / files.INDEX).read_text())
     assert {"docs/a.md", "src/app.ts", "_shared/k.md"} <= {r["path"] for r in records}
     assert not pipeline.check(spark, str(repo), ("docs/**",))["changed"]
-    assert pipeline.apply(spark, str(repo), ("docs/**",)) | {"sha256": 0} == {"files": 0, "transaction": "unchanged", "changed": False, "written": False, "sha256": 0}
+    assert pipeline.apply(spark, str(repo), ("docs/**",)) | {"sha256": 0} == {"files": 0, "transaction": "unchanged", "changed": False, "written": False, "missing": False, "sha256": 0}
+    (repo / "docs/a.md").write_text(header + "\n---\n\nother body\n")
+    assert [r["path"] for r in pipeline.check(spark, str(repo), ("docs/**",))["shown"]] == [files.INDEX, "docs/a.md"]
+
+
+def test_files_that_are_no_text_are_told_apart_by_their_bytes(spark, tmp_path):
+    for name, data in {"a.png": b"\x89\xff1", "b.png": b"\x89\xff2", "c.md": b"\xe9", "d.md": b"\xe9", "e.md": b"", "f.md": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = meta.inventory_records(tree.artifacts(tree.read_tree(spark, str(tmp_path))))
+    clusters = dedup.duplicate_clusters(rows.withColumn("is_dir", F.lit(False)))
+    assert sorted(r["keeper"] for r in clusters.collect()) == ["c.md", "e.md"]
+    assert {r["path"]: r["content_hash"] for r in rows.collect()}["a.png"] == files.sha(b"\x89\xff1") and all(r["created_at"].endswith("Z") for r in rows.collect())
+
+
+def test_every_entry_has_one_disposition(spark, repo):
+    (repo / "node_modules/z").mkdir()
+    (repo / ".meta").mkdir()
+    (repo / ".meta/x.jsonl").write_text("x")
+    (repo / "docs/a.md.inject.log").write_text("x")
+    os.mkfifo(repo / "pipe")
+    rows = discovery.tree_ledger(pipeline.entries(spark, str(repo)), ("src/",)).collect()
+    got = {r["path"]: r["disposition"] for r in rows}
+    assert len(rows) == len(got) and got == {
+        "docs": "traversed_directory", "docs/a.md": "eligible", "docs/a.md.inject.log": "generated_artifact", "_shared": "traversed_directory", "_shared/k.md": "eligible", ".github": "hidden_control", "src": "omitted", "empty.md": "eligible",
+        "bin.dat2": "binary_detected", "bad.qq": "unsupported_encoding", "twin.txt": "eligible", "twin2.txt": "eligible", "link": "symlink", "node_modules": "omitted", ".meta": "generated_artifact", "pipe": "unsupported_entry",
+    }
+    ledger = spark.createDataFrame(rows)
+    assert {r["path"] for r in discovery.blocking(ledger).collect()} == {"link", "pipe"}
+    order = [r["path"] for r in discovery.ordered(ledger).collect()]
+    assert order.index("bad.qq") < order.index("docs") < order.index("twin.txt")
+    with pytest.raises(RuntimeError, match="link"):
+        pipeline.apply(spark, str(repo))
+
+
+def test_a_header_that_is_lost_on_disk_is_seen(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\nid: x\n---\n\nbody\n")
+    (tmp_path / "b.md").write_text("body\n")
+    (tmp_path / "c.py").write_text("# >>> meta >>>\n# id: x\n# <<< meta <<<\nbody\n")
+    (tmp_path / "d.json").write_text("body\n")
+    (tmp_path / "d.json.meta.yaml").write_text("---\nid: x\n---\n")
+    h = files.sha(b"body\n")
+    planned = [("a.md", "yaml-frontmatter", h), ("b.md", "yaml-frontmatter", h), ("c.py", "line-comment", h), ("d.json", "sidecar", h), ("gone.md", "yaml-frontmatter", h), ("a.md", "yaml-frontmatter", "other")]
+    got = meta.verify_on_disk(spark.createDataFrame(planned, "path string, strategy string, content_hash string"), tree.read_tree(spark, str(tmp_path))).collect()
+    assert sorted((r["path"], r["header_present"], r["body_preserved"]) for r in got) == [("a.md", True, False), ("a.md", True, True), ("b.md", False, True), ("c.py", True, True), ("d.json", True, True), ("gone.md", False, False)]
+
+
+SOUND = """schema: meta-authority/v1  # which
+writer:
+  repository: "own/tool"
+  ref: 'v1'
+default_carrier: central_manifest
+legacy_writers: forbidden
+inline_allow: [docs/**, "a, b/*"]
+validation_commands:
+  - make check
+"""
+
+
+def test_authority_documents(tmp_path):
+    got = control.parse_authority(SOUND)
+    assert got == control.Authority("own/tool", "v1", "central_manifest", "forbidden", ("docs/**", "a, b/*"), ("make check",))
+    for a, b in (("v1'", "v1"), ("forbidden", "allowed"), ("own/tool", "tool"), ("docs/**", "../docs"), ("docs/**", "/docs"), ("docs/**", "a//b"), ("  ref", "   ref"), ("  ref", "\tref"), ("meta-authority/v1", "v9"), ("legacy_writers: forbidden", "extra: 1"), ("legacy_writers: forbidden", "schema: x"), ("  - make check", "  - make check\n  - make check"), ("writer:", "writer: me"), ("docs/**", "!docs")):
+        with pytest.raises(control.ControlError):
+            control.parse_authority(SOUND.replace(a, b, 1))
+    assert control.load_authority(str(tmp_path))[1][0][0] == "missing"
+    (tmp_path / ".meta").mkdir()
+    (tmp_path / control.AUTHORITY).write_text(SOUND)
+    assert control.load_authority(str(tmp_path), repository="own/tool") == (got, [])
+    assert control.load_authority(str(tmp_path), repository="other/tool")[1][0][0] == "writer_mismatch"
+    assert control.load_authority(str(tmp_path), path="../x")[1][0][0] == "invalid"
+    os.symlink(tmp_path / control.AUTHORITY, tmp_path / "linked.yaml")
+    assert control.load_authority(str(tmp_path), path="linked.yaml")[1][0][0] == "not_regular"
+    with pytest.raises(control.ControlError):
+        control.authority_for("apply", None)
+    assert control.resolve_mode("verify") == ("check", "verify is an older name of check") and control.resolve_mode(" apply ") == ("apply", None)
+    with pytest.raises(control.ControlError):
+        control.resolve_mode("other")
+
+
+def test_omit_files_fail_closed(tmp_path):
+    f = tmp_path / "omit"
+    assert control.read_omit(str(f)) == ()
+    with pytest.raises(control.ControlError):
+        control.read_omit(str(f), required=True)
+    f.write_text("# words\n\n vendor/ \r\n!keep.md\n")
+    assert control.read_omit(str(f)) == ("vendor/", "!keep.md")
+    os.symlink(f, tmp_path / "link")
+    for bad, data in (("nul", b"a\0b"), ("latin", b"\xe9")):
+        (tmp_path / bad).write_bytes(data)
+    for bad in ("nul", "latin", "link", "."):
+        with pytest.raises(control.ControlError):
+            control.read_omit(str(tmp_path / bad))
+
+
+def test_schemas_from_text(spark):
+    got = control.parse_schema("schema_id: own\nversion: '1.2'\ntarget: [sidecar]\nfields:\n  - name: id\n    source: artifact_id\n    required: true\n  - name: owner  # who\n    default: nobody\n  - name: live\n    default: false\n")
+    assert got.fields == (meta.Field("id", "artifact_id", None, True), meta.Field("owner", None, "nobody"), meta.Field("live", None, "false")) and got.version == "1.2"
+    assert control.includes(got, "sidecar") and not control.includes(got, "manifest") and control.includes(None, "manifest")
+    row = add(spark.createDataFrame([("a",), ("",)], "artifact_id string"), meta.schema_projection(got.fields)).collect()
+    assert [tuple(r)[1:] for r in row] == [("a", "nobody", "false", []), ("", "nobody", "false", ["id"])]
+    for bad in ("fields:\n  - name: x\n", "schema_id: a\n", "schema_id: a\nfields: []\n", "schema_id: a\nfields:\n  - source: x\n", "schema_id: a\nfields:\n  - name: x\nmap:\n  a: 1\n    b: 2\n"):
+        with pytest.raises(control.ControlError):
+            control.parse_schema(bad)
+
+
+def test_index_lines_are_read_by_the_executors(spark, tmp_path):
+    lines = [json.dumps({"n": i, "path": f"p{i:03d}"}, separators=(",", ":")) for i in range(40)]
+    (tmp_path / "good").write_text("\n".join(lines) + "\n")
+    (tmp_path / "bad").write_text("\n".join([lines[1], lines[0], lines[2], lines[2], lines[3].replace(":", ": ", 1), "nothing"]) + "\n")
+    assert control.read_index(spark, str(tmp_path / "good"), "n int, path string").where("problem IS NOT NULL").count() == 0
+    got = control.read_index(spark, str(tmp_path / "bad"), "n int, path string").collect()
+    assert sorted((r["line"], r["problem"]) for r in got if r["problem"]) == sorted([(lines[0], "out of order"), (lines[2], "out of order"), (lines[3].replace(":", ": ", 1), "not canonical"), ("nothing", "not canonical")])
+
+
+def test_reports_and_sidecars(spark, repo, tmp_path):
+    (repo / "z.zip").write_bytes(zipped(a="x"))
+    out = tmp_path / "out"
+    out.mkdir()
+    (repo / "docs/.meta.yaml").write_text("mine\n")
+    pipeline.inventory(spark, str(repo), str(out), sidecars=True)
+    state = {r["target"]: r["state"] for r in spark.read.json(f"{out}/sidecars").collect()}
+    assert state["docs/.meta.yaml"] == "kept" and (repo / "docs/.meta.yaml").read_text() == "mine\n"
+    assert state["z.zip.meta.yaml"] == "written" and "schema: \"archive-sidecar/v1\"" in (repo / "z.zip.meta.yaml").read_text() and "docs/a.md.meta.yaml" not in state
+    row = pipeline.write_all(spark, str(repo), str(tmp_path / "all"))
+    assert row["scanned"] == row["eligible"] and row["entries"] > row["eligible"] and json.loads((tmp_path / "all/coverage-report.json").read_text()) == row
+    assert {p.name for p in (tmp_path / "all").iterdir() if p.is_dir()} >= {*reports.TABLES, "coverage-skipped", "authority-conflicts"}
+    text = (tmp_path / "all/dedup-report.md").read_text()
+    assert "  - twin.txt\n  - twin2.txt\n" in text
+    names = spark.createDataFrame([("a/B c.md", "B c.md", "b-c.md"), ("d", "d", "d")], "path string, base string, normalized_name string")
+    (log,) = reports.rename_logs(names).collect()
+    assert log["sidecar"] == "a/B c.md.normalize.log" and 'normalized: "b-c.md"' in log["log"] and "status: pending_rename" in log["log"]
+    changes = spark.createDataFrame([("a", "x", "keep", "1", "2"), ("b", "x", "keep", "1", "2"), ("b", "y", "revise", "1", "2")], "path string, field string, action string, old string, new string")
+    assert [(r["path"], r["sidecar"]) for r in reports.inject_logs(changes).collect()] == [("b", "b.inject.log")]
+
+
+def test_skills_end_to_end(spark, tmp_path):
+    root = tmp_path / "r"
+    texts = {"a": "---\nname: a\n---\nbody a\n", "b": "---\nname: b\ndescription: Use when a plan needs a second reader and nobody else is there\nactivation_signals: plan\n---\nbody\n", "c": "plain\n", "d": "---\nname: &x d\n---\nbody\n"}
+    for k, t in texts.items():
+        (root / "skills" / k).mkdir(parents=True)
+        (root / "skills" / k / "SKILL.md").write_text(t)
+    (root / "other.md").write_text("---\nname: o\n---\n")
+
+    def ask(q: pd.Series) -> pd.Series:
+        return q.map(lambda x: None if x is None else "plan, review" if x.endswith("Signals:") else "Reads a plan line by line. Use when a plan needs a reader.")
+
+    assert pipeline.improve_skills(spark, str(root), str(tmp_path / "o")) == {"considered": 4, "changed": 0, "unchanged": 4}
+    got = pipeline.improve_skills(spark, str(root), str(tmp_path / "o"), ask, dry_run=False)
+    assert got == {"considered": 4, "changed": 2, "unchanged": 2, "transaction": "committed"} and json.loads((tmp_path / "o/skills-report.json").read_text())["changed"] == 2
+    now = {k: (root / "skills" / k / "SKILL.md").read_text() for k in texts}
+    assert now["b"] == texts["b"] and now["d"] == texts["d"] and (root / "other.md").read_text() == "---\nname: o\n---\n"
+    assert now["a"] == "---\nname: a\ndescription: Reads a plan line by line. Use when a plan needs a reader.\nactivation_signals:\n  - plan\n  - review\n---\nbody a\n"
+    assert now["c"].startswith("---\ndescription:") and now["c"].endswith("---\n\nplain\n")
+    assert pipeline.improve_skills(spark, str(root), str(tmp_path / "o"), ask)["changed"] == 0
+
+
+def test_assist_says_how_it_came_by_a_value(spark):
+    df = spark.createDataFrame([(1, "one two three four five six seven eight", "b"), (2, "short", "b"), (3, None, "silent")], "k int, seed string, body string")
+    ask = lambda q: q.map(lambda x: None if x is None else " told " if "silent" not in x else "Unknown")
+    got = {r["k"]: (r["value"], r["path"]) for r in skills.assist(df, "input_contract", "seed", ask).collect()}
+    assert got == {1: ("one two three four five six seven eight", "heuristic"), 2: ("told", "ok"), 3: ("Unknown", "failed")}
+    assert {r["path"] for r in skills.assist(df, "description", "seed").collect()} == {"heuristic", "no_adapter"}
+    assert skills.assist(df.where("k = 1"), "description", "seed", ask, skill=True).first()["path"] == "ok"  # good, but without a trigger
+    cut = df.select(skills.question("output_contract", "body").alias("q")).first()["q"]
+    assert cut.endswith("\nb\nOutput:")
 
 
 def test_index_is_canonical():

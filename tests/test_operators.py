@@ -155,8 +155,11 @@ def test_injection_keeps_the_body_and_a_second_run_changes_nothing(spark, path):
 
 def test_duplicates(spark):
     rows = [("bb/x", "h1", 10, False), ("a/x", "h1", 10, False), ("c/y", "h1", 10, False), ("d", "h2", 5, False), ("e", None, 5, False), ("f", "h3", 1, True), ("g", "h3", 1, True)]
-    got = dedup.duplicate_clusters(frame(spark, rows, "path string, content_hash string, size_bytes long, is_dir boolean")).collect()
-    assert [tuple(r) for r in got] == [("h1", 3, 20, "a/x", ["a/x", "bb/x", "c/y"])]
+    df = frame(spark, rows, "path string, content_hash string, size_bytes long, is_dir boolean")
+    got = dedup.duplicate_clusters(df)
+    assert [tuple(r) for r in got.collect()] == [("h1", 3, 20, "a/x")]
+    assert sorted(tuple(r) for r in dedup.members(df, got).collect()) == [("h1", "a/x", True), ("h1", "bb/x", False), ("h1", "c/y", False)]
+    assert tuple(dedup.recoverable(got).first()) == (1, 20) and tuple(dedup.recoverable(got.limit(0)).first()) == (0, 0)
 
 
 def brute(rows, t):
@@ -189,14 +192,14 @@ def test_gate(spark):
 
 
 LONG, LONGER = "one two three four five six seven eight", "one two three four five six seven eight nine ten eleven twelve"
-FIELDS = [("description", "short", LONG, True, False, "revise"), ("description", LONG, LONGER, True, False, "revise"), ("description", LONGER, LONG, True, False, "keep"), ("content_hash", "a", "b", True, False, "keep"), ("content_hash", "a", "b", True, True, "replace"), ("owner", None, "x", False, False, "add"), ("triggers", "a, b", "b, c", True, True, "append-union"), ("triggers", "a, b", "b", True, False, "keep")]
+FIELDS = [("description", "short", LONG, True, False, "revise"), ("description", LONG, LONGER, True, False, "revise"), ("description", LONGER, LONG, True, False, "keep"), ("content_hash", "a", "b", True, False, "keep"), ("content_hash", "a", "b", True, True, "replace"), ("owner", None, "x", False, False, "add"), ("triggers", "a, b", "b, c", True, True, "append-union"), ("triggers", "a, b", "b", True, False, "keep"), ("triggers", "a, Unknown", "b", True, False, "append-union"), ("triggers", "Unknown", "Unknown", True, False, "keep")]
 
 
 def test_reconcile(spark):
     df = frame(spark, [(i, *f[:5]) for i, f in enumerate(FIELDS)], "k long, field string, old string, new string, has_old boolean, deprecated boolean")
     got = {r["k"]: r for r in reconcile.reconcile(df).collect()}
     assert [got[i]["action"] for i in range(len(FIELDS))] == [f[5] for f in FIELDS]
-    assert got[6]["merged"] == "a, b, c" and got[2]["merged"] == LONGER
+    assert got[6]["merged"] == "a, b, c" and got[2]["merged"] == LONGER and got[8]["merged"] == "a, Unknown, b" and got[9]["merged"] == "Unknown"
 
     def decide(old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series([True] * len(old))
