@@ -265,9 +265,11 @@ def token_batches(b: pa.RecordBatch, v: Vocabulary) -> Iterator[tuple[pa.RecordB
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, tokens, decoded: the text's ids, and whether decoding them gives back its bytes.
 
-    An empty text has 0 tokens; a null text has null n_tokens, tokens and decoded. Rows are kept as they are,
-    repeated and null ids included; extra columns are ignored. Pre-tokens over WIDEST bytes are merged by a heap,
-    with the same result. The vocabulary is read on the driver; some MB of tables are broadcast.
+    An empty text has 0 tokens; a null text has null n_tokens, tokens and decoded; an empty table gives an empty
+    result. Rows are kept as they are, repeated and null ids included; extra columns are ignored, whatever their names. Of
+    pairs of equal rank the leftmost is merged first. Texts of any length are taken whole; pre-tokens over WIDEST bytes
+    are merged by a heap, with the same result. Bytes that aren't UTF-8 count as U+FFFD, and ``decoded`` is about that
+    text. The vocabulary is read on the driver; some MB of tables are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
 

@@ -303,8 +303,10 @@ def assess(docs: DataFrame, labels: DataFrame, model: Model | None = None, min_s
     """doc_id, n_lines, content_lines, content_share, accepted for every document.
 
     Blank lines don't count. content_share is that of the UTF-8 bytes in content lines. A text without lines (null,
-    empty, blank) has share 0 and isn't accepted. Rows are kept as they are, repeated and null ids included; extra
-    columns are ignored. Without labels of both kinds every line is content.
+    empty, blank) has share 0 and isn't accepted. Texts of any length are labelled whole, as one sequence. Of labellings of
+    equal score the one with boilerplate wins, from the last line back; a share of just ``min_share`` is accepted. Rows are
+    kept as they are, repeated and null ids included; extra columns are ignored, whatever their names; an empty table
+    gives an empty result. Bytes that aren't UTF-8 count as U+FFFD. Without labels of both kinds every line is content.
     """
     model = train(docs, labels) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -312,6 +314,9 @@ def assess(docs: DataFrame, labels: DataFrame, model: Model | None = None, min_s
 
 
 def keep_content(docs: DataFrame, labels: DataFrame, model: Model | None = None, min_share: float = MIN_SHARE) -> DataFrame:
-    """The accepted documents, all columns as they were."""
+    """The rows that ``assess`` accepts, with all their columns, whatever their names; those of null and empty texts go.
+
+    Decided row by row: repeated and null ids don't matter, and an empty table stays empty.
+    """
     model = train(docs, labels) if model is None else model
     return filter_rows(docs, "text", _labeller(docs.sparkSession.sparkContext.broadcast(model), min_share))

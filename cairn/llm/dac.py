@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import VOCABULARY, load_vocabulary, token_batches
-from .common import batch, id_text, released
+from .common import batch, checkpoint, id_text, released
 
 MAGIC = b"DAC1"
 WIDTHS = (8, 4, 4, 16)
@@ -165,8 +167,9 @@ _ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
 def encode_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """doc_id, n_tokens, n_bytes, codes: the text's BPE ids as a directly addressable payload.
 
-    An empty text has a payload of 0 ids; a null text has nulls. Rows are kept as they are, repeated and null ids
-    included; extra columns are ignored. The ids are made and packed in one pass, without a shuffle.
+    An empty text has a payload of 0 ids; a null text has nulls; an empty table gives an empty result. Rows are kept as
+    they are, repeated and null ids included; extra columns are ignored, whatever their names. Texts of any length are
+    taken whole; bytes that aren't UTF-8 count as U+FFFD. The ids are made and packed in one pass, without a shuffle.
     """
     _check(widths)
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
@@ -186,6 +189,67 @@ def encode_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, widths: tuple[i
     return id_text(docs).mapInArrow(released(run), "doc_id long, n_tokens int, n_bytes int, codes binary")
 
 
+def write_shards(encoded: DataFrame, folder: str) -> DataFrame:
+    """Writes the payloads of (doc_id, n_tokens, codes) to binary files, one a task, and gives doc_id, shard, start, n_bytes,
+    n_tokens: where each lies. Null payloads have no row.
+
+    ``folder`` is a path or URI that all executors reach. A task writes under a name of its attempt and renames at its
+    end, so that one that is tried again replaces its own file only. The places are checkpointed: files are written once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(folder)
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():06d}.dac"
+        temp = f"{base}/_{name}.{task.taskAttemptId()}"
+        out, at = None, 0
+        for b in batches:
+            b = b.filter(b.column("codes").is_valid())
+            if out is None and b.num_rows:
+                fs.create_dir(base)
+                out = fs.open_output_stream(temp)
+            sizes = []
+            for c in b.column("codes"):
+                out.write(c.as_buffer())
+                sizes.append(c.as_buffer().size)
+            if sizes:
+                size = np.array(sizes, np.int64)
+                yield batch(doc_id=b.column("doc_id"), shard=pa.array([name] * len(size), pa.string()), start=pa.array(at + np.cumsum(size) - size), n_bytes=pa.array(size), n_tokens=b.column("n_tokens"))
+                at += int(size.sum())
+        if out is not None:
+            out.close()
+            fs.move(temp, f"{base}/{name}")
+
+    return checkpoint(encoded.select("doc_id", "n_tokens", "codes").mapInArrow(released(run), "doc_id long, shard string, start long, n_bytes long, n_tokens int"))
+
+
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+
+
+def tokens_in_shards(places: DataFrame, positions: DataFrame, folder: str) -> DataFrame:
+    """doc_id, position, token for the asked (doc_id, position), read from the shards; a position outside gives a null token.
+
+    Only the payloads of the asked documents are read.
+    """
+    asked = positions.select("doc_id", "position").groupBy("doc_id").agg({"position": "collect_list"}).withColumnRenamed("collect_list(position)", "positions")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(folder)
+        for b in batches:
+            for d, shard, start, size, p in zip(*(b.column(c).to_pylist() for c in ("doc_id", "shard", "start", "n_bytes", "positions")), strict=True):
+                with fs.open_input_file(f"{base}/{shard}") as f:
+                    f.seek(start)
+                    codes = Codes(f.read(size))
+                inside = np.array([0 <= i < len(codes) for i in p], bool)
+                token = np.zeros(len(p), np.int64)
+                token[inside] = codes.at(np.array(p, np.int64)[inside])
+                yield batch(doc_id=pa.array([d] * len(p), pa.int64()), position=pa.array(p, pa.int64()), token=pa.array(token, pa.int64(), mask=~inside))
+
+    return places.join(asked, "doc_id").mapInArrow(released(run), "doc_id long, position long, token long")
+
+
 def decode_tokens(encoded: DataFrame) -> DataFrame:
     """doc_id, tokens from doc_id, codes; null codes give null tokens."""
 

@@ -73,6 +73,10 @@ class Model:
         grams, at, n = features(data, offsets)
         total, count = np.tile(self.prior, (n, 1)), np.zeros(n, np.int64)
         for code in grams:  # every row has two places at least: no empty sum
+            if n == 1:  # a long text comes by itself: each n-gram's log-probability is taken once, times its count
+                total[0] += np.bincount(code, minlength=(1 << BITS) + 1).astype(np.float64) @ self.log_p
+                count += int((code != 1 << BITS).sum())
+                continue
             for a in range(0, len(self.prior) if n else 0, LANGUAGES_AT_ONCE):
                 part = slice(a, a + LANGUAGES_AT_ONCE)
                 total[:, part] += np.add.reduceat(self.log_p[:, part][code], at[:-1], axis=0, dtype=np.float64)
@@ -165,8 +169,9 @@ def identify(docs: DataFrame, model: Model | None = None, min_confidence: float
     A text without letters (null, empty) has a null language, confidence 0, and isn't accepted; nor is one under
     ``min_confidence``, nor one of a language that isn't ``wanted``, nor one whose n-grams the best language makes
     no likelier than uniform ones (a language that the model doesn't know). Of equal scores the language first in
-    alphabetical order wins. Without any labelled text no document is accepted. Rows are kept as they are; extra
-    columns are ignored.
+    alphabetical order wins. Without any labelled text no document is accepted. Texts of any length are scored whole;
+    bytes that aren't UTF-8 count as U+FFFD. Rows are kept as they are, repeated and null ids included; extra columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     model = train(docs, lang_col) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,7 +179,10 @@ def identify(docs: DataFrame, model: Model | None = None, min_confidence: float
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, min_confidence: float = MIN_CONFIDENCE, wanted: tuple[str, ...] | None = None, lang_col: str = "lang") -> DataFrame:
-    """The accepted documents, all columns as they were; decided on the row itself, without a join."""
+    """The rows that ``identify`` accepts, with all their columns, whatever their names; those of null and empty texts go.
+
+    Decided on the row itself, without a join: repeated and null ids don't matter, and an empty table stays empty.
+    """
     model = train(docs, lang_col) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     score = _scorer(shared, min_confidence, wanted)

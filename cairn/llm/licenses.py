@@ -124,11 +124,14 @@ def _lcs(a: list, b: list) -> list[tuple[int, int]]:
         u = v & m
         v = ((v + u) | (v - u)) & full
         rows.append(v)
+    width = len(a) // 8 + 1
+    flat = [r.to_bytes(width, "little") for r in rows]  # a bit of a long number in constant time
     i, j, out = len(a), len(b), []
     while i and j:
-        if rows[j] >> (i - 1) & 1:  # no longer match ends at a[i - 1]
+        at, bit = i - 1 >> 3, 1 << (i - 1 & 7)
+        if flat[j][at] & bit:  # no longer match ends at a[i - 1]
             i -= 1
-        elif rows[j - 1] >> (i - 1) & 1:
+        elif flat[j - 1][at] & bit:
             out.append((i - 1, j - 1))
             i, j = i - 1, j - 1
         else:

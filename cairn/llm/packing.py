@@ -185,6 +185,8 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = STE
     it is longer than the last tier; ``start`` is the piece's first token in the document, ``position`` in its
     window. No token is lost and none is placed twice; a window never holds more than its tier. A step group has
     windows of one tier, step_tokens // tier at most. Null and empty texts have no tokens and no row. Repeated ids
-    are documents of their own, null ids too; extra columns are ignored. Equal lengths are placed in order of id.
+    are documents of their own, null ids too; extra columns are ignored, whatever their names; an empty table gives an
+    empty result. Texts of any length are counted whole; bytes that aren't UTF-8 count as U+FFFD. Equal lengths are placed
+    in order of id.
     """
     return pack_lengths(measure(docs, vocabulary, separator), tiers, step_tokens, bucket_rows)

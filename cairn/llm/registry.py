@@ -20,17 +20,23 @@ from .winnow import fingerprints
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", wide=True)
+
+
 QUERIES: dict[str, Query] = {
-    "op1_byte_bpe": lambda s, d: encode(table(s, d, "documents")),
+    "op1_byte_bpe": lambda s, d: encode(_texts(s, d)),
     "op2_ngram_join": lambda s, d: similar_classes(table(s, d, "documents")),
-    "op3_fingerprints": lambda s, d: fingerprints(table(s, d, "documents")),
-    "op4_quality_rules": lambda s, d: assess(table(s, d, "documents"), table(s, d, "labels")),
-    "op5_language_id": lambda s, d: identify(table(s, d, "documents")),
-    "op6_token_counts": lambda s, d: token_counts(table(s, d, "documents")),
-    "op7_license_scans": lambda s, d: licenses(table(s, d, "documents")),
-    "op8_packing": lambda s, d: pack(table(s, d, "documents")),
-    "op9_token_codes": lambda s, d: encode_tokens(table(s, d, "documents")),
-    "op10_secret_scans": lambda s, d: scan(table(s, d, "documents")),
+    "op3_fingerprints": lambda s, d: fingerprints(_texts(s, d)),
+    "op4_quality_rules": lambda s, d: assess(_texts(s, d), table(s, d, "labels")),
+    "op5_language_id": lambda s, d: identify(_texts(s, d)),
+    "op6_token_counts": lambda s, d: token_counts(_texts(s, d)),
+    "op7_license_scans": lambda s, d: licenses(_texts(s, d)),
+    "op8_packing": lambda s, d: pack(_texts(s, d)),
+    "op9_token_codes": lambda s, d: encode_tokens(_texts(s, d)),
+    "op10_secret_scans": lambda s, d: scan(_texts(s, d)),
 }
 
 _WORDS = r"list_filter(string_split_regex(lower(text), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '')"

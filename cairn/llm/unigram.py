@@ -189,8 +189,9 @@ def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_words, n_tokens: tokens of the best unigram segmentation of each text's words.
 
     Of segmentations of equal score the one of fewer tokens counts. A character that no piece covers falls back to
-    its bytes, a token each. Empty and white-space texts have 0 and 0, a null text nulls. Rows are kept as they
-    are, repeated and null ids included; extra columns are ignored. Words over LONG_WORD characters are scored one
+    its bytes, a token each. Empty and white-space texts have 0 and 0, a null text nulls; an empty table gives an empty
+    result. Texts of any length are taken whole; bytes that aren't UTF-8 count as U+FFFD. Rows are kept as they are,
+    repeated and null ids included; extra columns are ignored, whatever their names. Words over LONG_WORD characters are scored one
     by one with the same result. The model is read on the driver and its tables, 2 MB or so, are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model))

@@ -74,7 +74,9 @@ def fingerprints(docs: DataFrame, k: int = KGRAM, w: int = WINDOW) -> DataFrame:
     least hash is kept, the rightmost of equals; so any two texts that share w + k - 1 letters and digits in a row
     share a fingerprint, and none shorter than k can make one. positions are code points of the text itself at
     which the kept k-grams start. Texts of fewer than k letters and digits (empty ones too) have empty lists; a
-    null text has nulls. Rows are kept as they are, repeated and null ids included; extra columns are ignored.
+    null text has nulls; an empty table gives an empty result. Texts of any length are taken whole; bytes that aren't
+    UTF-8 count as U+FFFD. Rows are kept as they are, repeated and null ids included; extra columns are ignored, whatever
+    their names.
     """
     if k < 1 or w < 1:
         raise ValueError("k and w are at least 1")
