@@ -70,7 +70,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold lies between 0 and 1")
-    one = docs.groupBy("content_hash").agg(F.first("body").alias("body"))
+    # a fixed number of parts: runs of words take many times the room of their text, which no later coalescing would know
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = docs.repartition(parts, "content_hash").groupBy("content_hash").agg(F.first("body").alias("body"))
     sets = one.select(F.col("content_hash").alias("h"), F.array_distinct(F.expr(shingle_list(SPARK))).alias("s"))
     names = docs.select("content_hash", "path")
     if threshold == 0:

@@ -28,7 +28,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return virtual.artifacts(table(spark, sf_dir, "documents"))
+    return virtual.artifacts(table(spark, sf_dir, "documents", wide=True))
 
 
 def project(name: str, steps: Sequence[Cols], columns: str, where: str | None = None, source: Callable[[SparkSession, str], DataFrame] = artifacts, sql: str = virtual.SQL) -> None:
@@ -106,7 +106,7 @@ project("csv_rows", [*meta.RECORD_STEPS, lambda d: {"excerpt": f"'see {chr(34)}'
 
 def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' own texts under their virtual paths, with hashes and sizes."""
-    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    docs = table(spark, sf_dir, "documents", wide=True).where("doc_id IS NOT NULL")
     return add(docs.select("doc_id", "text"), virtual.artifact).select("doc_id", "path", F.coalesce("text", F.lit("")).alias("body")).select("*", F.sha2("body", 256).alias("content_hash"), F.expr("octet_length(body)").alias("size_bytes"), F.lit(False).alias("is_dir"))
 
 

@@ -40,5 +40,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A table of the folder. ``wide``: a file that can't be split for all cores is dealt to them, for work that is done
+    row by row; a table of as many parts as there are cores is read as it is."""
+    df = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if wide and df.rdd.getNumPartitions() < cores else df
