@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from cairn import oracle
 from cairn.functions import paths, rules, text
 from cairn.functions.dialect import DUCK, Cols, Dialect, add, nest, settle
 from cairn.functions.dialect import SPARK as _SPARK
@@ -313,6 +314,14 @@ SELECT path, kind, rule, len(string_split(substring(body, 1, pos - 1), chr(10)))
  substring(trim(string_split(substring(body, 1, pos - 1), chr(10))[-1] || string_split(substring(body, pos), chr(10))[1]), 1, 240) AS excerpt FROM h""")
 
 
+# the cascades against SQL of another make: rules as ranked rows
+for _name, _sql in (("classify", oracle.classify), ("family", oracle.family), ("signals", oracle.signals), ("semantic_class", oracle.semantic), ("inventory_type", oracle.inventory), ("injection_strategy", oracle.strategy), ("omit_filter", oracle.omitted), ("carrier_decision", oracle.carrier)):
+    ORACLE[_name] = _sql(virtual.SQL)
+_FIELDS = oracle.reconciled(_FIELDS_SQL)
+ORACLE["reconcile"] = f"SELECT doc_id, field, action, merged, reason FROM ({_FIELDS})"
+ORACLE["reconcile_llm"] = f"SELECT doc_id, field, action, merged, 'heuristic' AS path FROM ({_FIELDS})"
+ORACLE["list_union"] = f"SELECT doc_id, {oracle.union_of('a', 'b')} AS joined FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Unknown' WHEN doc_id % 7 = 0 THEN 'x, Unknown, y' ELSE 'x, y,' || doc_id % 5 END AS a, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'y , z,, ' || doc_id % 7 END AS b FROM ({virtual.SQL}))"
+
 PLAN = [*pipeline.steps(ALLOW, ("vendor/",)), pipeline.fate]
 project("pipeline_report", PLAN, "doc_id " + " ".join(pipeline.REPORT))
 

@@ -284,3 +284,36 @@ def test_token_estimate_counts_utf16(spark):
     assert sorted((r["body"], r["token_estimate"]) for r in df.collect()) == sorted([("", 1), ("abcde", 2), ("🙂🙂🙂", 2)])
     assert df.first()["content_hash"] == hashlib.sha256(b"").hexdigest()
     assert SPARK.q("a'b") == "'a\\'b'"
+
+
+def test_a_wrong_rule_parts_a_query_from_its_sql(spark, tmp_path, monkeypatch):
+    """The SQL of the cascades is of another make: a slip in the queries' tables or expressions shows."""
+    import duckdb
+
+    from cairn import registry
+    from cairn.functions import rules
+
+    texts = ["audit the build", "plan a kernel runtime", "legal clause", "script utility helper", "test spec mock", "nothing", "tool script", "policy", "workflow process", "route"]
+    frame(spark, [(i, f"{texts[i % 10]} {i}") for i in range(1200)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+
+    def agree(name):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLE[name]})").fetchall()
+        return sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+    assert all(agree(n) for n in ("classify", "carrier_decision", "omit_filter", "reconcile"))
+    monkeypatch.setattr(rules, "FAMILIES", dict(reversed(rules.FAMILIES.items())))
+    monkeypatch.setattr(rules, "STRONG", {"test": ("spec",), "script": ("tool",)})
+    monkeypatch.setattr(rules, "NOISE", ())
+    monkeypatch.setattr(rules, "CENTRAL_PREFIXES", ("srcs/",))
+    monkeypatch.setattr(rules, "UNION_FIELDS", ("triggers",))
+    assert not any(agree(n) for n in ("family", "classify", "carrier_decision", "reconcile"))
+
+
+def test_the_keyword_window_ends_after_800_utf16_units(spark):
+    wide = "\U0001f600" * 395  # 790 units in 395 characters
+    rows = [("a/x.md", wide + " kernel runtime"), ("a/y.md", wide + "ab audit"), ("a/z.md", "x" * 790 + " audit")]
+    got = {r["path"]: (r["family"], r["signals"]) for r in classify.classify(frame(spark, rows, "path string, body string")).collect()}
+    assert got == {"a/x.md": ("meta_kernel_forge", ["kernel"]), "a/y.md": ("auditor", ["audit"]), "a/z.md": ("auditor", ["audit"])}
