@@ -124,16 +124,16 @@ def assist_prompt(d: Dialect) -> dict[str, str]:
     return {"prompt": f"'Say in one sentence of at most 20 words what this does:' || {nl} || {cut} || {nl} || 'Description:'"}
 
 
-def authority_evidence(files: DataFrame, writer: str = "inject|verify", tool: str = "cairn", max_bytes: int = 1 << 20, markers: tuple[str, ...] = MARKERS) -> DataFrame:
+def authority_evidence(files: DataFrame, writer: str = "inject|verify", tool: str = "cairn", max_bytes: int = 1 << 20, markers: tuple[str, ...] = MARKERS, repository: str = "own/cairn") -> DataFrame:
     """path, kind, rule, line, excerpt: traces of metadata writers in (path, body, base, suspicious_name) control files.
 
-    Of each kind and rule a path has one row, for the first match; each of the ``markers``, taken literally, is a rule
+    The tool's own call is its name, or its repository pinned to a commit. Of each kind and rule a path has one row, for the first match; each of the ``markers``, taken literally, is a rule
     of its own and counts in files that hold a write signal. Files over ``max_bytes`` or with NUL or
     replacement characters give a row of kind gap.
     """
     write = r"(?i)(writeFile(Sync)?|write_(text|bytes)\s*\(|fs\.write|yaml\.safe_dump|json\.dump|open\s*\([^)]*[\"']w|>\s*[^\n]*meta)"
     kinds = [
-        ("canonical_invocation", "canonical-invocation", rf"(?im)(^|[\s`\"]){tool}([\s`\"/:]|$)", None),
+        ("canonical_invocation", "canonical-invocation", rf"(?im){re.escape(repository)}@[0-9a-f]{{40}}|(^|[\s`\"]){tool}([\s`\"/:]|$)", None),
         ("writer_invocation", "writer-invocation", rf"(?im)(^|[\s`\"])((python3?|node|bash|sh)\s+)?(\./)?[^\s`\"]*({writer})[-_]?meta[^\s`\"]*", None),
         ("writer_script", "writer-name-with-write", write, "suspicious_name"),
         *(("legacy_marker", "marker-" + m.lower().replace("_", "-"), re.escape(m), f"rlike(body, {_spark().q(write)})") for m in markers),
@@ -153,6 +153,21 @@ def authority_evidence(files: DataFrame, writer: str = "inject|verify", tool: st
     return rows.select("path", "kind", "rule", line.alias("line"), F.substring(F.trim(F.concat(head, tail)), 1, 240).alias("excerpt"))
 
 
+def authority_gaps(entries: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
+    """path, kind, rule, line, excerpt of what a scan of the control files of (path, kind, size_bytes, error) can't see.
+
+    Links that would be control files, as they aren't followed; control files that can't be read or are too large; folders
+    that can't be listed.
+    """
+    from cairn.operators import policy
+    from cairn.operators.classify import PARTS
+
+    df = add(entries, *PARTS, policy.authority_candidate)
+    why = F.when((F.col("kind") == "symlink") & F.col("authority_candidate"), "link").when((F.col("kind") == "directory") & F.col("error").isNotNull(), "unlisted")
+    why = why.when((F.col("kind") == "file") & F.col("authority_candidate") & (F.col("error").isNotNull() | (F.col("size_bytes") > max_bytes)), "unreadable")
+    return df.withColumn("rule", why).where("rule IS NOT NULL").select("path", F.lit("gap").alias("kind"), "rule", F.lit(1).alias("line"), F.coalesce("error", F.lit("")).alias("excerpt"))
+
+
 def conflicts(evidence: DataFrame) -> DataFrame:
     """Evidence that stands in the way of writing, with a code; the canonical tool's own calls don't."""
     code = F.when(F.col("kind") == "gap", "SCAN_INCOMPLETE").when(F.col("kind") == "legacy_marker", "LEGACY_METADATA_PRESENT").otherwise("AUTHORITY_CONFLICT")

@@ -86,6 +86,12 @@ def drift(spark: SparkSession, root: str, inline_allow: tuple[str, ...] = (), om
     return out.orderBy(F.concat("path", F.lit(":"), "kind")), index
 
 
+def _control_files(spark: SparkSession, root: str) -> DataFrame:
+    """Text of all files, hidden ones too: control files lie where discovery doesn't enter."""
+    read = entries(spark, root).where("kind = 'file'").withColumn("body", F.expr("try_validate_utf8(CAST(content AS STRING))"))
+    return read.where("body IS NOT NULL").select("path", "body", "size_bytes", F.lit(False).alias("is_dir"))
+
+
 def _snapshot(spark: SparkSession, root: str) -> DataFrame:
     return tree.read_tree(spark, root).select("path", "kind", "mode", "size_bytes", F.sha2("content", 256).alias("hash"))
 
@@ -154,6 +160,7 @@ def write_all(spark: SparkSession, root: str, out: str, inline_allow: tuple[str,
     reports.write_tables(done, some, out, threshold, held)
     named = some.select("path", F.sha2("body", 256).alias("content_hash"), "body")
     reports.write_lines(reports.dedup_markdown(dedup.exact_twins(named), dedup.near_duplicates(named, threshold), named.count(), named.select("content_hash").distinct().count()), f"{out}/dedup-report.md")
-    evidence = reconcile.conflicts(reconcile.authority_evidence(settle(add(some, *classify.PARTS, policy.authority_candidate), "authority_candidate")))
+    surfaces = settle(add(_control_files(spark, root), *classify.PARTS, policy.authority_candidate), "authority_candidate")
+    evidence = reconcile.conflicts(reconcile.authority_evidence(surfaces).unionByName(reconcile.authority_gaps(entries(spark, root))))
     evidence.write.mode("overwrite").json(f"{out}/authority-conflicts")
     return reports.write_coverage(found, rows, out)

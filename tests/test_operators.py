@@ -241,6 +241,15 @@ def test_authority(spark):
     assert reconcile.conflicts(got).count() == 3
 
 
+def test_authority_pins_and_gaps(spark):
+    files = frame(spark, [("Makefile", "use: own/cairn@" + "0a" * 20, "Makefile", False), ("bin/x", "own/cairn@main", "x", False)], "path string, body string, base string, suspicious_name boolean")
+    assert [(r["path"], r["kind"]) for r in reconcile.authority_evidence(files).collect()] == [("Makefile", "canonical_invocation")]
+    rows = [("Makefile", "symlink", None, None), ("scripts/a", "file", 5, "no access"), ("scripts/b", "file", 1 << 21, None), ("scripts/c", "file", 5, None), ("docs/a", "symlink", None, None), ("x", "directory", None, "no access")]
+    gaps = reconcile.authority_gaps(frame(spark, rows, "path string, kind string, size_bytes long, error string"))
+    assert {(r["path"], r["rule"]) for r in gaps.collect()} == {("Makefile", "link"), ("scripts/a", "unreadable"), ("scripts/b", "unreadable"), ("x", "unlisted")}
+    assert {r["code"] for r in reconcile.conflicts(gaps).collect()} == {"SCAN_INCOMPLETE"}
+
+
 def test_authority_has_all_markers_and_open_for_write(spark):
     rows = [("bin/a", "ARTIFACT_META\nCAIRN_META x-meta\nwith open(out, 'w') as f:", "a", True), ("bin/b", 'ARTIFACT_META\nopen(p, "r")', "b", True), ("bin/c", 'open(p, "wb")', "c", True), ("bin/d", "a.b\naxb > meta", "d", False)]
     df = frame(spark, rows, "path string, body string, base string, suspicious_name boolean")
