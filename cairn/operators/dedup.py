@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.dialect import SPARK
 from cairn.functions.text import SHINGLE, shingle_list
+from cairn.session import checkpoint
 
 THRESHOLD = 0.9
 
@@ -80,13 +81,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = x.crossJoin(y).where("ha < hb").select("ha", "hb", jaccard("sa", "sb").alias("sim"))
     else:
         gram = sets.where("size(s) > 0").select("h", F.size("s").alias("n"), F.explode("s").alias("g")).select("h", "n", F.xxhash64("g").alias("g"))
-        # a shingle of one set alone can't be shared, yet it keeps its place at the front of the order
-        often = gram.groupBy("g").agg(F.count("*").alias("df"))
+        # shingles of one set alone come first in the order and can't be shared: only their number counts
+        often = gram.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
         order = gram.join(often, "g").groupBy("h", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
-        keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-        front = order.select("h", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("e")).where("e.df > 1").select("h", "n", F.col("e.g").alias("g"))
+        keep = (F.size("o") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
+        front = order.where(keep > 0).select("h", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("e")).select("h", "n", F.col("e.g").alias("g"))
         a, b = front.select(F.col("h").alias("ha"), F.col("n").alias("na"), "g"), front.select(F.col("h").alias("hb"), F.col("n").alias("nb"), "g")
         near = a.join(b, "g").where(F.expr(f"ha < hb AND least(na, nb) >= {threshold} * greatest(na, nb) - 1e-9")).select("ha", "hb").distinct()
+        near = checkpoint(near)
+        met = near.select(F.col("ha").alias("content_hash")).unionByName(near.select(F.col("hb").alias("content_hash"))).distinct()
+        sets = one.join(met, "content_hash", "left_semi").select(F.col("content_hash").alias("h"), F.array_distinct(F.expr(shingle_list(SPARK))).alias("s"))
         full = near.join(sets.select(F.col("h").alias("ha"), F.col("s").alias("sa")), "ha").join(sets.select(F.col("h").alias("hb"), F.col("s").alias("sb")), "hb")
         found = full.select("ha", "hb", jaccard("sa", "sb").alias("sim")).where(F.col("sim") >= threshold)
     pairs = found.join(names.select(F.col("content_hash").alias("ha"), F.col("path").alias("pa")), "ha").join(names.select(F.col("content_hash").alias("hb"), F.col("path").alias("pb")), "hb")
