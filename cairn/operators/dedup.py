@@ -65,17 +65,17 @@ def rounded(x: F.Column) -> F.Column:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """path_a < path_b, similarity: pairs of other content with Jaccard similarity of their shingles >= threshold; exact.
 
-    Each distinct content is compared once. The rarest n - ceil(t n) + 1 shingles of a set are joined on their
+    Each distinct content is compared once and stands under one path, the keeper of ``duplicate_clusters``; whose content
+    else it is, ``members`` says. Copies aren't expanded into pairs. The rarest n - ceil(t n) + 1 shingles of a set are joined on their
     hashes, sizes bounded by t; candidates are then settled on the sets of shingle hashes' own strings, so that
     equal hashes change nothing. At threshold 0 all pairs qualify and are crossed.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold lies between 0 and 1")
-    # a fixed number of parts: runs of words take many times the room of their text, which no later coalescing would know
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = docs.repartition(parts, "content_hash").groupBy("content_hash").agg(F.first("body").alias("body"))
+    every = docs.groupBy("content_hash").agg(F.first("body").alias("body"), F.min_by("path", F.struct(F.length("path"), "path")).alias("path"))
+    one = every.select("content_hash", "body")
     sets = one.select(F.col("content_hash").alias("h"), F.array_distinct(F.expr(shingle_list(SPARK))).alias("s"))
-    names = docs.select("content_hash", "path")
+    names = every.select("content_hash", "path")
     if threshold == 0:
         x, y = sets.select(F.col("h").alias("ha"), F.col("s").alias("sa")), sets.select(F.col("h").alias("hb"), F.col("s").alias("sb"))
         found = x.crossJoin(y).where("ha < hb").select("ha", "hb", jaccard("sa", "sb").alias("sim"))

@@ -122,9 +122,10 @@ WITH d AS (SELECT content_hash AS h, any_value(body) AS body FROM ({ORIGINALS})
 s AS (SELECT DISTINCT h, unnest({text.shingle_list(DUCK)}) AS g FROM d),
 n AS (SELECT h, count(*) AS n FROM s GROUP BY h),
 p AS (SELECT a.h AS ha, b.h AS hb, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.h < b.h GROUP BY ALL),
+k AS (SELECT content_hash, (list(path ORDER BY length(path), path))[1] AS path FROM ({ORIGINALS}) GROUP BY content_hash),
 j AS (SELECT ha, hb, c / (x.n + y.n - c) AS sim FROM p JOIN n x ON x.h = ha JOIN n y ON y.h = hb WHERE c / (x.n + y.n - c) >= {t})
 SELECT least(a.path, b.path) AS path_a, greatest(a.path, b.path) AS path_b, floor(sim * 1000 + 0.5) / 1000 AS similarity
-FROM j JOIN ({ORIGINALS}) a ON a.content_hash = ha JOIN ({ORIGINALS}) b ON b.content_hash = hb"""
+FROM j JOIN k a ON a.content_hash = ha JOIN k b ON b.content_hash = hb"""
 
 
 register("duplicate_clusters", lambda s, d: dedup.duplicate_clusters(originals(s, d)), CLUSTERS)

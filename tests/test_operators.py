@@ -168,6 +168,10 @@ def brute(rows, t):
         return {" ".join(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {" ".join(w)} if w else set()
 
     out = set()
+    keeper: dict[str, str] = {}
+    for p, b in rows:
+        keeper[b] = min(p, keeper.get(b, p), key=lambda x: (len(x), x))
+    rows = [(p, b) for b, p in keeper.items()]
     for i, (p, b) in enumerate(rows):
         for q, c in rows[i + 1 :]:
             x, y = grams(b), grams(c)
