@@ -21,7 +21,7 @@ from .common import batch, filter_rows, id_text, released
 CONTENT, BOILERPLATE = 1, 0
 MIN_SHARE = 0.5
 SAMPLE_ROWS = 4000
-WINDOW_LINES, WINDOWS = 64, 8
+WINDOW_LINES, WINDOWS = 32, 16
 MIXED = 0.5
 FEATURES = ("bias", "letters", "upper", "digits", "symbols", "bars", "words", "long_words", "word_size", "repeated", "marked_words", "stops", "short", "mostly_upper", "mostly_marked", "mostly_bars", "mostly_repeated", "few_letters")
 
@@ -127,32 +127,35 @@ class Model:
         return out
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
+def _step(a: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Log-sums over the label before of a chain's scores, for each label."""
+    return np.stack([np.logaddexp(a[:, 0] + change[0, k], a[:, 1] + change[1, k]) for k in (0, 1)], axis=1)
 
 
 def likelihood(emit: np.ndarray, change: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """Weighted log-likelihood of padded label sequences and its gradient, by forward and backward sums."""
-    b, t, _ = x.shape
+    b, t, f = x.shape
     weight = np.ones(b) if weight is None else weight
     s = x @ emit
-    fwd = np.zeros((b, t, 2))
-    fwd[:, 0] = s[:, 0]
+    fwd, bwd = np.zeros((t, b, 2)), np.zeros((t, b, 2))
+    fwd[0] = s[:, 0]
     for i in range(1, t):
-        fwd[:, i] = np.where(real[:, i, None], _logsum(fwd[:, i - 1][:, :, None] + change[None], 1) + s[:, i], fwd[:, i - 1])
-    z = _logsum(fwd[:, -1], 1)
-    bwd = np.zeros((b, t, 2))
+        fwd[i] = np.where(real[:, i, None], _step(fwd[i - 1], change) + s[:, i], fwd[i - 1])
+    z = np.logaddexp(fwd[-1][:, 0], fwd[-1][:, 1])
     for i in range(t - 2, -1, -1):
-        bwd[:, i] = np.where(real[:, i + 1, None], _logsum(change[None] + (s[:, i + 1] + bwd[:, i + 1])[:, None, :], 2), 0)
+        bwd[i] = np.where(real[:, i + 1, None], _step(s[:, i + 1] + bwd[i + 1], change.T), 0)
+    fwd, bwd = fwd.transpose(1, 0, 2), bwd.transpose(1, 0, 2)
     on = real * weight[:, None]
     p = np.exp(fwd + bwd - z[:, None, None]) * on[:, :, None]
     gold = np.eye(2)[y] * on[:, :, None]
-    g_emit = np.einsum("btf,btk->fk", x, gold - p)
-    pair = on[:, 1:, None, None] * np.exp(fwd[:, :-1, :, None] + change[None, None] + (s[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
-    both = on[:, 1:, None, None] * (np.eye(2)[y][:, :-1, :, None] * np.eye(2)[y][:, 1:, None, :])
-    g_change = (both - pair).sum(axis=(0, 1))
-    ll = float((gold * s).sum() + (both.sum(axis=(0, 1)) * change).sum() - (weight * z).sum())
+    g_emit = x.reshape(-1, f).T @ (gold - p).reshape(-1, 2)
+    after = s[:, 1:] + bwd[:, 1:] - z[:, None, None]
+    g_change, both = np.zeros((2, 2)), np.zeros((2, 2))
+    for j in (0, 1):
+        for k in (0, 1):
+            both[j, k] = (on[:, 1:] * ((y[:, :-1] == j) & (y[:, 1:] == k))).sum()
+            g_change[j, k] = both[j, k] - (on[:, 1:] * np.exp(fwd[:, :-1, j] + change[j, k] + after[:, :, k])).sum()
+    ll = float((gold * s).sum() + (both * change).sum() - (weight * z).sum())
     return ll, g_emit, g_change
 
 
@@ -177,7 +180,7 @@ def fit(pure: list[tuple[np.ndarray, np.ndarray]], both: list[tuple[np.ndarray,
     groups, a = [], 0
     while a < len(sequences):
         z = a + 1
-        while z < len(sequences) and len(sequences[z][0]) <= 1.3 * len(sequences[a][0]) + 2:
+        while z < len(sequences) and len(sequences[z][0]) <= 1.5 * len(sequences[a][0]) + 2:
             z += 1
         part = sequences[a:z]
         t = max(len(x) for x, *_ in part)
