@@ -228,3 +228,24 @@ def test_shards_give_any_token(spark, tmp_path):
     size = {f.name: f.stat().st_size for f in (tmp_path / "shards").iterdir() if not f.name.startswith(".")}
     assert sum(size.values()) == sum(r["n_bytes"] for r in places.collect()) and not any(n.startswith("_") for n in size)
     assert dac.write_shards(dac.encode_tokens(table(spark, [])), folder + "2").count() == 0
+
+
+def test_hot_copies_and_families_beside_each_other(spark):
+    """A third of the rows are one text, another third near copies of one: neither is compared with itself row by row."""
+    r = random.Random(3)
+    base = [f"{r.choice(WORDS)}{k}" for k in range(80)]
+    rows = [(i, " ".join(base)) for i in range(300)]
+    rows += [(1000 + i, " ".join(w if r.random() > 0.03 else f"x{r.randint(0, 10**6)}" for w in ["other", *base[::-1]])) for i in range(300)]
+    rows += [(2000 + i, " ".join(f"u{r.randint(0, 10**6)}" for _ in range(60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = by_id(ngram_join.similar_classes(docs))
+    assert {got[i]["class_id"] for i in range(300)} == {0} and {got[i]["n_links"] for i in range(300)} == {0}
+    assert {got[1000 + i]["class_id"] for i in range(300)} == {1000}
+    words = lambda t: {tuple(w) for w in zip(*(t.split()[k:] for k in range(3)), strict=False)}
+    sets = {i: words(t) for i, t in rows if 1000 <= i < 2000}
+    distinct = {frozenset(s): i for i, s in sets.items()}
+    for i in (1000, 1111, 1299):
+        want = sum(len(sets[i] & s) / len(sets[i] | s) >= 0.5 for s in distinct if s != sets[i])
+        assert got[i]["n_links"] == want
+    assert all(got[2000 + i]["class_id"] == 2000 + i for i in range(300))
+    assert ngram_join.drop_similar(docs).count() == 302
