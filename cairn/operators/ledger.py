@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType, MapType, StructType
 
 from cairn.functions.dialect import settle
 
@@ -23,11 +24,26 @@ def index_rows(decided: DataFrame) -> DataFrame:
     return settle(decided, "carrier <> 'hard_skip'").select(F.lit(SCHEMA).alias("schema"), *decided.columns)
 
 
+def canonical(x: F.Column, kind: DataType) -> F.Column:
+    """A value in the one form that it has in an index."""
+    if isinstance(kind, DoubleType | FloatType):
+        lost = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+        return F.when(lost, F.raise_error("no number for an index").cast(kind)).otherwise(F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(x)))
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*(canonical(x[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))))
+    return x
+
+
 def canonical_lines(records: DataFrame, metadata: Sequence[str]) -> DataFrame:
-    """path, line: each record as JSON with sorted keys and its nulls; run-dependent keys are refused."""
+    """path, line: each record as JSON with sorted keys and its nulls; run-dependent keys are refused.
+
+    Keys of maps are sorted too; a negative zero is zero, and a number that is none or has no end stops the run.
+    """
     if bad := sorted(set(metadata) & set(VOLATILE)):
         raise ValueError(f"not persistent: {', '.join(bad)}")
-    inner = F.struct(*(F.col(c).alias(c) for c in sorted(metadata))).alias("metadata")
+    inner = F.struct(*(canonical(F.col(c), records.schema[c].dataType).alias(c) for c in sorted(metadata))).alias("metadata")
     body = F.struct("artifact_type", "carrier", "content_hash", inner, "path", "schema")
     return records.select("path", F.to_json(body, {"ignoreNullFields": "false"}).alias("line"))
 

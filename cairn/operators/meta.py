@@ -99,7 +99,19 @@ def complete(d: Dialect) -> dict[str, str]:
 
 def build_meta(artifacts: DataFrame) -> DataFrame:
     """Header columns of (path, body) rows."""
-    return add(artifacts, *META_STEPS)
+    return with_identity(add(artifacts, *META_STEPS))
+
+
+IDENTITY = {**dict.fromkeys(BASE, "string"), **dict.fromkeys(("callable", "retrievable", "injectable"), "boolean"), "token_cost_estimate": "bigint"}
+
+
+def with_identity(headers: DataFrame) -> DataFrame:
+    """The same rows, or an error where a column of the header's identity is missing or of another type."""
+    found = {f.name: f.dataType.simpleString() for f in headers.schema.fields}
+    wrong = [f"{k}: {found.get(k, 'missing')} instead of {kind}" for k, kind in IDENTITY.items() if found.get(k) != kind]
+    if wrong:
+        raise ValueError(f"no header: {'; '.join(wrong)}")
+    return headers
 
 
 def meta_v3(artifacts: DataFrame) -> DataFrame:

@@ -227,6 +227,21 @@ def test_ledger_relations(spark):
 UNSAFE = {"--- \na: b\n---\n": "opening fence not exact", "---\na: b\n": "closing fence missing", "---\na: b\r\nc: d\n---\n": "mixed line ends", "---\na:\tb\n---\n": "tab", "---\na: 1\na: 2\n---\n": "duplicate key", "---\na: &x\n---\n": "complex", "---\n  a: b\n---\n": "complex", "---\nnot a key\n---\n": "invalid key", "---\na: b\n---\n---\nc: d\n---\n": "second block"}
 
 
+def test_canonical_values_and_identity(spark):
+    df = frame(spark, [("p", "t", "h", "c", -0.0, {"b": 1, "a": 2}), ("q", "t", "h", "c", 1.5, None)], "path string, artifact_type string, content_hash string, carrier string, x double, m map<string,int>").withColumn("schema", F.lit("s"))
+    lines = {r["path"]: r["line"] for r in ledger.canonical_lines(df, ("x", "m")).collect()}
+    assert '"metadata":{"m":{"a":2,"b":1},"x":0.0}' in lines["p"] and '"metadata":{"m":null,"x":1.5}' in lines["q"]
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="no number"):
+            ledger.canonical_lines(df.withColumn("x", F.lit(bad)), ("x",)).collect()
+    headers = meta.build_meta(frame(spark, [("a/b.md", "text")], "path string, body string"))
+    assert meta.with_identity(headers) is headers
+    with pytest.raises(ValueError, match="title: missing"):
+        meta.with_identity(headers.drop("title"))
+    with pytest.raises(ValueError, match="callable: string"):
+        meta.with_identity(headers.withColumn("callable", F.lit("true")))
+
+
 def test_frontmatter():
     assert {raw: frontmatter.inspect(raw).issue for raw in UNSAFE} == UNSAFE
     raw = "﻿---\r\n# note\r\nid: x # why\r\nlist:\r\n  - a\r\n  - b\r\n---\r\nbody\r\n"
