@@ -366,6 +366,29 @@ def metric_join(sets: list[np.ndarray], tau: float, leaf: int = LEAF, side: np.n
                 yield int(members[i]), members[j], c[j]
 
 
+def connect(sets: list[np.ndarray], tau: float) -> np.ndarray:
+    """For each set the least number of a set that it is joined with, over distances <= tau.
+
+    Only connections matter here, so that a set is compared with all others only while it is outside the largest group:
+    of two sets in different groups one is. A family of near copies costs one comparison each, not one for each two.
+    """
+    cell = Cell(sets)
+    label = np.arange(len(sets))
+    done = np.zeros(len(sets), bool)
+    i = 0
+    while True:
+        done[i] = True
+        c = cell.common(i)
+        near = np.flatnonzero((c > 0) & (c >= (1 - tau) * (cell.size + cell.size[i] - c) - 1e-9))
+        ends = np.unique(label[near])
+        if len(ends) > 1:
+            label[np.isin(label, ends)] = ends[0]
+        todo = np.flatnonzero(~done & (label != np.bincount(label).argmax()))
+        if not len(todo):
+            return label
+        i = int(todo[0])
+
+
 def _voronoi(cell: Cell, home: np.ndarray, tau: float, leaf: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
     """(members, which of them are at home) of each cell and of the remote rest; None where that spares too little."""
     m, inner = len(cell.size), 0.9 * (1 - tau)
@@ -431,11 +454,11 @@ def _carrier(n: int, wanted):
     return released(run)
 
 
-def _region_pairs(tab: pa.Table, t: float, forest: bool) -> Iterator[pa.Table]:
+def _region_pairs(tab: pa.Table, t: float, forest: bool, counted: bool) -> Iterator[pa.Table]:
     """Joins the regions and blocks of one bucket.
 
     Gives (a, b, jaccard) of every pair, or with ``forest`` (a = node, b = the least node it is joined with, links = how
-    many pairs it is in). A pair of several regions counts in the least of those that both belong to; a pair of one
+    many pairs it is in; 0 unless ``counted``). A pair of several regions counts in the least of those that both belong to; a pair of one
     sub-block in that sub-block's own block.
     """
     tab = tab.sort_by([("head", "ascending"), ("block", "ascending"), ("node", "ascending")])
@@ -448,6 +471,12 @@ def _region_pairs(tab: pa.Table, t: float, forest: bool) -> Iterator[pa.Table]:
         part = tab.slice(a, z - a)
         sets = [np.frombuffer(x.as_py(), U64) for x in part.column("grams")]
         size = np.array([len(s) for s in sets])
+        node = part.column("node").combine_chunks()
+        if forest and not counted:
+            label = connect(sets, 1 - t)
+            some = np.flatnonzero(label != np.arange(z - a))
+            yield pa.table({"a": node.take(pa.array(some)), "b": node.take(pa.array(label[some])), "links": pa.array(np.zeros(len(some), np.int64))})
+            continue
         sub = part.column("sub").to_numpy()
         # regions before this one to which a set belongs as well, as small numbers
         low = [frozenset(h for h in hs if h < heads[a]) for hs in part.column("heads").to_pylist()]
@@ -473,7 +502,6 @@ def _region_pairs(tab: pa.Table, t: float, forest: bool) -> Iterator[pa.Table]:
                 ia.append(np.full(len(j), i))
                 ib.append(j)
                 jac.append(c / (size[i] + size[j] - c))
-        node = part.column("node").combine_chunks()
         if forest:
             some = np.flatnonzero((links > 0) | (label != np.arange(z - a)))
             yield pa.table({"a": node.take(pa.array(some)), "b": node.take(pa.array(label[some])), "links": pa.array(links[some], pa.int64())})
@@ -483,11 +511,12 @@ def _region_pairs(tab: pa.Table, t: float, forest: bool) -> Iterator[pa.Table]:
             yield pa.table({"a": node.take(pa.array(lo)), "b": node.take(pa.array(hi)), "jaccard": pa.array(np.concatenate(jac), pa.float64())})
 
 
-def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest: bool = False, cell_sets: int = CELL_SETS, cell_grams: int = CELL_GRAMS, hot: int = HOT_LIST) -> tuple[DataFrame, DataFrame]:
+def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest: bool = False, counted: bool = True, cell_sets: int = CELL_SETS, cell_grams: int = CELL_GRAMS, hot: int = HOT_LIST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, version, node) of every row with an id and words, and (a, b, jaccard) of every two nodes with similarity >= t.
 
     ``version`` is a hash of the text. With ``forest`` the second is (a, b, links): the pairs of a spanning forest of
-    each region, and for a the number of its pairs, to be added up over all rows of a: linear in the memberships.
+    each region, and for a the number of its pairs (0 unless ``counted``), to be added up over all rows of a: linear in
+    the memberships.
     """
     if not 0 < t <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
@@ -504,8 +533,8 @@ def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest:
     hot_times = np.array([often[g] for g in hot_grams.view(np.int64).tolist()], np.int64)
 
     spread = slim.mapInArrow(_spreader(n, buckets, hot_grams, hot_times), SPREAD)
-    counted = spread.groupBy("bucket").applyInArrow(released(_counted), SPREAD)
-    fronts = counted.groupBy("flush").applyInArrow(released(lambda tab: _fronts(tab, t, buckets, hot)), "bucket int, salt long, keys binary, sizes binary, grams binary")
+    tallied = spread.groupBy("bucket").applyInArrow(released(_counted), SPREAD)
+    fronts = tallied.groupBy("flush").applyInArrow(released(lambda tab: _fronts(tab, t, buckets, hot)), "bucket int, salt long, keys binary, sizes binary, grams binary")
     listed = checkpoint(fronts.groupBy("bucket", "salt").applyInArrow(released(_lists), "head binary, node binary, n int, weight long, gram long"))
     # a gram whose list was dealt to several tasks has the least of their heads
     whole, dealt = listed.where("gram is null").drop("gram"), listed.where("gram is not null")
@@ -537,7 +566,7 @@ def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest:
     def join(tab: pa.Table) -> pa.Table:
         x = tab.column("block").combine_chunks()
         both = pa.array(x.field("x").to_numpy() * (1 << 31) + x.field("y").to_numpy())
-        return pa.concat_tables([empty, *_region_pairs(tab.set_column(tab.column_names.index("block"), "block", both), t, forest)])
+        return pa.concat_tables([empty, *_region_pairs(tab.set_column(tab.column_names.index("block"), "block", both), t, forest, counted)])
 
     pairs = cells.select("bucket", "head", "block", "sub", "node", "heads", "grams").groupBy("bucket").applyInArrow(released(join), kind)
     return nodes, pairs
@@ -560,9 +589,9 @@ def ngram_jaccard_join(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) ->
     return out.groupBy(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
-def _classes(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, t: float, n: int, counted: bool) -> tuple[DataFrame, DataFrame]:
     """(doc_id, version, node) of rows, and (node, class, links): a node's component and how many nodes are similar to it."""
-    nodes, found = similar_nodes(docs, t, n, forest=True)
+    nodes, found = similar_nodes(docs, t, n, forest=True, counted=counted)
     found = checkpoint(found)
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     comp = connected(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -579,7 +608,7 @@ def similar_classes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> Da
     doc_id are in classes of their own. Words, short and long texts, extra columns and empty tables: as in
     ``ngram_jaccard_join``.
     """
-    nodes, found = _classes(docs, t, n)
+    nodes, found = _classes(docs, t, n, counted=True)
     rep = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"))
     placed = rep.join(found, "node", "left").select("node", "rep", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     head = placed.groupBy("class").agg(F.min("rep").alias("class_id"))
@@ -598,7 +627,7 @@ def drop_similar(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> DataF
     whose own text is in the group goes. Of rows of equal doc_id and equal text all stay or go together. Rows with a
     null doc_id and rows without words stay. All columns are kept, whatever their names; an empty table stays empty.
     """
-    nodes, found = _classes(docs, t, n)
+    nodes, found = _classes(docs, t, n, counted=False)
     placed = nodes.join(found.select("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     stays = placed.groupBy("class").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     gone = placed.join(stays, "class").where(F.struct("doc_id", "version") != F.col("first")).select("doc_id", "version").distinct()

@@ -160,6 +160,28 @@ def test_metric_join_splits_and_recurses_exactly_with_its_own_parameters(tau):
         assert len(trace) >= 2 and sum(cells for _, cells in trace) > ngram_join.PIVOTS  # more than one level of pivots
 
 
+def test_connecting_finds_the_same_groups_with_few_comparisons():
+    r = np.random.default_rng(4)
+    base = np.unique(r.integers(0, 10**6, 80))
+    sets = [np.unique(np.r_[base[r.random(len(base)) > 0.05], r.integers(0, 10**6, 3)]).astype(np.uint64) for _ in range(200)]
+    chain = [np.arange(k * 8, k * 8 + 40, dtype=np.uint64) + np.uint64(10**7) for k in range(30)]
+    alone = [np.unique(r.integers(0, 10**6, 20)).astype(np.uint64) + np.uint64(10**8) for _ in range(10)]
+    sets = [(sets + chain + alone)[k] for k in r.permutation(240)]
+    want = np.arange(240)
+    for i, js, _ in ngram_join.metric_join(sets, 0.5):
+        for j in js.tolist():
+            a, b = sorted((want[i], want[j]))
+            want[want == b] = a
+    calls = []
+    common = ngram_join.Cell.common
+    ngram_join.Cell.common = lambda self, i: calls.append(i) or common(self, i)
+    try:
+        got = ngram_join.connect(sets, 0.5)
+    finally:
+        ngram_join.Cell.common = common
+    assert got.tolist() == want.tolist() and len(set(want.tolist())) == 12 and len(calls) < 60
+
+
 def test_large_regions_and_hot_lists_are_cut(spark):
     pairs = copies() + families(3, 30, change=0.005)
     whole = sorted(map(tuple, ngram_join.similar_nodes(table(spark, pairs), 0.5)[1].collect()))
