@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, load_vocabulary, token_batches
 from .common import batch, checkpoint, id_text, released
@@ -25,6 +26,8 @@ from .common import batch, checkpoint, id_text, released
 MAGIC = b"DAC1"
 WIDTHS = (8, 4, 4, 16)
 RANK_BITS = 512
+ASKED_BITS = 16
+ASKED = 1 << ASKED_BITS
 
 
 def _check(widths: tuple[int, ...]) -> None:
@@ -228,26 +231,68 @@ def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
 
+def _asked(positions: DataFrame) -> DataFrame:
+    """doc_id, at, times: the places asked in a document with how often each, at most ASKED places in a row.
+
+    Counted before they are gathered: neither a document that is asked for often nor a place that is makes a long list.
+    """
+    one = positions.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position")).where("doc_id is not null and position is not null")
+    times = one.groupBy("doc_id", "position").agg(F.count("*").alias("times"))
+    some = times.groupBy("doc_id", F.shiftright("position", ASKED_BITS).alias("part")).agg(F.collect_list(F.struct("position", "times")).alias("asked"))
+    return some.select("doc_id", F.col("asked.position").alias("at"), F.col("asked.times").alias("times"))
+
+
+def _answers(rows: Iterator[tuple[int, Codes | None, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id, position, token of (doc_id, codes, places, how often each), in pieces of ASKED rows at most."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def pieces() -> Iterator[pa.RecordBatch]:
+        ids, at, times, token, inside = (np.concatenate(x) for x in zip(*held, strict=True))
+        ends = np.cumsum(times)
+        for lo in range(0, int(ends[-1]), ASKED):
+            k = np.searchsorted(ends, np.arange(lo, min(lo + ASKED, int(ends[-1]))), side="right")
+            yield batch(doc_id=pa.array(ids[k]), position=pa.array(at[k]), token=pa.array(token[k], mask=~inside[k]))
+
+    for d, codes, at, times in rows:
+        inside = (at >= 0) & (at < (0 if codes is None else len(codes)))
+        token = np.zeros(len(at), np.int64)
+        if codes is not None and inside.any():
+            token[inside] = codes.at(at[inside])
+        held.append((np.full(len(at), d, np.int64), at, times, token, inside))
+        size += len(at)
+        if size >= ASKED:
+            yield from pieces()
+            held, size = [], 0
+    if held:
+        yield from pieces()
+
+
+def _lists(b: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+    return (x.values.to_numpy(zero_copy_only=False) for x in b.column(name))
+
+
 def tokens_in_shards(places: DataFrame, positions: DataFrame, folder: str) -> DataFrame:
     """doc_id, position, token for the asked (doc_id, position), read from the shards; a position outside gives a null token.
 
-    Only the payloads of the asked documents are read.
+    Only the payloads of the asked documents are read. A null id or position is no question and has no row; one asked
+    several times has as many rows. Extra columns of either table are ignored.
     """
-    asked = positions.select("doc_id", "position").groupBy("doc_id").agg({"position": "collect_list"}).withColumnRenamed("collect_list(position)", "positions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
-        for b in batches:
-            for d, shard, start, size, p in zip(*(b.column(c).to_pylist() for c in ("doc_id", "shard", "start", "n_bytes", "positions")), strict=True):
-                with fs.open_input_file(f"{base}/{shard}") as f:
-                    f.seek(start)
-                    codes = Codes(f.read(size))
-                inside = np.array([0 <= i < len(codes) for i in p], bool)
-                token = np.zeros(len(p), np.int64)
-                token[inside] = codes.at(np.array(p, np.int64)[inside])
-                yield batch(doc_id=pa.array([d] * len(p), pa.int64()), position=pa.array(p, pa.int64()), token=pa.array(token, pa.int64(), mask=~inside))
 
-    return places.join(asked, "doc_id").mapInArrow(released(run), "doc_id long, position long, token long")
+        def rows() -> Iterator[tuple[int, Codes | None, np.ndarray, np.ndarray]]:
+            for b in batches:
+                for d, shard, start, size, at, times in zip(*(b.column(c).to_pylist() for c in ("doc_id", "shard", "start", "n_bytes")), _lists(b, "at"), _lists(b, "times"), strict=True):
+                    with fs.open_input_file(f"{base}/{shard}") as f:
+                        f.seek(start)
+                        yield d, Codes(f.read(size)), at, times
+
+        yield from _answers(rows())
+
+    where = places.select("doc_id", "shard", "start", "n_bytes")
+    return where.join(_asked(positions), "doc_id").mapInArrow(released(run), "doc_id long, position long, token long")
 
 
 def decode_tokens(encoded: DataFrame) -> DataFrame:
@@ -262,19 +307,13 @@ def decode_tokens(encoded: DataFrame) -> DataFrame:
 
 
 def tokens_at(encoded: DataFrame, positions: DataFrame) -> DataFrame:
-    """doc_id, position, token for the asked (doc_id, position); a position outside the document gives a null token."""
-    asked = positions.select("doc_id", "position").groupBy("doc_id").agg({"position": "collect_list"}).withColumnRenamed("collect_list(position)", "positions")
+    """doc_id, position, token for the asked (doc_id, position); a position outside the document, or null codes, give a null token.
+
+    A null id or position is no question and has no row; one asked several times has as many rows, and a repeated id of
+    ``encoded`` answers once for each of its rows. Extra columns of either table are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, at, found = [], [], []
-            for d, c, p in zip(b.column("doc_id").to_pylist(), b.column("codes").to_pylist(), b.column("positions").to_pylist(), strict=True):
-                codes = Codes(c) if c is not None else None
-                inside = [codes is not None and 0 <= i < len(codes) for i in p]
-                got = iter(codes.at(np.array([i for i, ok in zip(p, inside, strict=True) if ok], np.int64)).tolist() if codes is not None else [])
-                ids += [d] * len(p)
-                at += p
-                found += [next(got) if ok else None for ok in inside]
-            yield batch(doc_id=pa.array(ids, pa.int64()), position=pa.array(at, pa.int64()), token=pa.array(found, pa.int64()))
-
-    return encoded.select("doc_id", "codes").join(asked, "doc_id").mapInArrow(released(run), "doc_id long, position long, token long")
+        yield from _answers((d, None if c is None else Codes(c), at, times) for b in batches for d, c, at, times in zip(b.column("doc_id").to_pylist(), b.column("codes").to_pylist(), _lists(b, "at"), _lists(b, "times"), strict=True))
+
+    return encoded.select("doc_id", "codes").join(_asked(positions), "doc_id").mapInArrow(released(run), "doc_id long, position long, token long")

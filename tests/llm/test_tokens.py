@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import bpe, dac, packing, unigram
 
@@ -74,6 +75,20 @@ def test_codes_give_every_token_back_and_random_access(spark, reference):
     assert got == {(9, 0): reference(dict(AWKWARD)[9])[0], (9, 10**6): None, (2, 0): None}
 
 
+def test_access_to_places_asked_often_nowhere_and_far_apart(spark, tmp_path):
+    ids = np.arange(200_000) * 7919 % 50_000
+    coded = spark.createDataFrame([(1, bytearray(dac.encode_ids(ids)), "x"), (2, bytearray(dac.encode_ids(ids[:3])), "x"), (2, bytearray(dac.encode_ids(ids[5:9])), "x"), (3, None, "x"), (None, bytearray(dac.encode_ids(ids[:3])), "x")], "doc_id long, codes binary, at string")
+    asked = [(1, k) for k in range(0, 200_001, 997)] + [(1, 131_072)] * 150_000 + [(2, 0), (2, 3), (2, -1), (2, 2**62), (3, 0), (4, 0), (None, 0), (1, None)]
+    questions = spark.createDataFrame(asked, "doc_id long, position long").withColumn("times", F.lit("x"))
+    held = {1: [ids], 2: [ids[:3], ids[5:9]], 3: [ids[:0]]}
+    want = Counter((d, k, int(x[k]) if 0 <= k < len(x) else None) for d, k in asked if k is not None for x in held.get(d, []))
+    got = dac.tokens_at(coded, questions).groupBy("doc_id", "position", "token").count().collect()
+    assert {(r["doc_id"], r["position"], r["token"]): r["count"] for r in got} == want
+    assert dac.tokens_at(coded, questions.limit(0)).count() == 0 and dac.tokens_at(coded.limit(0), questions).count() == 0
+    lists = dac._asked(questions).selectExpr("max(size(at)) AS m", "sum(aggregate(times, 0L, (s, t) -> s + t)) AS n").first()
+    assert lists["m"] <= dac.ASKED and lists["n"] == len(asked) - 2
+
+
 @pytest.mark.parametrize("widths", [(8, 4, 4, 16), (1, 1, 2, 4, 8, 16), (16, 16)])
 def test_codes_of_wide_ids(widths):
     ids = np.array([0, 1, 255, 256, 65535, 65536, 2**31, 7] * 300)
