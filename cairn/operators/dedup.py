@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,11 +99,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.select(F.least("pa", "pb").alias("path_a"), F.greatest("pa", "pb").alias("path_b"), rounded(F.col("sim")).alias("similarity"))
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of frames of one row each, side by side in one row."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
+
+
 def summary(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row: all, distinct contents, groups of exact twins, near pairs."""
     n = docs.groupBy("content_hash").agg(F.count("*").alias("n"))
     counts = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("unique_count"), F.count_if(F.col("n") > 1).alias("twin_groups"))
-    return counts.crossJoin(near_duplicates(docs, threshold).agg(F.count("*").alias("near_pairs")))
+    near = near_duplicates(docs, threshold).agg(F.count("*").alias("near_pairs"))
+    return one_row(counts, near)
 
 
 def gate(rows: DataFrame, order: str = "seq") -> DataFrame:

@@ -47,7 +47,7 @@ def coverage(ledger: DataFrame, report: DataFrame) -> DataFrame:
     binary = F.col("strategy") == "skip-binary"
     seen = ledger.agg(F.count("*").alias("entries"), n(F.col("disposition") == "eligible").alias("eligible"))
     done = report.agg(F.count("*").alias("scanned"), n(~binary & F.col("injectable")).alias("injected"), n(binary).alias("skipped_binary"), n(~binary & ~F.col("injectable")).alias("skipped_non_injectable"), n(~binary & F.col("injectable") & (F.size("issues") > 0)).alias("verify_failed"))
-    return seen.crossJoin(done)  # a row each
+    return dedup.one_row(seen, done)
 
 
 def write_coverage(ledger: DataFrame, report: DataFrame, out: str) -> dict[str, int]:
