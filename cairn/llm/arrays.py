@@ -88,6 +88,7 @@ def _word_table() -> np.ndarray:
 
 
 WORD_BYTE = _word_table()
+UNSPACED_BYTE = ~np.isin(np.arange(256), list(b" \t\n\r\f\v"))
 
 
 def runs(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,18 +119,18 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (ASCII letters and digits, any byte over 127), and each row's first word."""
-    starts, ends = runs(WORD_BYTE[data], offsets)
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (ASCII letters and digits, any byte over 127; or of the bytes of ``table``), and each row's first word."""
+    starts, ends = runs(table[data], offsets)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
+def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int, table: np.ndarray = WORD_BYTE) -> list[np.ndarray]:
     """Each row's sorted distinct hashes of word n-grams.
 
     A row of 1 to n - 1 words has one gram of all its words; a row without words has none.
     """
-    starts, ends, first = words(data, offsets)
+    starts, ends, first = words(data, offsets, table)
     h = span_hash(data, starts, ends)
     grams = chain(h, n)
     out = []

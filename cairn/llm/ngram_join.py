@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import U64, byte_slices, mix, ngram_sets, sound, text_bytes
+from .arrays import U64, UNSPACED_BYTE, WORD_BYTE, byte_slices, mix, ngram_sets, sound, text_bytes
 from .common import batch, checkpoint, id_text, released, shuffle_partitions
 from .components import connected
 
@@ -82,20 +82,21 @@ def needed(n: np.ndarray, t: float) -> np.ndarray:
     return np.maximum(np.minimum(prefix_common(least), least) - 1, 1)
 
 
-def _slices(b: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _slices(b: pa.RecordBatch, n: int, spaced: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, gram sets of the rows from there) of bounded slices."""
-    data, off = text_bytes(pc.utf8_lower(sound(b.column("text"))))
+    text = sound(b.column("text"))
+    data, off = text_bytes(text if spaced else pc.utf8_lower(text))
     for lo, hi in byte_slices(off):
-        yield lo, ngram_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
+        yield lo, ngram_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n, UNSPACED_BYTE if spaced else WORD_BYTE)
 
 
-def _profiler(n: int, share: float = HOT_SHARE):
+def _profiler(n: int, spaced: bool, share: float = HOT_SHARE):
     """Rows (doc_id, version, node, n) of documents, and (gram, times, docs) of the task's frequent grams (lossy counting)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, times, docs = np.zeros(0, U64), np.zeros(0, np.int64), 0
         for b in batches:
-            for lo, sets in _slices(b, n):
+            for lo, sets in _slices(b, n, spaced):
                 some = np.flatnonzero([len(s) for s in sets])
                 sets = [sets[i] for i in some.tolist()]
                 if not sets:
@@ -125,7 +126,7 @@ def _spread_row(**columns) -> pa.RecordBatch:
     return batch(**{k: columns.get(k, pa.nulls(m, kinds.get(k, pa.binary()))) for k in (c.split()[0] for c in SPREAD.split(", "))})
 
 
-def _spreader(n: int, buckets: int, hot_grams: np.ndarray, hot_times: np.ndarray):
+def _spreader(n: int, spaced: bool, buckets: int, hot_grams: np.ndarray, hot_times: np.ndarray):
     """All grams of all sets by bucket, with their document's number in its flush; a set that comes again in the task is left out.
 
     The table of a flush (the documents' keys and sizes) and its hot grams, whose counts are known, travel with it.
@@ -162,7 +163,7 @@ def _spreader(n: int, buckets: int, hot_grams: np.ndarray, hot_times: np.ndarray
             yield from flush(task + done, np.stack([k for k, _ in held]), np.array([len(s) for _, s in held], np.int64), np.concatenate([s for _, s in held]))
 
         for b in batches:
-            for _, sets in _slices(b, n):
+            for _, sets in _slices(b, n, spaced):
                 sets = [s for s in sets if len(s)]
                 for key, s in zip(set_keys(sets), sets, strict=True):
                     if (name := key.tobytes()) not in seen:
@@ -437,7 +438,7 @@ def _either(tab: pa.Table) -> pa.Table:
     return pa.table({"bits": pa.array([total.tobytes()], pa.binary())})
 
 
-def _carrier(n: int, wanted):
+def _carrier(n: int, spaced: bool, wanted):
     """Full sets of the documents that stand for the nodes of regions; a bitmap spares nearly all others the work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +447,7 @@ def _carrier(n: int, wanted):
         for b in batches:
             at = (mix(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) & mask).astype(np.int64)
             b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            for _, sets in _slices(b, n):
+            for _, sets in _slices(b, n, spaced):
                 sets = [s for s in sets if len(s)]
                 if sets:
                     yield batch(node=key_bytes(set_keys(sets)), grams=pa.array([s.tobytes() for s in sets], pa.binary()))
@@ -511,12 +512,12 @@ def _region_pairs(tab: pa.Table, t: float, forest: bool, counted: bool) -> Itera
             yield pa.table({"a": node.take(pa.array(lo)), "b": node.take(pa.array(hi)), "jaccard": pa.array(np.concatenate(jac), pa.float64())})
 
 
-def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest: bool = False, counted: bool = True, cell_sets: int = CELL_SETS, cell_grams: int = CELL_GRAMS, hot: int = HOT_LIST) -> tuple[DataFrame, DataFrame]:
+def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest: bool = False, counted: bool = True, cell_sets: int = CELL_SETS, cell_grams: int = CELL_GRAMS, hot: int = HOT_LIST, spaced: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, version, node) of every row with an id and words, and (a, b, jaccard) of every two nodes with similarity >= t.
 
     ``version`` is a hash of the text. With ``forest`` the second is (a, b, links): the pairs of a spanning forest of
     each region, and for a the number of its pairs (0 unless ``counted``), to be added up over all rows of a: linear in
-    the memberships.
+    the memberships. ``spaced``: words are what white space parts, of texts that the caller has put in lower case.
     """
     if not 0 < t <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
@@ -524,7 +525,7 @@ def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest:
     sc = spark.sparkContext
     slim = id_text(docs).where("doc_id is not null and text is not null")
     buckets = shuffle_partitions(spark)
-    profile = checkpoint(slim.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(_profiler(n), "doc_id long, version long, node binary, n int, gram long, times long"))
+    profile = checkpoint(slim.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(_profiler(n, spaced), "doc_id long, version long, node binary, n int, gram long, times long"))
     nodes = profile.where("gram is null").select("doc_id", "version", "node")
     # grams in at least this share of all documents: at most the mean size of a set over the share
     bound = max(hot, HOT_SHARE * nodes.count())
@@ -532,7 +533,7 @@ def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest:
     hot_grams = np.sort(np.array(list(often), np.int64).view(U64))
     hot_times = np.array([often[g] for g in hot_grams.view(np.int64).tolist()], np.int64)
 
-    spread = slim.mapInArrow(_spreader(n, buckets, hot_grams, hot_times), SPREAD)
+    spread = slim.mapInArrow(_spreader(n, spaced, buckets, hot_grams, hot_times), SPREAD)
     tallied = spread.groupBy("bucket").applyInArrow(released(_counted), SPREAD)
     fronts = tallied.groupBy("flush").applyInArrow(released(lambda tab: _fronts(tab, t, buckets, hot)), "bucket int, salt long, keys binary, sizes binary, grams binary")
     listed = checkpoint(fronts.groupBy("bucket", "salt").applyInArrow(released(_lists), "head binary, node binary, n int, weight long, gram long"))
@@ -558,7 +559,7 @@ def similar_nodes(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM, forest:
     for r in reps.select("doc_id").repartition(4).mapInArrow(_marker(bits), "one int, bits binary").groupBy("one").applyInArrow(_either, "bits binary").toLocalIterator():
         marks |= np.frombuffer(r["bits"], np.uint8)  # one row, 16 MB at most
     wanted = sc.broadcast(marks.tobytes())
-    full = slim.mapInArrow(_carrier(n, wanted), "node binary, grams binary").join(reps.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    full = slim.mapInArrow(_carrier(n, spaced, wanted), "node binary, grams binary").join(reps.select("node"), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
     cells = member.join(full, "node").withColumn("bucket", F.pmod(F.xxhash64("head", "block"), F.lit(buckets)))
     kind = "a binary, b binary, links long" if forest else "a binary, b binary, jaccard double"
     empty = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), **({"links": pa.array([], pa.int64())} if forest else {"jaccard": pa.array([], pa.float64())})})

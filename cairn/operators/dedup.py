@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.dialect import SPARK
 from cairn.functions.text import SHINGLE, shingle_list
-from cairn.session import checkpoint
+from cairn.session import checkpoint, ship
 
 THRESHOLD = 0.9
 
@@ -64,38 +64,44 @@ def rounded(x: F.Column) -> F.Column:
     return F.floor(x * 1000 + 0.5) / 1000
 
 
+def _similar(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, content_hash, path) of every distinct content with words, and (a, b, sim) of every two nodes with similarity >= threshold.
+
+    A node is a set of shingles; contents of equal sets share it. Grams travel in packed lists (``cairn.llm.ngram_join``),
+    contents as two hashes, and bodies not at all.
+    """
+    from cairn.llm.ngram_join import similar_nodes  # that subpackage may be absent where no one asks for near copies
+
+    ship(docs.sparkSession)
+    keys = docs.where("content_hash IS NOT NULL AND body IS NOT NULL").select("content_hash", "path", F.xxhash64("content_hash").alias("doc_id"), F.lower("body").alias("text"))
+    nodes, pairs = similar_nodes(keys.select("doc_id", "text"), threshold, SHINGLE, spaced=True)
+    every = keys.select("content_hash", "path", "doc_id", F.xxhash64("text").alias("version")).groupBy("content_hash", "doc_id").agg(F.min_by("path", F.struct(F.length("path"), "path")).alias("path"), F.min("version").alias("version"))
+    named = every.join(nodes.distinct(), ["doc_id", "version"]).select("node", "content_hash", "path")
+    return named, pairs.where(F.col("jaccard") >= threshold).select("a", "b", F.col("jaccard").alias("sim"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """path_a < path_b, similarity: pairs of other content with Jaccard similarity of their shingles >= threshold; exact.
 
     Each distinct content is compared once and stands under one path, the keeper of ``duplicate_clusters``; whose content
-    else it is, ``members`` says. Copies aren't expanded into pairs. The rarest n - ceil(t n) + 1 shingles of a set are joined on their
-    hashes, sizes bounded by t; candidates are then settled on the sets of shingle hashes' own strings, so that
-    equal hashes change nothing. At threshold 0 all pairs qualify and are crossed.
+    else it is, ``members`` says. Copies aren't expanded into pairs. Shingles are 64-bit hashes, as in the n-gram join that
+    finds the pairs of different sets; contents of one set (other white space or case) are pairs of similarity 1. At
+    threshold 0 all pairs qualify and are crossed.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold lies between 0 and 1")
-    every = docs.groupBy("content_hash").agg(F.first("body").alias("body"), F.min_by("path", F.struct(F.length("path"), "path")).alias("path"))
-    one = every.select("content_hash", "body")
-    sets = one.select(F.col("content_hash").alias("h"), F.array_distinct(F.expr(shingle_list(SPARK))).alias("s"))
-    names = every.select("content_hash", "path")
     if threshold == 0:
-        x, y = sets.select(F.col("h").alias("ha"), F.col("s").alias("sa")), sets.select(F.col("h").alias("hb"), F.col("s").alias("sb"))
-        found = x.crossJoin(y).where("ha < hb").select("ha", "hb", jaccard("sa", "sb").alias("sim"))
+        every = docs.groupBy("content_hash").agg(F.first("body").alias("body"), F.min_by("path", F.struct(F.length("path"), "path")).alias("path"))
+        sets = every.select(F.col("content_hash").alias("h"), "path", F.array_distinct(F.expr(shingle_list(SPARK))).alias("s"))
+        x, y = (sets.select(*(F.col(c).alias(c + side) for c in sets.columns)) for side in "ab")
+        pairs = x.crossJoin(y).where("ha < hb").select(F.col("patha").alias("pa"), F.col("pathb").alias("pb"), jaccard("sa", "sb").alias("sim"))
     else:
-        gram = sets.where("size(s) > 0").select("h", F.size("s").alias("n"), F.explode("s").alias("g")).select("h", "n", F.xxhash64("g").alias("g"))
-        # shingles of one set alone come first in the order and can't be shared: only their number counts
-        often = gram.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-        order = gram.join(often, "g").groupBy("h", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
-        keep = (F.size("o") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-        front = order.where(keep > 0).select("h", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("e")).select("h", "n", F.col("e.g").alias("g"))
-        a, b = front.select(F.col("h").alias("ha"), F.col("n").alias("na"), "g"), front.select(F.col("h").alias("hb"), F.col("n").alias("nb"), "g")
-        near = a.join(b, "g").where(F.expr(f"ha < hb AND least(na, nb) >= {threshold} * greatest(na, nb) - 1e-9")).select("ha", "hb").distinct()
-        near = checkpoint(near)
-        met = near.select(F.col("ha").alias("content_hash")).unionByName(near.select(F.col("hb").alias("content_hash"))).distinct()
-        sets = one.join(met, "content_hash", "left_semi").select(F.col("content_hash").alias("h"), F.array_distinct(F.expr(shingle_list(SPARK))).alias("s"))
-        full = near.join(sets.select(F.col("h").alias("ha"), F.col("s").alias("sa")), "ha").join(sets.select(F.col("h").alias("hb"), F.col("s").alias("sb")), "hb")
-        found = full.select("ha", "hb", jaccard("sa", "sb").alias("sim")).where(F.col("sim") >= threshold)
-    pairs = found.join(names.select(F.col("content_hash").alias("ha"), F.col("path").alias("pa")), "ha").join(names.select(F.col("content_hash").alias("hb"), F.col("path").alias("pb")), "hb")
+        named, found = _similar(docs, threshold)
+        named = checkpoint(named)
+        x, y = (named.select(F.col("node").alias(side), F.col("content_hash").alias("h" + side), F.col("path").alias("p" + side)) for side in "ab")
+        others = found.join(x, "a").join(y, "b").select("pa", "pb", "sim")
+        same = x.join(y.withColumnRenamed("b", "a"), "a").where("ha < hb").select("pa", "pb", F.lit(1.0).alias("sim"))
+        pairs = others.unionByName(same)
     return pairs.select(F.least("pa", "pb").alias("path_a"), F.greatest("pa", "pb").alias("path_b"), rounded(F.col("sim")).alias("similarity"))
 
 

@@ -105,9 +105,9 @@ project("csv_rows", [*meta.RECORD_STEPS, lambda d: {"excerpt": f"'see {chr(34)}'
 # --- relations: each in Spark by DataFrames, in SQL written apart ---
 
 
-def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' own texts under their virtual paths, with hashes and sizes."""
-    docs = table(spark, sf_dir, "documents", wide=True).where("doc_id IS NOT NULL")
+def originals(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
+    """The documents' own texts under their virtual paths, with hashes and sizes. What is read several times isn't dealt (``wide``) each time."""
+    docs = table(spark, sf_dir, "documents", wide=wide).where("doc_id IS NOT NULL")
     return add(docs.select("doc_id", "text"), virtual.artifact).select("doc_id", "path", F.coalesce("text", F.lit("")).alias("body")).select("*", F.sha2("body", 256).alias("content_hash"), F.expr("octet_length(body)").alias("size_bytes"), F.lit(False).alias("is_dir"))
 
 
@@ -133,7 +133,7 @@ register("top_clusters", lambda s, d: dedup.top_clusters(dedup.duplicate_cluster
 register("cluster_members", lambda s, d: dedup.members(originals(s, d), dedup.duplicate_clusters(originals(s, d))), f"SELECT o.content_hash, path, path = keeper AS keeps FROM ({ORIGINALS}) o JOIN ({CLUSTERS}) c ON c.content_hash = o.content_hash")
 register("recoverable_bytes", lambda s, d: dedup.recoverable(dedup.duplicate_clusters(originals(s, d))), f"SELECT count(*) AS clusters, coalesce(sum(wasted_bytes), 0)::BIGINT AS wasted_bytes FROM ({CLUSTERS})")
 register("exact_twins", lambda s, d: dedup.exact_twins(originals(s, d)), f"SELECT content_hash, n, path FROM (SELECT content_hash, path, count(*) OVER (PARTITION BY content_hash) AS n FROM ({ORIGINALS})) WHERE n > 1")
-register("near_duplicates", lambda s, d: dedup.near_duplicates(originals(s, d), NEAR_T), _near_sql(NEAR_T))
+register("near_duplicates", lambda s, d: dedup.near_duplicates(originals(s, d, wide=False), NEAR_T), _near_sql(NEAR_T))
 register(
     "dedup_summary", lambda s, d: dedup.summary(originals(s, d), dedup.THRESHOLD),
     f"SELECT sum(n)::BIGINT AS total, count(*) AS unique_count, count(*) FILTER (n > 1) AS twin_groups, (SELECT count(*) FROM ({_near_sql(dedup.THRESHOLD)})) AS near_pairs FROM (SELECT count(*) AS n FROM ({ORIGINALS}) GROUP BY content_hash)",

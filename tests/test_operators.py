@@ -189,6 +189,20 @@ def test_near_duplicates_match_all_pairs(spark, t):
     assert {tuple(r) for r in dedup.near_duplicates(df, t).collect()} == brute(rows, t)
 
 
+@pytest.mark.parametrize("ask", [dedup.near_duplicates, dedup.summary])
+def test_near_copies_send_no_texts(spark, ask):
+    """What is shuffled is less than the texts twice over: packed grams, and nothing for each shingle's own string."""
+    rows = [(f"p{i}", " ".join(f"w{(i * 7919 + j * 104729) % 999983}" for j in range(400))) for i in range(300)]
+    rows += [("near", rows[5][1] + " more"), ("spaced", rows[6][1].replace(" ", "  ")), ("upper", rows[6][1].upper())]
+    df = frame(spark, rows, "path string, body string").withColumn("content_hash", F.sha2("body", 256))
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = shuffled()
+    got = {tuple(r) for r in ask(df, 0.5).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == {(303, 303, 0, 4)} if ask is dedup.summary else {r[:2] for r in got} == {("near", "p5"), ("p6", "spaced"), ("p6", "upper"), ("spaced", "upper")}
+    assert shuffled() - before < 2 * sum(len(b) for _, b in rows)
+
+
 def test_gate(spark):
     rows = [(1, "h", "p"), (2, "h", "q"), (3, "i", "p"), (4, "j", "r")]
     got = {r["seq"]: r["dedup_status"] for r in dedup.gate(frame(spark, rows, "seq long, content_hash string, output_path string")).collect()}
