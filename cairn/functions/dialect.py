@@ -59,6 +59,10 @@ class Dialect:
         """The items of x that y has too, each once; in no order that counts."""
         return f"list_intersect({x}, {y})"
 
+    def listed(self, x: str, y: str) -> str:
+        """The items of x, none of them twice, that y has too, in x's order; none if y is null."""
+        return self.keep(x, "w", self.holds(y, "w"))
+
     def range(self, n: int) -> str:
         """The list 0 .. n."""
         return f"range(0, {n + 1})"
@@ -66,6 +70,12 @@ class Dialect:
     def most(self, x: str) -> str:
         return f"list_max({x})"
 
+    def first_units(self, x: str, n: int) -> str:
+        """The first n UTF-16 units; a character of two units that would be cut is left out."""
+        head = f"substring({x}, 1, {n})"
+        fits = self.keep(self.range(n), "k", f"{self.units(f'substring({x}, 1, k)')} <= {n}")
+        return f"CASE WHEN {self.units(head)} <= {n} THEN {head} ELSE substring({x}, 1, {self.most(fits)}) END"
+
     def head(self, x: str, n: int) -> str:
         return f"({x})[1:{n}]"
 
@@ -150,12 +160,23 @@ class Spark(Dialect):
     def both(self, x: str, y: str) -> str:
         return f"array_intersect({x}, {y})"
 
+    def listed(self, x: str, y: str) -> str:
+        # no filter: Catalyst puts the expression of y into a lambda, to be worked out again for every item of x
+        return f"coalesce(array_intersect({x}, {y}), array())"
+
     def range(self, n: int) -> str:
         return f"sequence(0, {n})"
 
     def most(self, x: str) -> str:
         return f"array_max({x})"
 
+    def first_units(self, x: str, n: int) -> str:
+        # cut once, before the first half of a pair (D8 to DB) that would stand last
+        head = f"substring({x}, 1, {n})"
+        units = f"encode({head}, 'UTF-16BE')"
+        split = f"hex(substring({units}, {2 * n - 1}, 1)) BETWEEN 'D8' AND 'DB'"
+        return f"CASE WHEN {self.units(head)} <= {n} THEN {head} ELSE decode(substring({units}, 1, CASE WHEN {split} THEN {2 * n - 2} ELSE {2 * n} END), 'UTF-16BE') END"
+
     def head(self, x: str, n: int) -> str:
         return f"slice({x}, 1, {n})"
 

@@ -19,9 +19,7 @@ def hit(d: Dialect, word: str, x: str = "found") -> str:
 
 def window(d: Dialect, n: int = WINDOW) -> str:
     """The first n UTF-16 units of the body; a character of two units that would be cut is left out."""
-    head = f"substring(body, 1, {n})"
-    fits = d.keep(d.range(n), "k", f"{d.units(f'substring(body, 1, k)')} <= {n}")
-    return f"CASE WHEN {d.units(head)} <= {n} THEN {head} ELSE substring(body, 1, {d.most(fits)}) END"
+    return d.first_units("body", n)
 
 
 def found(d: Dialect) -> dict[str, str]:
@@ -36,7 +34,7 @@ def family(d: Dialect) -> dict[str, str]:
 
 def signals(d: Dialect) -> dict[str, str]:
     """The first six family words found, in table order."""
-    return {"signals": d.head(d.keep(d.array(map(d.q, FAMILY_WORDS)), "w", d.holds("found", "w")), 6)}
+    return {"signals": d.head(d.listed(d.array(map(d.q, FAMILY_WORDS)), "found"), 6)}
 
 
 def word(d: Dialect) -> dict[str, str]:

@@ -359,3 +359,18 @@ def test_the_keyword_window_ends_after_800_utf16_units(spark):
     rows = [("a/x.md", wide + " kernel runtime"), ("a/y.md", wide + "ab audit"), ("a/z.md", "x" * 790 + " audit")]
     got = {r["path"]: (r["family"], r["signals"]) for r in classify.classify(frame(spark, rows, "path string, body string")).collect()}
     assert got == {"a/x.md": ("meta_kernel_forge", ["kernel"]), "a/y.md": ("auditor", ["audit"]), "a/z.md": ("auditor", ["audit"])}
+
+
+def test_signals_are_looked_up_once(spark):
+    """The words are cut up outside of lambdas, in which they would be cut up again for each item."""
+    rows = [("a.md", "lint scan, audit: law"), ("b.md", None), ("c.md", "nothing"), ("d.md", "x " * 399 + "\U0001f600 build"), ("e.md", "x " * 396 + " \U0001f600build")]
+    df = add(frame(spark, rows, "path string, body string"), *classify.PARTS, classify.found, classify.signals).select("path", "signals")
+    assert by_path(df, "signals") == {"a.md": ["audit", "lint", "scan", "law"], "b.md": [], "c.md": [], "d.md": [], "e.md": ["build"]}
+    assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_window_of_units(spark):
+    bodies = ["", "ab", "\U0001f600", *(x * n + y for x in ("a", "\U0001f600", "a\U0001f600", "\ud7ff\ue000") for n in (2, 3, 4, 5) for y in ("", "b", "\U0001f600", "\U0001f600b"))]
+    for r in frame(spark, [(b,) for b in bodies], "body string").selectExpr("body", *(f"{classify.window(SPARK, n)} AS w{n}" for n in (1, 4, 5))).collect():
+        for n in (1, 4, 5):
+            assert r[f"w{n}"] == r["body"].encode("utf-16-le")[: 2 * n].decode("utf-16-le", "ignore")
