@@ -388,10 +388,10 @@ def _zips(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((f"{i}.zip", data.getvalue()))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "path string, content binary")
+    return table(spark, sf_dir, "documents", wide=True).where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "path string, content binary")
 
 
-register("archive_members", lambda s, d: archives.expand(_zips(s, d)).select("archive", "member", "depth", "size_bytes", "problem"), "SELECT doc_id || '.zip' AS archive, 'text/' || doc_id || '.md' AS member, 1 AS depth, strlen(coalesce(text, '')) AS size_bytes, NULL::VARCHAR AS problem FROM documents WHERE doc_id IS NOT NULL")
+register("archive_members", lambda s, d: archives.expand(_zips(s, d), content=False).select("archive", "member", "depth", "size_bytes", "problem"), "SELECT doc_id || '.zip' AS archive, 'text/' || doc_id || '.md' AS member, 1 AS depth, strlen(coalesce(text, '')) AS size_bytes, NULL::VARCHAR AS problem FROM documents WHERE doc_id IS NOT NULL")
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

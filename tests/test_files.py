@@ -8,6 +8,7 @@ import os
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,19 @@ def test_archives(spark):
     assert max(r[2] for r in got) == 3 and by["bad.zip", None][5]
 
 
+def test_small_archives_share_a_batch(monkeypatch):
+    some = [(f"{i}.zip", zipped(**{"a.txt": "x" * i})) for i in range(300)] + [("none.zip", None), ("bad.zip", b"nothing")]
+    read = pa.RecordBatch.from_pydict({"path": [p for p, _ in some], "content": pa.array([c for _, c in some], pa.binary())})
+    want = [tuple(m) for p, c in some if c is not None for m in archives.members(p, c)]
+    got = list(archives.rows(iter([read, read])))
+    assert len(got) == 1 and [tuple(r.values()) for r in got[0].to_pylist()] == want * 2
+    slim = list(archives.rows(iter([read]), content=False))
+    assert [tuple(r.values()) for b in slim for r in b.to_pylist()] == [(*m[:4], m[5]) for m in want]
+    monkeypatch.setattr(archives, "BATCH_BYTES", 1000)
+    parts = list(archives.rows(iter([read])))
+    assert [tuple(r.values()) for b in parts for r in b.to_pylist()] == want and all(sum(map(len, filter(None, b.column("content").to_pylist()))) < 1300 for b in parts)
+
+
 STAGES = ("prepared", "staged", "committing", "backup:0", "replaced:0", "backup:1", "replaced:1", "validating")
 
 
