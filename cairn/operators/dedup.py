@@ -105,6 +105,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.select(F.least("pa", "pb").alias("path_a"), F.greatest("pa", "pb").alias("path_b"), rounded(F.col("sim")).alias("similarity"))
 
 
+def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row: how many rows ``near_duplicates`` has. Nothing is named; a node of several contents counts for all of them."""
+    if threshold == 0:
+        return near_duplicates(docs, threshold).agg(F.count("*").alias("near_pairs"))
+    named, found = _similar(docs, threshold)
+    several = checkpoint(named.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
+    x, y = (several.select(F.col("node").alias(side), F.col("m").alias("m" + side)) for side in "ab")
+    others = found.select("a", "b").join(x, "a", "left").join(y, "b", "left").select((F.coalesce("ma", F.lit(1)) * F.coalesce("mb", F.lit(1))).alias("n"))
+    same = several.select(F.expr("m * (m - 1) DIV 2").alias("n"))
+    return others.unionByName(same).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("near_pairs"))
+
+
 def one_row(*parts: DataFrame) -> DataFrame:
     """The columns of frames of one row each, side by side in one row."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -115,8 +127,7 @@ def summary(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row: all, distinct contents, groups of exact twins, near pairs."""
     n = docs.groupBy("content_hash").agg(F.count("*").alias("n"))
     counts = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("unique_count"), F.count_if(F.col("n") > 1).alias("twin_groups"))
-    near = near_duplicates(docs, threshold).agg(F.count("*").alias("near_pairs"))
-    return one_row(counts, near)
+    return one_row(counts, near_pairs(docs, threshold))
 
 
 def gate(rows: DataFrame, order: str = "seq") -> DataFrame:

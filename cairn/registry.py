@@ -135,7 +135,7 @@ register("recoverable_bytes", lambda s, d: dedup.recoverable(dedup.duplicate_clu
 register("exact_twins", lambda s, d: dedup.exact_twins(originals(s, d)), f"SELECT content_hash, n, path FROM (SELECT content_hash, path, count(*) OVER (PARTITION BY content_hash) AS n FROM ({ORIGINALS})) WHERE n > 1")
 register("near_duplicates", lambda s, d: dedup.near_duplicates(originals(s, d, wide=False), NEAR_T), _near_sql(NEAR_T))
 register(
-    "dedup_summary", lambda s, d: dedup.summary(originals(s, d), dedup.THRESHOLD),
+    "dedup_summary", lambda s, d: dedup.summary(originals(s, d, wide=False), dedup.THRESHOLD),
     f"SELECT sum(n)::BIGINT AS total, count(*) AS unique_count, count(*) FILTER (n > 1) AS twin_groups, (SELECT count(*) FROM ({_near_sql(dedup.THRESHOLD)})) AS near_pairs FROM (SELECT count(*) AS n FROM ({ORIGINALS}) GROUP BY content_hash)",
 )
 register("shingle_counts", lambda s, d: originals(s, d).select("doc_id", F.size(F.array_distinct(F.expr(text.shingle_list(_SPARK)))).alias("n")), f"SELECT doc_id, len(list_distinct({text.shingle_list(DUCK)})) AS n FROM ({ORIGINALS})")

@@ -203,6 +203,14 @@ def test_near_copies_send_no_texts(spark, ask):
     assert shuffled() - before < 2 * sum(len(b) for _, b in rows)
 
 
+@pytest.mark.parametrize("t", [0, 0.4, 1])
+def test_summary_counts_near_pairs_unnamed(spark, t):
+    base = [f"w{i % 7} w{i % 5} w{i}" for i in range(12)]
+    rows = [("a", " ".join(base)), ("b", " ".join(base[:-1])), ("c", "  ".join(base)), ("d", " ".join(base).upper()), ("e", " ".join(base)), ("f", "one two"), ("g", "one  TWO"), ("h", ""), ("i", " ".join(base[1:]))]
+    df = frame(spark, rows, "path string, body string").withColumn("content_hash", F.sha2("body", 256))
+    assert tuple(dedup.summary(df, t).first()) == (9, 8, 1, len(brute(rows, t)))
+
+
 def test_gate(spark):
     rows = [(1, "h", "p"), (2, "h", "q"), (3, "i", "p"), (4, "j", "r")]
     got = {r["seq"]: r["dedup_status"] for r in dedup.gate(frame(spark, rows, "seq long, content_hash string, output_path string")).collect()}
